@@ -214,27 +214,36 @@ def _heavy_links(docs: DataFrame, made: DataFrame, k: int, percent: int) -> Data
     return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets link when 100 * overlap >= percent * union."""
+def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles and first: (doc_id, hash) of the component's first row, null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     made = staged(docs.mapInArrow(_signatures(k, percent), "doc_id long, hash long, n_shingles long, sid long, light array<long>, light_size array<long>, heavy array<long>"))
     found = components(_light_links(made, percent).unionByName(_heavy_links(docs, made, k, percent)))
-    ids = made.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
+    # Nulls sort first in structs, so the id's absence comes before it.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    ids = made.where("sid is not null").groupBy("sid").agg(F.min(place).alias("low"))
     roots = ids.join(found, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
-    lowest = roots.groupBy("root").agg(F.min("low").alias("component_id")).select(F.col("root").cast("string").alias("r"), "component_id")
-    named = roots.join(lowest, F.col("root").cast("string") == F.col("r")).select(F.col("sid").cast("string").alias("s"), "component_id")
-    out = made.select("doc_id", "n_shingles", F.coalesce(F.col("sid").cast("string"), F.concat(F.lit("-"), F.col("hash").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("s0"))
-    return out.join(named, F.col("s0") == F.col("s"), "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    lowest = roots.groupBy("root").agg(F.min("low").alias("first")).select(F.col("root").cast("string").alias("r"), "first")
+    named = roots.join(lowest, F.col("root").cast("string") == F.col("r")).select(F.col("sid").cast("string").alias("s"), "first")
+    # Rows without a set get keys of their own, so that they are dealt evenly.
+    key = F.coalesce(F.col("sid").cast("string"), F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return made.select("doc_id", "hash", "n_shingles", key.alias("s0")).join(named, F.col("s0") == F.col("s"), "left").select("doc_id", "hash", "n_shingles", "first")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets link when 100 * overlap >= percent * union."""
+    return labelled(docs, k, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first (by doc_id, then by text) of each component; documents without any shingle all stay."""
+    """docs without all but the first row of each component; rows without any shingle all stay."""
+    found = staged(labelled(docs, k, percent).where("n_shingles > 0"))
+    here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    gone = found.where(here != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_g")).distinct()
+    again = found.where(here == F.col("first")).groupBy("doc_id", "hash").count().where("count > 1")
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    found = staged(jaccard_components(docs, k, percent).where("n_shingles > 0").distinct())
-    # A document goes if its component has a smaller id; the copies under one id are told apart below.
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"))
-    left = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti")
-    return left.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    left = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
+    return (left if again.isEmpty() else left.dropDuplicates(["doc_id", "_h"])).drop("_h")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from . import exact_search, sharding, tool_calls
+from .exact_search import op6_kd_tree_search
+from .line_templates import op3_line_templates
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op5_harmonic_packing
 from .quality import op4_quality_rules
+from .piece_lattice import op9_piece_lattice
+from .sharding import op7_permutation_sharding
 from .substring_dedup import op8_substring_dedup
+from .tool_calls import op2_tool_calls
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_tool_calls": op2_tool_calls,
+    "op3_line_templates": op3_line_templates,
     "op4_quality_rules": op4_quality_rules,
     "op5_harmonic_packing": op5_harmonic_packing,
+    "op6_kd_tree_search": op6_kd_tree_search,
+    "op7_permutation_sharding": op7_permutation_sharding,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_piece_lattice": op9_piece_lattice,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_tool_calls": tool_calls.SQL, "op6_kd_tree_search": exact_search.SQL, "op7_permutation_sharding": sharding.SQL}
