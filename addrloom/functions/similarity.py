@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def lcs(a: str, b: str) -> int:
@@ -59,19 +60,19 @@ def without_repeats(text: str) -> str:
     return text
 
 
-def _pairwise(f, kind: str):
+def _pairwise(f, kind):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)])
 
     return F.pandas_udf(run, kind)
 
 
-fuzz_ratio = _pairwise(ratio, "double")
-partial_ratio = _pairwise(partial, "double")
-similarity_score = _pairwise(difflib_score, "double")
+fuzz_ratio = _pairwise(ratio, DoubleType())
+partial_ratio = _pairwise(partial, DoubleType())
+similarity_score = _pairwise(difflib_score, DoubleType())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dedupe_phrases(text: pd.Series) -> pd.Series:
     return text.map(without_repeats, na_action="ignore")
 

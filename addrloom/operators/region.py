@@ -57,8 +57,12 @@ def extract_area(rows: DataFrame, areas: DataFrame, address: str = "address") ->
     """(rid, area): the known area name in an address; after a city's suffix it counts most, then autonomous counties, then
     the longest name, then the last by name."""
     text = F.coalesce(F.col(address), F.lit(""))
-    kinds = [(r"[市州盟]([一-龥]{2,6}?[区县旗])", F.lit(100)), (r"(?<![省市州盟])([一-龥]{2,6}?[区县旗])(?!域|划)", F.lit(0)), (r"([一-龥]{2,10}?自治[县旗])", F.lit(10))]
-    found = F.concat(*(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda x, w=w, p=p: F.struct(F.when(w == 100, w).otherwise(F.length(x) + w).alias("priority"), x.alias("name"))) for p, w in kinds))
+    kinds = [(r"[市州盟]([一-龥]{2,6}?[区县旗])", 100), (r"(?<![省市州盟])([一-龥]{2,6}?[区县旗])(?!域|划)", 0), (r"([一-龥]{2,10}?自治[县旗])", 10)]
+    def named(pattern: str, weight: int):
+        priority = lambda x: F.lit(100) if weight == 100 else F.length(x) + weight
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(priority(x).alias("priority"), x.alias("name")))
+
+    found = F.concat(*(named(p, w) for p, w in kinds))
     words = rows.select("rid", F.explode(found).alias("x")).select("rid", "x.*").join(F.broadcast(areas.select("name").distinct()), "name")
     best = words.groupBy("rid").agg(F.max(F.struct("priority", "name")).alias("x")).select("rid", F.col("x.name").alias("area"))
     return rows.select("rid").join(best, "rid", "left").select("rid", F.coalesce("area", F.lit("")).alias("area"))

@@ -1,5 +1,473 @@
-"""All queries of the engine with their SQL counterparts."""
+"""All queries of the engine with their SQL counterparts, where SQL can express them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import geo, rules as R, similarity, text as T
+from ..operators import clean, join, match, profile, region, validate
+from ..sources import readers, sinks
+from .fixtures import FRAMES, frame
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, frames: str, make, sql: str | None = None) -> None:
+    """make gets the frames, in order; sql may use them by name, and starts with further CTEs or SELECT."""
+    names = frames.split()
+    QUERIES[name] = lambda spark, sf_dir: make(*(frame(spark, sf_dir, n) for n in names))
+    if sql:
+        used = [n for n in FRAMES if n in names or re.search(rf"\b{n}\b", sql)]
+        SQL[name] = "WITH " + ", ".join(f"{n} AS ({FRAMES[n]})" for n in used) + ("\n" if re.match(r"\s*SELECT", sql) else ",\n") + sql
+
+
+def strip_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def blank_sql(c: str) -> str:
+    return f"(coalesce({strip_sql(f'CAST({c} AS VARCHAR)')}, '') = '')"
+
+
+def sanitize_sql(c: str) -> str:
+    c = reduce(lambda x, w: f"replace({x}, '{w}', '')", (*R.NOISE, *R.PLACEHOLDERS), c)
+    return strip_sql(f"regexp_replace(regexp_replace({c}, '无([0-9])', '\\1', 'g'), '无{{2,}}', '', 'g')")
+
+
+# Scalar functions -----------------------------------------------------------------------------------------------------
+
+def scalar(name: str, frames: str, column, sql: str | None, rid: str = "rid") -> None:
+    add(name, frames, lambda df: df.select(rid, column().alias("value")), sql and f"SELECT {rid}, {sql} AS value FROM {frames}")
+
+
+FIELDS = ["province", "city", "district", "street", "poi"]
+CLEAN_SQL = "concat(" + ", ".join(f"CASE WHEN regexp_matches({s}, '[一-龥]') THEN {s} ELSE '' END" for s in (sanitize_sql(strip_sql(f"coalesce({f}, '')")) for f in FIELDS)) + ")"
+PURE_SQL = f"""CASE WHEN {{s}} = '' THEN false WHEN regexp_matches({{s}}, '[0-9]') THEN false WHEN regexp_matches({{s}}, '{R.any_of(R.ADDRESS_WORDS)}') THEN false
+  WHEN regexp_replace({{s}}, '[^一-龥]', '', 'g') = '' THEN true WHEN regexp_matches(regexp_replace({{s}}, '[^一-龥]', '', 'g'), '{R.any_of(R.VILLAGE_WORDS)}') THEN false
+  ELSE regexp_matches(regexp_replace({{s}}, '[^一-龥]', '', 'g'), '{R.PURE_ADMIN}') END"""
+
+
+def pure_sql(c: str) -> str:
+    return PURE_SQL.replace("{s}", strip_sql(f"coalesce({c}, '')"))
+
+
+FALLBACK_SQL = f"CASE WHEN regexp_matches({strip_sql('location')}, '[一-龥]') AND length({strip_sql('location')}) > 2 THEN {sanitize_sql(strip_sql('location'))} ELSE '' END"
+scalar("sanitize", "addr", lambda: T.sanitize(F.coalesce("street", F.lit(""))), sanitize_sql("coalesce(street, '')"))
+scalar("contains_chinese", "addr", lambda: T.contains_chinese(F.col("location")), "coalesce(regexp_matches(location, '[一-龥]'), false)")
+scalar("build_clean_text", "addr", lambda: T.build_clean_text([F.col(f) for f in FIELDS]), CLEAN_SQL)
+scalar("dedupe_admin", "addr", lambda: T.dedupe_admin(F.concat(F.coalesce("city", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street", F.lit("")))), None)
+scalar("dedupe_phrases", "addr", lambda: similarity.dedupe_phrases(F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))), None)
+scalar("pure_admin_region", "addr", lambda: T.is_pure_admin(F.concat_ws("", "province", "city")), pure_sql("concat_ws('', province, city)"))
+scalar("fallback_address", "addr", lambda: T.fallback_address(["rid", "province", "location"]), f"coalesce({FALLBACK_SQL}, '')")
+BUILDING_SQL = "(" + " OR ".join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '{R.any_of(R.BUILDING_WORDS)}'), false)" for c in ["rid", *FIELDS, "location", "const_code", "nothing"]) + ")"
+ADDR = ["rid", *FIELDS, "location", "const_code", "nothing"]
+scalar("has_building_info", "addr", lambda: T.has_building_info(ADDR), BUILDING_SQL)
+scalar("is_pure_numeric", "addr", lambda: T.is_pure_numeric(F.col("location")), f"coalesce(regexp_matches({strip_sql('location')}, '^[0-9]+$'), false)")
+scalar("is_non_poi_device", "addr", lambda: T.is_device(F.col("poi")), f"coalesce(regexp_matches(poi, '调[0-9]+|{R.any_of(R.DEVICE_WORDS)}'), false)")
+CLEAN_POI_SQL = strip_sql("regexp_replace(coalesce({c}, ''), '[0-9#\\-]+', '', 'g')")
+scalar("clean_poi_for_fuzzy", "addr", lambda: T.clean_poi(F.col("poi")), CLEAN_POI_SQL.replace("{c}", "poi"))
+ADMIN_SQL = f"(regexp_matches({{s}}, '{R.ADMIN_NAME}') AND NOT regexp_matches({{s}}, '({R.any_of(R.POI_SUFFIXES)})$'))"
+scalar("is_admin_only", "addr", lambda: T.is_admin_only(F.col("poi")), ADMIN_SQL.replace("{s}", strip_sql("coalesce(poi, '')")))
+NORMAL_SQL = strip_sql(r"regexp_replace(regexp_replace(" + strip_sql("coalesce(poi, '')") + r", '_[0-9]+$', '', 'g'), '（[^（）]*）|\([^()]*\)', '', 'g')")
+scalar("normalize_poi", "addr", lambda: T.normalize_poi(F.col("poi")), NORMAL_SQL)
+scalar("first_poi", "addr", lambda: T.first_poi(F.col("poi")), strip_sql("split_part(coalesce(poi, ''), ';', 1)"))
+OVERLAP_SQL = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) AS DOUBLE) / greatest(len(list_distinct(string_split({a}, ''))), len(list_distinct(string_split({b}, '')))) END"
+scalar("char_overlap", "addr", lambda: F.round(T.char_overlap(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), f"round({OVERLAP_SQL.replace('{a}', chr(99) + 'oalesce(street, ' + chr(39) * 2 + ')').replace('{b}', 'coalesce(poi, ' + chr(39) * 2 + ')')}, 6)")
+LENGTH_SQL = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE CAST(least(length({a}), length({b})) AS DOUBLE) / greatest(length({a}), length({b})) END"
+scalar("length_ratio", "addr", lambda: F.round(T.length_ratio(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), "round(" + LENGTH_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)")
+KV = ["prov", "city", "road", "poi", "houseno"]
+scalar("std_address", "kv", lambda: T.std_address({k: T.parse_kv(F.col("structure"))[k] for k in KV}), None)
+KV_SQL = {k: f"nullif(regexp_extract(structure, '(^|\\s){k}=(\\S*)', 2), '')" for k in KV}
+SQL["std_address"] = f"WITH kv AS ({FRAMES['kv']}) SELECT rid, concat_ws('', {', '.join(KV_SQL[k] for k in KV[:4])}, concat({KV_SQL['houseno']}, '号楼') ) AS value FROM kv WHERE structure <> '' UNION ALL SELECT rid, '' FROM kv WHERE structure = ''"
+add("parse_kv", "kv", lambda df: df.select("rid", *(F.coalesce(T.parse_kv(F.col("structure"))[k], F.lit("")).alias(k) for k in KV)), "SELECT rid, " + ", ".join(f"coalesce({KV_SQL[k]}, '') AS {k}" for k in KV) + " FROM kv")
+
+
+def _poi_choice(df):
+    poi, origin = T.poi_choice(F.col("predicted"), T.parse_kv(F.col("structure"))["poi"])
+    return df.select("rid", poi.alias("poi"), origin.alias("origin"))
+
+
+add("poi_choice", "kv", _poi_choice, f"SELECT rid, CASE WHEN NOT {blank_sql('predicted')} THEN {strip_sql('predicted')} ELSE coalesce({KV_SQL['poi']}, '') END AS poi, CASE WHEN NOT {blank_sql('predicted')} THEN 'predict' WHEN {KV_SQL['poi']} IS NOT NULL THEN 'structure' ELSE 'empty' END AS origin FROM kv")
+scalar("match_value", "addr", lambda: T.match_value([F.col(f) for f in FIELDS]), "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {blank_sql(f)} THEN {strip_sql(f)} END" for f in FIELDS) + ")")
+scalar("gid_norm", "rows_", lambda: T.gid_norm(F.col("gid")), "CAST(CAST(trunc(TRY_CAST(gid AS DOUBLE)) AS BIGINT) AS VARCHAR)")
+scalar("level_label", "tgt", lambda: T.level_label(F.element_at(F.split(F.lit("EXACT,HIGH_CONFIDENCE,NEED_REVIEW,UNMATCHED"), ","), (F.col("rid") % 4 + 1).cast("int"))), "split_part('精确匹配,高置信度,需人工确认,未匹配', ',', CAST(rid % 4 + 1 AS INT))")
+
+
+def _pair_label(df):
+    field = F.element_at(F.split(F.lit("名称=name;=b;地址;a=b=c"), ";"), (F.col("rid") % 4 + 1).cast("int"))
+    source, target = T.pair_label(field)
+    return df.select("rid", source.alias("source_label"), target.alias("target_label"))
+
+
+add("field_pair_label", "tgt", _pair_label, "SELECT rid, split_part('名称;匹配字段;地址;a', ';', CAST(rid % 4 + 1 AS INT)) AS source_label, split_part('name;b;匹配值;b=c', ';', CAST(rid % 4 + 1 AS INT)) AS target_label FROM tgt")
+
+
+def _wkt(df):
+    wkt = F.when(F.col("rid") % 3 == 0, F.concat(F.lit("point ("), F.col("rid").cast("string"), F.lit(" 2.5)"))).when(F.col("rid") % 3 == 1, "MULTIPOLYGON (((0 0, 1 1, 1 0)))").otherwise("none")
+    return df.select("rid", T.wkt_kind(wkt).alias("kind"), T.wkt_point(wkt).x.alias("x"), T.wkt_point(wkt).y.alias("y"))
+
+
+add("wkt_point", "tgt", _wkt, "SELECT rid, CASE rid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'MULTIPOLYGON' ELSE '' END AS kind, CASE WHEN rid % 3 = 0 THEN CAST(rid AS DOUBLE) END AS x, CASE WHEN rid % 3 = 0 THEN 2.5::DOUBLE END AS y FROM tgt")
+
+LCS_SQL = """list_reduce(list_transform(string_split(a, ''), lambda c: [CAST(ord(c) AS BIGINT)]),
+  lambda p, x: list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN ord(string_split(b, '')[j]) = x[1] THEN p[j] + 1 ELSE p[j + 1] END]), lambda acc, v: list_append(acc, greatest(acc[-1], v[1])), [CAST(0 AS BIGINT)]),
+  list_transform(range(0, len(b) + 1), lambda i: CAST(0 AS BIGINT)))[-1]"""
+PAIRS_SQL = """s_ AS (SELECT DISTINCT trim(poi) AS a FROM src WHERE trim(coalesce(poi, '')) <> ''), t_ AS (SELECT DISTINCT trim(poi) AS b FROM {t} WHERE trim(coalesce(poi, '')) <> ''),
+ratios AS (SELECT a, b, 200.0::DOUBLE * {lcs} / (length(a) + length(b)) AS score FROM s_, t_)""".replace("{lcs}", LCS_SQL)
+
+
+def _stripped(df, name):
+    return df.select(T.strip(F.col("poi")).alias(name))
+
+
+add("fuzz_ratio", "src tgt", lambda s, t: similarity.candidates(_stripped(s, "a"), _stripped(t, "b"), 90.0).select("a", "b", F.round("score", 6).alias("score")), PAIRS_SQL.replace("{t}", "tgt") + " SELECT a, b, round(score, 6) AS score FROM ratios WHERE score >= 90")
+add("partial_ratio", "tgt tgt2", lambda s, t: _stripped(s, "a").distinct().join(F.broadcast(_stripped(t, "b").distinct())).select("a", "b", F.round(similarity.partial_ratio("a", "b"), 6).alias("score")))
+add("difflib_score", "tgt tgt2", lambda s, t: _stripped(s, "a").distinct().join(F.broadcast(_stripped(t, "b").distinct())).select("a", "b", F.round(similarity.similarity_score("a", "b"), 6).alias("score")))
+
+
+def _vectors(spark, sf_dir, rest):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % 2 == rest).select(F.col("vec_id").alias("rid"), F.col("embedding").alias("v"))
+
+
+QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(_vectors(spark, sf_dir, 0), _vectors(spark, sf_dir, 1))
+SQL["semantic_sim"] = """WITH p AS (SELECT l.vec_id AS rid, r.vec_id AS target_rid, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings l, embeddings r WHERE l.vec_id % 2 = 0 AND r.vec_id % 2 = 1)
+SELECT rid, target_rid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) AS n FROM p) WHERE n = 1"""
+
+# Cleaning -------------------------------------------------------------------------------------------------------------
+add("lineage_cols", "addr", lambda df: clean.lineage(df.select("rid", "province"), "custs"), "SELECT rid, province, concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row FROM addr")
+add("ids_first", "addr", lambda df: clean.ids_first(clean.lineage(df.select("rid", "city"), "custs")), "SELECT concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row, rid, city FROM addr")
+_IGNORED = ["province", "location", "const_code", "nothing"]
+add("ignore_fields", "addr", lambda df: clean.useless_fields(df, _IGNORED), " UNION ALL ".join(f"SELECT '{f}' AS field, (count(nullif({strip_sql(f)}, '')) = 0 OR (min(nullif({strip_sql(f)}, '')) = max(nullif({strip_sql(f)}, '')) AND regexp_matches(min(nullif({strip_sql(f)}, '')), '^[0-9]+$'))) AS ignored FROM addr" for f in _IGNORED))
+EMPTY_SQL = "(" + " AND ".join(map(blank_sql, FIELDS)) + ")"
+add("empty_row", "addr", lambda df: df.select("rid", clean.empty_row(FIELDS).alias("empty")), f"SELECT rid, {EMPTY_SQL} AS empty FROM addr")
+JUDGED_SQL = f"j AS (SELECT rid, CASE WHEN {CLEAN_SQL} = '' THEN coalesce({FALLBACK_SQL}, '') ELSE {CLEAN_SQL} END AS clean, {EMPTY_SQL} AS e, {BUILDING_SQL} AS b FROM addr), k AS (SELECT rid, clean, CASE WHEN e THEN '{R.REASONS[0]}' WHEN clean = '' THEN '{R.REASONS[1]}' WHEN {pure_sql('clean')} AND NOT b THEN '{R.REASONS[2]}' END AS reason FROM j)"
+
+
+def _judged(df, phrases=False):
+    return clean.judged(df, FIELDS, "custs", phrases)
+
+
+add("clean_partition", "addr", lambda df: _judged(df).select("rid", F.col("custs_adr_clean").alias("clean"), "reason"), JUDGED_SQL + " SELECT rid, clean, reason FROM k")
+add("clean_counts", "addr", lambda df: clean.counts(_judged(df)), JUDGED_SQL + " SELECT coalesce(reason, '有效') AS reason, count(*) AS n FROM k GROUP BY 1")
+add("clean_file", "addr", lambda df: clean.judged(df, FIELDS, "custs").select("rid", "custs_adr_clean", "reason"))
+add("check_field_config", "addr", lambda df: clean.field_warnings(df, ["province", "location"]), " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n_sampled, coalesce(bool_or(regexp_matches({f}, '[一-龥]')), false) AS has_chinese FROM (SELECT {f} FROM addr WHERE {f} IS NOT NULL ORDER BY rid LIMIT 100)" for f in ("province", "location")))
+add("file_quality", "addr", lambda df: profile.file_quality(df, ["poi", "district"]), " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {blank_sql(f)} THEN 0 ELSE 1 END), 6) AS filled FROM addr" for f in ("poi", "district")))
+
+# Joins and predicates -------------------------------------------------------------------------------------------------
+_A, _B = "SELECT c_custkey, nullif(c_nationkey % 7, 0) AS k FROM customer", "SELECT s_suppkey, nullif(s_nationkey % 7, 0) AS k2 FROM supplier"
+
+
+def joined(kind, on="k2"):
+    return lambda spark, sf_dir: join.export(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", on, kind)
+
+
+QUERIES["join_inner"] = joined("inner")
+SQL["join_inner"] = f'SELECT a.c_custkey AS "[A]c_custkey", a.k AS "【关联A】k", b.s_suppkey AS "[B]s_suppkey", b.k2 AS "【关联B】k2" FROM ({_A}) a JOIN ({_B}) b ON a.k IS NOT DISTINCT FROM b.k2'
+QUERIES["join_left_anti"] = lambda spark, sf_dir: join.left_anti(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B).where("k2 < 4"), "k", "k2")
+SQL["join_left_anti"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE k2 < 4 AND a.k = b.k2)"
+QUERIES["join_right_anti"] = lambda spark, sf_dir: join.right_anti(frame(spark, sf_dir, _A).where("k < 4"), frame(spark, sf_dir, _B), "k", "k2")
+SQL["join_right_anti"] = f"SELECT * FROM ({_B}) b WHERE NOT EXISTS (SELECT 1 FROM ({_A}) a WHERE k < 4 AND a.k = b.k2)"
+QUERIES["join_export"] = lambda spark, sf_dir: join.export(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", "k2", "left_anti")
+SQL["join_export"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE a.k = b.k2)"
+_KA = "lower(" + strip_sql("{t}.ka") + ")"
+EXACT_SQL = f"SELECT lid, rid, 1.0::DOUBLE AS confidence FROM lt JOIN rt ON {_KA.replace('{t}', 'lt')} = {_KA.replace('{t}', 'rt')} WHERE {_KA.replace('{t}', 'lt')} <> ''"
+_MK = "concat(coalesce(" + _KA + ", ''), '|', coalesce({t}.kb, ''))"
+MULTI_SQL = f"SELECT lid, rid, 1.0::DOUBLE AS confidence FROM lt JOIN rt ON {_MK.replace('{t}', 'lt')} = {_MK.replace('{t}', 'rt')} WHERE {_MK.replace('{t}', 'lt')} <> '|' AND {_MK.replace('{t}', 'rt')} <> '|'"
+_PAIRS = [("ka", "ka"), ("kb", "kb")]
+add("me_exact", "lt rt", lambda l, r: join.exact(l, r, "ka", "ka"), EXACT_SQL)
+add("me_multi_field", "lt rt", lambda l, r: join.multi_field(l, r, _PAIRS), MULTI_SQL)
+add("me_batch", "lt rt", lambda l, r: join.batch([join.multi_field(l, r, _PAIRS), join.exact(l, r, "ka", "ka")]), f"u AS (SELECT *, 0 AS strategy FROM ({MULTI_SQL}) UNION ALL SELECT *, 1 FROM ({EXACT_SQL})) SELECT lid, rid, confidence, strategy FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY strategy, rid) AS n FROM u) WHERE n = 1")
+add("me_fuzzy", "src tgt", lambda s, t: join.fuzzy(s.withColumnRenamed("rid", "lid"), t, "poi", "poi").select("lid", "rid", F.round("confidence", 6).alias("confidence")))
+_ROWS = [("AND", "c_nationkey", ">=", 3), ("AND", "c_mktsegment", "LIKE", "U"), ("OR", "c_acctbal", "<", 0), ("AND", "c_nationkey", "IN", [1, 2, 5]), ("AND", "c_name", "IS NOT NULL", None)]
+QUERIES["filter_builder"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").where(join.predicate(_ROWS)).select("c_custkey", "c_nationkey")
+SQL["filter_builder"] = "SELECT c_custkey, c_nationkey FROM customer WHERE (((c_nationkey >= 3 AND c_mktsegment LIKE '%U%') OR c_acctbal < 0) AND c_nationkey IN (1, 2, 5)) AND c_name IS NOT NULL"
+_KINDS = ["=", "LIKE", "包含", "被包含", "前缀", "后缀"]
+_NAMES = "SELECT n_nationkey, n_name, r_name FROM nation, region"
+QUERIES["pair_predicates"] = lambda spark, sf_dir: frame(spark, sf_dir, _NAMES).select("n_nationkey", "r_name", *(join.pair_predicate(F.col("n_name"), F.substring("r_name", 1, 1), k).alias(f"p{i}") for i, k in enumerate(_KINDS)))
+SQL["pair_predicates"] = f"SELECT n_nationkey, r_name, n_name = f AS p0, contains(n_name, f) AS p1, contains(n_name, f) AS p2, contains(f, n_name) AS p3, starts_with(n_name, f) AS p4, ends_with(n_name, f) AS p5 FROM (SELECT *, substr(r_name, 1, 1) AS f FROM ({_NAMES}))"
+add("remaining_rows", "src tgt", lambda s, t: join.remaining(s, match.exact_by(s, t, "core")).select("rid", "core"), f"SELECT rid, core FROM src WHERE NOT coalesce({strip_sql('core')} IN (SELECT {strip_sql('core')} FROM tgt WHERE core <> ''), false)")
+add("head_n", "src", lambda s: join.head(s, 10).select("rid", "core"), "SELECT rid, core FROM src ORDER BY rid LIMIT 10")
+add("sample_n", "src", lambda s: join.sample(s, 1000).select("rid", "core"))
+add("paginate", "src", lambda s: join.page(s, 3).select("rid", "poi"), "SELECT rid, poi FROM src ORDER BY rid LIMIT 100 OFFSET 200")
+QUERIES["detect_poi_column"] = lambda spark, sf_dir: spark.range(1).select(F.lit(poi_column(["a", "POI", "poi", "predict_poi"])).alias("found"))
+SQL["detect_poi_column"] = "SELECT 'predict_poi' AS found"
+
+
+def poi_column(columns: list[str]) -> str | None:
+    return next((c for c in ("标准化POI抽取", "predict_poi", "POI", "poi", "POI_结构化") if c in columns), None)
+
+
+# Tiered matching ------------------------------------------------------------------------------------------------------
+def tier_sql(t: str) -> str:
+    return PAIRS_SQL.replace("s_ AS", f"s_{t} AS").replace("t_ AS", f"t_{t} AS").replace("FROM s_, t_", f"FROM s_{t}, t_{t}").replace("ratios AS", f"ratios_{t} AS").replace("{t}", t) + f""",
+f_{t} AS (SELECT s.rid, s.district, t.rid AS target_rid, t.district AS target_district, r.score, r.a, r.b FROM src s JOIN ratios_{t} r ON trim(s.poi) = r.a JOIN {t} t ON trim(t.poi) = r.b WHERE r.score >= 90),
+b_{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, target_rid) AS n FROM f_{t}) WHERE n = 1 AND ({OVERLAP_SQL.replace('{a}', 'a').replace('{b}', 'b')}) >= 0.2),
+e0_{t} AS (SELECT s.rid, min(t.rid) AS target_rid, 100.0::DOUBLE AS score FROM src s JOIN {t} t ON {strip_sql('s.core')} = {strip_sql('t.core')} WHERE {strip_sql('s.core')} <> '' GROUP BY 1),
+e1_{t} AS (SELECT s.rid, min(t.rid) AS target_rid, 100.0::DOUBLE AS score FROM src s JOIN {t} t ON {strip_sql('s.poi')} = {strip_sql('t.poi')} WHERE {strip_sql('s.poi')} <> '' GROUP BY 1),
+w_{t} AS (SELECT rid, {strip_sql("unnest(string_split(pois, ';'))")} AS k FROM src), g_{t} AS (SELECT {strip_sql('poi')} AS k, min(rid) AS f, max(rid) AS l FROM {t} WHERE length({strip_sql('poi')}) >= 2 GROUP BY 1),
+e2_{t} AS (SELECT w.rid, arg_min(g.l, g.f) AS target_rid, 100.0::DOUBLE AS score FROM w_{t} w JOIN g_{t} g USING (k) GROUP BY 1),
+e3_{t} AS (SELECT rid, target_rid, score FROM b_{t} WHERE CASE WHEN district = target_district THEN score >= 95 WHEN district <> target_district THEN score >= 103 ELSE score >= 98 END),
+e4_{t} AS (SELECT rid, target_rid, score FROM b_{t} WHERE score BETWEEN 90 AND 98),
+u_{t} AS (""" + " UNION ALL ".join(f"SELECT *, {i} AS tier FROM e{i}_{t}" for i in range(5)) + ")"
+
+
+LEVEL_SQL = "CASE WHEN tier <= 2 THEN 'EXACT' WHEN tier = 3 THEN 'HIGH_CONFIDENCE' WHEN tier = 4 THEN 'NEED_REVIEW' ELSE 'UNMATCHED' END"
+
+
+def fall_sql(*targets: str) -> str:
+    union = " UNION ALL ".join(f"SELECT *, {i} AS target FROM u_{t}" for i, t in enumerate(targets))
+    return ",\n".join(map(tier_sql, targets)) + f",\nfall AS (SELECT src.rid, x.target, x.target_rid, x.score, {LEVEL_SQL} AS level FROM src LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY target, tier) AS n FROM ({union})) x ON src.rid = x.rid AND x.n = 1)"
+
+
+def rounded(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+def _scored(s, t):
+    return match.best_fuzzy(s, t, 90.0)
+
+
+add("sm_exact_core", "src tgt", lambda s, t: match.exact_by(s, t, "core"), tier_sql("tgt") + " SELECT * FROM e0_tgt")
+add("sm_exact_poi", "src tgt", lambda s, t: match.exact_by(s, t, "poi"), tier_sql("tgt") + " SELECT * FROM e1_tgt")
+add("sm_poi_contains", "src tgt", match.contained, tier_sql("tgt") + " SELECT * FROM e2_tgt")
+add("sm_high_conf", "src tgt", lambda s, t: rounded(match.high_confidence(_scored(s, t)).select("rid", "target_rid", "score")), tier_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score FROM e3_tgt")
+add("sm_need_review", "src tgt", lambda s, t: rounded(match.need_review(_scored(s, t)).select("rid", "target_rid", "score")), tier_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score FROM e4_tgt")
+add("sm_unmatched", "src tgt", lambda s, t: match.cascade(s, t).where("level = 'UNMATCHED'").select("rid", "level"), fall_sql("tgt") + " SELECT rid, level FROM fall WHERE level = 'UNMATCHED'")
+add("sm_cascade", "src tgt", lambda s, t: rounded(match.cascade(s, t)), fall_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score, level FROM fall")
+add("task_waterfall", "src tgt tgt2", lambda s, *t: rounded(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + " SELECT rid, target, target_rid, round(score, 6) AS score, level FROM fall")
+STATS_SQL = """, c AS (SELECT count(*) AS total, count(*) FILTER (level = 'EXACT') AS exact, count(*) FILTER (level = 'HIGH_CONFIDENCE') AS high_confidence, count(*) FILTER (level = 'NEED_REVIEW') AS need_review, count(*) FILTER (level = 'UNMATCHED') AS unmatched FROM fall)"""
+add("match_stats", "src tgt tgt2", lambda s, *t: match.statistics(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + STATS_SQL + " SELECT *, exact + high_confidence AS auto_match, round((exact + high_confidence) / total * 100, 2) AS auto_rate, round((exact + high_confidence + need_review) / total * 100, 2) AS match_rate FROM c")
+add("target_details", "src tgt tgt2", lambda s, *t: match.target_details(match.waterfall(s, list(t)), len(t)), fall_sql("tgt", "tgt2") + """, d AS (SELECT CAST(i AS INTEGER) AS target, count(rid) FILTER (level = 'EXACT') AS exact, count(rid) FILTER (level = 'HIGH_CONFIDENCE') AS high_confidence, count(rid) FILTER (level = 'NEED_REVIEW') AS need_review, count(rid) AS matched FROM range(2) r(i) LEFT JOIN fall ON target = i GROUP BY 1),
+o AS (SELECT *, CAST((SELECT count(*) FROM src) - coalesce(sum(matched) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offered FROM d) SELECT *, CASE WHEN offered > 0 THEN '完成' ELSE '无剩余记录' END AS status FROM o""")
+add("task_totals", "src tgt tgt2", lambda s, *t: match.waterfall(s, list(t)).groupBy("level").agg(F.count("*").alias("n")), fall_sql("tgt", "tgt2") + " SELECT level, count(*) AS n FROM fall GROUP BY 1")
+add("poi_match", "src tgt", lambda s, t: rounded(match.poi_match(s.withColumn("pois", F.coalesce("poi", F.lit(""))), t)))
+add("poi_match_large", "addr tgt2", lambda s, t: rounded(match.poi_match(s.withColumnRenamed("poi", "pois"), t)))
+add("poi_type_breakdown", "addr tgt", lambda s, t: match.breakdown(match.poi_match(s.withColumnRenamed("poi", "pois"), t)))
+
+# Region ---------------------------------------------------------------------------------------------------------------
+add("read_region_dim", "cities", lambda c: region.first_by_name(c).select("key", "d.*"), "n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM cities) SELECT key, code, name, provinceCode FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY code) AS r FROM n) WHERE r = 1")
+_LOOK = "(SELECT {what} FROM {dim} d WHERE d.name = {v} OR regexp_replace(d.name, '(省|市|区|县|自治区|街道|镇|乡)$', '') = {v} ORDER BY d.code LIMIT 1)"
+DEDUCE_SQL = f"""r1 AS (SELECT *, (SELECT name FROM cities c WHERE c.code = {_LOOK.format(what='d.cityCode', dim='areas', v='places.area')}) AS up FROM places),
+r2 AS (SELECT *, CASE WHEN coalesce(city, '') <> '' THEN city ELSE coalesce(up, '') END AS city_full FROM r1),
+r3 AS (SELECT *, (SELECT name FROM provinces p WHERE p.code = coalesce({_LOOK.format(what='d.provinceCode', dim='cities', v='r2.city_full')}, (SELECT provinceCode FROM cities c WHERE c.name = r2.up))) AS top FROM r2),
+r4 AS (SELECT *, CASE WHEN province <> '' THEN province ELSE coalesce(top, '') END AS province_full, CASE WHEN province <> '' AND coalesce(city, '') <> '' THEN 'given' WHEN up IS NOT NULL AND coalesce(city, '') = '' THEN 'area' WHEN top IS NOT NULL AND province = '' THEN 'city' ELSE 'none' END AS method FROM r3)"""
+add("region_deduce", "places provinces cities areas", lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full"), DEDUCE_SQL + " SELECT rid, province_full, city_full FROM r4")
+add("complete_address", "places provinces cities areas", lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full", "method", "confidence"), DEDUCE_SQL + " SELECT rid, province_full, city_full, method, CASE method WHEN 'area' THEN 0.9::DOUBLE WHEN 'city' THEN 0.95::DOUBLE WHEN 'given' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r4")
+_SHORT = "regexp_replace({}, '(省|市|区|县|自治区)$', '')"
+add("validate_region", "places provinces cities areas", lambda r, p, c, a: region.valid(r, p, c, a).select("rid", "valid"), f"SELECT rid, EXISTS (SELECT 1 FROM areas a JOIN cities c ON a.cityCode = c.code JOIN provinces p ON c.provinceCode = p.code WHERE {_SHORT.format('a.name')} = {_SHORT.format('places.area')} AND {_SHORT.format('c.name')} = {_SHORT.format('places.city')} AND {_SHORT.format('p.name')} = {_SHORT.format('places.province')}) AS valid FROM places")
+add("areas_in_city", "cities areas", lambda c, a: region.areas_in("杭州市", c, a), "SELECT code, name FROM areas WHERE cityCode = '3301'")
+add("region_extract", "places areas", lambda r, a: region.extract_area(r, a))
+
+
+def _fill(df):
+    done = region.fill({"province": F.col("province"), "city": F.col("city"), "district": F.col("area")}, {"province": F.lit("浙江省"), "city": F.lit(""), "district": F.lit("西湖区")})
+    return df.select("rid", *(c.alias(k) for k, c in done.items()))
+
+
+_LACKS = "(coalesce(province, '') = '' OR coalesce(city, '') = '')"
+add("fill_region", "places", _fill, f"SELECT rid, CASE WHEN {_LACKS} THEN '浙江省' ELSE province END AS province, city, CASE WHEN {_LACKS} THEN '西湖区' ELSE area END AS district FROM places")
+
+
+def _cached(df):
+    cache = df.select("structure").where("rid % 3 = 0 and structure <> ''").distinct().withColumn("cached", F.lit(True))
+    hit = df.join(cache, "structure", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+    return hit.select("rid", F.when(F.col("cached"), T.parse_kv(F.col("structure"))["poi"]).otherwise(F.lit("")).alias("poi"), "cached")
+
+
+CACHE_SQL = f"h AS (SELECT *, structure <> '' AND structure IN (SELECT structure FROM kv WHERE rid % 3 = 0) AS cached FROM kv)"
+add("address_parse_cached", "kv", _cached, CACHE_SQL + f" SELECT rid, CASE WHEN cached THEN {KV_SQL['poi']} ELSE '' END AS poi, cached FROM h")
+add("cache_hit_counts", "kv", lambda df: _cached(df).agg(F.count("*").alias("total"), F.count_if("cached").alias("hits")), CACHE_SQL + " SELECT count(*) AS total, count(*) FILTER (cached) AS hits FROM h")
+
+# Profiles and relations -----------------------------------------------------------------------------------------------
+COLUMNS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_nationkey"]}
+
+
+def _long(spark, sf_dir):
+    return profile.values({n: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(*c) for n, c in COLUMNS.items()})
+
+
+LONG_SQL = "lv AS (" + " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in COLUMNS.items() for c in cs) + "), dv AS (SELECT DISTINCT * FROM lv), nv AS (SELECT file, field, count(*) AS n FROM dv GROUP BY ALL)"
+EDGE_SQL = LONG_SQL + """, ev AS (SELECT a.file AS file_a, a.field AS field_a, b.file AS file_b, b.field AS field_b, count(*) AS overlap FROM dv a JOIN dv b ON a.value = b.value AND (a.file, a.field) < (b.file, b.field) {same} GROUP BY ALL),
+edges AS (SELECT ev.*, x.n + y.n - overlap AS union_count, round(overlap / (x.n + y.n - overlap), 6) AS jaccard, round(overlap / x.n, 6) AS containment_a, round(overlap / y.n, 6) AS containment_b FROM ev JOIN nv x ON x.file = file_a AND x.field = field_a JOIN nv y ON y.file = file_b AND y.field = field_b)"""
+EDGES = EDGE_SQL.replace("{same}", "AND a.file <> b.file")
+DEGREE_SQL = EDGES + """, en AS (SELECT concat(file_a, '.', field_a) AS node, concat(file_b, '.', field_b) AS other FROM edges UNION ALL SELECT concat(file_b, '.', field_b), concat(file_a, '.', field_a) FROM edges),
+deg AS (SELECT concat(file, '.', field) AS node, (SELECT count(*) FROM en WHERE en.node = concat(file, '.', field)) AS degree, round((SELECT count(*) FROM en WHERE en.node = concat(file, '.', field)) / ((SELECT count(*) FROM nv) - 1), 6) AS centrality FROM nv)"""
+
+
+def relation(name, make, sql):
+    QUERIES[name] = lambda spark, sf_dir: make(_long(spark, sf_dir))
+    if sql:
+        SQL[name] = "WITH " + sql
+
+
+def _degree(v):
+    return profile.degree_centrality(profile.profile(v), profile.pairs(v))
+
+
+relation("field_profile", profile.profile, LONG_SQL + " SELECT file, field, count(DISTINCT value) AS unique_count, count(*) AS non_null FROM lv GROUP BY ALL")
+relation("rel_overlap", lambda v: profile.pairs(v).select("file_a", "field_a", "file_b", "field_b", "overlap"), EDGES + " SELECT file_a, field_a, file_b, field_b, overlap FROM edges")
+relation("jaccard_pairs", profile.pairs, EDGES + " SELECT * FROM edges")
+relation("relation_graph", profile.pairs, EDGES + " SELECT * FROM edges")
+relation("relation_samples", lambda v: profile.sample_values(v, profile.pairs(v).select("file_a", "field_a", "file_b", "field_b")), EDGES + ", c AS (SELECT file_a, field_a, file_b, field_b, a.value, row_number() OVER (PARTITION BY file_a, field_a, file_b, field_b ORDER BY a.value) AS n FROM edges JOIN dv a ON a.file = file_a AND a.field = field_a JOIN dv b ON b.file = file_b AND b.field = field_b AND a.value = b.value) SELECT file_a, field_a, file_b, field_b, string_agg(value, '|' ORDER BY n) AS samples FROM c WHERE n <= 20 GROUP BY ALL")
+relation("degree_centrality", _degree, DEGREE_SQL + " SELECT * FROM deg")
+_RANK = "file_a, field_a, file_b, field_b"
+relation("relations_ranked", lambda v: profile.ranked(profile.pairs(v), 10), EDGES + f" SELECT * FROM edges ORDER BY overlap DESC, jaccard DESC, {_RANK} LIMIT 10")
+relation("relation_filters", lambda v: profile.pairs(v).where("file_a = 'customer' or file_b = 'customer'"), EDGES + " SELECT * FROM edges WHERE file_a = 'customer' OR file_b = 'customer'")
+relation("insight_high_relation", lambda v: profile.insight_high(profile.pairs(v)), EDGES + f" SELECT * FROM edges WHERE field_a <> field_b AND jaccard > 0.6 ORDER BY jaccard DESC, {_RANK} LIMIT 5")
+relation("insight_same_name", lambda v: profile.insight_same_name(profile.pairs(v)), EDGES + f" SELECT * FROM edges WHERE field_a = field_b AND jaccard > 0.8 ORDER BY jaccard DESC, {_RANK} LIMIT 3")
+_A_IN = "containment_a > 0.9"
+relation("insight_foreign_key", lambda v: profile.insight_foreign_key(profile.pairs(v)), EDGES + f" SELECT CASE WHEN {_A_IN} THEN concat(file_a, '.', field_a) ELSE concat(file_b, '.', field_b) END AS child, CASE WHEN {_A_IN} THEN concat(file_b, '.', field_b) ELSE concat(file_a, '.', field_a) END AS parent, CASE WHEN {_A_IN} THEN containment_a ELSE containment_b END AS containment, overlap FROM edges WHERE overlap >= 10 AND field_a <> field_b AND ({_A_IN} OR containment_b > 0.9) ORDER BY containment DESC, overlap DESC, child, parent LIMIT 5")
+relation("insight_central", lambda v: profile.insight_central(_degree(v)), DEGREE_SQL + " SELECT * FROM deg WHERE degree >= 2 ORDER BY centrality DESC, node LIMIT 5")
+relation("insight_stats", lambda v: profile.insight_counts(_degree(v)), DEGREE_SQL + " SELECT count(*) FILTER (degree > 0) AS connected, count(*) FILTER (degree = 0) AS isolated FROM deg")
+COMPONENT_SQL = DEGREE_SQL.replace("lv AS", "RECURSIVE lv AS", 1) + ", cc(node, seen) AS (SELECT node, node FROM deg UNION SELECT cc.node, en.other FROM cc JOIN en ON en.node = cc.seen), com AS (SELECT node, min(seen) AS community FROM cc GROUP BY 1)"
+
+
+def _communities(v):
+    return profile.communities(profile.profile(v), profile.pairs(v))
+
+
+relation("communities", _communities, COMPONENT_SQL + " SELECT * FROM com")
+relation("insights", lambda v: profile.insight_communities(_communities(v)), COMPONENT_SQL + " SELECT community, count(*) AS n_fields, count(DISTINCT split_part(node, '.', 1)) AS n_files FROM com GROUP BY 1 HAVING n_files >= 2 ORDER BY n_fields DESC, community LIMIT 5")
+relation("relation_usage", lambda v: profile.usage(profile.pairs(v)), EDGES + " SELECT file_a, field_a, file_b, field_b, CASE WHEN regexp_matches(lower(field_a), '省|市|县|区|province|city|district') THEN 'constraint' WHEN regexp_matches(lower(field_a), 'id|gid|编号|code') THEN 'filter' ELSE 'match' END AS use_for FROM edges")
+_NUMBER = r"'^-?[0-9]+(\.[0-9]+)?$'"
+relation("relation_sampled", profile.sampled_relations, EDGE_SQL.replace("{same}", f"AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = a.file AND z.field = a.field)").replace("GROUP BY ALL)", "GROUP BY ALL)", 1) + " SELECT file_a, field_a, file_b, field_b, overlap, round(jaccard, 3) AS jaccard FROM edges WHERE overlap >= 3 AND jaccard >= 0.1")
+_FIELD_NAMES = ["省份", "city_name", "District", "街道", "addr", "detail address", "楼号", "小区", "uid", "width", "姓名", "telephone", "e-mail", "remark"]
+
+
+def _types_sql(source: str) -> str:
+    n = "lower(replace(name, ' ', ''))"
+    hits = [(k, "address", p, 0.8) for k, p in R.ADDRESS_FIELDS.items()] + [(k, k, p, 0.7) for k, p in R.ID_FIELDS.items()]
+    case = lambda pick, rest: "CASE " + " ".join(f"WHEN regexp_matches({n}, '{R.any_of(h[2])}') THEN {pick(h)}" for h in hits) + f" ELSE {rest} END"
+    return f"SELECT *, {case(lambda h: repr(h[1]), repr('text'))} AS inferred_type, {case(lambda h: repr(h[0]), repr(''))} AS category, CAST({case(lambda h: h[3], 0.5)} AS DOUBLE) AS confidence FROM {source}"
+
+
+_NAMES_SQL = f"(SELECT unnest([{', '.join(repr(n) for n in _FIELD_NAMES)}]) AS name)"
+QUERIES["detect_field_type"] = lambda spark, sf_dir: profile.field_types(profile.names_frame(spark, _FIELD_NAMES))
+SQL["detect_field_type"] = _types_sql(_NAMES_SQL)
+
+
+def _refined(spark, sf_dir):
+    df = frame(spark, sf_dir, "SELECT o_orderkey AS rid, CAST(o_orderdate AS VARCHAR(30)) AS shipped, CAST(o_totalprice AS VARCHAR(30)) AS amount, o_orderstatus AS remark FROM orders")
+    return profile.refine_types(profile.field_types(profile.names_frame(spark, ["shipped", "amount", "remark"])), df, "rid")
+
+
+QUERIES["refine_by_samples"] = _refined
+SQL["refine_by_samples"] = "SELECT * FROM (VALUES ('shipped', 'date', '', 0.8::DOUBLE), ('amount', 'numeric', '', 0.6::DOUBLE), ('remark', 'text', '', 0.5::DOUBLE)) t(name, inferred_type, category, confidence)"
+
+
+def _related(spark, sf_dir):
+    names = profile.names_frame(spark, _FIELD_NAMES)
+    types = profile.field_types(names).withColumn("source", F.when(F.length("name") % 2 == 0, "a").otherwise("b"))
+    return profile.related_fields(types)
+
+
+QUERIES["infer_relationships"] = _related
+_X, _Y = "lower(x.name)", "lower(y.name)"
+SQL["infer_relationships"] = f"""WITH ty AS (SELECT *, CASE WHEN length(name) % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM ({_types_sql(_NAMES_SQL)})),
+p AS (SELECT x.source AS source_a, x.name AS name_a, y.source AS source_b, y.name AS name_b, least(1.0, CASE WHEN x.category <> '' AND x.category = y.category THEN 0.8 WHEN x.inferred_type = y.inferred_type THEN 0.4 ELSE 0.0 END + 0.3 * CASE WHEN {_X} = {_Y} THEN 1.0 WHEN contains({_X}, {_Y}) OR contains({_Y}, {_X}) THEN 0.7 ELSE len(list_filter(string_split({_X}, ''), lambda c: contains({_Y}, c))) / greatest(length({_X}), length({_Y})) END) AS score FROM ty x JOIN ty y ON x.source < y.source)
+SELECT source_a, name_a, source_b, name_b, round(CAST(score AS DOUBLE), 6) AS score FROM p WHERE score > 0.5"""
+
+# Validation -----------------------------------------------------------------------------------------------------------
+_V = ["v1", "v2"]
+_NORM = "lower(" + strip_sql("coalesce(CAST({} AS VARCHAR), '')") + ")"
+_GID = "coalesce(CAST(CAST(trunc(TRY_CAST(r.gid AS DOUBLE)) AS BIGINT) AS VARCHAR), " + _NORM.format("r.gid") + ")"
+RESOLVE_SQL = f"""dc AS (SELECT k, min(ROW(code, name, x, y)) AS r, count(*) AS n FROM (SELECT *, {_NORM.format('code')} AS k FROM db_) WHERE k <> '' GROUP BY k), dn AS (SELECT k, min(ROW(code, name, x, y)) AS r, count(*) AS n FROM (SELECT *, {_NORM.format('name')} AS k FROM db_) WHERE k <> '' GROUP BY k),
+sg AS (SELECT CAST(CAST(trunc(TRY_CAST(gid AS DOUBLE)) AS BIGINT) AS VARCHAR) AS g, arg_max(x, seq) AS sx, arg_max(y, seq) AS sy FROM shp_ GROUP BY 1),
+r0 AS (SELECT r.rid, r.gid, r.v1, r.v2, coalesce(c.r, a.r, b.r) AS d, CASE WHEN c.r IS NOT NULL THEN 'gid' WHEN a.r IS NOT NULL THEN 'v1' WHEN b.r IS NOT NULL THEN 'v2' END AS db_by, coalesce(c.n, a.n, b.n, 0) AS db_n, sx, sy FROM rows_ r LEFT JOIN dc c ON {_GID} = c.k LEFT JOIN dn a ON {_NORM.format('r.v1')} = a.k LEFT JOIN dn b ON {_NORM.format('r.v2')} = b.k LEFT JOIN sg ON sg.g = CAST(CAST(trunc(TRY_CAST(r.gid AS DOUBLE)) AS BIGINT) AS VARCHAR)),
+r1 AS (SELECT *, d[1] AS code, d[2] AS name, d[3] AS x, d[4] AS y FROM r0),
+res AS (SELECT *, round(CASE WHEN abs(sx) < 180 AND abs(sy) < 90 AND abs(x) < 180 AND abs(y) < 90 THEN 2 * {geo.RADIUS} * asin(sqrt(least(1.0, pow(sin(radians(y - sy) / 2), 2) + cos(radians(sy)) * cos(radians(y)) * pow(sin(radians(x - sx) / 2), 2)))) ELSE sqrt(pow(x - sx, 2) + pow(y - sy, 2)) END, 2) AS distance FROM r1)"""
+
+
+def checked(name, make, sql):
+    add(name, "rows_ db_ shp_", lambda r, d, s: make(validate.resolve(r, d, s, _V)), RESOLVE_SQL + " " + sql if sql else None)
+
+
+_VALUE = "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {blank_sql(f)} THEN {strip_sql(f)} END" for f in _V) + ")"
+_POINT = "CASE WHEN {0} IS NOT NULL AND {1} IS NOT NULL THEN printf('%.6f,%.6f', {0}, {1}) ELSE '' END"
+
+
+def problem_sql(kind: str, status: str, where: str) -> str:
+    return f"SELECT rid, coalesce(gid, '') AS gid, coalesce(code, '') AS db_code, {_VALUE} AS value, '{kind}' AS kind, {status} AS status, {_POINT.format('sx', 'sy')} AS shape_at, {_POINT.format('x', 'y')} AS db_at FROM res WHERE {where}"
+
+
+MISSING_SQL = problem_sql("missing", "'数据库中未找到'", "d IS NULL")
+DEVIATION_SQL = problem_sql("deviation", "printf('%.2f米', distance)", "distance > 10")
+DUPLICATE_SQL = problem_sql("duplicate", "printf('重复%d条', db_n)", "db_n > 1")
+checked("val_db_lookup", lambda r: r.select("rid", "db_by", F.col("db.code").alias("code"), F.col("db.name").alias("name")), "SELECT rid, db_by, code, name FROM res")
+checked("val_shp_lookup", lambda r: r.select("rid", F.col("shape.x").alias("x"), F.col("shape.y").alias("y")), "SELECT rid, sx AS x, sy AS y FROM res")
+checked("distance", lambda r: r.select("rid", "distance"), "SELECT rid, distance FROM res")
+checked("completeness_match", validate.completeness, "SELECT count(*) AS total, count(d) AS found, count(*) - count(d) AS missing, round(count(d) / count(*) * 100, 6) AS rate FROM res")
+checked("deviation_stats", validate.deviation, "SELECT count(*) AS attempted, count(distance) AS checked, count(*) FILTER (distance <= 10) AS within, count(*) FILTER (distance > 10) AS exceed, count(*) FILTER (sx IS NULL) AS no_shp, count(*) FILTER (sx IS NOT NULL AND d IS NULL) AS no_db, round(count(*) FILTER (distance <= 10) / count(distance) * 100, 6) AS within_rate FROM res")
+checked("duplicate_stats", validate.duplicates, f"SELECT count(DISTINCT CASE WHEN db_n > 1 THEN CASE WHEN db_by = 'gid' THEN concat('code:', {_NORM.format('code')}) ELSE concat('name:', {_NORM.format('name')}) END END) AS duplicate_keys, count(*) FILTER (db_n > 1) AS duplicate_rows, CAST(coalesce(sum(db_n) FILTER (db_n > 1), 0) AS BIGINT) AS duplicate_records FROM res")
+checked("val_missing", lambda r: validate.missing(r, _V), MISSING_SQL)
+checked("val_deviation", lambda r: validate.deviations(r, _V), DEVIATION_SQL)
+checked("val_duplicates", lambda r: validate.duplicate_rows(r, _V), DUPLICATE_SQL)
+checked("problem_union", lambda r: validate.problems(r, _V), " UNION ALL ".join((MISSING_SQL, DEVIATION_SQL, DUPLICATE_SQL)))
+checked("problem_filter", lambda r: validate.problems(r, _V).where("kind = 'duplicate'"), DUPLICATE_SQL)
+checked("export_problems", lambda r: sinks.flat(validate.deviations(r, _V)), "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("db_at", "db_code", "gid", "kind", "rid", "shape_at", "status", "value")) + f" FROM ({DEVIATION_SQL})")
+add("completeness_original", "rows_ db_", lambda r, d: validate.completeness_original(r, d, _V), f"nm AS (SELECT DISTINCT {_NORM.format('name')} AS k FROM db_), hit AS (SELECT {_NORM.format('v1')} IN (SELECT k FROM nm WHERE k <> '') OR {_NORM.format('v2')} IN (SELECT k FROM nm WHERE k <> '') AS h FROM rows_) SELECT count(*) AS total, count(*) FILTER (h) AS found, count(*) - count(*) FILTER (h) AS missing, round(count(*) FILTER (h) / count(*) * 100, 6) AS rate FROM hit")
+add("export_duplicates", "db_", validate.duplicate_records, f"SELECT DISTINCT code, name, x, y FROM db_ WHERE {_NORM.format('code')} IN (SELECT {_NORM.format('code')} FROM db_ GROUP BY 1 HAVING count(*) > 1) OR {_NORM.format('name')} IN (SELECT {_NORM.format('name')} FROM db_ GROUP BY 1 HAVING count(*) > 1)")
+QUERIES["pick_target_gid"] = lambda spark, sf_dir: spark.range(1).select(F.lit(validate.target_gid(["[源:a]gid", "[目标:b]code", "[目标:b]GID"])).alias("first"), F.lit(validate.target_gid(["[目标:b]x", "[目标:b]code"])).alias("second"))
+SQL["pick_target_gid"] = "SELECT '[目标:b]GID' AS first, '[目标:b]code' AS second"
+QUERIES["map_fields"] = lambda spark, sf_dir: spark.range(1).select(F.lit(validate.map_field("v", "t", ["x", "【匹配源:t】v"])).alias("first"), F.lit(validate.map_field("v", "t", ["[目标:t]v1", "[源:t]v"])).alias("second"))
+SQL["map_fields"] = "SELECT '【匹配源:t】v' AS first, '[源:t]v' AS second"
+
+# Sinks' frames --------------------------------------------------------------------------------------------------------
+add("sink_csv", "addr", lambda df: sinks.flat(df.select("rid", "province", "poi")), "SELECT coalesce(poi, '') AS poi, coalesce(province, '') AS province, CAST(rid AS VARCHAR) AS rid FROM addr")
+add("export_frame", "addr", lambda df: sinks.chosen(df, ["rid", "absent", "city"]), "SELECT rid, city FROM addr")
+add("export_size_policy", "src", lambda df: df.groupBy((F.col("rid") % 5).alias("part")).agg((F.count("*") * 400).alias("n")).select("part", "n", sinks.format_policy(F.col("n")).alias("format")), "SELECT rid % 5 AS part, count(*) * 400 AS n, CASE WHEN count(*) * 400 > 100000 THEN 'csv' WHEN count(*) * 400 > 50000 THEN 'plain_excel' ELSE 'excel' END AS format FROM src GROUP BY 1")
+
+
+def _layered(s, t):
+    return sinks.layered(match.cascade(s, t).where("level = 'EXACT'"), s.select("rid", "core"), t.select("rid", "core"), "甲", "乙", "core", "core")
+
+
+LAYER_SQL = """SELECT s.rid AS "[源:甲]rid", s.core AS "[源:甲]core", s.core AS "【匹配源:甲】core", t.core AS "【匹配目标:乙】core", score AS "匹配分数", level AS "匹配层级", target_rid + 1 AS "目标表行号", t.rid AS "[目标:乙]rid", t.core AS "[目标:乙]core" FROM fall f JOIN src s ON f.rid = s.rid LEFT JOIN tgt t ON t.rid = f.target_rid WHERE level = 'EXACT'"""
+add("layered_export", "src tgt", _layered, fall_sql("tgt") + " " + LAYER_SQL)
+
+
+def _merged(s, t):
+    out = match.cascade(s, t)
+    return rounded(sinks.merged({"EXACT": out.where("level = 'EXACT'"), "NEED_REVIEW": out.where("level = 'NEED_REVIEW'"), "UNMATCHED": out.where("level = 'UNMATCHED'").drop("target_rid", "score")}, ["EXACT", "UNMATCHED"]))
+
+
+add("merge_levels", "src tgt", _merged, fall_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score, level FROM fall WHERE level IN ('EXACT', 'UNMATCHED')")
+QUERIES["excel_coloured"] = lambda spark, sf_dir: profile.names_frame(spark, ["[源:a]x", "【匹配源:a】x", "【匹配目标:b】y", "[目标:b]y", "匹配分数"]).select("name", sinks.column_role(F.col("name")).alias("role"))
+SQL["excel_coloured"] = "SELECT * FROM (VALUES ('[源:a]x', 'source'), ('【匹配源:a】x', 'match_source'), ('【匹配目标:b】y', 'match_target'), ('[目标:b]y', 'target'), ('匹配分数', 'meta')) t(name, role)"
+
+
+# Sources: a file is written to the folder that all executors share, and read back ---------------------------------------
+def _shared(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(spark, sf_dir):
+    path = _shared(spark, "csv")
+    sinks.write_csv(spark.read.parquet(f"{sf_dir}/nation.parquet"), path)
+    return readers.read_csv(spark, path, "utf-8")
+
+
+def _geojson(spark, sf_dir):
+    path = _shared(spark, "geojson")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")  # a fixed table of 25 rows
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(0.5)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("n_name", "n_regionkey").alias("properties"), point.alias("geometry"))
+    nations.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(path)
+    return readers.read_geojson(spark, path)
+
+
+QUERIES["scan_csv"] = QUERIES["scan_pandas_multi"] = QUERIES["convert_to_csv"] = _csv
+SQL["scan_csv"] = SQL["scan_pandas_multi"] = SQL["convert_to_csv"] = "SELECT CAST(n_name AS VARCHAR) AS n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
+QUERIES["scan_geojson"] = _geojson
+SQL["scan_geojson"] = """SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, '{"coordinates":[' || CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) || ',0.5],"type":"Point"}' AS geometry FROM nation"""
+QUERIES["file_columns"] = lambda spark, sf_dir: profile.names_frame(spark, _csv(spark, sf_dir).columns)
+SQL["file_columns"] = "SELECT unnest(['n_name', 'n_nationkey', 'n_regionkey']) AS name"
+FLAGSHIP = QUERIES["match_stats"]

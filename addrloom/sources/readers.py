@@ -10,6 +10,7 @@ import struct
 import zipfile
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -43,8 +44,6 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
 
 
 def _decoded(encoding: str):
-    import pandas as pd
-
     def run(content: pd.Series) -> pd.Series:
         return content.map(lambda b: bytes(b).decode(encoding, "replace"))
 
