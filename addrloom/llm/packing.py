@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
@@ -30,28 +31,43 @@ class WordIds:
     each word by itself. Words are split further where that is safe (Latin-1: lower-casing and NFC change no boundary), and
     what has been seen is kept up to a bound."""
 
-    MOST = 500_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _encode(self, items: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Many pre-tokens in one call; each ends with a token that closes a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
+        ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        raw = ids.astype("<u4").tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+
     def learn(self, seen: set[bytes]) -> None:
         fresh = seen.difference(self.words)
         if len(self.words) + len(fresh) > self.MOST:
-            self.words, self.parts, fresh = {}, {}, seen
+            self.words = {w: self.words[w] for w in seen if w in self.words}
+        if len(self.parts) > self.MOST:
+            self.parts = {}
         split, whole = [], []
         for word in fresh:
             text = word.decode("utf-8", "surrogatepass")
-            safe = max(text) < "\u0100" and text.isprintable() and "<|" not in text
+            safe = text.isprintable() and (text.isascii() or max(text) < "\u0100") and "<|" not in text
             (split if safe else whole).append((word, text))
         found = [(word, _PRETOKEN.findall(text.lower())) for word, text in split]
         parts = list({p for _, ps in found for p in ps}.difference(self.parts))
-        self.parts.update(zip(parts, self._encode(parts)))
+        for i in range(0, len(parts), 5000):
+            self.parts.update(zip(parts[i : i + 5000], self._encode_parts(parts[i : i + 5000])))
         for word, ps in found:
             self.words[word] = b"".join([self.parts[p] for p in ps])
         self.words.update(zip([word for word, _ in whole], self._encode([text for _, text in whole])))
