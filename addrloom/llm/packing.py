@@ -16,61 +16,59 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import table, words_of
 
 FILL, MOST_CUTS = 0.98, 3
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordIds:
     """Ids (little-endian 32-bit bytes) of words between ASCII white space, for tokenizers that drop white space and so treat
-    each word by itself. Words are split further where that is safe (Latin-1: lower-casing and NFC change no boundary), and
-    what has been seen is kept up to a bound."""
+    each word by itself. New words are encoded many at a time, with a mark between them; what has been seen is kept up to a
+    bound, beyond which only the words of the texts at hand stay."""
 
-    MOST = 250_000
+    MOST, MARK = 400_000, "|"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.final = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
 
-    def _encode(self, items: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Many pre-tokens in one call; each ends with a token that closes a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, np.uint32)
-        ends = (4 * (np.flatnonzero(self.final[ids]) + 1)).tolist()
-        if len(ends) != len(parts):
-            return self._encode(parts)
-        raw = ids.astype("<u4").tobytes()
-        return [raw[i:j] for i, j in zip([0, *ends], ends)]
+    def _encode_joined(self, words: list[bytes]) -> list[bytes]:
+        text = f" {self.MARK} ".encode().join(words).decode("utf-8", "surrogatepass")
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        if len(marks) != len(words) - 1:
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])]
 
     def learn(self, seen: set[bytes]) -> None:
-        fresh = seen.difference(self.words)
+        fresh = list(seen.difference(self.words))
         if len(self.words) + len(fresh) > self.MOST:
             self.words = {w: self.words[w] for w in seen if w in self.words}
-        if len(self.parts) > self.MOST:
-            self.parts = {}
-        split, whole = [], []
-        for word in fresh:
-            text = word.decode("utf-8", "surrogatepass")
-            safe = text.isprintable() and (text.isascii() or max(text) < "\u0100") and "<|" not in text
-            (split if safe else whole).append((word, text))
-        found = [(word, _PRETOKEN.findall(text.lower())) for word, text in split]
-        parts = list({p for _, ps in found for p in ps}.difference(self.parts))
-        for i in range(0, len(parts), 5000):
-            self.parts.update(zip(parts[i : i + 5000], self._encode_parts(parts[i : i + 5000])))
-        for word, ps in found:
-            self.words[word] = b"".join([self.parts[p] for p in ps])
-        self.words.update(zip([word for word, _ in whole], self._encode([text for _, text in whole])))
+        # A word of ASCII letters is what it is in lower case, then the marks that end it: these make most words known.
+        forms = [(w, core.lower(), w[len(core) :]) for w in fresh if (core := w.rstrip(b".,"))[-1:].isalnum()]
+        known = self.words
+        new = {key for _, key, _ in forms}.union(tail for _, _, tail in forms).difference(known)
+        new.update(w for w in fresh if not w.rstrip(b".,")[-1:].isalnum())
+        new.discard(b"")
+        known[b""] = b""
+        mark = self.MARK.encode()
+        marked = [w for w in new if mark in w]
+        known.update(zip(marked, self._encode(marked)))
+        plain = list(new.difference(marked))
+        for i in range(0, len(plain), 5000):
+            known.update(zip(plain[i : i + 5000], self._encode_joined(plain[i : i + 5000])))
+        for word, key, tail in forms:
+            known[word] = known[key] + known[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         words = [words_of(t) for t in texts]
@@ -152,8 +150,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 20_000]), kinds)], names)
 
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, len(batch), 500):
+                part = batch.slice(i, 500)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist())):
                     packer.add(doc_id, ids + end)
                 yield from flush()
