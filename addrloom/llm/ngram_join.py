@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bloom_of, components, int64_lists, mix, shingle_hashes, signed, staged, table
 
-#: A part with fewer shingles than this says little; such parts are emitted only by sets that have more than SPARE of them.
-PART_LEAST, SPARE = 3, 2
 BLOCK, BLOCKS = 64, 24
 BLOCK_MOST = 1024
 
@@ -47,13 +45,22 @@ def bands(percent: int, most: int) -> list[int]:
     return edges
 
 
+def spared(lowest: int, needed: int) -> tuple[int, int]:
+    """A part of few shingles says little. With `spare` more parts than needed, linked sets share at least spare + 1 parts; a
+    set with at most `spare` parts of fewer than `least` shingles can leave those out. Depends on the band alone, as both
+    sets of a pair must be cut alike; where parts are small on average, only empty ones can be spared."""
+    return (3, 2) if lowest >= 6 * needed else (1, needed // 12 + 3)
+
+
 def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     """Hashes of the set's parts, for the pairs in which its band is the lower one and those in which it is the upper one."""
     band, found = int(np.searchsorted(edges, len(shingles), "right")) - 1, []
     for group in (band - 1, band):
         if group < 0:
             continue
-        parts = (100 - percent) * (edges[group + 1] - 1) // percent + 1 + SPARE
+        needed = (100 - percent) * (edges[group + 1] - 1) // percent + 1
+        least, spare = spared(edges[group], needed)
+        parts = needed + spare
         part = (mix(shingles + np.uint64(group)) % np.uint64(parts)).astype(np.int64)
         size = np.bincount(part, minlength=parts)
         order = np.argsort(part, kind="stable")
@@ -61,8 +68,8 @@ def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarr
         np.cumsum(mix(shingles)[order], out=sums[1:])
         ends = np.cumsum(size)
         keys = mix((sums[ends] - sums[ends - size]) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(group << 32)))
-        small = size < PART_LEAST
-        found.append(keys if small.sum() > SPARE else keys[~small])
+        small = size < least
+        found.append(keys if small.sum() > spare else keys[~small])
     return np.concatenate(found)
 
 
