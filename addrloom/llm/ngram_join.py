@@ -3,7 +3,9 @@
 Equal sets fall together first. Light sets (those for which at most one shingle may be missing from the overlap) emit
 their fixed-size subsets: sharing one decides a link without any verification. Heavy sets would have too many subsets
 (C(n, 2) and more), so the boundary is where one deletion stops being enough; they are split by shingle hash into more
-parts than a linked pair can differ in, so that a linked pair shares at least one whole part (pigeonhole). Sets that share
+parts than a linked pair can differ in, so that a linked pair shares at least one whole part (pigeonhole). Below a
+similarity at which parts would be thin, sets that cannot have a partner go first: those with too few shingles, in a prefix
+of the sorted hashes and then in the whole set, that any other set has. Sets that share
 a part form candidate clusters; within a cluster, block against block, inverted lists of the shingles are scanned and
 overlaps counted exactly. Only links of a spanning forest leave a block pair.
 
@@ -52,6 +54,23 @@ def spared(lowest: int, needed: int) -> tuple[int, int]:
     return (3, 2) if lowest >= 6 * needed else (1, needed // 12 + 3)
 
 
+def thin(percent: int) -> bool:
+    """Whether parts would have fewer than six shingles on average: passages that documents share then fill whole parts."""
+    return 6 * (100 - percent) > percent
+
+
+def prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest hashes of a set. The first tenth (of the smaller set's size) of what linked sets share lies in both prefixes,
+    as a set of n shingles misses at most n - ceil(percent * n / 100) of its partner's."""
+    n = len(shingles)
+    return shingles[: n - -(-percent * n // 100) + -(-n // 10)]
+
+
+def shared_least(n: int, percent: int) -> int:
+    """So many shingles of the prefix of n's set does any linked partner have in its own."""
+    return -(-(-(-percent * n // 100)) // 10)
+
+
 def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
     """Hashes of the set's parts, for the pairs in which its band is the lower one and those in which it is the upper one."""
     band, found = int(np.searchsorted(edges, len(shingles), "right")) - 1, []
@@ -83,7 +102,7 @@ def light_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(k: int, percent: int):
-    light = light_most(percent)
+    light, weak = light_most(percent), thin(percent)
     least = bands(percent, 1)[0]
 
     def run(batches):
@@ -99,7 +118,7 @@ def _signatures(k: int, percent: int):
                     edges.append(100 * edges[-1] // percent + 1)
                 lights.append(signed(a))
                 sizes.append(b)
-                heavies.append(signed(heavy_keys(s, percent, edges)) if len(s) >= least else np.zeros(0, np.int64))
+                heavies.append(np.zeros(0, np.int64) if len(s) < least else signed(prefix(s, percent) if weak else heavy_keys(s, percent, edges)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), int64_lists(lights), int64_lists(sizes), int64_lists(heavies)], ["doc_id", "hash", "n_shingles", "sid", "light", "light_size", "heavy"])
 
     return run
@@ -209,12 +228,65 @@ def _clusters(made: DataFrame) -> DataFrame:
     return found.join(sizes, F.col("root").cast("string") == F.col("r")).select(F.col("node").alias("sid"), F.col("root").alias("cluster"), "blocks")
 
 
-def _heavy_links(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
-    one = made.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("one"))
-    members = staged(_clusters(made).join(one, "sid").select("sid", "cluster", "blocks", "one.doc_id", "one.hash"))
+def _promising(found, least, keys: str):
+    """The rows of which so many of the keys (a list column) are in the filter as a linked set must have there at least."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(keys)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            held = found.value.holds(lists.flatten().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(lengths)
+            sums = np.concatenate([[0], np.cumsum(held)])
+            needed = np.array([least(n) for n in batch.column("n_shingles").to_pylist()], np.int64)
+            yield batch.filter(pa.array(sums[ends] - sums[ends - lengths] >= needed)).drop_columns([keys] if keys == "heavy" else [])
+
+    return run
+
+
+def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """members (sid, doc_id, hash and more), one row for each set, with the set's shingles instead of doc_id and hash."""
     wanted = bloom_of(members.select("hash"))
-    sets = docs.mapInArrow(_sets(k, wanted), "id long, hash long, set long, shingles array<long>")
-    sets = members.withColumnsRenamed({"hash": "h"}).join(sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h")))
+    sets = docs.mapInArrow(_sets(k, wanted), "id long, hash long, set long, shingles array<long>").withColumnsRenamed({"hash": "h"})
+    found = members.join(sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h")))
+    return found.select(*(c for c in members.columns if c not in ("doc_id", "hash")), "shingles")
+
+
+def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sid, n_shingles, shingles) of the heavy sets that can have a partner: enough of their shingles are in other sets too."""
+    heavy = made.where("size(heavy) > 0")
+    keys = heavy.select("sid", F.explode("heavy").alias("key")).groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    often = bloom_of(keys.where("lo <> hi").select("key"))
+    few = heavy.select("doc_id", "hash", "n_shingles", "sid", "heavy").mapInArrow(_promising(often, lambda n: shared_least(n, percent), "heavy"), "doc_id long, hash long, n_shingles long, sid long")
+    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"))
+    # Repeated rows have the same id and text, and so bring a set more than once.
+    sets = staged(_with_sets(docs, one, k).dropDuplicates(["sid"]))
+    again = bloom_of(sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema))
+
+
+def _part_keys(percent: int):
+    def run(batches):
+        edges = bands(percent, 1 << 16)
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sets = np.split(flat, ends[:-1])
+            while len(ends) and max(map(len, sets)) >= edges[-1]:
+                edges.append(100 * edges[-1] // percent + 1)
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), int64_lists([signed(heavy_keys(s, percent, edges)) for s in sets])], ["sid", "heavy"])
+
+    return run
+
+
+def _heavy_links(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    if thin(percent):
+        likely = _likely_sets(docs, made, k, percent)
+        found = _clusters(staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent), "sid long, heavy array<long>")))
+        sets = likely.join(found.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s"))
+    else:
+        one = made.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("one"))
+        members = staged(_clusters(made).join(one, "sid").select("sid", "cluster", "blocks", "one.doc_id", "one.hash"))
+        sets = _with_sets(docs, members, k)
     sets = sets.select("sid", "cluster", "blocks", "shingles", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("mine"))
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sid", "shingles", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
