@@ -314,15 +314,29 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return labelled(docs, k, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _touched(found, wanted: bool):
+    """The rows whose key the filter holds, or those whose key it does not hold."""
+    def run(batches):
+        for batch in batches:
+            held = found.value.holds(batch.column("key").to_numpy())
+            yield batch.filter(pa.array(held if wanted else ~held))
+
+    return run
+
+
 def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first row of each component; rows without any shingle all stay."""
+    """docs without all but the first row of each component; rows without any shingle all stay. Only rows that a filter of the
+    links' rows holds are joined, so that most texts are not shuffled."""
     found = staged(labelled(docs, k, percent).where("n_shingles > 0"))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    gone = found.where(here != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("hash").alias("_g")).distinct()
-    again = found.where(here == F.col("first")).groupBy("doc_id", "hash").count().where("count > 1")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    left = keyed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti")
-    return (left if again.isEmpty() else left.dropDuplicates(["doc_id", "_h"])).drop("_h")
+    gone = found.where(here != F.col("first")).select(F.col("doc_id").alias("d0"), F.col("hash").alias("h0")).distinct()
+    again = found.where(here == F.col("first")).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("d0"), F.col("hash").alias("h0"))
+    touched = bloom_of(gone.unionByName(again).select(F.xxhash64("d0", "h0").alias("key")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h")).withColumn("key", F.xxhash64("d", "h"))
+    same = F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0"))
+    left = staged(rows.mapInArrow(_touched(touched, True), rows.schema).join(gone, same, "left_anti"))
+    parts = [rows.mapInArrow(_touched(touched, False), rows.schema), left.join(again, same, "left_anti"), left.join(again, same, "left_semi").dropDuplicates(["d", "h"])]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("row.*")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
