@@ -26,18 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
 
 
+_staged: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written once to the shared folder and read back from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_since(mark: int) -> list[str]:
+    """The folders staged after the first `mark` ones; staged_since(0) has all of this driver."""
+    return _staged[mark:]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Deletes what this application has staged; call it once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_paths(spark, [f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"])
 
 
 def words_of(text: str | None) -> list[bytes]:
