@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -69,6 +71,19 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+#: What this worker keeps between tasks, by the operators that use it.
+caches: dict[str, dict] = {"hashes": _hashes}
+
+
+def keep_only(name: str | None = None) -> None:
+    """Empties the worker's caches but the one named: a worker outlives its stage, and what one stage has kept must not add to the next one's memory."""
+    others = [c for n, c in caches.items() if n != name and c]
+    for cache in others:
+        cache.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

@@ -12,30 +12,73 @@ extra columns are ignored; a very long text is cut into many whole sequences, of
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, words_of
+from .common import caches, keep_only, table, words_of
 
 FILL, MOST_CUTS = 0.98, 3
 
 
+class LowerWords:
+    """Ids of lower-case words of Latin letters under a BPE vocabulary with word ends, merged by tiktoken's kernel.
+
+    The mark of a word's end is a byte that no UTF-8 text has. Where ids rise with the merges' ranks, they are the ranks; a
+    vocabulary of any other form gets no such table (``of`` gives None), and the library encodes all words."""
+
+    END, LETTERS = b"\xff", re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+    @classmethod
+    def of(cls, path: str) -> LowerWords | None:
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, end = model.get("vocab"), model.get("end_of_word_suffix")
+        if model.get("type") != "BPE" or not end or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        ids = [vocab.get(m.replace(" ", "", 1), -1) for m in merged]
+        # The usual visible stand-ins of bytes: printable ones are themselves, the others follow from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        stand = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        if ids != sorted(set(ids)) or ids[0] < 2 * len(stand) or not all(c in vocab and c + end in vocab for c in stand):
+            return None
+        ranks = {bytes([b]): vocab[c] for c, b in stand.items()} | {bytes([b]) + cls.END: vocab[c + end] for c, b in stand.items()}
+        for m, i in zip(merged, ids):
+            token = m.replace(" ", "", 1)
+            tail = token.endswith(end)
+            ranks[bytes(stand[c] for c in token.removesuffix(end)) + cls.END * tail] = i
+        return cls(ranks)
+
+    def __call__(self, word: bytes) -> bytes:
+        return array("I", self.merge(word + self.END)).tobytes()
+
+
 class WordIds:
     """Ids (little-endian 32-bit bytes) of words between ASCII white space, for tokenizers that drop white space and so treat
     each word by itself. New words are encoded many at a time, with a mark between them; what has been seen is kept up to a
     bound, beyond which only the words of the texts at hand stay."""
 
-    MOST, MARK = 400_000, "|"
+    MOST, MARK, TAIL = 400_000, "|", b".,;:!?&#*%$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.words = Tokenizer.from_file(path), {}
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.lower = LowerWords.of(path) if sys.byteorder == "little" and array("I").itemsize == 4 else None
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
@@ -51,24 +94,34 @@ class WordIds:
         return [raw[i:j] for i, j in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)])]
 
     def learn(self, seen: set[bytes]) -> None:
-        fresh = list(seen.difference(self.words))
+        fresh = seen.difference(self.words)
         if len(self.words) + len(fresh) > self.MOST:
             self.words = {w: self.words[w] for w in seen if w in self.words}
-        # A word of ASCII letters is what it is in lower case, then the marks that end it: these make most words known.
-        forms = [(w, core.lower(), w[len(core) :]) for w in fresh if (core := w.rstrip(b".,"))[-1:].isalnum()]
-        known = self.words
-        new = {key for _, key, _ in forms}.union(tail for _, _, tail in forms).difference(known)
-        new.update(w for w in fresh if not w.rstrip(b".,")[-1:].isalnum())
-        new.discard(b"")
-        known[b""] = b""
+        known, lower, letters = self.words, self.lower, LowerWords.LETTERS.fullmatch
+        rest, tailed = [], []
+        for word in fresh:
+            # A word of letters is what it is in lower case, then the marks that end it.
+            core = word.rstrip(self.TAIL)
+            key = core.lower()
+            if lower is None or not letters(key):
+                rest.append(word)
+                continue
+            ids = known.get(key)
+            if ids is None:
+                ids = known[key] = lower(key)
+            if len(core) < len(word):
+                tailed.append((word, ids, word[len(core) :]))
+            else:
+                known[word] = ids
         mark = self.MARK.encode()
-        marked = [w for w in new if mark in w]
+        rest.extend({tail for _, _, tail in tailed}.difference(known, rest))
+        marked = [w for w in rest if mark in w]
         known.update(zip(marked, self._encode(marked)))
-        plain = list(new.difference(marked))
+        plain = [w for w in rest if mark not in w]
         for i in range(0, len(plain), 5000):
             known.update(zip(plain[i : i + 5000], self._encode_joined(plain[i : i + 5000])))
-        for word, key, tail in forms:
-            known[word] = known[key] + known[tail]
+        for word, ids, tail in tailed:
+            known[word] = ids + known[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         words = [words_of(t) for t in texts]
@@ -77,7 +130,13 @@ class WordIds:
         return [b"".join(map(get, ws)) for ws in words]
 
 
-_known: dict[str, WordIds] = {}
+_known: dict[str, WordIds] = caches.setdefault("packing", {})
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task (a function of the module, so that tasks refer to it and carry no copy)."""
+    keep_only("packing")
+    return _known.get(path) or _known.setdefault(path, WordIds(path))
 
 
 def classes(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -141,7 +200,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        encoder = _known.get(tokenizer) or _known.setdefault(tokenizer, WordIds(tokenizer))
+        encoder = word_ids(tokenizer)
         packer, end = Packer(capacity, TaskContext.get().partitionId() << 36), struct.pack("<I", end_id)
 
         def flush():
