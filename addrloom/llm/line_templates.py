@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, int64_lists, staged, table
+from .common import bloom_of, int64_lists, keep_only, staged, table
 
 DEPTH, LEAST, DOCUMENTS, CONSTANT, VARIABLE_MOST = 3, 3, 10, 0.5, 0.3
 _DIGIT, _FIELD, FIELD = re.compile(rb"[0-9]"), re.compile(rb"(?<![^ ])[^ ]*[0-9][^ ]*"), "<*>"
@@ -49,6 +49,7 @@ def lines_of(text: str | None) -> list[bytes]:
 
 
 def _leaves(batches):
+    keep_only()
     for batch in batches:
         found = []
         for text in batch.column(0).to_pylist():
@@ -58,6 +59,7 @@ def _leaves(batches):
 
 def _candidates(wanted):
     def run(batches):
+        keep_only()
         for batch in batches:
             at, leaves, lines, forms = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -103,6 +105,7 @@ def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
 
 
 def _strip(batches):
+    keep_only()
     for batch in batches:
         texts, n_lines, n_dropped = [], [], []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, words_of
+from .common import keep_only, table, words_of
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_table_words", "n_distinct_words"]
 _SYMBOL = b"#*$%&|<>"
@@ -71,6 +71,7 @@ def measure(text: str | None) -> tuple[int, ...]:
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements (long) and rule_bits (long), one row per row of docs (doc_id, text)."""
     def run(batches):
+        keep_only()
         for batch in batches:
             rows = np.array([measure(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["doc_id", *MEASURES])
@@ -106,6 +107,7 @@ def kept_documents(docs: DataFrame, policy: str = "strict-1") -> DataFrame:
     book_in = docs.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in columns)))
 
     def run(batches):
+        keep_only()
         for batch in batches:
             rows = np.array([measure(t) for t in batch.column(0).to_pylist()], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["_row", *MEASURES])
