@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -464,6 +465,47 @@ def _geojson(spark, sf_dir):
     return readers.read_geojson(spark, path)
 
 
+def _local(spark, name: str, files: dict[str, bytes]) -> str:
+    """Writes the files (by suffix) to the shared folder, which must be mounted, and gives the first one's path."""
+    base = _shared(spark, name).removeprefix("file:")
+    os.makedirs(os.path.dirname(base), exist_ok=True)
+    for suffix, data in files.items():
+        with open(base + suffix, "wb") as f:
+            f.write(data)
+    return base + next(iter(files))
+
+
+def _nations(spark, sf_dir):  # a fixed table of 25 rows
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_nationkey", "n_regionkey")
+
+
+def _excel(spark, sf_dir):
+    return readers.auto(spark, _local(spark, "book", {".xlsx": sinks.workbook_bytes(_nations(spark, sf_dir))}))
+
+
+def _shp(spark, sf_dir):
+    points = _nations(spark, sf_dir).withColumn("x", F.col("n_nationkey") + 0.5).withColumn("y", F.col("n_regionkey") - 2.25)
+    return readers.auto(spark, _local(spark, "points", sinks.point_files(points, "x", "y")))
+
+
+def _auto(spark, sf_dir):
+    """A file in a national encoding, found out by its bytes."""
+    rows = _nations(spark, sf_dir).orderBy("n_nationkey").collect()
+    return readers.auto(spark, _local(spark, "auto", {".csv": "\n".join(["名称,编号", *(f"{r.n_name}省,{r.n_nationkey}" for r in rows)]).encode("gbk")}))
+
+
+def _resolve(spark, sf_dir):
+    path = _local(spark, "resolve", {".csv": b"a\n"})
+    folder, name = os.path.split(path)
+    return profile.names_frame(spark, [os.path.relpath(readers.resolve(name, [folder + "/none", folder]), folder).replace(name, "found")])
+
+
+QUERIES |= {"scan_excel": _excel, "scan_shp": _shp, "scan_auto": _auto, "resolve_path": _resolve}
+SQL["scan_excel"] = "SELECT n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
+SQL["scan_shp"] = """SELECT n_name, CAST(n_nationkey AS VARCHAR) AS n_nationke, CAST(n_regionkey AS VARCHAR) AS n_regionke,
+    'POINT (' || (n_nationkey + 0.5::DOUBLE) || ' ' || (n_regionkey - 2.25::DOUBLE) || ')' AS geometry, CAST(NULL AS VARCHAR) AS crs FROM nation"""
+SQL["scan_auto"] = """SELECT n_name || '省' AS "名称", CAST(n_nationkey AS VARCHAR) AS "编号" FROM nation"""
+SQL["resolve_path"] = "SELECT 'found' AS name"
 QUERIES["scan_csv"] = QUERIES["scan_pandas_multi"] = QUERIES["convert_to_csv"] = _csv
 SQL["scan_csv"] = SQL["scan_pandas_multi"] = SQL["convert_to_csv"] = "SELECT CAST(n_name AS VARCHAR) AS n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
 QUERIES["scan_geojson"] = _geojson

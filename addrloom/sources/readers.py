@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import os
@@ -38,9 +39,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
         return reader.csv(path)
     if encoding == "latin-1":
         return reader.option("encoding", "ISO-8859-1").csv(path)
-    text = spark.read.format("binaryFile").load(path).select(_decoded(encoding)("content").alias("t"))
-    lines = [r for r in text.select(F.explode(F.split("t", "\r?\n")).alias("l")).where("l <> ''").select("l").toLocalIterator()]
-    return spark.read.option("header", True).option("escape", '"').csv(spark.createDataFrame([(r.l,) for r in lines], "value string").rdd.map(lambda r: r.value))
+    # The text scan splits files at line ends and hands on the bytes as they are; no such encoding has a line end inside a letter.
+    lines = spark.read.text(path).select(_decoded(encoding)(F.col("value").cast("binary")).alias("line")).where("line <> ''")
+    head = lines.first()
+    if head is None:
+        return spark.createDataFrame([], "value string").drop("value")
+    names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([head.line])))]
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
+    return lines.where(F.col("line") != head.line).select(F.from_csv("line", schema, {"escape": '"'}).alias("row")).select("row.*")
 
 
 def _decoded(encoding: str):
@@ -105,12 +111,12 @@ class Workbook(DataSource):
         return ", ".join(f"`{h}` string" for h in header if h)
 
     def reader(self, schema):
-        return _WorkbookReader(self.options, len(schema))
+        return _WorkbookReader(self.options)
 
 
 class _WorkbookReader(DataSourceReader):
-    def __init__(self, options, width):
-        self.options, self.width = dict(options), width
+    def __init__(self, options):
+        self.options = dict(options)
 
     def partitions(self):
         return [_File(p) for p in _paths(self.options["path"], ".xlsx")]
@@ -118,8 +124,9 @@ class _WorkbookReader(DataSourceReader):
     def read(self, partition):
         with open(partition.path, "rb") as f:
             rows = workbook_rows(f.read(), self.options.get("sheet"))
+        named = [i for i, h in enumerate(rows[0]) if h]  # columns without a name are left out
         for row in rows[1:]:
-            yield tuple((row + [None] * self.width)[: self.width])
+            yield tuple(row[i] if i < len(row) else None for i in named)
 
 
 def shape_wkt(record: bytes) -> str | None:

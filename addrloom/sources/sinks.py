@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
+import struct
+import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -27,6 +31,52 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def workbook_bytes(df: DataFrame, sheet: str = "Sheet1") -> bytes:
+    """A plain workbook of one sheet, all cells text. It is built by the driver: more than PLAIN_ROWS rows are refused."""
+    rows = [df.columns, *df.limit(PLAIN_ROWS + 1).toLocalIterator()]
+    if len(rows) > PLAIN_ROWS + 1:
+        raise ValueError("too many rows for a workbook")
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    packed, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+
+    def cell(at: int, row: int, value) -> str:
+        letters, at = "", at + 1
+        while at:
+            at, rest = divmod(at - 1, 26)
+            letters = chr(65 + rest) + letters
+        return "" if value is None else f'<c r="{letters}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
+
+    body = "".join(f'<row r="{n}">{"".join(cell(i, n, v) for i, v in enumerate(row))}</row>' for n, row in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{packed}/relationships"><Relationship Id="rId1" Type="{links}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{packed}/relationships"><Relationship Id="rId1" Type="{links}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{links}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def point_files(df: DataFrame, x: str, y: str) -> dict[str, bytes]:
+    """The .shp, .shx and .dbf bytes of a point layer; the other columns are text attributes of at most 254 bytes. Built by the
+    driver like a workbook, with the same bound."""
+    names = [c for c in df.columns if c not in (x, y)]
+    rows = df.select(F.col(x).cast("double"), F.col(y).cast("double"), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names)).limit(PLAIN_ROWS + 1).collect()
+    if len(rows) > PLAIN_ROWS:
+        raise ValueError("too many rows for a point layer")
+    values = [[v.encode()[:254] for v in row[2:]] for row in rows]
+    sizes = [max([1, *(len(v[i]) for v in values)]) for i in range(len(names))]
+    box = [f([row[i] for row in rows] or [0.0]) for f in (min, max) for i in (0, 1)]
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, 1, *box, 0, 0, 0, 0)
+    shapes = b"".join(struct.pack(">2i", n, 10) + struct.pack("<i2d", 1, row[0], row[1]) for n, row in enumerate(rows, 1))
+    index = b"".join(struct.pack(">2i", 50 + 14 * n, 10) for n in range(len(rows)))
+    fields = b"".join(name.encode()[:10].ljust(11, b"\0") + b"C" + bytes(4) + bytes([size]) + bytes(15) for name, size in zip(dbf_names(names), sizes))
+    table = bytes([3, 100, 1, 1]) + struct.pack("<IHH", len(rows), 33 + 32 * len(names), 1 + sum(sizes)) + bytes(20) + fields + b"\r"
+    table += b"".join(b" " + b"".join(v.ljust(size) for v, size in zip(row, sizes)) for row in values) + b"\x1a"
+    return {".shp": head(100 + len(shapes)) + shapes, ".shx": head(100 + len(index)) + index, ".dbf": table}
+
+
 def chosen(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """The named columns that exist; all, if none are named."""
     return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df

@@ -1,3 +1,4 @@
+import io
 import random
 import struct
 import zipfile
@@ -125,3 +126,26 @@ def test_sources(spark, tmp_path):
 def test_usage_and_types(spark):
     names = profile.names_frame(spark, ["width", "省份"])
     assert {r.name: r.category for r in profile.field_types(names).collect()} == {"width": "id", "省份": "province"}
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a<&>b", 1, None), (" 园 ", 2, "x")], "`名 称` string, n int, z string")
+    (tmp_path / "r.xlsx").write_bytes(sinks.workbook_bytes(df, "表"))
+    assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "r.xlsx")).collect()] == [("a<&>b", "1", None), (" 园 ", "2", "x")]
+    assert readers.auto(spark, str(tmp_path / "r.xlsx")).columns == df.columns
+
+
+def test_workbook_blank_header(spark, tmp_path):
+    df = spark.createDataFrame([("1", "2", "3")], "a string, b string, c string")
+    data = sinks.workbook_bytes(df)
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as out, zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in z.namelist():
+            out.writestr(name, z.read(name).replace(b">b</t>", b"></t>"))
+    assert [r.asDict() for r in readers.auto(spark, str(tmp_path / "b.xlsx")).collect()] == [{"a": "1", "c": "3"}]
+
+
+def test_point_files_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("甲", 1.5, -2.0), (None, 3.0, 4.25)], "name string, x double, y double")
+    for suffix, data in sinks.point_files(df, "x", "y").items():
+        (tmp_path / f"p{suffix}").write_bytes(data)
+    assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()] == [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)]
