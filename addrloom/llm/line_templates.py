@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree: lines of templates that recur across documents stay in their first document only.
 
 The tree has a fixed depth: the number of tokens, then the leading tokens (a token with a digit counts as a variable field).
-In a leaf, a line's template keeps the tokens that at least half of the leaf's different lines have at that place and
-generalises the others, as long as most of the line stays; or else the line is its own template. Leaves are not filled by
-one worker line by line, but by counts of (leaf, place, token), so the outcome hangs on no order and no leaf is collected.
+In a leaf, a line joins the nearest seed that it shares all but ``VARIABLE_MOST`` of its places with; the places where a
+template's lines deviate are its variable ones, whatever stands there, and documents are counted over all of its lines. Seeds are
+lines whose tokens are the most frequent at their places, then the more frequent lines, so the outcome hangs on no order. One
+worker clusters at most ``LEAF_MOST`` different lines of a leaf: a larger leaf is first divided by counts of (place, token),
+round by round, into the lines near its most frequent tokens (one template) and the others, by their token at the steadiest place.
 
 Lines of fewer than ``LEAST`` tokens, and templates without two constant tokens, are never dropped. Documents stay, also
 when all their lines go (empty text then); a null text stays null; the first document is the least by id, then by text;
@@ -12,6 +14,7 @@ equal rows count once and are treated alike. Extra columns are kept by ``deduped
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bloom_of, int64_lists, keep_only, staged, table
 
-DEPTH, LEAST, DOCUMENTS, CONSTANT, VARIABLE_MOST = 3, 3, 10, 0.5, 0.3
+DEPTH, LEAST, DOCUMENTS, VARIABLE_MOST, LEAF_MOST = 3, 3, 10, 0.3, 4000
 _DIGIT, _FIELD, FIELD = re.compile(rb"[0-9]"), re.compile(rb"(?<![^ ])[^ ]*[0-9][^ ]*"), "<*>"
 
 
@@ -78,16 +81,78 @@ def _candidates(wanted):
     return run
 
 
-def templates(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(leaf, line, n, form) of the different lines to (line, template): a hash of the template; most lines are their own."""
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where(f"size > 1 and total >= {documents}").select(F.col("leaf").cast("string").alias("l"), "size")
-    open_lines = lines.where(F.col("n") < documents).join(leaves, F.col("leaf").cast("string") == F.col("l")).select("leaf", "line", "size", F.posexplode(F.split("form", " ")).alias("at", "token"))
-    counts = lines.join(leaves, F.col("leaf").cast("string") == F.col("l")).select("leaf", F.posexplode(F.split("form", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n")).select(F.concat_ws(" ", F.col("leaf").cast("string"), F.col("at").cast("string"), "token").alias("k"), "n")
-    placed = open_lines.join(counts, F.concat_ws(" ", F.col("leaf").cast("string"), F.col("at").cast("string"), "token") == F.col("k"))
-    constant = (F.col("n") >= CONSTANT * F.col("size")) & (F.col("n") > 1)
-    token = F.when(constant, F.xxhash64("at", "token")).otherwise(F.lit(0))
-    made = placed.groupBy("leaf", "line").agg(F.sum(token.cast("decimal(20)")).alias("sum"), F.avg((~constant).cast("int")).alias("variable"))
-    return made.select("line", F.when(F.col("variable") <= VARIABLE_MOST, F.xxhash64("leaf", "sum")).otherwise(F.col("line")).alias("template"))
+def cluster(forms: list[str], counts: list[int]) -> list[int]:
+    """The place of each line's seed among the lines (forms of one number of tokens); a seed's own place for itself."""
+    ids: dict[tuple[int, str], int] = {}
+    rows = np.array([[ids.setdefault(x, len(ids)) for x in enumerate(f.split(" "))] for f in forms], np.int64)
+    weight = np.bincount(rows.ravel())[rows].sum(axis=1).tolist()
+    most = int(VARIABLE_MOST * rows.shape[1] + 1e-9)
+    seeds, held, out = np.empty_like(rows), [], [0] * len(forms)
+    for i in sorted(range(len(forms)), key=lambda i: (-weight[i], -counts[i], forms[i])):
+        if held:
+            far = (seeds[: len(held)] != rows[i]).sum(axis=1)
+            near = int(far.argmin())
+            if far[near] <= most:
+                out[i] = held[near]
+                continue
+        seeds[len(held)] = rows[i]
+        held.append(i)
+        out[i] = i
+    return out
+
+
+def _clusters(batches):
+    """(part, line, n, form), sorted by part, to the (line, template) of lines that have joined another one's template."""
+    keep_only()
+    now, lines, counts, forms = None, [], [], []
+
+    def settled():
+        made = [(lines[i], lines[k]) for i, k in enumerate(cluster(forms, counts)) if i != k] if len(lines) > 1 else []
+        lines.clear(), counts.clear(), forms.clear()
+        return made
+
+    for batch in batches:
+        found = []
+        for part, line, n, form in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if part != now:
+                found += settled()
+                now = part
+            lines.append(line)
+            counts.append(n)
+            forms.append(form)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["line", "template"])
+    found = settled()
+    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["line", "template"])
+
+
+def _divided(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (part, line, n, form) near their part's most frequent tokens, as (line, template), and the others in smaller parts."""
+    # Keys are cast so that both sides of the join are dealt anew: then the rows of a part with very many lines can be split.
+    tokens = lines.select("part", F.posexplode(F.split("form", " ")).alias("at", "token")).groupBy("part", "at", "token").agg(F.count("*").alias("n"))
+    places = tokens.groupBy("part", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.count("*").alias("different"), F.sum(F.col("n").cast("double") * F.col("n")).alias("steady"))
+    split_at = F.max_by("at", F.struct(F.col("different") > 1, "steady", -F.col("at"))).alias("split_at")
+    parts = places.groupBy("part").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("usual"), split_at).withColumnRenamed("part", "part_")
+    joined = lines.join(parts, F.col("part").cast("string") == F.col("part_").cast("string")).withColumn("tokens", F.split("form", " "))
+    far = F.expr("size(filter(zip_with(tokens, usual, (x, y) -> x <> y), x -> x))")
+    judged = staged(joined.select("part", "line", "n", "form", F.xxhash64("part", "split_at", F.expr("tokens[split_at]")).alias("next"), (far <= F.floor(VARIABLE_MOST * F.size("tokens") + F.lit(1e-9))).alias("near")))
+    return judged.where("near").select("line", F.xxhash64("part", F.lit("usual")).alias("template")), judged.where("not near").select(F.col("next").alias("part"), "line", "n", "form")
+
+
+def templates(lines: DataFrame, documents: int = DOCUMENTS, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """(leaf, line, n, form) of the different lines to (line, template); lines that are missing are their own template."""
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where(f"size > 1 and total >= {documents}").select(F.col("leaf").cast("string").alias("l"))
+    open_lines = lines.join(leaves, F.col("leaf").cast("string") == F.col("l")).select(F.col("leaf").alias("part"), "line", "n", "form")
+    made = []
+    while True:
+        large = open_lines.groupBy("part").count().where(F.col("count") > leaf_most).select(F.col("part").cast("string").alias("p"))
+        clustered = lambda df: df.select("part", "line", "n", "form").repartition("part").sortWithinPartitions("part").mapInArrow(_clusters, "line long, template long")
+        if large.isEmpty():
+            made.append(clustered(open_lines))
+            return functools.reduce(DataFrame.unionByName, made)
+        large = staged(large)
+        made.append(clustered(open_lines.join(large, F.col("part").cast("string") == F.col("p"), "left_anti")))
+        near, open_lines = _divided(open_lines.join(large, F.col("part").cast("string") == F.col("p"), "left_semi"))
+        made.append(near)
 
 
 def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:

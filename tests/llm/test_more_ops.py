@@ -65,6 +65,31 @@ def test_lines(spark):
     assert line_templates.deduped_documents(df.limit(0)).collect() == []
 
 
+def _line_clusters(spark, forms, **kw):
+    """The sets of two lines or more that share a template."""
+    df = spark.createDataFrame([(1, i, n, f) for i, (f, n) in enumerate(forms)], "leaf long, line long, n long, form string").repartition(3)
+    of = {x.line: x.template for x in line_templates.templates(df, 2, **kw).collect()}
+    found = collections.defaultdict(set)
+    for i in range(len(forms)):
+        found[of.get(i, i)].add(i)
+    return sorted(sorted(x) for x in found.values() if len(x) > 1)
+
+
+def test_line_templates_of_a_shared_leaf(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    first = [(f"w w w kept at {word()} this is first", 1) for _ in range(40)] + [("w w w kept at usual this is first", 30)]
+    second = [(f"w w w sent out from by {word()} now", 1) for _ in range(40)]
+    base = "w w w one two three four five six".split()
+    third = [(" ".join(base[:k] + [word()] + base[k + 1 :]), 1) for k in range(3, 9)] + [(" ".join(base), 1)]
+    prose = [("w w w " + " ".join(word() for _ in range(6)), 1) for _ in range(400)]
+    forms = first + second + third + prose
+    want = [list(range(41)), list(range(41, 81)), list(range(81, 88))]
+    assert _line_clusters(spark, forms) == want
+    assert _line_clusters(spark, first + prose, leaf_most=50) == want[:1]
+    assert _line_clusters(spark, first, leaf_most=10) == want[:1]
+
+
 def test_lexicon():
     lexicon = toxicity.Lexicon(["scum", "trashy", "moron"], ["vequi"])
 
