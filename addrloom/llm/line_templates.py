@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bloom_of, int64_lists, keep_only, staged, table
 
-DEPTH, LEAST, DOCUMENTS, VARIABLE_MOST, LEAF_MOST = 3, 3, 10, 0.3, 4000
+DEPTH, LEAST, DOCUMENTS, VARIABLE_MOST, LEAF_MOST = 3, 3, 2, 0.3, 4000
 _DIGIT, _FIELD, FIELD = re.compile(rb"[0-9]"), re.compile(rb"(?<![^ ])[^ ]*[0-9][^ ]*"), "<*>"
 
 
@@ -158,7 +158,7 @@ def templates(lines: DataFrame, documents: int = DOCUMENTS, leaf_most: int = LEA
 def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """(doc_id, rk, line): hashes of the lines that go, by document; docs has doc_id, rk and text."""
     leaves = docs.select("text").mapInArrow(_leaves, "leaf array<long>").select(F.explode("leaf").alias("leaf"))
-    often = bloom_of(leaves.groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"), 1 << 24)
+    often = bloom_of(leaves.groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_candidates(often), f"doc_id {kind}, rk long, leaf long, line long, form string"))
     lines = staged(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("form").alias("form")))

@@ -90,6 +90,12 @@ def test_line_templates_of_a_shared_leaf(spark):
     assert _line_clusters(spark, first, leaf_most=10) == want[:1]
 
 
+def test_lines_of_two_documents(spark):
+    rows = [(1, "All rights are reserved here\nonly in the first one"), (2, "all of it is new\nAll rights are reserved here"), (3, "twice in this text alone\ntwice in this text alone")]
+    got = line_templates.deduped_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == {1: rows[0][1], 2: "all of it is new", 3: rows[2][1]}
+
+
 def test_lexicon():
     lexicon = toxicity.Lexicon(["scum", "trashy", "moron"], ["vequi"])
 
