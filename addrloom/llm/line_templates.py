@@ -7,7 +7,8 @@ lines whose tokens are the most frequent at their places, then the more frequent
 worker clusters at most ``LEAF_MOST`` different lines of a leaf: a larger leaf is first divided by counts of (place, token),
 round by round, into the lines near its most frequent tokens (one template) and the others, by their token at the steadiest place.
 
-Lines of fewer than ``LEAST`` tokens, and templates without two constant tokens, are never dropped. Documents stay, also
+Lines of fewer than ``LEAST`` tokens, and lines that their fields leave without two constant tokens, are templates as they stand
+(digits too). Only blank lines are never dropped. Documents stay, also
 when all their lines go (empty text then); a null text stays null; the first document is the least by id, then by text;
 equal rows count once and are treated alike. Extra columns are kept by ``deduped_documents``.
 """
@@ -33,16 +34,17 @@ def _signed(x: int) -> int:
 
 
 def parse(line: bytes) -> tuple[int, int, bytes] | None:
-    """Leaf, hash and form (tokens with fields masked, one space between) of a line; None if it is too short."""
+    """Leaf, hash and form (tokens with fields masked, one space between) of a line; None if it is blank."""
     tokens = line.split()
-    if len(tokens) < LEAST:
+    if not tokens:
         return None
-    form = b" ".join(tokens)
-    if _DIGIT.search(form):
+    exact = form = b" ".join(tokens)
+    if len(tokens) >= LEAST and _DIGIT.search(form):
         form = _FIELD.sub(FIELD.encode(), form)
         tokens = form.split(b" ")
-        if len(tokens) - tokens.count(FIELD.encode()) < 2:
-            return None
+    if len(tokens) - tokens.count(FIELD.encode()) < 2 or len(tokens) < LEAST:  # a leaf of its own: nothing is generalised
+        own = _signed(xxhash.xxh3_64_intdigest(exact, seed=1))
+        return own, own, exact
     leaf = xxhash.xxh3_64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
     return _signed(leaf), _signed(xxhash.xxh3_64_intdigest(form)), form
 

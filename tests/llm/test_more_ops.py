@@ -96,6 +96,12 @@ def test_lines_of_two_documents(spark):
     assert {x.doc_id: x.text for x in got} == {1: rows[0][1], 2: "all of it is new", 3: rows[2][1]}
 
 
+def test_short_lines(spark):
+    rows = [(1, "Read more\n\nLes.\n12 of 40\n你好世界\nown"), (2, " Read  more\n\nLes.\n12 of 40\n你好世界"), (3, "12 of 41\nPage 7\n\nLes."), (4, "Page 8")]
+    got = line_templates.deduped_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in got} == {1: rows[0][1], 2: "", 3: "12 of 41\nPage 7\n", 4: "Page 8"}
+
+
 def test_lexicon():
     lexicon = toxicity.Lexicon(["scum", "trashy", "moron"], ["vequi"])
 
