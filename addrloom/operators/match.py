@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules as R, similarity, text as T
@@ -106,7 +109,7 @@ def target_details(result: DataFrame, targets: int) -> DataFrame:
 
 def poi_match(left: DataFrame, right: DataFrame, right_most: int = 50_000) -> DataFrame:
     """rid, target_rid, kind, score (0..1) by POI: strong partial ratio, or else a weak one. The right side is scored in full
-    against each different left POI, so its size is checked. Semantic scores need an embedding model and are not part here."""
+    against each different left POI: broadcast up to right_most different POIs, else partition by partition. Semantic scores need an embedding model and are not part here."""
     p = R.THRESHOLDS
     raw = T.first_poi(F.col("pois"))
     cleaned = T.clean_poi(raw)
@@ -116,9 +119,8 @@ def poi_match(left: DataFrame, right: DataFrame, right_most: int = 50_000) -> Da
     name = T.strip(F.coalesce("poi", F.lit("")))
     names = right.select("rid", name.alias("raw_b")).where((F.col("raw_b") != "") & ~T.is_admin_only(F.col("raw_b")))
     names = names.withColumn("b", F.when(T.clean_poi(F.col("raw_b")) == "", F.col("raw_b")).otherwise(T.clean_poi(F.col("raw_b")))).groupBy("b").agg(F.min("rid").alias("target_rid"))
-    if names.limit(right_most + 1).count() > right_most:
-        raise ValueError(f"more than {right_most} different POIs on the right")
-    pairs = rows.where("early is null").select("a").distinct().join(F.broadcast(names)).withColumn("score", similarity.partial_ratio("a", "b"))
+    small = names.limit(right_most + 1).count() <= right_most
+    pairs = rows.where("early is null").select("a").distinct().join(F.broadcast(names) if small else names.hint("shuffle_replicate_nl")).withColumn("score", similarity.partial_ratio("a", "b"))
     best = pairs.groupBy("a").agg(F.max_by(F.struct("target_rid", "score"), F.struct("score", -F.col("target_rid"))).alias("x"))
     out = rows.join(best, "a", "left")
     hit = F.col("early").isNull() & (F.col("x.score") >= p["poi_weak"])
@@ -131,10 +133,44 @@ def breakdown(matched: DataFrame) -> DataFrame:
     return matched.groupBy("kind").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("rate"))
 
 
-def semantic_best(left: DataFrame, right: DataFrame, right_most: int = 20_000) -> DataFrame:
-    """(rid, target_rid, similarity): the most similar embedding (columns rid, v; normalised to unit length here)."""
-    if right.limit(right_most + 1).count() > right_most:
-        raise ValueError(f"more than {right_most} embeddings on the right; search by an index first")
-    unit = lambda df, names: df.select(F.col("rid").alias(names[0]), F.transform("v", lambda x: x.cast("double")).alias(names[1])).withColumn(names[1], F.expr(f"transform({names[1]}, x -> x / sqrt(aggregate({names[1]}, 0D, (s, y) -> s + y * y)))"))
-    pairs = unit(left, ("rid", "a")).join(F.broadcast(unit(right, ("target_rid", "b")))).withColumn("similarity", F.round(F.expr("aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"), 6))
-    return pairs.groupBy("rid").agg(F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")).select("rid", "x.*")
+def _nearest():
+    """The best right row of each left row of a block, by the similarity at six places, the first on ties."""
+    def run(key, group):
+        held = [group.filter(pc.equal(group.column("side"), i)).combine_chunks() for i in (0, 1)]
+        left, right = (x.take(pc.sort_indices(x, [("rid", "ascending")])) for x in held)
+        at, value, rows = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        if len(left) and len(right):
+            a, b = (pc.list_flatten(x.column("v")).to_numpy(zero_copy_only=False).reshape(len(x), -1 if len(x.column("v")[0]) else 0) for x in (left, right))
+            parts = []
+            for i in range(0, len(a), 256):
+                s = a[i : i + 256] @ b.T
+                most = s.max(axis=1)
+                row, col = np.nonzero((s >= (most - 2e-6)[:, None]) | np.isnan(s))
+                rounded, top = np.round(s[row, col], 6), np.round(most, 6)[row]
+                same = (rounded == top) | (np.isnan(rounded) & np.isnan(top))
+                row, first = np.unique(row[same], return_index=True)
+                parts.append((row + i, col[same][first], rounded[same][first]))
+            rows, at, value = (np.concatenate(x) for x in zip(*parts))
+        return pa.table({"rid": left.column("rid").take(pa.array(rows)), "target_rid": right.column("rid").take(pa.array(at)), "similarity": pa.array(value, pa.float64(), from_pandas=False)})
+
+    return run
+
+
+def semantic_best(left: DataFrame, right: DataFrame, left_rows: int = 4096, right_rows: int = 16_384) -> DataFrame:
+    """(rid, target_rid, similarity): the most similar embedding (columns rid, v; normalised to unit length here).
+
+    Every left row meets every right row, in tasks of about left_rows by right_rows rows; the best of the tasks is merged by row.
+    Vectors with a null, or of a length that no right row has, are like none: they get the first right row and no similarity."""
+    unit = lambda df: df.select("rid", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))"))
+    whole = F.expr("v is not null and forall(v, x -> x is not null)")
+    blocks, shards = max(1, -(-left.count() // left_rows)), max(1, -(-right.count() // right_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("rid", "v"), F.lit(n)).cast("int")
+    a = unit(left).where(whole).select("rid", "v", F.size("v").alias("width"), F.lit(0).alias("side"), place(blocks).alias("block")).withColumn("shard", every(shards))
+    b = unit(right).where(whole).select("rid", "v", F.size("v").alias("width"), F.lit(1).alias("side"), place(shards).alias("shard")).withColumn("block", every(blocks))
+    kind, target = left.schema["rid"].dataType.simpleString(), right.schema["rid"].dataType.simpleString()
+    if kind != target:
+        raise TypeError(f"rid is {kind} on the left and {target} on the right")
+    found = a.unionByName(b).groupBy("width", "block", "shard").applyInArrow(_nearest(), f"rid {kind}, target_rid {kind}, similarity double")
+    none = left.select("rid").join(F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))).withColumn("similarity", F.lit(None).cast("double"))
+    return found.unionByName(none).groupBy("rid").agg(F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")).select("rid", "x.*")

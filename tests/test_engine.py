@@ -149,3 +149,20 @@ def test_point_files_round_trip(spark, tmp_path):
     for suffix, data in sinks.point_files(df, "x", "y").items():
         (tmp_path / f"p{suffix}").write_bytes(data)
     assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()] == [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)]
+
+
+def test_right_sides_of_any_size(spark):
+    r = random.Random(3)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(20)]
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
+    df = spark.createDataFrame(rows + [(900, None), (901, [1.0])], "rid long, v array<double>").repartition(3)
+    left, right = df.where("rid % 2 = 0"), df.where("rid % 2 = 1 and rid < 900")
+    want = {i: min((-round(sum(x * y for x, y in zip(unit[i], unit[j])), 6), j) for j in unit if j % 2) for i in unit if i % 2 == 0}
+    want = {(i, j, -s) for i, (s, j) in want.items()} | {(900, 1, None)}
+    for sizes in ((4096, 16_384), (40, 30)):
+        assert {tuple(x) for x in match.semantic_best(left, right, *sizes).collect()} == want
+    assert match.semantic_best(left, right.limit(0)).collect() == []
+    words = spark.createDataFrame([(i, f"阳光花园{i}号楼", f"阳光花园{i}号楼") for i in range(12)], "rid long, poi string, pois string")
+    for made in (lambda **n: match.poi_match(words, words, **n), lambda **n: join.fuzzy(words.withColumnRenamed("rid", "lid"), words, "poi", "poi", **n)):
+        assert sorted(made(right_most=3).collect()) == sorted(made().collect())
