@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import contextvars
 import ctypes
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: ASCII white space only: the words of every contract are runs of [^\x20\x09-\x0D]; bytes.split() splits exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,37 +28,96 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share, as spark.checkpoint.dir names it. A local one serves local masters only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}").rstrip("/")
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    return found.rstrip("/")
 
 
-_staged: list[str] = []
+_scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("staging", default=None)
+
+
+def home(spark: SparkSession) -> str:
+    """The folder of all that this application stages; it goes when the driver's interpreter ends."""
+    own = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+    if own not in _homes:
+        _homes.add(own)
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(own), spark._jsc.hadoopConfiguration()
+        atexit.register(lambda: _dropped(path, conf))
+    return own
+
+
+_homes: set[str] = set()
+
+
+def _dropped(path, conf) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone before its driver
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def staging(spark: SparkSession):
+    """Gathers what is staged inside it (in this thread) in one folder, which it gives; the caller drops it in time."""
+    folder = f"{home(spark)}/{uuid.uuid4().hex}"
+    before = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(before)
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Cuts the lineage: the rows are written once to the shared folder and read back from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_scope.get() or home(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def staged_since(mark: int) -> list[str]:
-    """The folders staged after the first `mark` ones; staged_since(0) has all of this driver."""
-    return _staged[mark:]
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of make(), written once; what it has staged on its way is deleted before they are handed out."""
+    with staging(spark) as folder:
+        made = make()
+        path = f"{home(spark)}/{uuid.uuid4().hex}"
+        made.write.parquet(path)
+    drop(spark, folder)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def column(name: str) -> Column:
+    """A column by its very name, whatever letters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(wanted: list[str], taken: list[str]) -> list[str]:
+    """The wanted names, with an underscore before those that are taken (Spark does not tell case apart)."""
+    out, known = [], {t.lower() for t in taken}
+    for name in wanted:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out
 
 
-def drop_paths(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def carrying(row: DataType, rest: str) -> StructType:
+    """The schema of rows that carry an input row (whatever its columns are called) beside the columns of a DDL text."""
+    return StructType([StructField("row", row), *StructType.fromDDL(rest)])
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes what this application has staged; call it once its results are written."""
-    drop_paths(spark, [f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"])
+def slices(batches, rows: int = 500):
+    """Record batches of at most so many rows, which bounds what a worker makes of one at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
 
 
 def words_of(text: str | None) -> list[bytes]:
