@@ -1,29 +1,41 @@
 """N-gram Jaccard join: a size-aware heavy-light self join that returns one row per document with its component.
 
-Equal sets fall together first. Light sets (those for which at most one shingle may be missing from the overlap) emit
-their fixed-size subsets: sharing one decides a link without any verification. Heavy sets would have too many subsets
-(C(n, 2) and more), so the boundary is where one deletion stops being enough; they are split by shingle hash into more
-parts than a linked pair can differ in, so that a linked pair shares at least one whole part (pigeonhole). Below a
-similarity at which parts would be thin, sets that cannot have a partner go first: those with too few shingles, in a prefix
-of the sorted hashes and then in the whole set, that any other set has. Sets that share
-a part form candidate clusters; within a cluster, block against block, inverted lists of the shingles are scanned and
-overlaps counted exactly. Only links of a spanning forest leave a block pair.
-
-Null, empty and blank texts have no shingle and link with nothing; equal rows link with each other; a null doc_id is kept
-(a component of null ids only has a null id). Extra columns are ignored.
+Equal sets fall together first. Sets up to a boundary are light: they emit their subsets of every size that a linked pair can
+share, and sharing one decides a link without any verification. Larger sets are heavy: inverted lists are scanned for their
+partners. The boundary is chosen by cost, from the data: subsets that light sets would emit against entries of the inverted lists
+that they would scan. Candidates of heavy sets come in steps, of which none loses a link:
+
+* Sets that cannot have a partner go: those with too few shingles, in a prefix of the sorted hashes and then in the whole set,
+  that any other set has.
+* A set is cut by shingle hash into more parts than a linked pair can differ in (pigeonhole), so that linked sets share whole
+  parts, and more than ``spare`` of them. Parts of few shingles say little and are left out; a set with more than ``spare`` of
+  such parts is cut anew by another hash, and so is any set that it shares only such parts with.
+* Each set is compared with the least set that it shares a part with. Parts whose sets are all in one component then are done.
+* Of the others, the sets outside the part's largest component meet one another and that component, block against block, by
+  scanning inverted lists of the block's shingles. Parts with the same sets are scanned once. A part's sets only meet sets that
+  share this very part, so chains of parts do not add up, and blocks are bounded in sets and in shingles.
+
+Null, empty and blank texts have no shingle and link with nothing; equal rows link with each other; ties for a component's name
+go to the least id; a null doc_id is kept (a component of null ids only has a null id); texts are read whole, however long; an
+empty table gives no row. Extra columns are ignored. Sets, shingles and parts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, components, int64_lists, mix, shingle_hashes, signed, staged, table
+from .common import bloom_of, components, finished, int64_lists, mix, shingle_hashes, signed, slices, staged, table
 
-BLOCK, BLOCKS = 64, 24
-BLOCK_MOST = 1024
+BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
+#: The most shingles that a light set's partner may lack: beyond it a set has thousands of subsets.
+DELETIONS = 2
 
 
 def need(a: int, b: int, percent: int) -> int:
@@ -31,39 +43,48 @@ def need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def light_most(percent: int) -> int:
-    """The largest size whose linked partners (of no larger size) miss at most one of its shingles."""
-    b = 1
-    while (b + 1) - -(-percent * (b + 1) // 100) <= 1:
-        b += 1
-    return b
+def lacking(n: int, percent: int) -> int:
+    """So many shingles of a set of n at most does a linked partner lack."""
+    return n - -(-percent * n // 100)
+
 
+def light_most(percent: int, deletions: int = DELETIONS) -> int:
+    """The largest size whose linked partners lack at most so many of its shingles; no smaller size has one that lacks more."""
+    return -(-100 * (deletions + 1) // (100 - percent)) - 1
 
-def bands(percent: int, most: int) -> list[int]:
-    """Lower edges of the heavy sizes' bands: linked sets are in the same band or in neighbouring ones."""
-    edges = [-(-percent * (light_most(percent) + 1) // 100)]
+
+def bands(percent: int, light: int, most: int) -> list[int]:
+    """Lower edges of the heavy sizes' bands: linked sets are in the same band or in neighbouring ones. The first band begins
+    with the smallest partners of sets over the boundary."""
+    edges = [max(1, -(-percent * (light + 1) // 100))]
     while edges[-1] <= most:
         edges.append(100 * edges[-1] // percent + 1)
     return edges
 
 
-def spared(lowest: int, needed: int) -> tuple[int, int]:
-    """A part of few shingles says little. With `spare` more parts than needed, linked sets share at least spare + 1 parts; a
-    set with at most `spare` parts of fewer than `least` shingles can leave those out. Depends on the band alone, as both
-    sets of a pair must be cut alike; where parts are small on average, only empty ones can be spared."""
-    return (3, 2) if lowest >= 6 * needed else (1, needed // 12 + 3)
-
-
-def thin(percent: int) -> bool:
-    """Whether parts would have fewer than six shingles on average: passages that documents share then fill whole parts."""
-    return 6 * (100 - percent) > percent
+@functools.cache
+def cut(lowest: int, highest: int, percent: int) -> tuple[int, int, int]:
+    """(parts, spare, least) for pairs whose smaller set has from lowest to highest shingles: linked ones share more than
+    `spare` of the parts; parts of fewer than `least` shingles are left out. At the lowest size, parts that small are rarely
+    more than `spare`."""
+    needed = (100 - percent) * highest // percent + 1
+    spare = 3 * needed // 5 + 2
+    parts, least, below = needed + spare, 1, 0.0
+    mean = lowest / parts
+    for k in range(6):
+        below += math.exp(-mean) * mean**k / math.factorial(k)
+        expected = parts * below
+        if expected + 3 * math.sqrt(expected) > spare:
+            break
+        least = k + 1
+    return parts, spare, least
 
 
 def prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
     """The smallest hashes of a set. The first tenth (of the smaller set's size) of what linked sets share lies in both prefixes,
     as a set of n shingles misses at most n - ceil(percent * n / 100) of its partner's."""
     n = len(shingles)
-    return shingles[: n - -(-percent * n // 100) + -(-n // 10)]
+    return shingles[: lacking(n, percent) + -(-n // 10)]
 
 
 def shared_least(n: int, percent: int) -> int:
@@ -72,91 +93,198 @@ def shared_least(n: int, percent: int) -> int:
 
 
 def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Hashes of the set's parts, for the pairs in which its band is the lower one and those in which it is the upper one."""
+    """Hashes of the set's parts, for the pairs in which its band is the lower one and those in which it is the upper one.
+
+    Parts are equal or not, and equal ones are equally small. So sets that share more than `spare` parts, but only small ones,
+    both have more than `spare` small parts, and both are cut anew; after the last hash the small parts are used after all."""
     band, found = int(np.searchsorted(edges, len(shingles), "right")) - 1, []
     for group in (band - 1, band):
         if group < 0:
             continue
-        needed = (100 - percent) * (edges[group + 1] - 1) // percent + 1
-        least, spare = spared(edges[group], needed)
-        parts = needed + spare
-        part = (mix(shingles + np.uint64(group)) % np.uint64(parts)).astype(np.int64)
-        size = np.bincount(part, minlength=parts)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(len(shingles) + 1, np.uint64)
-        np.cumsum(mix(shingles)[order], out=sums[1:])
-        ends = np.cumsum(size)
-        keys = mix((sums[ends] - sums[ends - size]) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(group << 32)))
-        small = size < least
-        found.append(keys if small.sum() > spare else keys[~small])
+        parts, spare, least = cut(edges[group], edges[group + 1] - 1, percent)
+        for salt in range(4):
+            part = (mix(shingles + np.uint64(group + (salt << 40))) % np.uint64(parts)).astype(np.int64)
+            size = np.bincount(part, minlength=parts)
+            sums = np.zeros(len(shingles) + 1, np.uint64)
+            np.cumsum(mix(shingles)[np.argsort(part, kind="stable")], out=sums[1:])
+            ends = np.cumsum(size)
+            name = np.arange(parts, dtype=np.uint64) + np.uint64((group << 32) + (salt << 56))
+            keys = mix((sums[ends] - sums[ends - size]) + mix(name))
+            small = size < least
+            enough = int(small.sum()) <= spare
+            found.append(keys if salt == 3 and not enough else keys[~small])
+            if enough:
+                break
     return np.concatenate(found)
 
 
-def light_keys(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the whole set, then of the set without each one of its shingles: hashes, and the subset's size."""
-    mixed = mix(shingles)
-    total = mixed.sum(dtype=np.uint64)
-    n = np.uint64(len(shingles))
-    keys = np.concatenate([[mix(np.array([total + n], np.uint64))[0]], mix(total - mixed + (n - np.uint64(1)))]) if len(shingles) > 1 else mix(np.array([total + n], np.uint64))
-    return keys, np.array([len(shingles)] + [len(shingles) - 1] * (len(keys) - 1), np.int64)
+def light_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and sizes of the subsets that a linked partner of no smaller size can share in full."""
+    mixed, n = mix(shingles), len(shingles)
+    total, keys, sizes = mixed.sum(dtype=np.uint64), [], []
+    for gone in range(lacking(n, percent) + 1):
+        places = list(combinations(range(n), gone))
+        at = np.array(places, np.int64).reshape(len(places), gone)
+        keys.append(mix(total - mixed[at].sum(axis=1, dtype=np.uint64) + np.uint64(n - gone)))
+        sizes.append(np.full(len(at), n - gone, np.int64))
+    return np.concatenate(keys), np.concatenate(sizes)
+
+
+def set_id(shingles: np.ndarray) -> int:
+    x = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return x - (1 << 64) * (x >> 63)
 
 
 def _signatures(k: int, percent: int):
-    light, weak = light_most(percent), thin(percent)
-    least = bands(percent, 1)[0]
+    """Per document the id and size of its set, the whole set where it can be light, and the prefix."""
+    light = light_most(percent)
 
     def run(batches):
-        edges = bands(percent, 1 << 16)
-        for batch in batches:
-            n, sid, lights, sizes, heavies = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_hashes(text, k)
-                n.append(len(s))
-                sid.append(set_id(s) if len(s) else None)
-                a, b = light_keys(s) if 0 < len(s) <= light else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                while len(s) >= edges[-1]:
-                    edges.append(100 * edges[-1] // percent + 1)
-                lights.append(signed(a))
-                sizes.append(b)
-                heavies.append(np.zeros(0, np.int64) if len(s) < least else signed(prefix(s, percent) if weak else heavy_keys(s, percent, edges)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), int64_lists(lights), int64_lists(sizes), int64_lists(heavies)], ["doc_id", "hash", "n_shingles", "sid", "light", "light_size", "heavy"])
+        for batch in slices(batches):
+            sets = [shingle_hashes(t, k) for t in batch.column(1).to_pylist()]
+            n, sid = [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]
+            small = int64_lists([signed(s) if len(s) <= light else np.zeros(0, np.int64) for s in sets])
+            first = int64_lists([signed(prefix(s, percent)) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), small, first], ["doc_id", "hash", "n_shingles", "sid", "small", "prefix"])
 
     return run
 
 
-def set_id(shingles: np.ndarray) -> int:
-    x = xxhash.xxh3_64_intdigest(shingles.tobytes())
-    return x - (1 << 64) * (x >> 63)
+def boundary(small: DataFrame, percent: int) -> int:
+    """The light sets' largest size, by cost: what enumeration emits for the sizes up to it and scanning reads for those beyond.
+
+    small has the different sets (sid, n_shingles, prefix) up to the largest size that may be light; a size's scanning cost is
+    the length of the inverted lists of its sets' prefixes. Both are sums by size: one row for each, light_most of them."""
+    lists = small.select("n_shingles", F.explode("prefix").alias("key"))
+    length = lists.groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").cast("string").alias("k"), "n")
+    scan = lists.join(length, F.col("key").cast("string") == F.col("k")).groupBy("n_shingles").agg(F.sum("n").alias("scan"))
+    rows = small.groupBy("n_shingles").agg(F.count("*").alias("sets")).join(scan, "n_shingles", "left").collect()
+    costs = {r.n_shingles: (r.sets * sum(math.comb(r.n_shingles, g) for g in range(lacking(r.n_shingles, percent) + 1)), r.scan or 0) for r in rows}
+    total = lambda x: sum(light if n <= x else heavy for n, (light, heavy) in costs.items())
+    return min(range(light_most(percent) + 1), key=lambda x: (total(x), x))
+
+
+def _subsets(percent: int):
+    def run(batches):
+        for batch in slices(batches, 2000):
+            lists = batch.column(2)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sets = np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
+            made = [light_keys(s, percent) for s in sets]
+            times = pa.array(np.repeat(np.arange(len(made)), [len(a) for a, _ in made]))
+            keys, sizes = (np.concatenate(x) if made else np.zeros(0, np.int64) for x in (list(zip(*made)) or ((), ())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(times), batch.column(1).take(times), pa.array(signed(keys)), pa.array(sizes)], ["sid", "n_shingles", "key", "o"])
+
+    return run
+
+
+def _light_links(small: DataFrame, percent: int) -> DataFrame:
+    """Sets that share a whole subset are linked, if their sizes allow it: a star around the smallest of them, as whoever links
+    by this subset links with that one too."""
+    subsets = small.select("sid", "n_shingles", "small").mapInArrow(_subsets(percent), "sid long, n_shingles long, key long, o long")
+    rank = F.struct(F.col("n_shingles").alias("n"), F.col("sid").alias("s"))
+    hubs = subsets.groupBy("key", "o").agg(F.min(rank).alias("hub"), F.max(rank).alias("last")).where("hub <> last")
+    hubs = hubs.select(F.col("key").cast("string").alias("hub_key"), F.col("o").alias("hub_o"), "hub.n", "hub.s")
+    found = subsets.join(hubs, (F.col("key").cast("string") == F.col("hub_key")) & (F.col("o") == F.col("hub_o")))
+    return found.where((F.col("sid") != F.col("s")) & (100 * F.col("o") >= percent * (F.col("n_shingles") + F.col("n") - F.col("o")))).select(F.col("sid").alias("a"), F.col("s").alias("b"))
 
 
 def _sets(k: int, wanted):
     """The sets of the documents whose text hash the filter holds."""
     def run(batches):
-        for batch in batches:
-            held = np.flatnonzero(wanted.value.holds(batch.column(2).to_numpy()))
-            batch = batch.take(pa.array(held))
+        for batch in slices(batches):
+            batch = batch.take(pa.array(np.flatnonzero(wanted.value.holds(batch.column(2).to_numpy()))))
             sets = [shingle_hashes(t, k) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()), int64_lists([signed(s) for s in sets])], ["id", "hash", "set", "shingles"])
 
     return run
 
 
+def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """members (sid, doc_id, hash and more), one row for each set, with the set's shingles instead of doc_id and hash."""
+    wanted = bloom_of(members.select("hash"))
+    sets = docs.mapInArrow(_sets(k, wanted), "id long, hash long, set long, shingles array<long>").withColumnsRenamed({"hash": "h"})
+    found = members.join(sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h")))
+    return found.select(*(c for c in members.columns if c not in ("doc_id", "hash")), "shingles")
+
+
+def _promising(found, least, keys: str):
+    """The rows of which so many of the keys (a list column) are in the filter as a linked set must have there at least."""
+    def run(batches):
+        for batch in slices(batches, 2000):
+            lists = batch.column(keys)
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            held = found.value.holds(lists.flatten().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(lengths)
+            sums = np.concatenate([[0], np.cumsum(held)])
+            needed = np.array([least(n) for n in batch.column("n_shingles").to_pylist()], np.int64)
+            yield batch.filter(pa.array(sums[ends] - sums[ends - lengths] >= needed)).drop_columns([keys] if keys == "prefix" else [])
+
+    return run
+
+
+def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sid, n_shingles, shingles) of the heavy sets that can have a partner: enough of their shingles are in other sets too."""
+    keys = made.select("sid", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    often = bloom_of(keys.where("lo <> hi").select("key"))
+    few = made.select("doc_id", "hash", "n_shingles", "sid", "prefix").mapInArrow(_promising(often, lambda n: shared_least(n, percent), "prefix"), "doc_id long, hash long, n_shingles long, sid long")
+    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"))
+    # Repeated rows have the same id and text, and so bring a set more than once.
+    sets = staged(_with_sets(docs, one, k).dropDuplicates(["sid"]))
+    again = bloom_of(sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key"))
+    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema))
+
+
+def _part_keys(percent: int, light: int):
+    def run(batches):
+        edges = bands(percent, light, 1 << 16)
+        for batch in slices(batches):
+            lists = batch.column("shingles")
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sets = np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
+            while len(ends) and max(map(len, sets)) >= edges[-1]:
+                edges.append(100 * edges[-1] // percent + 1)
+            keys = [signed(heavy_keys(s, percent, edges)) for s in sets]
+            owner = pa.array(np.repeat(np.arange(len(sets)), list(map(len, keys))))
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(owner), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["sid", "key"])
+
+    return run
+
+
 def _held(wanted):
-    """(sid, key) of the keys that the filter holds."""
+    """The rows (sid, key) whose key the filter holds."""
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            held = np.flatnonzero(wanted.value.holds(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[held])), pa.array(keys[held])], ["sid", "key"])
+            yield batch.filter(pa.array(wanted.value.holds(batch.column(1).to_numpy())))
 
     return run
 
 
-def forest_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+def _shared_parts(likely: DataFrame, percent: int, light: int) -> DataFrame:
+    """(sid, key, hub): the parts that several sets share, those with the same sets once, with the least of their sets."""
+    parts = staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent, light), "sid long, key long"))
+    often = bloom_of(parts.groupBy("key").count().where("count > 1").select("key"))
+    parts = parts.mapInArrow(_held(often), parts.schema)
+    prints = [F.sum(F.xxhash64("sid", F.lit(i)).cast("decimal(20)")).alias(f"sum{i}") for i in (1, 2)]
+    sets = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("hub"), F.max("sid").alias("last"), *prints).where("hub <> last")
+    once = sets.groupBy("n", "hub", "last", "sum1", "sum2").agg(F.min("key").alias("key")).select(F.col("key").cast("string").alias("k"), "hub")
+    return staged(parts.join(once, F.col("key").cast("string") == F.col("k")).select("sid", "key", "hub"))
+
+
+def _hub_links(likely: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Links of sets with the least sets that they share a part with."""
+    pairs = parts.where("sid <> hub").select("sid", "hub").distinct()
+    text = lambda c: F.col(c).cast("string")
+    left = pairs.join(likely.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), text("sid") == text("a"))
+    both = left.join(likely.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), text("hub") == text("b"))
+    overlap = F.size(F.array_intersect("x", "y"))
+    return both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
+
+
+def forest_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, left_root=None, right_root=None) -> list[tuple[int, int]]:
     """Links between two blocks of sets (or within one), by scanning the inverted lists of the one with each set of the other;
-    the links that join no new parts of the forest are left out. Places count on through both blocks."""
+    the links that join no new parts of the forest are left out: it begins with the sets of equal roots, if they are given.
+    Places count on through both blocks."""
     other = left if right is None else right
     sizes = np.array([len(s) for s in other], np.int64)
     owner = np.repeat(np.arange(len(other)), sizes)
@@ -164,7 +292,9 @@ def forest_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     base = 0 if right is None else len(left)
-    root = list(range(base + len(other)))
+    known: dict = {}
+    names = [*(left_root or ()), *(() if right is None else right_root or ())]
+    root = [known.setdefault(name, i) for i, name in enumerate(names)] or list(range(base + len(other)))
 
     def top(i):
         while root[i] != i:
@@ -191,113 +321,73 @@ def _verify(percent: int):
     def run(key, group):
         side = group.column("side").to_numpy()
         order = np.argsort(side, kind="stable")
-        sids = group.column("sid").to_numpy()[order]
+        sids, roots = group.column("sid").to_numpy()[order], group.column("root").to_numpy()[order].tolist()
         lists = group.column("shingles").combine_chunks()
         flat, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         sets = [flat[offsets[i] : offsets[i + 1]] for i in order]
-        cut = int((side == 0).sum())
-        found = forest_links(sets[:cut], sets[cut:] if cut < len(sets) else None, percent)
+        split = int((side == 0).sum())
+        found = []
+        if len(set(roots)) > 1:
+            two = key[1].as_py() != key[2].as_py()
+            found = forest_links(sets[:split], sets[split:] if two else None, percent, roots[:split], roots[split:])
         return pa.table({"a": pa.array([int(sids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(sids[j]) for _, j in found], pa.int64())})
 
     return run
 
 
-def _light_links(made: DataFrame, percent: int) -> DataFrame:
-    """Sets that share a whole fixed-size subset are linked, if their sizes allow it: a star around the subset itself, if it is
-    a set, or else around the smallest id."""
-    subsets = made.where("size(light) > 0").select("sid", "n_shingles", F.explode(F.arrays_zip("light", "light_size")).alias("x"))
-    subsets = subsets.select("sid", "n_shingles", F.col("x.light").alias("key"), F.col("x.light_size").alias("o")).where((100 * F.col("o") >= percent * F.col("n_shingles")) | (F.col("o") == F.col("n_shingles"))).distinct()
-    rank = F.struct(F.col("n_shingles").alias("n"), F.col("sid").alias("s"))
-    hubs = subsets.groupBy("key", "o").agg(F.min(rank).alias("hub"), F.max(rank).alias("last")).where("hub <> last")
-    hubs = hubs.select(F.col("key").cast("string").alias("hub_key"), F.col("o").alias("hub_o"), "hub.n", "hub.s")
-    found = subsets.join(hubs, (F.col("key").cast("string") == F.col("hub_key")) & (F.col("o") == F.col("hub_o")))
-    return found.where((F.col("sid") != F.col("s")) & (100 * F.col("o") >= percent * (F.col("n_shingles") + F.col("n") - F.col("o")))).select(F.col("sid").alias("a"), F.col("s").alias("b"))
-
-
-def _clusters(made: DataFrame) -> DataFrame:
-    """(sid, cluster, blocks): heavy sets that share a part with another set, by candidate cluster."""
-    keys = made.select(F.explode("heavy").alias("key"))
-    often = bloom_of(keys.groupBy("key").count().where("count > 1").select("key"))
-    parts = made.select("sid", "heavy").where("size(heavy) > 0").mapInArrow(_held(often), "sid long, key long")
-    hubs = parts.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select(F.col("key").cast("string").alias("hub"), "lo")
-    edges = parts.join(hubs, F.col("key").cast("string") == F.col("hub")).where("sid <> lo").select(F.col("sid").alias("a"), F.col("lo").alias("b")).distinct()
-    found = staged(components(edges))
-    members = F.col("members")
-    blocks = F.greatest(F.least(F.lit(BLOCKS), F.ceil(members / BLOCK)), F.ceil(members / BLOCK_MOST)).cast("int")
-    sizes = found.groupBy("root").agg(F.count("*").alias("members")).select(F.col("root").cast("string").alias("r"), blocks.alias("blocks"))
-    return found.join(sizes, F.col("root").cast("string") == F.col("r")).select(F.col("node").alias("sid"), F.col("root").alias("cluster"), "blocks")
-
-
-def _promising(found, least, keys: str):
-    """The rows of which so many of the keys (a list column) are in the filter as a linked set must have there at least."""
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(keys)
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            held = found.value.holds(lists.flatten().to_numpy(zero_copy_only=False))
-            ends = np.cumsum(lengths)
-            sums = np.concatenate([[0], np.cumsum(held)])
-            needed = np.array([least(n) for n in batch.column("n_shingles").to_pylist()], np.int64)
-            yield batch.filter(pa.array(sums[ends] - sums[ends - lengths] >= needed)).drop_columns([keys] if keys == "heavy" else [])
-
-    return run
-
-
-def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """members (sid, doc_id, hash and more), one row for each set, with the set's shingles instead of doc_id and hash."""
-    wanted = bloom_of(members.select("hash"))
-    sets = docs.mapInArrow(_sets(k, wanted), "id long, hash long, set long, shingles array<long>").withColumnsRenamed({"hash": "h"})
-    found = members.join(sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h")))
-    return found.select(*(c for c in members.columns if c not in ("doc_id", "hash")), "shingles")
-
-
-def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sid, n_shingles, shingles) of the heavy sets that can have a partner: enough of their shingles are in other sets too."""
-    heavy = made.where("size(heavy) > 0")
-    keys = heavy.select("sid", F.explode("heavy").alias("key")).groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    often = bloom_of(keys.where("lo <> hi").select("key"))
-    few = heavy.select("doc_id", "hash", "n_shingles", "sid", "heavy").mapInArrow(_promising(often, lambda n: shared_least(n, percent), "heavy"), "doc_id long, hash long, n_shingles long, sid long")
-    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"))
-    # Repeated rows have the same id and text, and so bring a set more than once.
-    sets = staged(_with_sets(docs, one, k).dropDuplicates(["sid"]))
-    again = bloom_of(sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema))
-
-
-def _part_keys(percent: int):
-    def run(batches):
-        edges = bands(percent, 1 << 16)
-        for batch in batches:
-            lists = batch.column("shingles")
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
-            sets = np.split(flat, ends[:-1])
-            while len(ends) and max(map(len, sets)) >= edges[-1]:
-                edges.append(100 * edges[-1] // percent + 1)
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), int64_lists([signed(heavy_keys(s, percent, edges)) for s in sets])], ["sid", "heavy"])
-
-    return run
-
-
-def _heavy_links(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
-    if thin(percent):
-        likely = _likely_sets(docs, made, k, percent)
-        found = _clusters(staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent), "sid long, heavy array<long>")))
-        sets = likely.join(found.withColumnRenamed("sid", "s"), F.col("sid") == F.col("s"))
-    else:
-        one = made.where("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "hash")).alias("one"))
-        members = staged(_clusters(made).join(one, "sid").select("sid", "cluster", "blocks", "one.doc_id", "one.hash"))
-        sets = _with_sets(docs, members, k)
-    sets = sets.select("sid", "cluster", "blocks", "shingles", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("mine"))
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sid", "shingles", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+def _open_links(likely: DataFrame, parts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links across components of sets that share a part: of each part, the sets outside of its largest component meet each
+    other and those inside, in blocks."""
+    text = lambda c: F.col(c).cast("string")
+    named = parts.join(roots.select("node", F.col("root").alias("r")), text("sid") == text("node"), "left").select("sid", "key", F.coalesce("r", "sid").alias("root"))
+    named = named.join(likely.select(F.col("sid").alias("s"), "n_shingles"), text("sid") == text("s")).drop("s")
+    shares = staged(named.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")))
+    whole = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(text("key").alias("k"), "main")
+    outer = F.col("root") != F.col("main")
+    kinds = shares.join(whole, text("key") == F.col("k")).groupBy("k", "main").agg(
+        F.sum(F.when(outer, F.col("n"))).alias("out_n"), F.sum(F.when(outer, F.col("size"))).alias("out_size"), F.min(F.when(outer, F.col("low"))).alias("low"), F.max(F.when(outer, F.col("high"))).alias("high"),
+        F.sum(F.when(~outer, F.col("n"))).alias("in_n"), F.sum(F.when(~outer, F.col("size"))).alias("in_size"))
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
+    kinds = staged(kinds.select("k", "main", "low", "high", blocks("out_n", "out_size").alias("outs"), blocks("in_n", "in_size").alias("ins")))
+    rows = named.join(kinds, text("key") == F.col("k")).withColumn("outer", outer)
+    # Inside, sets of a size that none outside can link with are left out.
+    rows = rows.where("outer").unionByName(rows.where(~F.col("outer") & (100 * F.col("n_shingles") >= percent * F.col("low")) & (percent * F.col("n_shingles") <= 100 * F.col("high"))))
+    mine = F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    deal = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    among = F.transform(upto("outs"), lambda x: deal(F.least("mine", x), F.greatest("mine", x), (F.col("mine") > x).cast("int")))
+    out = rows.where("outer").select("sid", "root", "key", F.explode(F.concat(among, F.transform(upto("ins"), lambda x: deal(F.col("mine"), -1 - x, F.lit(0))))).alias("x"))
+    inside = rows.where(~F.col("outer")).select("sid", "root", "key", F.explode(F.transform(upto("outs"), lambda x: deal(x, -1 - F.col("mine"), F.lit(1)))).alias("x"))
+    dealt = out.unionByName(inside).select("sid", "root", "key", "x.*")
+    dealt = dealt.join(likely.select(F.col("sid").alias("s"), "shingles"), text("sid") == text("s")).drop("s")
+    return dealt.groupBy("key", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+
+
+def _linked_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root) of the sets with links."""
+    small = staged(made.where("size(small) > 0").groupBy("sid", "n_shingles").agg(F.min("small").alias("small"), F.min("prefix").alias("prefix")))
+    light = boundary(small, percent)
+    links = _light_links(small.where(F.col("n_shingles") <= light), percent)
+    likely = _likely_sets(docs, made.where(F.col("n_shingles") >= bands(percent, light, 1)[0]), k, percent)
+    parts = _shared_parts(likely, percent, light)
+    first = staged(components(links.unionByName(_hub_links(likely, parts, percent))))
+    text = lambda c: F.col(c).cast("string")
+    found = staged(_open_links(likely, parts, first, percent))
+    for side in "ab":
+        names = first.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        found = found.join(names, text(side) == text("n"), "left").withColumn(side, F.coalesce("r", side)).drop("n", "r")
+    merged = staged(components(found))
+    later = merged.select(F.col("node").alias("n"), F.col("root").alias("r"))
+    moved = first.join(later, text("root") == text("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    return moved.unionByName(merged.join(first.select("node"), "node", "left_anti"))
 
 
 def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, hash (of the text), n_shingles and first: (doc_id, hash) of the component's first row, null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    made = staged(docs.mapInArrow(_signatures(k, percent), "doc_id long, hash long, n_shingles long, sid long, light array<long>, light_size array<long>, heavy array<long>"))
-    found = components(_light_links(made, percent).unionByName(_heavy_links(docs, made, k, percent)))
+    made = staged(docs.mapInArrow(_signatures(k, percent), "doc_id long, hash long, n_shingles long, sid long, small array<long>, prefix array<long>"))
+    found = _linked_sets(docs, made, k, percent)
     # Nulls sort first in structs, so the id's absence comes before it.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     ids = made.where("sid is not null").groupBy("sid").agg(F.min(place).alias("low"))
@@ -317,7 +407,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 def _touched(found, wanted: bool):
     """The rows whose key the filter holds, or those whose key it does not hold."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             held = found.value.holds(batch.column("key").to_numpy())
             yield batch.filter(pa.array(held if wanted else ~held))
 
@@ -340,4 +430,4 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return finished(spark, lambda: jaccard_components(table(spark, sf_dir, "documents")))

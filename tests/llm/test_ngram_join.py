@@ -51,5 +51,5 @@ def test_empty_table(spark):
 
 
 def test_boundary():
-    assert light_most(90) == 19 and light_most(80) == 9
+    assert light_most(90, 1) == 19 and light_most(80, 1) == 9 and light_most(90) == 29
     assert need(10, 9, 90) == 9 and need(20, 20, 90) == 19
