@@ -2,13 +2,16 @@
 
 Terms are whole words or stems that labelled toxic documents hold and clean ones do not. They form a trie; the Levenshtein
 automaton of one edit is intersected with it lazily: a state is a set of (trie node, edits), made once per worker and kept, so
-a word costs one look-up per letter until no term is in reach. Each hit is read in its window of words: inside quotation marks
-or next to a reporting word it counts as quoted, next to a second-person word as direct. A logistic regression on these counts
-gives the score.
-
-The model is fitted on at most ``SAMPLE`` labelled rows (those with the least hashes of their id; never held-out ones); every
-text is scored whole. A null or empty text scores as one without hits. Repeated rows score alike; extra columns are ignored;
-without labelled rows of both kinds the lexicon is empty and every score is the smoothed share of toxic rows.
+a word costs one look-up per letter until no term is in reach. Symbols between letters belong to the word, so a masked letter
+is an edit like any other. Each hit, misspelled or not, is read in its window of words: inside quotation marks (that open and
+close near it in its line) or next to a reporting word it counts as quoted, next to a second-person word as direct. A logistic
+regression on these counts gives the score.
+
+The model is fitted on at most ``SAMPLE`` labelled texts (those with the least hashes of their id; never held-out ones): counts
+by term and features are made by the workers, the driver gets at most ``TERMS`` terms and a row of features for each text. Every
+text is scored whole, however long. A null or empty text scores as one without hits. Repeated rows score alike; a text labelled
+both ways counts as toxic; extra columns are ignored; without labelled rows of both kinds the lexicon is empty and every score
+is the smoothed share of toxic rows. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -21,21 +24,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import drop, slices, staged, staging, table
 
-SAMPLE, WINDOW, EDITS, FUZZY_LEAST = 12_000, 6, 1, 5
+SAMPLE, TERMS, WINDOW, QUOTE, EDITS = 12_000, 20_000, 6, 40, 1
+#: Shorter terms are matched as they are: at one edit, most words of two to four letters are another one.
+FUZZY_LEAST = 5
 STEMS = range(4, 9)
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„]")
+_WORD = re.compile(r"[^\W_]+(?:['’*@#$]+[^\W_]+)*|[\"“”«»„]|\n")
+OPENING, MARKS = frozenset("“«„"), frozenset("\"“”«»„")
 #: Words that report what others said, and words that address the reader.
-REPORTING = frozenset("said says say wrote quoted quote quotes reported called calls quoting cited".split())
-DIRECT = frozenset("you your yours you're u are tu du vous sie usted".split())
-_LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
+REPORTING = frozenset("said says say wrote quoted quote quotes reported called calls quoting cited dit écrit cité appelé sagte schrieb zitiert nannte dijo escribió citó llamó".split())
+DIRECT = frozenset("you your yours you're u are tu te du dich vous sie usted".split())
+_LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
 def tokens(text: str | None) -> list[str]:
+    """Words in lower case, quotation marks and line ends."""
     return [w.translate(_LOOKALIKE) if not w.isalpha() and any(map(str.isalpha, w)) else w for w in _WORD.findall(text.lower())] if text else []
 
 
+def context(words: list[str], i: int) -> tuple[bool, bool]:
+    """Whether the word at i is quoted, and whether it is direct."""
+    left, right = words[max(0, i - QUOTE) : i][::-1], words[i + 1 : i + 1 + QUOTE]
+    left, right = (x[: x.index("\n")] if "\n" in x else x for x in (left, right))
+    before = [w for w in left if w in MARKS]
+    inside = bool(before) and not MARKS.isdisjoint(right) and (before[0] in OPENING or before[0] == '"' and before.count('"') % 2 == 1)
+    around = words[max(0, i - WINDOW) : i + WINDOW + 1]
+    return inside or not REPORTING.isdisjoint(around), not DIRECT.isdisjoint(around)
+
+
 @dataclass
 class Lexicon:
     words: list[str]
@@ -119,7 +136,7 @@ class Lexicon:
         return self.found[state][0], stem
 
 
-FEATURES = ["exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "direct", "exact_share", "any"]
+FEATURES = ["exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "direct", "quoted_fuzzy", "direct_fuzzy", "exact_share", "any"]
 
 
 class Scorer:
@@ -138,53 +155,58 @@ class Scorer:
         for word in set(words).difference(known):
             a, b = match(word)
             known[word] = 1 if a == 0 else 2 if b == 0 else 3 if a == 1 else 4 if b == 1 else 0
-        hits = [i for i, word in enumerate(words) if known[word]]
-        if hits:
-            quotes = np.cumsum([w in "\"“”«»„" for w in words])
-            for i in hits:
-                kind = known[words[i]]
-                counts[kind] += 1
-                around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                if kind <= 2:
-                    open_quote = quotes[i] % 2 == 1 and quotes[-1] > quotes[i]
-                    counts["quoted"] += open_quote or not REPORTING.isdisjoint(around)
-                    counts["direct"] += not DIRECT.isdisjoint(around)
+        for i in [i for i, word in enumerate(words) if known[word]]:
+            kind = known[words[i]]
+            quoted, direct = context(words, i)
+            counts[kind] += 1
+            counts["quoted" if kind <= 2 else "quoted_fuzzy"] += quoted
+            counts["direct" if kind <= 2 else "direct_fuzzy"] += direct
         strong = counts[1] + counts[2]
-        return np.array([np.log1p(counts[1]), np.log1p(counts[2]), np.log1p(counts[3]), np.log1p(counts[4]), np.log1p(counts["quoted"]), np.log1p(counts["direct"]), min(1.0, 20 * strong / (len(words) + 20)), float(strong > 0)])
+        logs = [np.log1p(counts[c]) for c in (1, 2, 3, 4, "quoted", "direct", "quoted_fuzzy", "direct_fuzzy")]
+        return np.array([*logs, min(1.0, 20 * strong / (len(words) + 20)), float(strong > 0)])
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(text) @ self.weights + self.bias, -30, 30))))
 
 
-def learn(rows: list[tuple[str | None, int]]) -> Scorer:
-    """From (text, toxic) rows; a text that occurs several times counts once."""
-    rows = list(dict(rows).items())
-    toxic = sum(y for _, y in rows)
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    tails: dict[str, set] = defaultdict(set)
-    for text, y in rows:
-        words = {w for w in tokens(text) if len(w) >= 3 and w.isalpha()}
-        starts = {w[:k] for w in words for k in STEMS if len(w) > k}
-        seen[y].update(("w", w) for w in words)
-        seen[y].update(("s", s) for s in starts)
-        if y:
-            for w in words:
-                for k in STEMS:
-                    if len(w) > k and len(tails[w[:k]]) < 4:
-                        tails[w[:k]].add(w)
+def _terms(batches):
+    """(kind, term, toxic, n): in how many texts of a task a word (w) or a start of words (s) occurs, by label."""
+    counts: Counter = Counter()
+    for batch in slices(batches):
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = {w for w in tokens(text) if len(w) >= 3 and w.isalpha()}
+            counts.update(("w", w, toxic) for w in words)
+            counts.update(("s", s, toxic) for s in {w[:k] for w in words for k in STEMS if len(w) > k})
+    rows = list(counts)
+    for i in range(0, len(rows), 50_000):
+        part = rows[i : i + 50_000]
+        kinds, terms, toxic = zip(*part)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(terms), pa.array(toxic, pa.int32()), pa.array([counts[x] for x in part], pa.int64())], ["kind", "term", "toxic", "n"])
+
+
+def lexicon_of(texts: DataFrame, toxic: int) -> Lexicon:
+    """Of (text, toxic) rows: terms that many toxic texts hold and hardly any clean one; stems are starts of four different words
+    or more, the shortest that tells, and take the place of the words that begin with them."""
     enough = max(4, toxic // 40)
-    telling = {t: n for t, n in seen[1].items() if n >= enough and n >= 30 * seen[0][t] + enough * (seen[0][t] > 0)}
+    n = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+    terms = staged(texts.mapInArrow(_terms, "kind string, term string, toxic int, n long").groupBy("kind", "term").agg(n(1).alias("bad"), n(0).alias("good")).where("bad > 0"))
+    starts = F.explode(F.array(*(F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS)))
+    tails = terms.where("kind = 'w'").select(starts.alias("start")).where("start is not null").groupBy("start").agg(F.count("*").alias("tails")).where("tails >= 4")
+    telling = terms.where((F.col("bad") >= enough) & (F.col("bad") >= 30 * F.col("good") + F.when(F.col("good") > 0, enough).otherwise(0)))
+    telling = telling.join(tails, (F.col("kind") == "s") & (F.col("term") == F.col("start")), "left").where("kind = 'w' or tails is not null")
+    found = telling.orderBy(F.col("bad").desc(), "kind", "term").limit(TERMS).select("kind", "term").collect()
     stems: list[str] = []
-    for _, s in sorted((t for t in telling if t[0] == "s"), key=lambda t: len(t[1])):
-        if len(tails[s]) >= 4 and not any(s.startswith(x) for x in stems):
+    for s in sorted((r.term for r in found if r.kind == "s"), key=lambda t: (len(t), t)):
+        if not any(s.startswith(x) for x in stems):
             stems.append(s)
-    words = sorted(w for kind, w in telling if kind == "w" and not any(w.startswith(x) for x in stems))
-    scorer = Scorer(Lexicon(words, stems))
-    x = np.array([scorer.features(t) for t, _ in rows]).reshape(len(rows), len(FEATURES))
-    y = np.array([y for _, y in rows], float)
-    share = (toxic + 0.5) / (len(rows) + 1)
-    weights, bias = np.zeros(len(FEATURES)), float(np.log(share / (1 - share)))
-    for _ in range(60 if 0 < toxic < len(rows) else 0):  # Newton's steps with a small ridge
+    return Lexicon(sorted(r.term for r in found if r.kind == "w" and not any(r.term.startswith(x) for x in stems)), stems)
+
+
+def regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's steps with a small ridge; without both labels, the smoothed share alone."""
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    weights, bias = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
+    for _ in range(60 if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
         full = np.column_stack([x, np.ones(len(x))])
         gradient = full.T @ (p - y) + 1e-1 * np.append(weights, 0)
@@ -193,8 +215,7 @@ def learn(rows: list[tuple[str | None, int]]) -> Scorer:
         weights, bias = weights - np.clip(step[:-1], -2, 2), bias - float(np.clip(step[-1], -2, 2))
         if np.abs(step).max() < 1e-6:
             break
-    scorer.weights, scorer.bias = weights, bias
-    return scorer
+    return weights, bias
 
 
 def held_out(key):
@@ -202,18 +223,36 @@ def held_out(key):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
-    """On at most `most` labelled rows that are not held out."""
-    chosen = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "toxic").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic").toLocalIterator()
-    return learn([(text, int(y)) for text, y in rows])
+    """On at most `most` different labelled texts that are not held out."""
+    spark = docs.sparkSession
+    kept = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = kept.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text is not null")
+    with staging(spark) as folder:
+        texts = staged(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").limit(most).repartition(64))
+        toxic = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
+        scorer = Scorer(lexicon_of(texts, toxic))
+        held = spark.sparkContext.broadcast(scorer)
+
+        def run(batches):
+            for batch in slices(batches):
+                made = [held.value.features(t).tolist() for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+
+        got = texts.mapInArrow(run, "x array<double>, toxic int").toArrow()
+    drop(spark, folder)
+    x, y = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float)
+    order = np.lexsort([*x.T, y])  # sums of doubles hang on their order
+    scorer.weights, scorer.bias = regression(x[order], y[order])
+    return scorer
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, score and n_hits for each row of docs (doc_id, text)."""
+    """doc_id and score for each row of docs (doc_id, text)."""
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held.value.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
 
