@@ -8,9 +8,11 @@ worker clusters at most ``LEAF_MOST`` different lines of a leaf: a larger leaf i
 round by round, into the lines near its most frequent tokens (one template) and the others, by their token at the steadiest place.
 
 Lines of fewer than ``LEAST`` tokens, and lines that their fields leave without two constant tokens, are templates as they stand
-(digits too). Only blank lines are never dropped. Documents stay, also
-when all their lines go (empty text then); a null text stays null; the first document is the least by id, then by text;
-equal rows count once and are treated alike. Extra columns are kept by ``deduped_documents``.
+(digits too). Only blank lines are never dropped. Documents stay, also when all their lines go (empty text then); a null text
+stays null; texts are read whole, however long. The first document is the least by id (a null id before all), then by its
+text's hash; equal rows count once and are treated alike; of lines tied for a seed the first by its letters is it. An empty
+table gives no row. Extra columns are kept, whatever their names: where kept_text, n_lines or n_dropped is taken, the added
+column gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, int64_lists, keep_only, staged, table
+from .common import bloom_of, carrying, column, finished, free_names, int64_lists, keep_only, slices, staged, table
 
 DEPTH, LEAST, DOCUMENTS, VARIABLE_MOST, LEAF_MOST = 3, 3, 2, 0.3, 4000
 _DIGIT, _FIELD, FIELD = re.compile(rb"[0-9]"), re.compile(rb"(?<![^ ])[^ ]*[0-9][^ ]*"), "<*>"
@@ -55,7 +57,7 @@ def lines_of(text: str | None) -> list[bytes]:
 
 def _leaves(batches):
     keep_only()
-    for batch in batches:
+    for batch in slices(batches):
         found = []
         for text in batch.column(0).to_pylist():
             found.append(np.array(list({p[0] for p in map(parse, lines_of(text)) if p}), np.int64))
@@ -65,7 +67,7 @@ def _leaves(batches):
 def _candidates(wanted):
     def run(batches):
         keep_only()
-        for batch in batches:
+        for batch in slices(batches):
             at, leaves, lines, forms = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 parsed = {p[1]: p for p in map(parse, lines_of(text)) if p}
@@ -173,7 +175,7 @@ def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
 
 def _strip(batches):
     keep_only()
-    for batch in batches:
+    for batch in slices(batches):
         texts, n_lines, n_dropped = [], [], []
         for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
             lines, kept = lines_of(text), text
@@ -189,22 +191,28 @@ def _strip(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """The other columns of docs with kept_text, n_lines and n_dropped."""
-    columns = [c for c in docs.columns if c != "text"]
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+def _dropped(docs: DataFrame, documents: int) -> DataFrame:
+    """row (all columns of docs in one), kept_text, n_lines, n_dropped."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("row"))
     gone = dropped_lines(keyed, documents).groupBy("rk", "doc_id").agg(F.collect_set("line").alias("gone")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), "gone")
     joined = keyed.join(gone, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "gone")
-    made = joined.mapInArrow(_strip, f"row {keyed.schema['row'].dataType.simpleString()}, kept_text string, n_lines long, n_dropped long")
-    return made.select(*(F.col("row").getField(c).alias(c) for c in columns), "kept_text", "n_lines", "n_dropped")
+    return joined.mapInArrow(_strip, carrying(keyed.schema["row"].dataType, "kept_text string, n_lines long, n_dropped long"))
+
+
+def dedup_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
+    """The other columns of docs with kept_text, n_lines and n_dropped."""
+    columns, added = [c for c in docs.columns if c != "text"], ["kept_text", "n_lines", "n_dropped"]
+    own = [F.col(a).alias(free) for a, free in zip(added, free_names(added, columns))]
+    return _dropped(docs, documents).select(*(F.col("row").getField(c).alias(c) for c in columns), *own)
 
 
 def deduped_documents(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """The columns of docs, with the texts that are left (n_chars follows them)."""
-    made = dedup_lines(docs, documents)
-    return made.select(*(F.col("kept_text").alias("text") if c == "text" else F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    own = lambda c: F.col("row").getField(c)
+    cut = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long"))
+    return _dropped(docs, documents).select(*(F.col("kept_text").alias(c) if c == "text" else cut.otherwise(own(c)).alias(c) if c == "n_chars" else own(c).alias(c) for c in docs.columns))
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return finished(spark, lambda: dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")))

@@ -7,7 +7,8 @@ bins that are still open when a worker's rows end are emptied into common sequen
 powers of two, which need no padding. No row is shuffled, and a lost task is redone alike from its own split.
 
 A null or empty text is the end token alone; repeated rows are packed as often as they occur; a null doc_id stays null;
-extra columns are ignored; a very long text is cut into many whole sequences, of which none is kept back.
+extra columns are ignored; a very long text is cut into many whole sequences, of which none is kept back; ties are packed as
+they come; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -26,6 +27,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import caches, keep_only, table, words_of
 
 FILL, MOST_CUTS = 0.98, 3
+#: What a tokenizer file must say of letters and white space for words to be encoded each by itself, in lower case.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def splits_words(path: str) -> bool:
+    """Whether the tokenizer drops white space, splits at it and lower-cases, as NORMAL and SPLIT say."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    steps = lambda part, name: (whole.get(part) or {}).get(name)
+    return steps("normalizer", "normalizers") == NORMAL and steps("pre_tokenizer", "pretokenizers") == SPLIT and not whole.get("post_processor")
 
 
 class LowerWords:
@@ -69,19 +84,23 @@ class LowerWords:
 class WordIds:
     """Ids (little-endian 32-bit bytes) of words between ASCII white space, for tokenizers that drop white space and so treat
     each word by itself. New words are encoded many at a time, with a mark between them; what has been seen is kept up to a
-    bound, beyond which only the words of the texts at hand stay."""
+    bound, beyond which only the words of the texts at hand stay. Any other tokenizer gets whole texts."""
 
     MOST, MARK, TAIL = 400_000, "|", b".,;:!?&#*%$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer, self.words, self.by_word = Tokenizer.from_file(path), {}, splits_words(path)
+        if not self.by_word:
+            return
         (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self.lower = LowerWords.of(path) if sys.byteorder == "little" and array("I").itemsize == 4 else None
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        return self._whole([w.decode("utf-8", "surrogatepass") for w in words])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_joined(self, words: list[bytes]) -> list[bytes]:
@@ -124,6 +143,8 @@ class WordIds:
             known[word] = ids + known[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return self._whole([t or "" for t in texts])
         words = [words_of(t) for t in texts]
         self.learn(set().union(*words))
         get = self.words.__getitem__

@@ -2,8 +2,9 @@
 by its own order of preference, so shards get nearly equal numbers of slots, and one that comes or goes moves few documents.
 
 The table is a broadcast side of `size` rows, whatever the documents: a placement is one hash and one look-up. The main path
-is DataFrame functions only. A null id is placed by the empty key; equal ids go to the same shard; other columns are kept by
-``placed`` (slot and shard are added, and replace columns of these names).
+is DataFrame functions only. A null id is placed by the empty key; equal ids go to the same shard, however many; texts are not
+read, so their length does not matter; an empty table gives no row. Other columns are kept by ``placed``, whatever their names:
+where slot or shard is taken, the added column gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import column, free_names, table
 
 SIZE, SHARDS = 65_537, 64
 
@@ -50,10 +51,11 @@ def slot_of(key, size: int = SIZE):
 def placed(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None, size: int = SIZE) -> DataFrame:
     """docs with slot and shard (its place in shards)."""
     slots = ",".join(map(str, lookup(shards or names(SHARDS), size)))
-    spread = docs.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(slots), ",")).alias("_slot", "_shard"))
-    spread = spread.select("_slot", F.col("_shard").cast("int").alias("_shard"))
-    rows = docs.withColumn("slot", slot_of(F.col(key), size))
-    return rows.join(F.broadcast(spread), F.col("slot") == F.col("_slot")).withColumn("shard", F.col("_shard")).drop("_slot", "_shard")
+    slot, shard, at, owner = free_names(["slot", "shard", "at", "owner"], docs.columns)
+    spread = docs.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(slots), ",")).alias(at, owner))
+    spread = spread.select(at, F.col(owner).cast("int").alias(owner))
+    rows = docs.withColumn(slot, slot_of(column(key), size))
+    return rows.join(F.broadcast(spread), F.col(slot) == F.col(at)).withColumn(shard, F.col(owner)).drop(at, owner)
 
 
 def op7_permutation_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

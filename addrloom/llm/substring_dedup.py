@@ -7,8 +7,10 @@ equal windows choose alike), the windows between two anchors form a run, and run
 runs whose anchor recurs but whose content does not are counted one by one. Counting combines map-side, so a passage in a
 third of all documents costs no task more than its map tasks' partial counts.
 
-Windows are judged on the input. A null, empty or short text loses nothing; equal rows are each other's repetition; a null
-doc_id is a document like any other; extra columns are kept by ``dedup``.
+Windows are judged on the input. A null, empty or short text loses nothing; a text is read whole, however long; equal rows are
+each other's repetition, and so are tied ones (all of them lose the words); a null doc_id is a document like any other; an
+empty table gives no row. Extra columns are kept, whatever their names: where kept_text, n_words, n_removed or spans is taken,
+the added column gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, hash_words, int64_lists, mix, signed, staged, table, words_of
+from .common import bloom_of, carrying, column, finished, free_names, hash_words, int64_lists, mix, signed, slices, staged, table, words_of
 
 ANCHOR = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -60,7 +62,7 @@ def runs(ranges: Ranges, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _anchors(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
@@ -72,7 +74,7 @@ def _anchors(least: int):
 
 def _runs(least: int, wanted):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at, ctx, ws, size, windows = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 words = words_of(text)
@@ -117,9 +119,9 @@ def repeated_spans(docs: DataFrame, least: int = 35) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def _cut(columns: list[str], least: int):
+def _cut(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts, n_words, n_removed, spans = [], [], [], []
             for text, firsts, sizes in zip(batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("sizes").to_pylist()):
                 words, cover, found = words_of(text), None, []
@@ -136,28 +138,37 @@ def _cut(columns: list[str], least: int):
                 texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
                 spans.append(found)
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), spans], ["row", "kept_text", "n_words", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), spans], ["row", *ADDED])
 
     return run
 
 
+ADDED = ["kept_text", "n_words", "n_removed", "spans"]
+_KINDS = "kept_text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
+
+
+def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
+    """row (the carried columns in one) and what is added."""
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in carried)).alias("row"))
+    # Equal rows have the same spans: each span is gathered once, however often its row occurs.
+    found = repeated_spans(keyed.select("rk", "doc_id", "text"), least).groupBy("rk", "doc_id", "first").agg(F.max("size").alias("size"))
+    per = found.groupBy("rk", "doc_id").agg(F.collect_list(F.struct("first", "size")).alias("x")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
+    joined = keyed.join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
+    return joined.mapInArrow(_cut(least), carrying(keyed.schema["row"].dataType, _KINDS))
+
+
 def dedup(docs: DataFrame, least: int = 35) -> DataFrame:
-    """docs with kept_text (kept words joined by a space), n_words, n_removed and spans (word ranges that are removed)."""
+    """The other columns of docs with kept_text (kept words joined by a space), n_words, n_removed and spans (removed ranges)."""
     columns = [c for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("_rk", F.xxhash64("doc_id", "text")).select(F.col("_rk").alias("rk"), "doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
-    found = repeated_spans(keyed, least)
-    per = found.groupBy("rk", "doc_id").agg(F.collect_list("first").alias("firsts"), F.collect_list("size").alias("sizes")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), "firsts", "sizes")
-    joined = keyed.join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
-    kind = keyed.schema["row"].dataType.simpleString()
-    made = joined.mapInArrow(_cut(columns, least), f"row {kind}, kept_text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
-    return made.select(*(F.col("row").getField(c).alias(c) for c in columns), "kept_text", "n_words", "n_removed", "spans")
+    own = [F.col(a).alias(free) for a, free in zip(ADDED, free_names(ADDED, columns))]
+    return _removed(docs, least, columns).select(*(F.col("row").getField(c).alias(c) for c in columns), *own)
 
 
 def deduped_documents(docs: DataFrame, least: int = 35) -> DataFrame:
-    """The same columns as docs; a text that loses nothing stays as it is."""
-    columns = docs.columns
-    made = dedup(docs.withColumn("_text", F.col("text")), least)
-    return made.select(*(F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_text")).alias("text") if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
+    """The same columns as docs; a text that loses nothing stays as it is (n_chars follows the texts)."""
+    cut, own = F.col("n_removed") > 0, lambda c: F.col("row").getField(c)
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return _removed(docs, least, docs.columns).select(*(F.when(cut, changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c) for c in docs.columns))
 
 
 class SuffixAutomaton:
@@ -226,7 +237,7 @@ def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, sh
     automata = docs.sparkSession.sparkContext.broadcast([SuffixAutomaton(s) for s in shards])
 
     def spans(batches):
-        cut = _cut([], least)
+        cut = _cut(least)
 
         def fed():
             for batch in batches:
@@ -242,9 +253,10 @@ def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, sh
         yield from cut(fed())
 
     rows = docs.select(F.struct("doc_id").alias("row"), "text")
-    made = rows.mapInArrow(spans, f"row {rows.schema['row'].dataType.simpleString()}, kept_text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>")
-    return made.select("row.doc_id", "kept_text", "n_words", "n_removed", "spans")
+    made = rows.mapInArrow(spans, carrying(rows.schema["row"].dataType, _KINDS))
+    return made.select("row.doc_id", *ADDED)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return finished(spark, lambda: dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))

@@ -20,7 +20,7 @@ def test_top_k_against_brute_force(spark):
         if i % 50 == 0:
             found = sorted((-int(q @ v), j) for j, v in good if j != i and len(v) == len(q))[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
-    for shard_rows, block_rows in ((1000, 1000), (60, 3)):
+    for shard_rows, block_rows in ((1000, 1000), (60, 3), (7, 2)):
         got = sorted(tuple(x) for x in exact_search.top_k(df, 5, 50, shard_rows, block_rows).select("query_id", "rank", "vec_id", "score").collect())
         assert got == sorted(want)
     assert exact_search.top_k(df.limit(0)).collect() == []
@@ -33,7 +33,7 @@ def test_sharding(spark):
     assert max(counts.values()) - min(counts.values()) <= 1
     fewer = sharding.lookup(shards[:-1], 503)
     assert sum(a != b for a, b in zip(slots, fewer) if a < 6) < 0.25 * 503
-    df = spark.createDataFrame([(i if i else None, "t", i) for i in range(300)] + [(5, "t", 0)], "doc_id long, text string, shard int")
+    df = spark.createDataFrame([(i if i else None, "t", i) for i in range(300)] + [(5, "t", 0)], "doc_id long, text string, n int")
     got = sharding.placed(df, shards=shards, size=503).collect()
     assert len(got) == 301 and all(r.shard == slots[r.slot] for r in got) and len({r.shard for r in got if r.doc_id == 5}) == 1
     assert sharding.placed(df.limit(0)).collect() == []

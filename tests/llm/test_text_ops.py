@@ -112,7 +112,7 @@ def brute_quality(t):
 def test_quality(spark):
     rows = texts(3) + ["one two\none two\n\n one two\n###", "UP UP | UP " * 40, "z\x0bz\x0cz\n\x0b\nz\x0bz\x0cz"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, n_words int").repartition(3)
-    got = {r.doc_id: r for r in quality.judged(quality.ledger(df), "strict-1").collect()}
+    got = {r.doc_id: r for r in quality.judged(quality.ledger(df), "strict-2").collect()}
     for i, t in enumerate(rows):
         r = got[i]
         m = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
@@ -122,7 +122,7 @@ def test_quality(spark):
     kept = quality.kept_documents(df)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
     bits = [r.rule_bits for r in got.values()]
-    for r in quality.ablations(quality.ledger(df), "strict-1").collect():
+    for r in quality.ablations(quality.ledger(df), "strict-2").collect():
         b = quality.bit(r.rule)
         assert (r.n_failed, r.n_kept_without, r.n_kept) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), bits.count(0))
     assert quality.ledger(df.limit(0)).collect() == []
