@@ -7,13 +7,15 @@ that they would scan. Candidates of heavy sets come in steps, of which none lose
 
 * Sets that cannot have a partner go: those with too few shingles, in a prefix of the sorted hashes and then in the whole set,
   that any other set has.
-* A set is cut by shingle hash into more parts than a linked pair can differ in (pigeonhole), so that linked sets share whole
-  parts, and more than ``spare`` of them. Parts of few shingles say little and are left out; a set with more than ``spare`` of
-  such parts is cut anew by another hash, and so is any set that it shares only such parts with.
-* Each set is compared with the least set that it shares a part with. Parts whose sets are all in one component then are done.
-* Of the others, the sets outside the part's largest component meet one another and that component, block against block, by
-  scanning inverted lists of the block's shingles. Parts with the same sets are scanned once. A part's sets only meet sets that
-  share this very part, so chains of parts do not add up, and blocks are bounded in sets and in shingles.
+* A set is cut by shingle hash into more parts than a linked pair can differ in (pigeonhole): linked sets share whole parts, and
+  more than ``spare`` of them. Sets that share fewer with all others together go. Empty parts say nothing and are left out, and
+  so are small ones while few enough; a set with more than ``spare`` of such parts is cut anew by another hash, and so is any set
+  that it shares only such parts with.
+* Each set is compared with one other: of the least sets of its parts the one that it shares most parts with. Parts whose sets
+  then are all in one component are done.
+* Sets that share one of the other parts form clusters. In a cluster the sets outside its largest component meet one another and
+  that component, block against block, by scanning inverted lists of the block's shingles. Blocks are bounded in sets and in
+  shingles, and a large group of near copies is one component by then, which is not scanned against itself.
 
 Null, empty and blank texts have no shingle and link with nothing; equal rows link with each other; ties for a component's name
 go to the least id; a null doc_id is kept (a component of null ids only has a null id); texts are read whole, however long; an
@@ -66,15 +68,15 @@ def bands(percent: int, light: int, most: int) -> list[int]:
 def cut(lowest: int, highest: int, percent: int) -> tuple[int, int, int]:
     """(parts, spare, least) for pairs whose smaller set has from lowest to highest shingles: linked ones share more than
     `spare` of the parts; parts of fewer than `least` shingles are left out. At the lowest size, parts that small are rarely
-    more than `spare`."""
+    more than a third of `spare`, if they are not just the empty ones."""
     needed = (100 - percent) * highest // percent + 1
-    spare = 3 * needed // 5 + 2
+    spare = needed + 2
     parts, least, below = needed + spare, 1, 0.0
     mean = lowest / parts
     for k in range(6):
         below += math.exp(-mean) * mean**k / math.factorial(k)
         expected = parts * below
-        if expected + 3 * math.sqrt(expected) > spare:
+        if expected + 3 * math.sqrt(expected) > spare / 3:
             break
         least = k + 1
     return parts, spare, least
@@ -92,8 +94,9 @@ def shared_least(n: int, percent: int) -> int:
     return -(-(-(-percent * n // 100)) // 10)
 
 
-def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarray:
-    """Hashes of the set's parts, for the pairs in which its band is the lower one and those in which it is the upper one.
+def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> list[tuple[int, int, np.ndarray]]:
+    """(band, least, keys) for the pairs in which its band is the lower one and those in which it is the upper one: the lower
+    band, how many of the keys a linked set has too at least, and hashes of the set's parts.
 
     Parts are equal or not, and equal ones are equally small. So sets that share more than `spare` parts, but only small ones,
     both have more than `spare` small parts, and both are cut anew; after the last hash the small parts are used after all."""
@@ -102,6 +105,7 @@ def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarr
         if group < 0:
             continue
         parts, spare, least = cut(edges[group], edges[group + 1] - 1, percent)
+        made, shared = [], 1
         for salt in range(4):
             part = (mix(shingles + np.uint64(group + (salt << 40))) % np.uint64(parts)).astype(np.int64)
             size = np.bincount(part, minlength=parts)
@@ -111,11 +115,13 @@ def heavy_keys(shingles: np.ndarray, percent: int, edges: list[int]) -> np.ndarr
             name = np.arange(parts, dtype=np.uint64) + np.uint64((group << 32) + (salt << 56))
             keys = mix((sums[ends] - sums[ends - size]) + mix(name))
             small = size < least
-            enough = int(small.sum()) <= spare
-            found.append(keys if salt == 3 and not enough else keys[~small])
-            if enough:
+            lost = int(small.sum())
+            made.append(keys if salt == 3 and lost > spare else keys[~small])
+            if lost <= spare:
+                shared = 1 if salt else spare + 1 - lost
                 break
-    return np.concatenate(found)
+        found.append((group, shared, np.concatenate(made)))
+    return found
 
 
 def light_keys(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,36 +250,42 @@ def _part_keys(percent: int, light: int):
             sets = np.split(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1])
             while len(ends) and max(map(len, sets)) >= edges[-1]:
                 edges.append(100 * edges[-1] // percent + 1)
-            keys = [signed(heavy_keys(s, percent, edges)) for s in sets]
-            owner = pa.array(np.repeat(np.arange(len(sets)), list(map(len, keys))))
-            yield pa.RecordBatch.from_arrays([batch.column("sid").take(owner), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["sid", "key"])
+            rows = [(i, *found) for i, own in enumerate(sets) for found in heavy_keys(own, percent, edges)]
+            times = [len(keys) for *_, keys in rows]
+            of = lambda j, kind: pa.array(np.repeat(np.array([r[j] for r in rows], kind), times))
+            flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(of(0, np.int64)), of(1, np.int32), of(2, np.int32), pa.array(signed(flat))], ["sid", "band", "least", "key"])
 
     return run
 
 
 def _held(wanted):
-    """The rows (sid, key) whose key the filter holds."""
+    """The rows whose key the filter holds."""
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(wanted.value.holds(batch.column(1).to_numpy())))
+            yield batch.filter(pa.array(wanted.value.holds(batch.column("key").to_numpy())))
 
     return run
 
 
 def _shared_parts(likely: DataFrame, percent: int, light: int) -> DataFrame:
-    """(sid, key, hub): the parts that several sets share, those with the same sets once, with the least of their sets."""
-    parts = staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent, light), "sid long, key long"))
+    """(sid, key, hub): the parts that several sets share, with the least of them, of sets that share enough parts."""
+    parts = staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent, light), "sid long, band int, least int, key long"))
     often = bloom_of(parts.groupBy("key").count().where("count > 1").select("key"))
-    parts = parts.mapInArrow(_held(often), parts.schema)
-    prints = [F.sum(F.xxhash64("sid", F.lit(i)).cast("decimal(20)")).alias(f"sum{i}") for i in (1, 2)]
-    sets = parts.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("hub"), F.max("sid").alias("last"), *prints).where("hub <> last")
-    once = sets.groupBy("n", "hub", "last", "sum1", "sum2").agg(F.min("key").alias("key")).select(F.col("key").cast("string").alias("k"), "hub")
-    return staged(parts.join(once, F.col("key").cast("string") == F.col("k")).select("sid", "key", "hub"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        hubs = rows.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub <> last").select(F.col("key").cast("string").alias("k"), "hub")
+        return rows.join(hubs, F.col("key").cast("string") == F.col("k")).drop("k")
+
+    rows = staged(shared(parts.mapInArrow(_held(often), parts.schema)).drop("hub"))
+    enough = rows.groupBy("sid", "band").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select(F.col("sid").alias("s"), F.col("band").alias("b"))
+    return staged(shared(rows.join(enough, (F.col("sid") == F.col("s")) & (F.col("band") == F.col("b")), "left_semi")).select("sid", "key", "hub"))
 
 
 def _hub_links(likely: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Links of sets with the least sets that they share a part with."""
-    pairs = parts.where("sid <> hub").select("sid", "hub").distinct()
+    """Links of sets with one other: the least set of a part, the one that most of the set's parts name."""
+    named = parts.where("sid <> hub").groupBy("sid", "hub").agg(F.count("*").alias("n"))
+    pairs = named.groupBy("sid").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
     text = lambda c: F.col(c).cast("string")
     left = pairs.join(likely.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), text("sid") == text("a"))
     both = left.join(likely.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), text("hub") == text("b"))
@@ -336,32 +348,36 @@ def _verify(percent: int):
 
 
 def _open_links(likely: DataFrame, parts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Links across components of sets that share a part: of each part, the sets outside of its largest component meet each
-    other and those inside, in blocks."""
+    """Links across components of sets that share a part: sets with such parts in common form clusters; of each cluster, the
+    sets outside of its largest component meet each other and those inside, in blocks."""
     text = lambda c: F.col(c).cast("string")
-    named = parts.join(roots.select("node", F.col("root").alias("r")), text("sid") == text("node"), "left").select("sid", "key", F.coalesce("r", "sid").alias("root"))
-    named = named.join(likely.select(F.col("sid").alias("s"), "n_shingles"), text("sid") == text("s")).drop("s")
-    shares = staged(named.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")))
-    whole = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select(text("key").alias("k"), "main")
+    named = parts.join(roots.select("node", F.col("root").alias("r")), text("sid") == text("node"), "left").select("sid", "key", "hub", F.coalesce("r", "sid").alias("root"))
+    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(text("key").alias("k"))
+    rows = staged(named.join(mixed, text("key") == F.col("k")).select("sid", "hub", "root").distinct())
+    found = components(rows.where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")))
+    members = rows.select("sid", "root").distinct().join(found.select(F.col("node").alias("c"), F.col("root").alias("cluster")), text("sid") == text("c")).select("sid", "root", "cluster")
+    members = staged(members.join(likely.select(F.col("sid").alias("s"), "n_shingles"), text("sid") == text("s")).drop("s"))
+    shares = members.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    shares = staged(shares)
+    whole = shares.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main")).select(text("cluster").alias("k"), "main")
     outer = F.col("root") != F.col("main")
-    kinds = shares.join(whole, text("key") == F.col("k")).groupBy("k", "main").agg(
+    kinds = shares.join(whole, text("cluster") == F.col("k")).groupBy("k", "main").agg(
         F.sum(F.when(outer, F.col("n"))).alias("out_n"), F.sum(F.when(outer, F.col("size"))).alias("out_size"), F.min(F.when(outer, F.col("low"))).alias("low"), F.max(F.when(outer, F.col("high"))).alias("high"),
-        F.sum(F.when(~outer, F.col("n"))).alias("in_n"), F.sum(F.when(~outer, F.col("size"))).alias("in_size"))
+        F.sum(F.when(~outer, F.col("n"))).alias("in_n"), F.sum(F.when(~outer, F.col("size"))).alias("in_size")).where("out_n > 0")
     blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
     kinds = staged(kinds.select("k", "main", "low", "high", blocks("out_n", "out_size").alias("outs"), blocks("in_n", "in_size").alias("ins")))
-    rows = named.join(kinds, text("key") == F.col("k")).withColumn("outer", outer)
+    rows = members.join(kinds, text("cluster") == F.col("k")).withColumn("outer", outer)
     # Inside, sets of a size that none outside can link with are left out.
     rows = rows.where("outer").unionByName(rows.where(~F.col("outer") & (100 * F.col("n_shingles") >= percent * F.col("low")) & (percent * F.col("n_shingles") <= 100 * F.col("high"))))
-    mine = F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
-    rows = rows.withColumn("mine", mine)
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     deal = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     among = F.transform(upto("outs"), lambda x: deal(F.least("mine", x), F.greatest("mine", x), (F.col("mine") > x).cast("int")))
-    out = rows.where("outer").select("sid", "root", "key", F.explode(F.concat(among, F.transform(upto("ins"), lambda x: deal(F.col("mine"), -1 - x, F.lit(0))))).alias("x"))
-    inside = rows.where(~F.col("outer")).select("sid", "root", "key", F.explode(F.transform(upto("outs"), lambda x: deal(x, -1 - F.col("mine"), F.lit(1)))).alias("x"))
-    dealt = out.unionByName(inside).select("sid", "root", "key", "x.*")
+    out = rows.where("outer").select("sid", "root", "cluster", F.explode(F.concat(among, F.transform(upto("ins"), lambda x: deal(F.col("mine"), -1 - x, F.lit(0))))).alias("x"))
+    inside = rows.where(~F.col("outer")).select("sid", "root", "cluster", F.explode(F.transform(upto("outs"), lambda x: deal(x, -1 - F.col("mine"), F.lit(1)))).alias("x"))
+    dealt = out.unionByName(inside).select("sid", "root", "cluster", "x.*")
     dealt = dealt.join(likely.select(F.col("sid").alias("s"), "shingles"), text("sid") == text("s")).drop("s")
-    return dealt.groupBy("key", "i", "j").applyInArrow(_verify(percent), "a long, b long")
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "a long, b long")
 
 
 def _linked_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
