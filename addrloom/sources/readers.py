@@ -1,8 +1,8 @@
-"""Readers: CSV in several encodings, GeoJSON, workbooks and shapefiles (both as Python data sources), by suffix."""
+"""Readers: CSV in several encodings, GeoJSON, workbooks and shapefiles, by suffix. All of them read through Spark, from any
+store that it reads."""
 
 from __future__ import annotations
 
-import csv
 import io
 import json
 import os
@@ -11,49 +11,45 @@ import struct
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
+CHARSETS = {"gbk": "GBK", "gb2312": "GB2312", "gb18030": "GB18030", "latin-1": "ISO-8859-1"}
+
+
+def encoding_of(spark: SparkSession, path: str, tried: tuple[str, ...] = ENCODINGS) -> str:
+    """The first encoding that all files of the path are valid in, to the last byte: the verdicts of all splits together."""
+    def run(batches):
+        held = (1 << len(tried)) - 1
+        for batch in batches:
+            raw = b"\n".join(batch.column(0).to_pylist())
+            for i, name in enumerate(tried):
+                if held >> i & 1:
+                    try:
+                        raw.decode(name)
+                    except UnicodeDecodeError:
+                        held &= ~(1 << i)
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int32())], ["held"])
 
-
-def encoding_of(spark: SparkSession, path: str, tried: tuple[str, ...] = ENCODINGS, size: int = 1 << 20) -> str:
-    """The first encoding that the head of the file is valid in (a cut letter at the end is forgiven)."""
-    head = bytes(spark.read.format("binaryFile").load(path).orderBy("path").select(F.expr(f"substring(content, 1, {size})").alias("c")).first().c)
-    for name in tried:
-        for cut in range(4):
-            try:
-                head[: len(head) - cut].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return tried[-1]
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """All columns are strings; a byte order mark is dropped. Multi-byte national encodings are decoded per line."""
-    encoding = encoding or encoding_of(spark, path)
-    reader = spark.read.option("header", True).option("multiLine", encoding != "utf-8").option("escape", '"')
-    if encoding in ("utf-8", "utf-8-sig"):
-        return reader.csv(path)
-    if encoding == "latin-1":
-        return reader.option("encoding", "ISO-8859-1").csv(path)
     # The text scan splits files at line ends and hands on the bytes as they are; no such encoding has a line end inside a letter.
-    lines = spark.read.text(path).select(_decoded(encoding)(F.col("value").cast("binary")).alias("line")).where("line <> ''")
-    head = lines.first()
-    if head is None:
-        return spark.createDataFrame([], "value string").drop("value")
-    names = [name or f"_c{i}" for i, name in enumerate(next(csv.reader([head.line])))]
-    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in names)
-    return lines.where(F.col("line") != head.line).select(F.from_csv("line", schema, {"escape": '"'}).alias("row")).select("row.*")
+    lines = spark.read.text(path).select(F.col("value").cast("binary"))
+    held = lines.mapInArrow(run, "held int").agg(F.bit_and("held")).first()[0]
+    return next((name for i, name in enumerate(tried) if held is None or held >> i & 1), tried[-1])
 
 
-def _decoded(encoding: str):
-    def run(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: bytes(b).decode(encoding, "replace"))
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns are strings; a byte order mark and each file's header are dropped. Fields in quotes may have line ends unless
+    multi_line is off, which lets Spark split large files.
 
-    return F.pandas_udf(run, "string")
+    Spark reads national encodings only with spark.sql.legacy.javaCharsets, and as long as rows are read: it is set here then."""
+    encoding = encoding or encoding_of(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    if encoding not in ("utf-8", "utf-8-sig"):
+        if CHARSETS[encoding] != "ISO-8859-1":
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        reader = reader.option("encoding", CHARSETS[encoding])
+    return reader.csv(path)
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -62,16 +58,6 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return features.select("f.properties.*", F.to_json("f.geometry").alias("geometry"))
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-def _paths(path: str, suffix: str) -> list[str]:
-    path = path.removeprefix("file://")
-    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.lower().endswith(suffix)) if os.path.isdir(path) else [path]
-
-
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -98,35 +84,43 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None
     return rows
 
 
-class Workbook(DataSource):
-    """Option path: a workbook or a folder of workbooks with the same header; option sheet."""
+def header_colours(data: bytes) -> list[tuple[str, str | None]]:
+    """The first sheet's header cells with the colours they are filled with."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        style = ElementTree.fromstring(z.read("xl/styles.xml"))
+        fills = [f.find(f"{_NS}patternFill/{_NS}fgColor") for f in style.find(_NS + "fills")]
+        forms = [int(x.get("fillId", 0)) for x in style.find(_NS + "cellXfs")]
+        first = next(ElementTree.fromstring(z.read("xl/worksheets/sheet1.xml")).iter(_NS + "row"))
+        cells = [(int(c.get("s", 0)), "".join(t.text or "" for t in c.iter(_NS + "t"))) for c in first]
+    return [(text, None if fills[forms[s]] is None else fills[forms[s]].get("rgb")) for s, text in cells]
+
 
-    @classmethod
-    def name(cls):
-        return "workbook"
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def schema(self):
-        with open(_paths(self.options["path"], ".xlsx")[0], "rb") as f:
-            header = workbook_rows(f.read(), self.options.get("sheet"))[0]
-        return ", ".join(f"`{h}` string" for h in header if h)
 
-    def reader(self, schema):
-        return _WorkbookReader(self.options)
+def _strings(names: list[str]) -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
 
 
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = dict(options)
+def _batch(names: list[str], rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names)
 
-    def partitions(self):
-        return [_File(p) for p in _paths(self.options["path"], ".xlsx")]
 
-    def read(self, partition):
-        with open(partition.path, "rb") as f:
-            rows = workbook_rows(f.read(), self.options.get("sheet"))
-        named = [i for i, h in enumerate(rows[0]) if h]  # columns without a name are left out
-        for row in rows[1:]:
-            yield tuple(row[i] if i < len(row) else None for i in named)
+def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A workbook, or a folder of workbooks with the same header; columns without a name are left out. A task reads a file."""
+    files = _files(spark, path).where(F.lower("path").rlike(r"\.xlsx?$"))
+    header = workbook_rows(bytes(files.orderBy("path").first().content), sheet)[0]
+    named = [i for i, h in enumerate(header) if h]
+    names = [header[i] for i in named]
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rows = workbook_rows(data, sheet)[1:]
+                yield _batch(names, [[row[i] if i < len(row) else None for i in named] for row in rows])
+
+    return files.select("content").mapInArrow(run, _strings(names))
 
 
 def shape_wkt(record: bytes) -> str | None:
@@ -160,78 +154,65 @@ def dbf_fields(head: bytes) -> list[tuple[str, str, int]]:
     return out
 
 
-class Shapefile(DataSource):
-    """Option path: a .shp file (with its .dbf; .prj if there is one). Attributes as strings, geometry, crs."""
-
-    @classmethod
-    def name(cls):
-        return "shapefile"
-
-    def schema(self):
-        with open(_paths(self.options["path"], ".shp")[0][:-4] + ".dbf", "rb") as f:
-            return ", ".join([f"`{n}` string" for n, _, _ in dbf_fields(f.read())] + ["geometry string", "crs string"])
-
-    def reader(self, schema):
-        return _ShapeReader(dict(self.options))
-
-
-class _ShapeReader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+def shape_rows(shapes: bytes, table: bytes, projection: str | None) -> list[list[str | None]]:
+    """Attributes as strings, geometry, crs."""
+    crs = None
+    if projection is not None:
+        name = re.search(r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$', projection)
+        crs = f"EPSG:{name[1]}" if name else re.search(r'\["([^"]+)"', projection)[1] if '"' in projection else None
+    fields, (count, start, width) = dbf_fields(table), struct.unpack("<IHH", table[4:12])
+    at, geometries, out = 100, [], []
+    while at < len(shapes):
+        size = struct.unpack(">i", shapes[at + 4 : at + 8])[0] * 2
+        geometries.append(shape_wkt(shapes[at + 8 : at + 8 + size]))
+        at += 8 + size
+    for i in range(count):
+        row, pos, values = table[start + i * width : start + (i + 1) * width], 1, []
+        for _, _, size in fields:
+            values.append(row[pos : pos + size].decode("utf-8", "replace").strip() or None)
+            pos += size
+        out.append([*values, geometries[i] if i < len(geometries) else None, crs])
+    return out
 
-    def partitions(self):
-        return [_File(p) for p in _paths(self.options["path"], ".shp")]
 
-    def read(self, partition):
-        base, crs = partition.path[:-4], None
-        with open(partition.path, "rb") as f:
-            shapes = f.read()
-        with open(base + ".dbf", "rb") as f:
-            table = f.read()
-        if os.path.exists(base + ".prj"):
-            with open(base + ".prj") as f:
-                name = re.search(r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$', found := f.read())
-                crs = f"EPSG:{name[1]}" if name else re.search(r'\["([^"]+)"', found)[1] if '"' in found else None
-        fields, (count, start, width) = dbf_fields(table), struct.unpack("<IHH", table[4:12])
-        at, geometries = 100, []
-        while at < len(shapes):
-            size = struct.unpack(">i", shapes[at + 4 : at + 8])[0] * 2
-            geometries.append(shape_wkt(shapes[at + 8 : at + 8 + size]))
-            at += 8 + size
-        for i in range(count):
-            row, pos, values = table[start + i * width : start + (i + 1) * width], 1, []
-            for _, _, size in fields:
-                values.append(row[pos : pos + size].decode("utf-8", "replace").strip() or None)
-                pos += size
-            yield (*values, geometries[i] if i < len(geometries) else None, crs)
+def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
+    """A .shp file with its .dbf (and .prj), or a folder of such files with the same attributes. A task reads a layer."""
+    files = _files(spark, f"{path[:-4]}.*" if path.lower().endswith(".shp") else path).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
+    content = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("content")), ignorenulls=True).alias(kind)
+    layers = files.where(F.col("kind").isin("shp", "dbf", "prj")).groupBy(F.regexp_replace("path", r"\.[^.]+$", "").alias("base")).agg(*map(content, ("shp", "dbf", "prj"))).where("shp is not null")
+    names = [*(n for n, _, _ in dbf_fields(bytes(layers.orderBy("base").select("dbf").first().dbf))), "geometry", "crs"]
 
+    def run(batches):
+        for batch in batches:
+            for shapes, table, projection in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                yield _batch(names, shape_rows(shapes, table, projection and projection.decode("utf-8", "replace")))
 
-def register(spark: SparkSession) -> None:
-    for source in (Workbook, Shapefile):
-        spark.dataSource.register(source)
+    return layers.select("shp", "dbf", "prj").mapInArrow(run, _strings(names))
 
 
 def auto(spark: SparkSession, path: str) -> DataFrame:
     suffix = os.path.splitext(path)[1].lower()
-    if suffix in (".csv", ".txt"):
-        return read_csv(spark, path)
-    if suffix in (".geojson", ".json"):
-        return read_geojson(spark, path)
-    kinds = {".xlsx": "workbook", ".xls": "workbook", ".shp": "shapefile"}
+    kinds = {".csv": read_csv, ".txt": read_csv, ".geojson": read_geojson, ".json": read_geojson, ".xlsx": read_workbook, ".xls": read_workbook, ".shp": read_shapefile}
     if suffix not in kinds:
         raise ValueError(f"no reader for {suffix or path}")
-    register(spark)
-    return spark.read.format(kinds[suffix]).option("path", path).load()
+    return kinds[suffix](spark, path)
+
+
+def read_any(spark: SparkSession, path: str, tried: tuple[str, ...] = ("utf-8-sig", "gbk", "gb18030", "latin-1")) -> DataFrame:
+    """A CSV file in the first of the encodings that it is valid in, without line ends inside of fields: large files are split."""
+    return read_csv(spark, path, encoding_of(spark, path, tried), multi_line=False)
 
 
 def columns(spark: SparkSession, path: str) -> list[str]:
     return auto(spark, path).columns
 
 
-def resolve(name: str, folders: list[str]) -> str:
+def resolve(spark: SparkSession, name: str, folders: list[str]) -> str:
     """The first of the ordered folders that has the file."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
     for folder in folders:
-        if os.path.exists(found := os.path.join(folder, name)):
+        where = path(found := f"{folder.rstrip('/')}/{name}")
+        if where.getFileSystem(conf).exists(where):
             return found
     raise FileNotFoundError(name)
 
