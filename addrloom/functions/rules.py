@@ -16,8 +16,14 @@ POI_SUFFIXES = (
     "小区 家属院 社区 花园 家园 生活区 广场 大厦 大楼 公园 商城 市场 商厦 城邦 府 苑 城 园 号院 公寓 里 村 庄 屯 乡 镇 街 路 "
     "工业园 产业园 学院 大学 学校 医院 中心 公司 厂"
 ).split()
-_P, _C, _D = "[一-龥]{2,10}(省|自治区)", "[一-龥]{2,10}市", "[一-龥]{2,10}(区|县)"
-PURE_ADMIN = "|".join(f"^{p}$" for p in (_P, _C, _D, _P + _C, _C + _D, _P + _C + _D))
+PURE_ADMIN = "|".join((
+    "^[一-龥]{2,10}(省|自治区)$",
+    "^[一-龥]{2,10}市$",
+    "^[一-龥]{2,10}(区|县)$",
+    "^[一-龥]{2,10}(省|自治区)[一-龥]{2,10}市$",
+    "^[一-龥]{2,10}市[一-龥]{2,10}(区|县)$",
+    "^[一-龥]{2,10}(省|自治区)[一-龥]{2,10}市[一-龥]{2,10}(区|县)$",
+))
 ADMIN_NAME = "^.+(省|市|区|县|乡|镇|街道办事处|街道)$"
 ADDRESS_COLUMNS = "location address userlocati housingest addr 地址 位置 住址 loc".split()
 BUILDING_COLUMNS = "buildingno houseno unit floor room 楼 栋 单元 门牌 房号 层".split()
@@ -29,7 +35,7 @@ ADDRESS_FIELDS = {
 }
 ID_FIELDS = {"id": "id uid 编号 代码 code".split(), "name": "name 名称 姓名".split(), "phone": "phone tel telephone 电话 手机".split(), "email": "email mail 邮箱".split()}
 REASONS = ("全空行", "清洗后为空", "纯行政区")
-THRESHOLDS = {"high": 98.0, "high_same_district": 95.0, "review_low": 90.0, "review_high": 98.0, "mismatch_extra": 5.0, "poi_strong": 90.0, "poi_weak": 75.0, "semantic_strong": 0.82, "semantic_weak": 0.75}
+THRESHOLDS = {"high": 98.0, "high_same_district": 95.0, "review_low": 90.0, "review_high": 98.0, "mismatch_extra": 5.0, "poi_strong": 90.0, "poi_weak": 75.0, "semantic_strong": 0.82, "semantic_weak": 0.75, "overlap_03": 15.0, "overlap_05": 8.0}
 
 
 def any_of(words: list[str]) -> str:

@@ -77,19 +77,66 @@ def dedupe_phrases(text: pd.Series) -> pd.Series:
     return text.map(without_repeats, na_action="ignore")
 
 
-def _prefix(c: Column, least: float) -> Column:
-    """Numbered letters of a string that must meet those of any string with at least this ratio (in one fixed order)."""
+def _numbered(c: Column) -> Column:
+    """Letters with the number of their occurrence, so that multisets meet as sets."""
     letters = F.split(c, "")
-    numbered = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
-    ordered = F.array_sort(F.transform(numbered, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x"))))
-    size = F.length(c) - F.ceil(F.length(c) * least / (200 - least)).cast("int") + 1
-    return F.slice(ordered.getField("x"), 1, size)
+    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def _strings(df: DataFrame, name: str) -> DataFrame:
+    return df.select(name).where(F.col(name) != "").distinct()
+
+
+def _by_rarity(strings: DataFrame, name: str, often: DataFrame) -> DataFrame:
+    """(name, letters): a string's numbered letters, those that the fewest strings have first."""
+    rows = strings.withColumn("letter", F.explode(_numbered(F.col(name)))).join(often, "letter")
+    return rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).getField("letter").alias("letters"))
+
+
+def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    a, b = _strings(left, "a"), _strings(right, "b")
+    both = a.select(F.col("a").alias("s")).unionByName(b.select(F.col("b").alias("s")))
+    often = both.select(F.explode(_numbered(F.col("s"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    return _by_rarity(a, "a", often), _by_rarity(b, "b", often)
+
+
+def _posted(rows: DataFrame, name: str, size: Column) -> DataFrame:
+    """A row for each of the first `size` letters: name, letters, at, k."""
+    return rows.select(name, F.col("letters").alias(f"letters_{name}"), F.posexplode(F.slice("letters", 1, size)).alias(f"at_{name}", "k"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Different (a, b) of left (a) and right (b) whose letters in common allow a ratio of `least`: an equi-join on the rarest
+    letters, of which any such pair shares one, with bounds by length and by the letters that are left after it."""
+    a, b = _ranked(left, right)
+    first = lambda name: F.length(name) - F.ceil(F.length(name) * least / (200 - least) - 1e-9).cast("int") + 1
+    pairs = _posted(a, "a", first("a")).join(_posted(b, "b", first("b")), "k")
+    la, lb = F.length("a"), F.length("b")
+    needed = F.ceil(least * (la + lb) / 200 - 1e-9)
+    pairs = pairs.where((F.least(la, lb) >= needed) & (F.least(la - F.col("at_a"), lb - F.col("at_b")) >= needed))
+    return pairs.where(F.size(F.array_intersect("letters_a", "letters_b")) >= needed).select("a", "b").distinct()
 
 
 def candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Different (a, b) of left (a) and right (b) with ratio >= least: an equi-join on prefix letters, a length bound, then
-    the ratio. No pair with at least that ratio is lost; no pair is formed without a shared prefix letter."""
-    a = left.select("a").where("a <> ''").distinct().withColumn("k", F.explode(_prefix(F.col("a"), least)))
-    b = right.select("b").where("b <> ''").distinct().withColumn("k", F.explode(_prefix(F.col("b"), least)))
-    pairs = a.join(b, "k").where(F.least(F.length("a"), F.length("b")) * (200 - least) >= least * F.greatest(F.length("a"), F.length("b"))).select("a", "b").distinct()
-    return pairs.withColumn("score", fuzz_ratio("a", "b")).where(F.col("score") >= least)
+    """Different (a, b) of left (a) and right (b) with ratio >= least, and the ratio. No such pair is lost; no pair is formed
+    without a shared letter among the rarest ones."""
+    return overlapping(left, right, least).withColumn("score", fuzz_ratio("a", "b")).where(F.col("score") >= least)
+
+
+def partial_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Different (a, b) with partial ratio >= least, and that ratio. The longer string has so many of the shorter one's letters
+    that one of its rarest ones is among them."""
+    a, b = _ranked(left, right)
+    needed = lambda c: F.ceil(F.length(c) * least / (200 - least) - 1e-9).cast("int")
+    some = lambda rows, name: _posted(rows, name, F.length(name) - needed(name) + 1)
+    every = lambda rows, name: _posted(rows, name, F.length(name))
+    short = some(a, "a").join(every(b, "b"), "k").where(F.length("a") <= F.length("b"))
+    long = every(a, "a").join(some(b, "b"), "k").where(F.length("a") > F.length("b"))
+    shared = F.size(F.array_intersect("letters_a", "letters_b"))
+    pairs = short.unionByName(long).where(shared >= F.least(needed("a"), needed("b"))).select("a", "b").distinct()
+    return pairs.withColumn("score", partial_ratio("a", "b")).where(F.col("score") >= least)
+
+
+def difflib_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Different (a, b) with difflib's score >= least (0 to 1), and the score: its blocks are letters in common."""
+    return overlapping(left, right, 100 * least).withColumn("score", similarity_score("a", "b")).where(F.col("score") >= least)

@@ -147,3 +147,11 @@ def wkt_point(c: Column) -> Column:
     n = r"\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)"
     part = lambda i: F.nullif(F.regexp_extract(c, r"(?i)^\s*POINT\s*(?:Z|M|ZM)?\s*\(" + n, i), F.lit("")).try_cast("double")
     return F.struct(part(1).alias("x"), part(2).alias("y"))
+
+
+POI_COLUMNS = ("标准化POI抽取", "predict_poi", "POI", "poi", "POI_结构化")
+
+
+def poi_column(names: Column) -> Column:
+    """Of a list of column names the one that has POIs, by order of preference."""
+    return F.coalesce(*(F.when(F.array_contains(names, n), n) for n in POI_COLUMNS))

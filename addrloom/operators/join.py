@@ -51,18 +51,15 @@ def multi_field(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]],
     return keyed(left, [a for a, _ in pairs], lid).join(keyed(right, [b for _, b in pairs], rid), "k").select(lid, rid, F.lit(1.0).alias("confidence"))
 
 
-def fuzzy(left: DataFrame, right: DataFrame, on_left: str, on_right: str, least: float = 0.7, lid: str = "lid", rid: str = "rid", right_most: int = 100_000) -> DataFrame:
-    """The best right row of each left one by difflib's score, the first on ties. Every pair of different strings of near
-    length is scored: the right side is broadcast up to right_most different strings, else it is met partition by partition."""
-    from ..functions.similarity import similarity_score
+def fuzzy(left: DataFrame, right: DataFrame, on_left: str, on_right: str, least: float = 0.7, lid: str = "lid", rid: str = "rid") -> DataFrame:
+    """The best right row of each left one by difflib's score of at least `least`, the first on ties. Only pairs of different
+    strings whose letters in common allow that score are compared, whatever the sizes of both sides."""
+    from ..functions.similarity import difflib_candidates
 
-    a = left.select(lid, strip(F.col(on_left)).alias("a"))
+    a = left.select(lid, strip(F.col(on_left)).alias("a")).where("a <> ''")
     b = right.select(rid, strip(F.col(on_right)).alias("b")).where("b <> ''").groupBy("b").agg(F.min(rid).alias(rid))
-    b = F.broadcast(b) if b.limit(right_most + 1).count() <= right_most else b.hint("shuffle_replicate_nl")
-    longest = F.greatest(F.length("a"), F.length("b"))
-    near = 2 * F.least(F.length("a"), F.length("b")) >= (least + 0.2 * (1 - F.least(F.length("a"), F.length("b")) / longest)) * (F.length("a") + F.length("b"))
-    pairs = a.where("a <> ''").select("a").distinct().join(b, near).withColumn("score", similarity_score("a", "b"))
-    best = pairs.where(F.col("score") >= least).groupBy("a").agg(F.max_by(F.struct(rid, "score"), F.struct("score", -F.col(rid))).alias("x"))
+    pairs = difflib_candidates(a, b, least).join(b, "b")
+    best = pairs.groupBy("a").agg(F.max_by(F.struct(rid, "score"), F.struct("score", -F.col(rid))).alias("x"))
     return a.join(best, "a").select(lid, f"x.{rid}", F.col("x.score").alias("confidence"))
 
 

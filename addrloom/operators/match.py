@@ -1,7 +1,9 @@
 """Tiered linkage of a source table with an ordered list of targets.
 
-Tables have rid, core, poi, pois (';'-separated) and district. Each tier sees the rows that earlier ones left; as a tier's
-outcome for a row depends on no other row, tiers are computed on their own and the first one counts.
+Tables have rid, core, poi, pois (';'-separated) and district, and, where semantic scores are wanted, an embedding v of poi on
+both sides. Each tier sees the rows that earlier ones left; as a tier's outcome for a row depends on no other row, tiers are
+computed on their own and the first one counts. Similarities are only computed for rows that no exact tier of this target or an
+earlier one has settled.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import rules as R, similarity, text as T
 
 LEVELS = {0: "EXACT", 1: "EXACT", 2: "EXACT", 3: "HIGH_CONFIDENCE", 4: "NEED_REVIEW"}
+EXACT_TYPES = ("core_field_exact", "poi_exact", "poi_contains")
 
 
 def _present(c: Column) -> Column:
@@ -36,20 +39,53 @@ def contained(source: DataFrame, target: DataFrame) -> DataFrame:
     return words.join(rows, "k").groupBy("rid").agg(F.min_by("target_rid", "at").alias("target_rid"), F.lit(100.0).alias("score"))
 
 
-def best_fuzzy(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
-    """(rid, target_rid, score, district, target_district): the best target of each source POI with at least `least`.
+def _named(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.when(_present(F.col("poi")), T.strip(F.col("poi")))).where(F.col(name).isNotNull())
 
-    Scores depend on strings alone, so different strings are scored once; on ties the target's first row wins."""
-    a, b = F.when(_present(F.col("poi")), T.strip(F.col("poi"))), F.when(_present(F.col("poi")), T.strip(F.col("poi")))
-    s = source.select("rid", a.alias("a"), "district").where("a is not null")
-    t = target.select("rid", b.alias("b"), "district").where("b is not null")
+
+def _closest(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
+    """(rid, a, district, target_rid, b, target_district, score): the target of the best ratio of at least `least`.
+
+    Ratios depend on strings alone, so different strings are scored once; on ties the target's first row wins."""
+    s, t = _named(source, "a").select("rid", "a", "district"), _named(target, "b")
     first = t.groupBy("b").agg(F.min_by(F.struct(F.col("rid").alias("target_rid"), F.col("district").alias("target_district")), "rid").alias("t"))
     pairs = similarity.candidates(s, t, least).join(first, "b")
     best = pairs.groupBy("a").agg(F.max_by(F.struct("t", "b", "score"), F.struct("score", -F.col("t.target_rid"))).alias("x"))
-    rows = s.join(best, "a").select("rid", "a", "district", F.col("x.b").alias("b"), "x.t.*", F.col("x.score").alias("score"))
-    overlap = T.char_overlap(F.col("a"), F.col("b"))
-    score = F.when((F.col("score") < R.THRESHOLDS["high"]) & (T.length_ratio(F.col("a"), F.col("b")) < 0.6), F.col("score") - 5).otherwise(F.col("score"))
-    return rows.withColumn("score", score).where((overlap >= 0.2) & ((overlap >= 0.3) | (F.col("score") >= R.THRESHOLDS["high"]))).drop("a", "b")
+    return s.join(best, "a").select("rid", "a", "district", "x.t.target_rid", F.col("x.b").alias("b"), "x.t.target_district", F.col("x.score").alias("score"))
+
+
+def _meaning(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Like _closest, by the cosine of the embeddings in hundredths; less where the strings have few letters in common."""
+    s, t = _named(source, "a"), _named(target, "b")
+    best = semantic_best(s.where("v is not null").select("rid", "v"), t.where("v is not null").select("rid", "v")).where("similarity is not null")
+    rows = best.join(s.select("rid", "a", "district"), "rid").join(t.select(F.col("rid").alias("target_rid"), "b", F.col("district").alias("target_district")), "target_rid")
+    overlap, full = T.char_overlap(F.col("a"), F.col("b")), F.col("similarity") * 100
+    less = F.when(overlap < 0.3, R.THRESHOLDS["overlap_03"]).when(overlap < 0.5, R.THRESHOLDS["overlap_05"]).otherwise(0.0)
+    return rows.select("rid", "a", "district", "target_rid", "b", "target_district", F.greatest(F.lit(0.0), full - less).alias("score"))
+
+
+def scored(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
+    """(rid, target_rid, score, match_type, source_value, target_value, district, target_district): the best target of each
+    source POI, by ratio, or by meaning where that scores no less and the ratio is not already 98 with like lengths.
+
+    A ratio below `least` counts as none: it could not be accepted. Strings of very unlike lengths cost five; pairs with hardly
+    a letter in common are left out."""
+    t = R.THRESHOLDS
+    kind = lambda c: F.concat(F.lit("fuzzy_"), F.floor(c).cast("int").cast("string"))
+    found = _closest(source, target, least).withColumn("match_type", kind(F.col("score")))
+    if "v" in source.columns and "v" in target.columns:
+        meaning = _meaning(source, target).where("score > 0")
+        label = F.when(F.col("score") >= 100 * t["semantic_strong"], "semantic_strong").when(F.col("score") >= 100 * t["semantic_weak"], "semantic_weak").otherwise("semantic")
+        meaning = meaning.withColumn("match_type", label).withColumn("exactly", F.col("score")).withColumn("score", F.round("score", 2))
+        settled = (F.col("score") >= t["high"]) & (T.length_ratio(F.col("a"), F.col("b")) >= 0.8)
+        both = found.withColumn("exactly", F.when(settled, 1000.0).otherwise(F.col("score"))).unionByName(meaning)
+        names = [c for c in found.columns if c != "rid"]
+        best = both.groupBy("rid").agg(F.max_by(F.struct(*names), F.struct("exactly", F.col("match_type").startswith("semantic"))).alias("x"))
+        found = best.select("rid", "x.*")
+    a, b = F.col("a"), F.col("b")
+    rows = found.withColumn("score", F.when(T.length_ratio(a, b) < 0.6, F.greatest(F.lit(0.0), F.col("score") - 5)).otherwise(F.col("score")))
+    rows = rows.where((T.char_overlap(a, b) >= 0.2) & ((T.char_overlap(a, b) >= 0.3) | (F.col("score") >= t["high"])))
+    return rows.select("rid", "target_rid", "score", "match_type", a.alias("source_value"), b.alias("target_value"), "district", "target_district")
 
 
 def _districts(agree: bool) -> Column:
@@ -57,30 +93,54 @@ def _districts(agree: bool) -> Column:
     return known & ((F.col("district") == F.col("target_district")) if agree else (F.col("district") != F.col("target_district")))
 
 
-def high_confidence(scored: DataFrame) -> DataFrame:
+def _surely() -> Column:
     """Same district: 95 is enough; different ones: five more than the threshold, which no score reaches; else 98."""
     t = R.THRESHOLDS
-    ok = F.when(_districts(True), F.col("score") >= t["high_same_district"]).when(_districts(False), F.col("score") >= t["high"] + t["mismatch_extra"]).otherwise(F.col("score") >= t["high"])
-    return scored.where(ok)
+    enough = F.when(_districts(True), F.col("score") >= t["high_same_district"]).when(_districts(False), F.col("score") >= t["high"] + t["mismatch_extra"]).otherwise(F.col("score") >= t["high"])
+    return F.coalesce(enough, F.lit(False))
+
 
+def _maybe() -> Column:
+    return F.col("score").between(R.THRESHOLDS["review_low"], R.THRESHOLDS["review_high"])
 
-def need_review(scored: DataFrame) -> DataFrame:
-    return scored.where(F.col("score").between(R.THRESHOLDS["review_low"], R.THRESHOLDS["review_high"]))
 
+def _typed(sure: Column) -> Column:
+    """A ratio that the district has made sure of says so."""
+    return F.when(sure & _districts(True) & F.col("match_type").startswith("fuzzy"), F.concat(F.lit("district_"), "match_type")).otherwise(F.col("match_type"))
 
-def tiers(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(rid, target_rid, score, tier) of all tiers, before the first is chosen."""
-    scored = best_fuzzy(source, target, R.THRESHOLDS["review_low"])
-    parts = [exact_by(source, target, "core"), exact_by(source, target, "poi"), contained(source, target), high_confidence(scored), need_review(scored)]
-    return reduce(DataFrame.unionByName, (p.select("rid", "target_rid", "score", F.lit(i).alias("tier")) for i, p in enumerate(parts)))
+
+def high_confidence(found: DataFrame) -> DataFrame:
+    return found.where(_surely()).withColumn("match_type", _typed(F.lit(True)))
+
+
+def need_review(found: DataFrame) -> DataFrame:
+    return found.where(_maybe())
+
+
+def tiers(source: DataFrame, target: DataFrame, settled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rid, target_rid, score, tier, match_type) of all tiers, before the first is chosen, and the rids that exact tiers have
+    settled, together with those already settled."""
+    exact = [exact_by(source, target, "core"), exact_by(source, target, "poi"), contained(source, target)]
+    parts = [p.select("rid", "target_rid", "score", F.lit(i).alias("tier"), F.lit(EXACT_TYPES[i]).alias("match_type")) for i, p in enumerate(exact)]
+    done = reduce(DataFrame.unionByName, (p.select("rid") for p in parts))
+    done = done.unionByName(settled) if settled is not None else done
+    found = scored(source.join(done, "rid", "left_anti"), target, R.THRESHOLDS["review_low"])
+    near = found.select("rid", "target_rid", "score", F.when(_surely(), 3).when(_maybe(), 4).alias("tier"), _typed(_surely()).alias("match_type")).where("tier is not null")
+    return reduce(DataFrame.unionByName, [*parts, near]), done
 
 
 def waterfall(source: DataFrame, targets: list[DataFrame]) -> DataFrame:
-    """rid, target (its place in the list), target_rid, score, level for every source row; unmatched rows have no target."""
-    found = reduce(DataFrame.unionByName, (tiers(source, t).withColumn("target", F.lit(i)) for i, t in enumerate(targets)))
-    first = found.groupBy("rid").agg(F.min_by(F.struct("target", "target_rid", "score", "tier"), F.struct("target", "tier")).alias("x"))
+    """rid, target (its place in the list), target_rid, score, level, match_type for every source row; unmatched rows have no
+    target, a score of 0 and the type unmatched."""
+    parts, settled = [], None
+    for i, target in enumerate(targets):
+        found, settled = tiers(source, target, settled)
+        parts.append(found.withColumn("target", F.lit(i)))
+    columns = F.struct("target", "target_rid", "score", "tier", "match_type")
+    first = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.min_by(columns, F.struct("target", "tier")).alias("x"))
     names = reduce(lambda c, k: c.when(F.col("x.tier") == k, LEVELS[k]), list(LEVELS)[1:], F.when(F.col("x.tier") == 0, LEVELS[0])).otherwise("UNMATCHED")
-    return source.select("rid").join(first, "rid", "left").select("rid", "x.target", "x.target_rid", "x.score", names.alias("level"))
+    kind = F.coalesce("x.match_type", F.lit("unmatched"))
+    return source.select("rid").join(first, "rid", "left").select("rid", "x.target", "x.target_rid", F.coalesce("x.score", F.lit(0.0)).alias("score"), names.alias("level"), kind.alias("match_type"))
 
 
 def cascade(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -107,25 +167,63 @@ def target_details(result: DataFrame, targets: int) -> DataFrame:
     return rows.select("target", "exact", "high_confidence", "need_review", "matched", "offered", F.when(F.col("offered") > 0, "完成").otherwise("无剩余记录").alias("status"))
 
 
-def poi_match(left: DataFrame, right: DataFrame, right_most: int = 50_000) -> DataFrame:
-    """rid, target_rid, kind, score (0..1) by POI: strong partial ratio, or else a weak one. The right side is scored in full
-    against each different left POI: broadcast up to right_most different POIs, else partition by partition. Semantic scores need an embedding model and are not part here."""
+#: match type -> (label, where its POI comes from); values of reports.
+POI_TYPES = {
+    "empty_left": ("源表POI为空", "empty"), "non_poi_left": ("源表为非地点类", "rule"), "no_poi_left": ("源表无可用POI主体", "step3"), "no_poi_right": ("目标表无可用POI主体", "step3"),
+    "fuzzy_strong_poi": ("模糊强匹配", "step3"), "semantic_strong_poi": ("语义强匹配", "step3"), "semantic_weak_poi": ("语义弱匹配", "step3"), "fuzzy_weak_poi": ("模糊弱匹配", "step3"), "unmatched": ("未匹配", "step3"),
+}
+
+
+def poi_match(left: DataFrame, right: DataFrame, left_poi: str = "pois", right_poi: str = "poi") -> DataFrame:
+    """rid, target_rid, kind, score (0 to 100) of each left row by its first POI: a strong partial ratio, or else a strong
+    meaning (where both sides have an embedding v), or else the better of a weak meaning and a weak partial ratio.
+
+    Right rows take part by their first POI without its numbers, unless it is the name of a region; on ties the first wins."""
     p = R.THRESHOLDS
-    raw = T.first_poi(F.col("pois"))
-    cleaned = T.clean_poi(raw)
-    rows = left.select("rid", raw.alias("raw"), cleaned.alias("a"))
+    raw = T.first_poi(F.col(left_poi))
+    rows = left.withColumn("raw", raw).withColumn("a", T.clean_poi(F.col("raw")))
     kind = F.when(F.col("raw") == "", "empty_left").when(T.is_pure_numeric(F.col("raw")) | T.is_device(F.col("raw")), "non_poi_left").when(F.col("a") == "", "no_poi_left")
-    rows = rows.withColumn("early", kind)
-    name = T.strip(F.coalesce("poi", F.lit("")))
-    names = right.select("rid", name.alias("raw_b")).where((F.col("raw_b") != "") & ~T.is_admin_only(F.col("raw_b")))
-    names = names.withColumn("b", F.when(T.clean_poi(F.col("raw_b")) == "", F.col("raw_b")).otherwise(T.clean_poi(F.col("raw_b")))).groupBy("b").agg(F.min("rid").alias("target_rid"))
-    small = names.limit(right_most + 1).count() <= right_most
-    pairs = rows.where("early is null").select("a").distinct().join(F.broadcast(names) if small else names.hint("shuffle_replicate_nl")).withColumn("score", similarity.partial_ratio("a", "b"))
-    best = pairs.groupBy("a").agg(F.max_by(F.struct("target_rid", "score"), F.struct("score", -F.col("target_rid"))).alias("x"))
-    out = rows.join(best, "a", "left")
-    hit = F.col("early").isNull() & (F.col("x.score") >= p["poi_weak"])
-    found = F.coalesce("early", F.when(F.col("x").isNull(), "no_poi_right").when(F.col("x.score") >= p["poi_strong"], "fuzzy_strong_poi").when(F.col("x.score") >= p["poi_weak"], "fuzzy_weak_poi").otherwise("unmatched"))
-    return out.select("rid", F.when(hit, F.col("x.target_rid")).alias("target_rid"), found.alias("kind"), F.when(hit, F.col("x.score") / 100).otherwise(0.0).alias("score"))
+    rows = rows.select("rid", "a", kind.alias("early"), *(["v"] if "v" in left.columns else []))
+    whole = F.coalesce(F.col(right_poi).cast("string"), F.lit(""))
+    clean = T.clean_poi(T.first_poi(whole))
+    names = right.where(~T.is_admin_only(T.first_poi(whole))).withColumn("b", F.when(clean == "", whole).otherwise(clean)).where("b <> ''")
+    first = names.groupBy("b").agg(F.min("rid").alias("target_rid"))
+    asked = rows.where("early is null")
+    pairs = similarity.partial_candidates(asked, first, p["poi_weak"]).join(first, "b")
+    found = pairs.groupBy("a").agg(F.max_by(F.struct("target_rid", "score"), F.struct("score", -F.col("target_rid"))).alias("f"))
+    out = rows.join(found, "a", "left")
+    if "v" in left.columns and "v" in right.columns:
+        meaning = semantic_best(asked.where("v is not null").select("rid", "v"), names.where("v is not null").select("rid", "v"))
+        out = out.join(meaning.select("rid", F.struct("target_rid", F.col("similarity")).alias("m")), "rid", "left")
+    else:
+        out = out.withColumn("m", F.lit(None).cast("struct<target_rid:long,similarity:double>"))
+    any_right = F.broadcast(first.limit(1).agg(F.count("*").alias("n_right")))
+    like, near = F.coalesce("f.score", F.lit(0.0)), F.coalesce("m.similarity", F.lit(0.0))
+    weak = F.when(near >= p["semantic_weak"], F.round(near * 100, 2)).otherwise(0.0)
+    found_kind = F.when(like >= p["poi_strong"], "fuzzy_strong_poi").when(near >= p["semantic_strong"], "semantic_strong_poi").when((like >= p["poi_weak"]) & (like > weak), "fuzzy_weak_poi").when(weak > 0, "semantic_weak_poi").otherwise("unmatched")
+    out = out.join(any_right).withColumn("kind", F.coalesce("early", F.when(F.col("n_right") == 0, "no_poi_right"), found_kind))
+    fuzzy, semantic = F.col("kind").startswith("fuzzy"), F.col("kind").startswith("semantic")
+    score = F.when(fuzzy, like).when(semantic, F.round(near * 100, 2)).otherwise(0.0)
+    return out.select("rid", F.when(fuzzy, F.col("f.target_rid")).when(semantic, F.col("m.target_rid")).alias("target_rid"), "kind", score.alias("score"))
+
+
+def poi_report(left: DataFrame, right: DataFrame, left_file: str, right_file: str, left_poi: str = "pois", right_poi: str = "poi", address: str = "address", name: str = "name") -> DataFrame:
+    """The nineteen columns of a POI matching, one row per left row; rows of files begin with 1, rids with 0. Columns that a side
+    does not have (address, name, _record_id) are empty."""
+    found = poi_match(left, right, left_poi, right_poi)
+    text = lambda df, c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")
+    a = left.select(F.col("rid").alias("ra"), *(text(left, c).alias(n) for c, n in (("_record_id", "源表记录ID"), (name, "源表名称"), (address, "源表标准化地址"), (left_poi, "源表POI原始"))))
+    b = right.select(F.col("rid").alias("rb"), *(text(right, c).alias(n) for c, n in (("_record_id", "目标表记录ID"), (name, "目标表名称"), (address, "目标表标准化地址"), (right_poi, "目标表POI原始"))))
+    rows = found.join(a, F.col("rid") == F.col("ra")).join(b, F.col("target_rid") == F.col("rb"), "left")
+    hit = F.col("target_rid").isNotNull()
+    of = lambda i: reduce(lambda c, k: c.when(F.col("kind") == k, POI_TYPES[k][i]), list(POI_TYPES)[1:], F.when(F.col("kind") == next(iter(POI_TYPES)), POI_TYPES[next(iter(POI_TYPES))][i]))
+    other = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.select(
+        "源表记录ID", other("目标表记录ID"), F.lit(left_file).alias("源表文件"), (F.col("rid") + 1).alias("源表行号"), "源表名称", "源表标准化地址", "源表POI原始", T.first_poi(F.col("源表POI原始")).alias("源表POI"),
+        F.when(hit, right_file).otherwise("").alias("目标表文件"), (F.col("target_rid") + 1).alias("目标表行号"), other("目标表名称"), other("目标表标准化地址"), other("目标表POI原始"),
+        F.when(hit, T.first_poi(F.col("目标表POI原始"))).otherwise("").alias("目标表POI"), of(0).alias("匹配类型"), F.col("kind").alias("匹配类型代码"), F.col("score").alias("匹配分数"), of(1).alias("POI来源"),
+        F.when(hit, "是").otherwise("否").alias("是否匹配"),
+    )
 
 
 def breakdown(matched: DataFrame) -> DataFrame:
@@ -172,5 +270,6 @@ def semantic_best(left: DataFrame, right: DataFrame, left_rows: int = 4096, righ
     if kind != target:
         raise TypeError(f"rid is {kind} on the left and {target} on the right")
     found = a.unionByName(b).groupBy("width", "block", "shard").applyInArrow(_nearest(), f"rid {kind}, target_rid {kind}, similarity double")
+    # One row, if there is any right row.
     none = left.select("rid").join(F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))).withColumn("similarity", F.lit(None).cast("double"))
     return found.unionByName(none).groupBy("rid").agg(F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")).select("rid", "x.*")

@@ -173,10 +173,21 @@ def related_fields(types: DataFrame) -> DataFrame:
     return a.join(b, F.col("source_a") < F.col("source_b")).select("source_a", "name_a", "source_b", "name_b", F.round(score, 6).alias("score")).where("score > 0.5")
 
 
-def sampled_relations(long: DataFrame) -> DataFrame:
-    """The stricter analyser: no fields of a leading underscore, no fields whose values are all numbers, pairs within a file
-    too, at least three common values and jaccard of 0.1 or more (to three digits). All rows count."""
-    kept = long.where(~F.col("field").startswith("_"))
+def graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row for each end of each edge: node, unique_count, other, overlap, jaccard; nodes without edges have a row of their own."""
+    ends = edges.select(F.concat_ws(".", "file_a", "field_a").alias("n"), F.concat_ws(".", "file_b", "field_b").alias("other"), "overlap", "jaccard")
+    ends = ends.unionByName(ends.select(F.col("other").alias("n"), F.col("n").alias("other"), "overlap", "jaccard"))
+    names = nodes.select(F.concat_ws(".", "file", "field").alias("node"), "unique_count")
+    return names.join(ends, F.col("node") == F.col("n"), "left").drop("n")
+
+
+def sampled_relations(long: DataFrame, most: int = 500) -> DataFrame:
+    """The stricter analyser, on a sample: the first `most` different values of each field, by order. No fields of a leading
+    underscore, no fields whose values are all numbers, pairs within a file too, at least three common values and jaccard of 0.1
+    or more (to three digits)."""
+    kept = long.where(~F.col("field").startswith("_")).distinct()
+    first = F.row_number().over(Window.partitionBy("file", "field").orderBy("value"))
+    kept = kept.withColumn("n", first).where(F.col("n") <= most).drop("n")
     words = kept.groupBy("file", "field").agg(F.min(F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$").cast("int")).alias("numeric")).where("numeric = 0").select("file", "field")
     edges = pairs(kept.join(F.broadcast(words), ["file", "field"]), True)
     return edges.where("overlap >= 3 and jaccard >= 0.1").select("file_a", "field_a", "file_b", "field_b", "overlap", F.round("jaccard", 3).alias("jaccard"))

@@ -8,19 +8,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geo
 from ..functions.text import gid_norm, match_value, strip
 
 
 def _norm(c: Column) -> Column:
-    return F.lower(strip(F.coalesce(c.cast("string"), F.lit(""))))
+    """Null if nothing is left, so that blank values are no key that all of them meet on."""
+    return F.nullif(F.lower(strip(c.cast("string"))), F.lit(""))
 
 
 def _keyed(db: DataFrame, column: str) -> DataFrame:
     """Of each key the first record (by code, then name), and how many there are."""
-    return db.withColumn("k", _norm(F.col(column))).where("k <> ''").groupBy("k").agg(F.min(F.struct("code", "name", "x", "y")).alias("r"), F.count("*").alias("n"))
+    return db.withColumn("k", _norm(F.col(column))).where("k is not null").groupBy("k").agg(F.min(F.struct("code", "name", "x", "y")).alias("r"), F.count("*").alias("n"))
 
 
 def resolve(rows: DataFrame, db: DataFrame, shapes: DataFrame, fields: list[str]) -> DataFrame:
@@ -45,7 +46,7 @@ def completeness(resolved: DataFrame) -> DataFrame:
 
 def completeness_original(rows: DataFrame, db: DataFrame, fields: list[str]) -> DataFrame:
     """Rows of the original table of which any configured value is a database name."""
-    names = db.select(_norm(F.col("name")).alias("k")).where("k <> ''").distinct()
+    names = db.select(_norm(F.col("name")).alias("k")).where("k is not null").distinct()
     hits = reduce(DataFrame.unionByName, (rows.select("rid", _norm(F.col(f)).alias("k")) for f in fields)).join(names, "k", "left_semi").select("rid").distinct()
     marked = rows.select("rid").join(hits.withColumn("hit", F.lit(1)), "rid", "left")
     counts = marked.agg(F.count("*").alias("total"), F.count("hit").alias("found"))
@@ -86,21 +87,63 @@ def problems(resolved: DataFrame, fields: list[str], metres: float = 10.0) -> Da
     return missing(resolved, fields).unionByName(deviations(resolved, fields, metres)).unionByName(duplicate_rows(resolved, fields))
 
 
+def report(found: DataFrame) -> DataFrame:
+    """Problem rows under the names of the problem table; what a row lacks is a hyphen."""
+    or_none = lambda c: F.when(c != "", c).otherwise("-")
+    point = lambda c: or_none(F.when(F.col(c) != "", F.concat(F.lit("("), F.replace(c, F.lit(","), F.lit(", ")), F.lit(")"))).otherwise(""))
+    kinds = reduce(lambda c, k: c.when(F.col("kind") == k, PROBLEM_TYPES[k]), list(PROBLEM_TYPES)[1:], F.when(F.col("kind") == "missing", PROBLEM_TYPES["missing"]))
+    apart = F.when(F.col("kind") == "deviation", F.col("status")).otherwise("-")
+    return found.select(
+        F.col("gid").alias("目标表GID"), or_none(F.col("db_code")).alias("数据库code"), F.col("value").alias("源表匹配值"), F.col("status").alias("状态"), apart.alias("偏差距离"),
+        point("shape_at").alias("原始坐标"), point("db_at").alias("数据库坐标"), kinds.alias("问题类型"),
+    )
+
+
+#: Values of the problem table.
+PROBLEM_TYPES = {"missing": "缺失", "deviation": "偏差", "duplicate": "重复"}
+
+
+def text_report(source_total: DataFrame, resolved: DataFrame, fields: list[str], metres: float = 10.0, most: int = 100) -> DataFrame:
+    """(line, text): the report of a validation as text, with the first `most` problems by row; source_total has one row, n."""
+    one = completeness(resolved).select(F.col("total").alias("matched"), "found", "missing")
+    far = deviation(resolved, metres).select("checked", "within", "exceed")
+    again = duplicates(resolved).select("duplicate_keys", "duplicate_records")
+    head = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), (one, far, again), source_total.select(F.col("n").alias("source_total")))  # a row each
+    value = lambda label, c: F.concat(F.lit(label + ": "), F.col(c).cast("string"))
+    rule = F.lit("=" * 60)
+    lines = [
+        rule, F.lit("数据治理验证统计报告"), rule, F.lit(""), F.lit("【基本信息】"), value("原始客户数据总数", "source_total"), value("匹配结果总数", "matched"), F.lit(""),
+        F.lit("【数据完整性统计】"), value("匹配结果在数据库中存在", "found"), value("匹配结果在数据库中缺失", "missing"), F.lit(""),
+        F.lit("【位置偏差统计】"), value("检查总数", "checked"), value("在阈值内", "within"), value("超过阈值", "exceed"), F.lit(""),
+        F.lit("【重复数据统计】"), value("重复匹配值数", "duplicate_keys"), value("重复记录数", "duplicate_records"), F.lit(""),
+    ]
+    top = head.select(F.posexplode(F.array(*lines)).alias("line", "text")).select(F.col("line").cast("long").alias("line"), "text")
+    found = problems(resolved, fields, metres)
+    first = found.orderBy("rid", "kind").limit(most).withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rid", "kind")))
+    body = first.select((F.col("n") + len(lines)).cast("long").alias("line"), F.concat(F.col("n").cast("string"), F.lit(". "), "status", F.lit(" - GID: "), "gid").alias("text"))
+    title = found.limit(1).select(F.lit(len(lines)).cast("long").alias("line"), F.lit("【问题数据详情】").alias("text"))
+    rest = found.agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.lit(len(lines) + most + 1).cast("long").alias("line"), F.concat(F.lit("... 还有 "), (F.col("n") - most).cast("string"), F.lit(" 条问题数据未显示")).alias("text"))
+    return reduce(DataFrame.unionByName, (top, title, body, rest))
+
+
 def duplicate_records(db: DataFrame) -> DataFrame:
     """Database records whose code or name occurs more than once."""
     def more(column):
-        return db.select(_norm(F.col(column)).alias("k")).where("k <> ''").groupBy("k").count().where("count > 1").select("k")
+        return db.select(_norm(F.col(column)).alias("k")).where("k is not null").groupBy("k").count().where("count > 1").select("k")
 
     by_code = db.join(more("code"), _norm(F.col("code")) == F.col("k"), "left_semi")
     by_name = db.join(more("name"), _norm(F.col("name")) == F.col("k"), "left_semi")
     return by_code.unionByName(by_name).distinct()
 
 
-def target_gid(columns: list[str]) -> str | None:
-    """The target's gid column, or else its code column."""
-    targets = [c for c in columns if "[目标:" in c]
-    return next((c for c in targets if "gid" in c.lower() and "code" not in c.lower()), None) or next((c for c in targets if "code" in c.lower()), None)
+def target_gid(names: Column) -> Column:
+    """Of a list of column names the target's gid column, or else its code column."""
+    holds = lambda x, word: F.lower(x).contains(word)
+    first = lambda test: F.get(F.filter(names, lambda x: x.contains("[目标:") & test(x)), F.lit(0))
+    return F.coalesce(first(lambda x: holds(x, "gid") & ~holds(x, "code")), first(lambda x: holds(x, "code")))
 
 
-def map_field(field: str, table: str, columns: list[str]) -> str | None:
-    return next((c for c in (f"[源:{table}]{field}", f"【匹配源:{table}】{field}") if c in columns), None) or next((c for c in columns if field in c), None)
+def map_field(field: str, table: str, names: Column) -> Column:
+    """Of a list of column names the source's column for a field, by its very name under either prefix, or the first that has it."""
+    exact = [F.when(F.array_contains(names, n), n) for n in (f"[源:{table}]{field}", f"【匹配源:{table}】{field}")]
+    return F.coalesce(*exact, F.get(F.filter(names, lambda x: x.contains(field)), F.lit(0)))
