@@ -1,46 +1,16 @@
-"""All queries of the engine with their SQL counterparts, where SQL can express them."""
+"""Queries over text functions, cleaning, joins, regions, profiles and validation."""
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import geo, rules as R, similarity, text as T
 from ..operators import clean, join, match, profile, region, validate
-from ..sources import readers, sinks
+from ..sources import readers, shared, sinks
 from .fixtures import FRAMES, frame
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def add(name: str, frames: str, make, sql: str | None = None) -> None:
-    """make gets the frames, in order; sql may use them by name, and starts with further CTEs or SELECT."""
-    names = frames.split()
-    QUERIES[name] = lambda spark, sf_dir: make(*(frame(spark, sf_dir, n) for n in names))
-    if sql:
-        used = [n for n in FRAMES if n in names or re.search(rf"\b{n}\b", sql)]
-        SQL[name] = "WITH " + ", ".join(f"{n} AS ({FRAMES[n]})" for n in used) + ("\n" if re.match(r"\s*SELECT", sql) else ",\n") + sql
-
-
-def strip_sql(c: str) -> str:
-    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
-
-
-def blank_sql(c: str) -> str:
-    return f"(coalesce({strip_sql(f'CAST({c} AS VARCHAR)')}, '') = '')"
-
-
-def sanitize_sql(c: str) -> str:
-    c = reduce(lambda x, w: f"replace({x}, '{w}', '')", (*R.NOISE, *R.PLACEHOLDERS), c)
-    return strip_sql(f"regexp_replace(regexp_replace({c}, '无([0-9])', '\\1', 'g'), '无{{2,}}', '', 'g')")
-
+from .registry import FIELDS, QUERIES, SQL, add, blank_sql, sanitize_sql, strip_sql
 
 # Scalar functions -----------------------------------------------------------------------------------------------------
 
@@ -48,7 +18,6 @@ def scalar(name: str, frames: str, column, sql: str | None, rid: str = "rid") ->
     add(name, frames, lambda df: df.select(rid, column().alias("value")), sql and f"SELECT {rid}, {sql} AS value FROM {frames}")
 
 
-FIELDS = ["province", "city", "district", "street", "poi"]
 CLEAN_SQL = "concat(" + ", ".join(f"CASE WHEN regexp_matches({s}, '[一-龥]') THEN {s} ELSE '' END" for s in (sanitize_sql(strip_sql(f"coalesce({f}, '')")) for f in FIELDS)) + ")"
 PURE_SQL = f"""CASE WHEN {{s}} = '' THEN false WHEN regexp_matches({{s}}, '[0-9]') THEN false WHEN regexp_matches({{s}}, '{R.any_of(R.ADDRESS_WORDS)}') THEN false
   WHEN regexp_replace({{s}}, '[^一-龥]', '', 'g') = '' THEN true WHEN regexp_matches(regexp_replace({{s}}, '[^一-龥]', '', 'g'), '{R.any_of(R.VILLAGE_WORDS)}') THEN false
@@ -63,7 +32,7 @@ FALLBACK_SQL = f"CASE WHEN regexp_matches({strip_sql('location')}, '[一-龥]')
 scalar("sanitize", "addr", lambda: T.sanitize(F.coalesce("street", F.lit(""))), sanitize_sql("coalesce(street, '')"))
 scalar("contains_chinese", "addr", lambda: T.contains_chinese(F.col("location")), "coalesce(regexp_matches(location, '[一-龥]'), false)")
 scalar("build_clean_text", "addr", lambda: T.build_clean_text([F.col(f) for f in FIELDS]), CLEAN_SQL)
-scalar("dedupe_admin", "addr", lambda: T.dedupe_admin(F.concat(F.coalesce("city", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street", F.lit("")))), None)
+scalar("dedupe_admin", "addr", lambda: T.dedupe_admin(F.concat(F.coalesce("city", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street", F.lit("")))), "concat(coalesce(city, ''), coalesce(street, ''))")
 scalar("dedupe_phrases", "addr", lambda: similarity.dedupe_phrases(F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))), None)
 scalar("pure_admin_region", "addr", lambda: T.is_pure_admin(F.concat_ws("", "province", "city")), pure_sql("concat_ws('', province, city)"))
 scalar("fallback_address", "addr", lambda: T.fallback_address(["rid", "province", "location"]), f"coalesce({FALLBACK_SQL}, '')")
@@ -80,13 +49,15 @@ NORMAL_SQL = strip_sql(r"regexp_replace(regexp_replace(" + strip_sql("coalesce(p
 scalar("normalize_poi", "addr", lambda: T.normalize_poi(F.col("poi")), NORMAL_SQL)
 scalar("first_poi", "addr", lambda: T.first_poi(F.col("poi")), strip_sql("split_part(coalesce(poi, ''), ';', 1)"))
 OVERLAP_SQL = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) AS DOUBLE) / greatest(len(list_distinct(string_split({a}, ''))), len(list_distinct(string_split({b}, '')))) END"
-scalar("char_overlap", "addr", lambda: F.round(T.char_overlap(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), f"round({OVERLAP_SQL.replace('{a}', chr(99) + 'oalesce(street, ' + chr(39) * 2 + ')').replace('{b}', 'coalesce(poi, ' + chr(39) * 2 + ')')}, 6)")
+scalar("char_overlap", "addr", lambda: F.round(T.char_overlap(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), "round(" + OVERLAP_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)")
 LENGTH_SQL = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE CAST(least(length({a}), length({b})) AS DOUBLE) / greatest(length({a}), length({b})) END"
 scalar("length_ratio", "addr", lambda: F.round(T.length_ratio(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), "round(" + LENGTH_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)")
 KV = ["prov", "city", "road", "poi", "houseno"]
-scalar("std_address", "kv", lambda: T.std_address({k: T.parse_kv(F.col("structure"))[k] for k in KV}), None)
 KV_SQL = {k: f"nullif(regexp_extract(structure, '(^|\\s){k}=(\\S*)', 2), '')" for k in KV}
-SQL["std_address"] = f"WITH kv AS ({FRAMES['kv']}) SELECT rid, concat_ws('', {', '.join(KV_SQL[k] for k in KV[:4])}, concat({KV_SQL['houseno']}, '号楼') ) AS value FROM kv WHERE structure <> '' UNION ALL SELECT rid, '' FROM kv WHERE structure = ''"
+TEN = ["prov", "city", "district", "town", "village", "road", "roadNo", "poi", "houseno", "cellno"]
+TEN_SQL = {k: f"nullif(regexp_extract(structure, '(^|\\s){k}=(\\S*)', 2), '')" for k in [*TEN, "roomno"]}
+STD_SQL = f"concat_ws('', {', '.join(TEN_SQL[k] for k in TEN[:8])}, {TEN_SQL['houseno']} || '号楼', {TEN_SQL['cellno']} || '单元')"
+scalar("std_address", "kv10", lambda: T.std_address({k: T.parse_kv(F.col("structure"))[k] for k in TEN}), STD_SQL)
 add("parse_kv", "kv", lambda df: df.select("rid", *(F.coalesce(T.parse_kv(F.col("structure"))[k], F.lit("")).alias(k) for k in KV)), "SELECT rid, " + ", ".join(f"coalesce({KV_SQL[k]}, '') AS {k}" for k in KV) + " FROM kv")
 
 
@@ -117,30 +88,6 @@ def _wkt(df):
 
 add("wkt_point", "tgt", _wkt, "SELECT rid, CASE rid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'MULTIPOLYGON' ELSE '' END AS kind, CASE WHEN rid % 3 = 0 THEN CAST(rid AS DOUBLE) END AS x, CASE WHEN rid % 3 = 0 THEN 2.5::DOUBLE END AS y FROM tgt")
 
-LCS_SQL = """list_reduce(list_transform(string_split(a, ''), lambda c: [CAST(ord(c) AS BIGINT)]),
-  lambda p, x: list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN ord(string_split(b, '')[j]) = x[1] THEN p[j] + 1 ELSE p[j + 1] END]), lambda acc, v: list_append(acc, greatest(acc[-1], v[1])), [CAST(0 AS BIGINT)]),
-  list_transform(range(0, len(b) + 1), lambda i: CAST(0 AS BIGINT)))[-1]"""
-PAIRS_SQL = """s_ AS (SELECT DISTINCT trim(poi) AS a FROM src WHERE trim(coalesce(poi, '')) <> ''), t_ AS (SELECT DISTINCT trim(poi) AS b FROM {t} WHERE trim(coalesce(poi, '')) <> ''),
-ratios AS (SELECT a, b, 200.0::DOUBLE * {lcs} / (length(a) + length(b)) AS score FROM s_, t_)""".replace("{lcs}", LCS_SQL)
-
-
-def _stripped(df, name):
-    return df.select(T.strip(F.col("poi")).alias(name))
-
-
-add("fuzz_ratio", "src tgt", lambda s, t: similarity.candidates(_stripped(s, "a"), _stripped(t, "b"), 90.0).select("a", "b", F.round("score", 6).alias("score")), PAIRS_SQL.replace("{t}", "tgt") + " SELECT a, b, round(score, 6) AS score FROM ratios WHERE score >= 90")
-add("partial_ratio", "tgt tgt2", lambda s, t: _stripped(s, "a").distinct().join(F.broadcast(_stripped(t, "b").distinct())).select("a", "b", F.round(similarity.partial_ratio("a", "b"), 6).alias("score")))
-add("difflib_score", "tgt tgt2", lambda s, t: _stripped(s, "a").distinct().join(F.broadcast(_stripped(t, "b").distinct())).select("a", "b", F.round(similarity.similarity_score("a", "b"), 6).alias("score")))
-
-
-def _vectors(spark, sf_dir, rest):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % 2 == rest).select(F.col("vec_id").alias("rid"), F.col("embedding").alias("v"))
-
-
-QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(_vectors(spark, sf_dir, 0), _vectors(spark, sf_dir, 1))
-SQL["semantic_sim"] = """WITH p AS (SELECT l.vec_id AS rid, r.vec_id AS target_rid, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings l, embeddings r WHERE l.vec_id % 2 = 0 AND r.vec_id % 2 = 1)
-SELECT rid, target_rid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) AS n FROM p) WHERE n = 1"""
-
 # Cleaning -------------------------------------------------------------------------------------------------------------
 add("lineage_cols", "addr", lambda df: clean.lineage(df.select("rid", "province"), "custs"), "SELECT rid, province, concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row FROM addr")
 add("ids_first", "addr", lambda df: clean.ids_first(clean.lineage(df.select("rid", "city"), "custs")), "SELECT concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row, rid, city FROM addr")
@@ -164,6 +111,9 @@ add("file_quality", "addr", lambda df: profile.file_quality(df, ["poi", "distric
 # Joins and predicates -------------------------------------------------------------------------------------------------
 _A, _B = "SELECT c_custkey, nullif(c_nationkey % 7, 0) AS k FROM customer", "SELECT s_suppkey, nullif(s_nationkey % 7, 0) AS k2 FROM supplier"
 
+#: Whole tables whose keys leave some of the other side's without a partner.
+_FEW_A, _FEW_B = "SELECT c_custkey, nullif(c_nationkey % 4, 0) AS k FROM customer", "SELECT s_suppkey, nullif(s_nationkey % 4, 0) AS k2 FROM supplier"
+
 
 def joined(kind, on="k2"):
     return lambda spark, sf_dir: join.export(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", on, kind)
@@ -171,10 +121,10 @@ def joined(kind, on="k2"):
 
 QUERIES["join_inner"] = joined("inner")
 SQL["join_inner"] = f'SELECT a.c_custkey AS "[A]c_custkey", a.k AS "【关联A】k", b.s_suppkey AS "[B]s_suppkey", b.k2 AS "【关联B】k2" FROM ({_A}) a JOIN ({_B}) b ON a.k IS NOT DISTINCT FROM b.k2'
-QUERIES["join_left_anti"] = lambda spark, sf_dir: join.left_anti(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B).where("k2 < 4"), "k", "k2")
-SQL["join_left_anti"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE k2 < 4 AND a.k = b.k2)"
-QUERIES["join_right_anti"] = lambda spark, sf_dir: join.right_anti(frame(spark, sf_dir, _A).where("k < 4"), frame(spark, sf_dir, _B), "k", "k2")
-SQL["join_right_anti"] = f"SELECT * FROM ({_B}) b WHERE NOT EXISTS (SELECT 1 FROM ({_A}) a WHERE k < 4 AND a.k = b.k2)"
+QUERIES["join_left_anti"] = lambda spark, sf_dir: join.left_anti(frame(spark, sf_dir, _A), frame(spark, sf_dir, _FEW_B), "k", "k2")
+SQL["join_left_anti"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_FEW_B}) b WHERE a.k = b.k2)"
+QUERIES["join_right_anti"] = lambda spark, sf_dir: join.right_anti(frame(spark, sf_dir, _FEW_A), frame(spark, sf_dir, _B), "k", "k2")
+SQL["join_right_anti"] = f"SELECT * FROM ({_B}) b WHERE NOT EXISTS (SELECT 1 FROM ({_FEW_A}) a WHERE a.k = b.k2)"
 QUERIES["join_export"] = lambda spark, sf_dir: join.export(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", "k2", "left_anti")
 SQL["join_export"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE a.k = b.k2)"
 _KA = "lower(" + strip_sql("{t}.ka") + ")"
@@ -185,7 +135,6 @@ _PAIRS = [("ka", "ka"), ("kb", "kb")]
 add("me_exact", "lt rt", lambda l, r: join.exact(l, r, "ka", "ka"), EXACT_SQL)
 add("me_multi_field", "lt rt", lambda l, r: join.multi_field(l, r, _PAIRS), MULTI_SQL)
 add("me_batch", "lt rt", lambda l, r: join.batch([join.multi_field(l, r, _PAIRS), join.exact(l, r, "ka", "ka")]), f"u AS (SELECT *, 0 AS strategy FROM ({MULTI_SQL}) UNION ALL SELECT *, 1 FROM ({EXACT_SQL})) SELECT lid, rid, confidence, strategy FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY strategy, rid) AS n FROM u) WHERE n = 1")
-add("me_fuzzy", "src tgt", lambda s, t: join.fuzzy(s.withColumnRenamed("rid", "lid"), t, "poi", "poi").select("lid", "rid", F.round("confidence", 6).alias("confidence")))
 _ROWS = [("AND", "c_nationkey", ">=", 3), ("AND", "c_mktsegment", "LIKE", "U"), ("OR", "c_acctbal", "<", 0), ("AND", "c_nationkey", "IN", [1, 2, 5]), ("AND", "c_name", "IS NOT NULL", None)]
 QUERIES["filter_builder"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").where(join.predicate(_ROWS)).select("c_custkey", "c_nationkey")
 SQL["filter_builder"] = "SELECT c_custkey, c_nationkey FROM customer WHERE (((c_nationkey >= 3 AND c_mktsegment LIKE '%U%') OR c_acctbal < 0) AND c_nationkey IN (1, 2, 5)) AND c_name IS NOT NULL"
@@ -197,63 +146,34 @@ add("remaining_rows", "src tgt", lambda s, t: join.remaining(s, match.exact_by(s
 add("head_n", "src", lambda s: join.head(s, 10).select("rid", "core"), "SELECT rid, core FROM src ORDER BY rid LIMIT 10")
 add("sample_n", "src", lambda s: join.sample(s, 1000).select("rid", "core"))
 add("paginate", "src", lambda s: join.page(s, 3).select("rid", "poi"), "SELECT rid, poi FROM src ORDER BY rid LIMIT 100 OFFSET 200")
-QUERIES["detect_poi_column"] = lambda spark, sf_dir: spark.range(1).select(F.lit(poi_column(["a", "POI", "poi", "predict_poi"])).alias("found"))
-SQL["detect_poi_column"] = "SELECT 'predict_poi' AS found"
-
-
-def poi_column(columns: list[str]) -> str | None:
-    return next((c for c in ("标准化POI抽取", "predict_poi", "POI", "poi", "POI_结构化") if c in columns), None)
-
+#: Lists of column names, chosen by row.
+_LISTS = ["a|POI|poi|predict_poi", "poi|x", "名称", "POI_结构化|POI", "标准化POI抽取|predict_poi"]
 
-# Tiered matching ------------------------------------------------------------------------------------------------------
-def tier_sql(t: str) -> str:
-    return PAIRS_SQL.replace("s_ AS", f"s_{t} AS").replace("t_ AS", f"t_{t} AS").replace("FROM s_, t_", f"FROM s_{t}, t_{t}").replace("ratios AS", f"ratios_{t} AS").replace("{t}", t) + f""",
-f_{t} AS (SELECT s.rid, s.district, t.rid AS target_rid, t.district AS target_district, r.score, r.a, r.b FROM src s JOIN ratios_{t} r ON trim(s.poi) = r.a JOIN {t} t ON trim(t.poi) = r.b WHERE r.score >= 90),
-b_{t} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, target_rid) AS n FROM f_{t}) WHERE n = 1 AND ({OVERLAP_SQL.replace('{a}', 'a').replace('{b}', 'b')}) >= 0.2),
-e0_{t} AS (SELECT s.rid, min(t.rid) AS target_rid, 100.0::DOUBLE AS score FROM src s JOIN {t} t ON {strip_sql('s.core')} = {strip_sql('t.core')} WHERE {strip_sql('s.core')} <> '' GROUP BY 1),
-e1_{t} AS (SELECT s.rid, min(t.rid) AS target_rid, 100.0::DOUBLE AS score FROM src s JOIN {t} t ON {strip_sql('s.poi')} = {strip_sql('t.poi')} WHERE {strip_sql('s.poi')} <> '' GROUP BY 1),
-w_{t} AS (SELECT rid, {strip_sql("unnest(string_split(pois, ';'))")} AS k FROM src), g_{t} AS (SELECT {strip_sql('poi')} AS k, min(rid) AS f, max(rid) AS l FROM {t} WHERE length({strip_sql('poi')}) >= 2 GROUP BY 1),
-e2_{t} AS (SELECT w.rid, arg_min(g.l, g.f) AS target_rid, 100.0::DOUBLE AS score FROM w_{t} w JOIN g_{t} g USING (k) GROUP BY 1),
-e3_{t} AS (SELECT rid, target_rid, score FROM b_{t} WHERE CASE WHEN district = target_district THEN score >= 95 WHEN district <> target_district THEN score >= 103 ELSE score >= 98 END),
-e4_{t} AS (SELECT rid, target_rid, score FROM b_{t} WHERE score BETWEEN 90 AND 98),
-u_{t} AS (""" + " UNION ALL ".join(f"SELECT *, {i} AS tier FROM e{i}_{t}" for i in range(5)) + ")"
 
+def _column_lists(df, lists):
+    return df.select("rid", F.split(F.element_at(F.array(*map(F.lit, lists)), (F.col("rid") % len(lists) + 1).cast("int")), "\\|").alias("names"))
 
-LEVEL_SQL = "CASE WHEN tier <= 2 THEN 'EXACT' WHEN tier = 3 THEN 'HIGH_CONFIDENCE' WHEN tier = 4 THEN 'NEED_REVIEW' ELSE 'UNMATCHED' END"
 
+def _lists_sql(lists):
+    return f"(SELECT rid, string_split(([{', '.join(repr(x) for x in lists)}])[CAST(rid % {len(lists)} + 1 AS INT)], '|') AS names FROM tgt)"
 
-def fall_sql(*targets: str) -> str:
-    union = " UNION ALL ".join(f"SELECT *, {i} AS target FROM u_{t}" for i, t in enumerate(targets))
-    return ",\n".join(map(tier_sql, targets)) + f",\nfall AS (SELECT src.rid, x.target, x.target_rid, x.score, {LEVEL_SQL} AS level FROM src LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY target, tier) AS n FROM ({union})) x ON src.rid = x.rid AND x.n = 1)"
 
+add("detect_poi_column", "tgt", lambda df: _column_lists(df, _LISTS).select("rid", T.poi_column(F.col("names")).alias("found")),
+    f"SELECT rid, list_filter(['标准化POI抽取', 'predict_poi', 'POI', 'poi', 'POI_结构化'], lambda x: list_contains(names, x))[1] AS found FROM {_lists_sql(_LISTS)}")
 
-def rounded(df):
-    return df.withColumn("score", F.round("score", 6))
-
+# Region ---------------------------------------------------------------------------------------------------------------
 
-def _scored(s, t):
-    return match.best_fuzzy(s, t, 90.0)
 
+def _region_dim(spark, sf_dir):
+    """The dimension as a JSON file in the shared folder."""
+    folder = f"{shared.home(spark)}/{uuid.uuid4().hex}"
+    frame(spark, sf_dir, "cities").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(f"{folder}/cities.json")
+    return region.first_by_name(region.read(spark, folder, "cities")).select("key", "d.*")
 
-add("sm_exact_core", "src tgt", lambda s, t: match.exact_by(s, t, "core"), tier_sql("tgt") + " SELECT * FROM e0_tgt")
-add("sm_exact_poi", "src tgt", lambda s, t: match.exact_by(s, t, "poi"), tier_sql("tgt") + " SELECT * FROM e1_tgt")
-add("sm_poi_contains", "src tgt", match.contained, tier_sql("tgt") + " SELECT * FROM e2_tgt")
-add("sm_high_conf", "src tgt", lambda s, t: rounded(match.high_confidence(_scored(s, t)).select("rid", "target_rid", "score")), tier_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score FROM e3_tgt")
-add("sm_need_review", "src tgt", lambda s, t: rounded(match.need_review(_scored(s, t)).select("rid", "target_rid", "score")), tier_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score FROM e4_tgt")
-add("sm_unmatched", "src tgt", lambda s, t: match.cascade(s, t).where("level = 'UNMATCHED'").select("rid", "level"), fall_sql("tgt") + " SELECT rid, level FROM fall WHERE level = 'UNMATCHED'")
-add("sm_cascade", "src tgt", lambda s, t: rounded(match.cascade(s, t)), fall_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score, level FROM fall")
-add("task_waterfall", "src tgt tgt2", lambda s, *t: rounded(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + " SELECT rid, target, target_rid, round(score, 6) AS score, level FROM fall")
-STATS_SQL = """, c AS (SELECT count(*) AS total, count(*) FILTER (level = 'EXACT') AS exact, count(*) FILTER (level = 'HIGH_CONFIDENCE') AS high_confidence, count(*) FILTER (level = 'NEED_REVIEW') AS need_review, count(*) FILTER (level = 'UNMATCHED') AS unmatched FROM fall)"""
-add("match_stats", "src tgt tgt2", lambda s, *t: match.statistics(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + STATS_SQL + " SELECT *, exact + high_confidence AS auto_match, round((exact + high_confidence) / total * 100, 2) AS auto_rate, round((exact + high_confidence + need_review) / total * 100, 2) AS match_rate FROM c")
-add("target_details", "src tgt tgt2", lambda s, *t: match.target_details(match.waterfall(s, list(t)), len(t)), fall_sql("tgt", "tgt2") + """, d AS (SELECT CAST(i AS INTEGER) AS target, count(rid) FILTER (level = 'EXACT') AS exact, count(rid) FILTER (level = 'HIGH_CONFIDENCE') AS high_confidence, count(rid) FILTER (level = 'NEED_REVIEW') AS need_review, count(rid) AS matched FROM range(2) r(i) LEFT JOIN fall ON target = i GROUP BY 1),
-o AS (SELECT *, CAST((SELECT count(*) FROM src) - coalesce(sum(matched) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offered FROM d) SELECT *, CASE WHEN offered > 0 THEN '完成' ELSE '无剩余记录' END AS status FROM o""")
-add("task_totals", "src tgt tgt2", lambda s, *t: match.waterfall(s, list(t)).groupBy("level").agg(F.count("*").alias("n")), fall_sql("tgt", "tgt2") + " SELECT level, count(*) AS n FROM fall GROUP BY 1")
-add("poi_match", "src tgt", lambda s, t: rounded(match.poi_match(s.withColumn("pois", F.coalesce("poi", F.lit(""))), t)))
-add("poi_match_large", "addr tgt2", lambda s, t: rounded(match.poi_match(s.withColumnRenamed("poi", "pois"), t)))
-add("poi_type_breakdown", "addr tgt", lambda s, t: match.breakdown(match.poi_match(s.withColumnRenamed("poi", "pois"), t)))
 
-# Region ---------------------------------------------------------------------------------------------------------------
-add("read_region_dim", "cities", lambda c: region.first_by_name(c).select("key", "d.*"), "n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM cities) SELECT key, code, name, provinceCode FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY code) AS r FROM n) WHERE r = 1")
+QUERIES["read_region_dim"] = _region_dim
+SQL["read_region_dim"] = f"""WITH cities AS ({FRAMES['cities']}), n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM cities)
+SELECT key, code, name, provinceCode FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY code) AS r FROM n) WHERE r = 1"""
 _LOOK = "(SELECT {what} FROM {dim} d WHERE d.name = {v} OR regexp_replace(d.name, '(省|市|区|县|自治区|街道|镇|乡)$', '') = {v} ORDER BY d.code LIMIT 1)"
 DEDUCE_SQL = f"""r1 AS (SELECT *, (SELECT name FROM cities c WHERE c.code = {_LOOK.format(what='d.cityCode', dim='areas', v='places.area')}) AS up FROM places),
 r2 AS (SELECT *, CASE WHEN coalesce(city, '') <> '' THEN city ELSE coalesce(up, '') END AS city_full FROM r1),
@@ -276,16 +196,6 @@ _LACKS = "(coalesce(province, '') = '' OR coalesce(city, '') = '')"
 add("fill_region", "places", _fill, f"SELECT rid, CASE WHEN {_LACKS} THEN '浙江省' ELSE province END AS province, city, CASE WHEN {_LACKS} THEN '西湖区' ELSE area END AS district FROM places")
 
 
-def _cached(df):
-    cache = df.select("structure").where("rid % 3 = 0 and structure <> ''").distinct().withColumn("cached", F.lit(True))
-    hit = df.join(cache, "structure", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
-    return hit.select("rid", F.when(F.col("cached"), T.parse_kv(F.col("structure"))["poi"]).otherwise(F.lit("")).alias("poi"), "cached")
-
-
-CACHE_SQL = f"h AS (SELECT *, structure <> '' AND structure IN (SELECT structure FROM kv WHERE rid % 3 = 0) AS cached FROM kv)"
-add("address_parse_cached", "kv", _cached, CACHE_SQL + f" SELECT rid, CASE WHEN cached THEN {KV_SQL['poi']} ELSE '' END AS poi, cached FROM h")
-add("cache_hit_counts", "kv", lambda df: _cached(df).agg(F.count("*").alias("total"), F.count_if("cached").alias("hits")), CACHE_SQL + " SELECT count(*) AS total, count(*) FILTER (cached) AS hits FROM h")
-
 # Profiles and relations -----------------------------------------------------------------------------------------------
 COLUMNS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_nationkey"]}
 
@@ -315,14 +225,15 @@ def _degree(v):
 relation("field_profile", profile.profile, LONG_SQL + " SELECT file, field, count(DISTINCT value) AS unique_count, count(*) AS non_null FROM lv GROUP BY ALL")
 relation("rel_overlap", lambda v: profile.pairs(v).select("file_a", "field_a", "file_b", "field_b", "overlap"), EDGES + " SELECT file_a, field_a, file_b, field_b, overlap FROM edges")
 relation("jaccard_pairs", profile.pairs, EDGES + " SELECT * FROM edges")
-relation("relation_graph", profile.pairs, EDGES + " SELECT * FROM edges")
+relation("relation_graph", lambda v: profile.graph(profile.profile(v), profile.pairs(v)), DEGREE_SQL + """, pr AS (SELECT concat(file, '.', field) AS node, count(DISTINCT value) AS unique_count FROM lv GROUP BY ALL),
+  ab AS (SELECT concat(file_a, '.', field_a) AS node, concat(file_b, '.', field_b) AS other, overlap, jaccard FROM edges UNION ALL SELECT concat(file_b, '.', field_b), concat(file_a, '.', field_a), overlap, jaccard FROM edges)
+  SELECT node, unique_count, other, overlap, jaccard FROM pr LEFT JOIN ab USING (node)""")
 relation("relation_samples", lambda v: profile.sample_values(v, profile.pairs(v).select("file_a", "field_a", "file_b", "field_b")), EDGES + ", c AS (SELECT file_a, field_a, file_b, field_b, a.value, row_number() OVER (PARTITION BY file_a, field_a, file_b, field_b ORDER BY a.value) AS n FROM edges JOIN dv a ON a.file = file_a AND a.field = field_a JOIN dv b ON b.file = file_b AND b.field = field_b AND a.value = b.value) SELECT file_a, field_a, file_b, field_b, string_agg(value, '|' ORDER BY n) AS samples FROM c WHERE n <= 20 GROUP BY ALL")
 relation("degree_centrality", _degree, DEGREE_SQL + " SELECT * FROM deg")
 _RANK = "file_a, field_a, file_b, field_b"
 relation("relations_ranked", lambda v: profile.ranked(profile.pairs(v), 10), EDGES + f" SELECT * FROM edges ORDER BY overlap DESC, jaccard DESC, {_RANK} LIMIT 10")
 relation("relation_filters", lambda v: profile.pairs(v).where("file_a = 'customer' or file_b = 'customer'"), EDGES + " SELECT * FROM edges WHERE file_a = 'customer' OR file_b = 'customer'")
 relation("insight_high_relation", lambda v: profile.insight_high(profile.pairs(v)), EDGES + f" SELECT * FROM edges WHERE field_a <> field_b AND jaccard > 0.6 ORDER BY jaccard DESC, {_RANK} LIMIT 5")
-relation("insight_same_name", lambda v: profile.insight_same_name(profile.pairs(v)), EDGES + f" SELECT * FROM edges WHERE field_a = field_b AND jaccard > 0.8 ORDER BY jaccard DESC, {_RANK} LIMIT 3")
 _A_IN = "containment_a > 0.9"
 relation("insight_foreign_key", lambda v: profile.insight_foreign_key(profile.pairs(v)), EDGES + f" SELECT CASE WHEN {_A_IN} THEN concat(file_a, '.', field_a) ELSE concat(file_b, '.', field_b) END AS child, CASE WHEN {_A_IN} THEN concat(file_b, '.', field_b) ELSE concat(file_a, '.', field_a) END AS parent, CASE WHEN {_A_IN} THEN containment_a ELSE containment_b END AS containment, overlap FROM edges WHERE overlap >= 10 AND field_a <> field_b AND ({_A_IN} OR containment_b > 0.9) ORDER BY containment DESC, overlap DESC, child, parent LIMIT 5")
 relation("insight_central", lambda v: profile.insight_central(_degree(v)), DEGREE_SQL + " SELECT * FROM deg WHERE degree >= 2 ORDER BY centrality DESC, node LIMIT 5")
@@ -338,7 +249,35 @@ relation("communities", _communities, COMPONENT_SQL + " SELECT * FROM com")
 relation("insights", lambda v: profile.insight_communities(_communities(v)), COMPONENT_SQL + " SELECT community, count(*) AS n_fields, count(DISTINCT split_part(node, '.', 1)) AS n_files FROM com GROUP BY 1 HAVING n_files >= 2 ORDER BY n_fields DESC, community LIMIT 5")
 relation("relation_usage", lambda v: profile.usage(profile.pairs(v)), EDGES + " SELECT file_a, field_a, file_b, field_b, CASE WHEN regexp_matches(lower(field_a), '省|市|县|区|province|city|district') THEN 'constraint' WHEN regexp_matches(lower(field_a), 'id|gid|编号|code') THEN 'filter' ELSE 'match' END AS use_for FROM edges")
 _NUMBER = r"'^-?[0-9]+(\.[0-9]+)?$'"
-relation("relation_sampled", profile.sampled_relations, EDGE_SQL.replace("{same}", f"AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = a.file AND z.field = a.field)").replace("GROUP BY ALL)", "GROUP BY ALL)", 1) + " SELECT file_a, field_a, file_b, field_b, overlap, round(jaccard, 3) AS jaccard FROM edges WHERE overlap >= 3 AND jaccard >= 0.1")
+#: Tables with fields of the same names and values.
+NAMED = {
+    "clients": "SELECT c_mktsegment AS segment, n_name AS nation, n_name AS home, c_custkey AS id, c_name AS _name FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "lands": "SELECT n_name AS nation, n_regionkey AS region_id FROM nation",
+    "parts_of_world": "SELECT r_regionkey AS region_id, r_name AS region FROM region",
+    "sales": "SELECT o_orderpriority AS priority, o_custkey AS id, o_orderstatus AS status FROM orders",
+}
+NAMED_FIELDS = {"clients": ["segment", "nation", "home", "id", "_name"], "lands": ["nation", "region_id"], "parts_of_world": ["region_id", "region"], "sales": ["priority", "id", "status"]}
+NAMED_SQL = ", ".join(f"{n} AS ({q})" for n, q in NAMED.items()) + ",\n"
+
+
+def _long_sql(fields, most=None):
+    parts = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in fields.items() for c in cs)
+    first = f" WHERE NOT starts_with(field, '_') QUALIFY row_number() OVER (PARTITION BY file, field ORDER BY value) <= {most}" if most else ""
+    return f"lv AS ({parts}), d0 AS (SELECT DISTINCT * FROM lv), dv AS (SELECT * FROM d0{first}), nv AS (SELECT file, field, count(*) AS n FROM dv GROUP BY ALL)"
+
+
+def _named_edges(same: str, most=None):
+    return NAMED_SQL + _long_sql(NAMED_FIELDS, most) + EDGE_SQL.removeprefix(LONG_SQL).replace("{same}", same)
+
+
+def named(name, make, sql):
+    QUERIES[name] = lambda spark, sf_dir: make(profile.values({n: frame(spark, sf_dir, q) for n, q in NAMED.items()}))
+    SQL[name] = "WITH " + sql
+
+
+named("insight_same_name", lambda v: profile.insight_same_name(profile.pairs(v)), _named_edges("AND a.file <> b.file") + f" SELECT * FROM edges WHERE field_a = field_b AND jaccard > 0.8 ORDER BY jaccard DESC, {_RANK} LIMIT 3")
+named("relation_sampled", profile.sampled_relations, _named_edges(f"AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = a.file AND z.field = a.field) AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = b.file AND z.field = b.field)", 500)
+    + " SELECT file_a, field_a, file_b, field_b, overlap, round(jaccard, 3) AS jaccard FROM edges WHERE overlap >= 3 AND jaccard >= 0.1")
 _FIELD_NAMES = ["省份", "city_name", "District", "街道", "addr", "detail address", "楼号", "小区", "uid", "width", "姓名", "telephone", "e-mail", "remark"]
 
 
@@ -410,106 +349,59 @@ checked("duplicate_stats", validate.duplicates, f"SELECT count(DISTINCT CASE WHE
 checked("val_missing", lambda r: validate.missing(r, _V), MISSING_SQL)
 checked("val_deviation", lambda r: validate.deviations(r, _V), DEVIATION_SQL)
 checked("val_duplicates", lambda r: validate.duplicate_rows(r, _V), DUPLICATE_SQL)
-checked("problem_union", lambda r: validate.problems(r, _V), " UNION ALL ".join((MISSING_SQL, DEVIATION_SQL, DUPLICATE_SQL)))
-checked("problem_filter", lambda r: validate.problems(r, _V).where("kind = 'duplicate'"), DUPLICATE_SQL)
-checked("export_problems", lambda r: sinks.flat(validate.deviations(r, _V)), "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in ("db_at", "db_code", "gid", "kind", "rid", "shape_at", "status", "value")) + f" FROM ({DEVIATION_SQL})")
-add("completeness_original", "rows_ db_", lambda r, d: validate.completeness_original(r, d, _V), f"nm AS (SELECT DISTINCT {_NORM.format('name')} AS k FROM db_), hit AS (SELECT {_NORM.format('v1')} IN (SELECT k FROM nm WHERE k <> '') OR {_NORM.format('v2')} IN (SELECT k FROM nm WHERE k <> '') AS h FROM rows_) SELECT count(*) AS total, count(*) FILTER (h) AS found, count(*) - count(*) FILTER (h) AS missing, round(count(*) FILTER (h) / count(*) * 100, 6) AS rate FROM hit")
-add("export_duplicates", "db_", validate.duplicate_records, f"SELECT DISTINCT code, name, x, y FROM db_ WHERE {_NORM.format('code')} IN (SELECT {_NORM.format('code')} FROM db_ GROUP BY 1 HAVING count(*) > 1) OR {_NORM.format('name')} IN (SELECT {_NORM.format('name')} FROM db_ GROUP BY 1 HAVING count(*) > 1)")
-QUERIES["pick_target_gid"] = lambda spark, sf_dir: spark.range(1).select(F.lit(validate.target_gid(["[源:a]gid", "[目标:b]code", "[目标:b]GID"])).alias("first"), F.lit(validate.target_gid(["[目标:b]x", "[目标:b]code"])).alias("second"))
-SQL["pick_target_gid"] = "SELECT '[目标:b]GID' AS first, '[目标:b]code' AS second"
-QUERIES["map_fields"] = lambda spark, sf_dir: spark.range(1).select(F.lit(validate.map_field("v", "t", ["x", "【匹配源:t】v"])).alias("first"), F.lit(validate.map_field("v", "t", ["[目标:t]v1", "[源:t]v"])).alias("second"))
-SQL["map_fields"] = "SELECT '【匹配源:t】v' AS first, '[源:t]v' AS second"
-
-# Sinks' frames --------------------------------------------------------------------------------------------------------
-add("sink_csv", "addr", lambda df: sinks.flat(df.select("rid", "province", "poi")), "SELECT coalesce(poi, '') AS poi, coalesce(province, '') AS province, CAST(rid AS VARCHAR) AS rid FROM addr")
-add("export_frame", "addr", lambda df: sinks.chosen(df, ["rid", "absent", "city"]), "SELECT rid, city FROM addr")
-add("export_size_policy", "src", lambda df: df.groupBy((F.col("rid") % 5).alias("part")).agg((F.count("*") * 400).alias("n")).select("part", "n", sinks.format_policy(F.col("n")).alias("format")), "SELECT rid % 5 AS part, count(*) * 400 AS n, CASE WHEN count(*) * 400 > 100000 THEN 'csv' WHEN count(*) * 400 > 50000 THEN 'plain_excel' ELSE 'excel' END AS format FROM src GROUP BY 1")
-
-
-def _layered(s, t):
-    return sinks.layered(match.cascade(s, t).where("level = 'EXACT'"), s.select("rid", "core"), t.select("rid", "core"), "甲", "乙", "core", "core")
-
-
-LAYER_SQL = """SELECT s.rid AS "[源:甲]rid", s.core AS "[源:甲]core", s.core AS "【匹配源:甲】core", t.core AS "【匹配目标:乙】core", score AS "匹配分数", level AS "匹配层级", target_rid + 1 AS "目标表行号", t.rid AS "[目标:乙]rid", t.core AS "[目标:乙]core" FROM fall f JOIN src s ON f.rid = s.rid LEFT JOIN tgt t ON t.rid = f.target_rid WHERE level = 'EXACT'"""
-add("layered_export", "src tgt", _layered, fall_sql("tgt") + " " + LAYER_SQL)
-
-
-def _merged(s, t):
-    out = match.cascade(s, t)
-    return rounded(sinks.merged({"EXACT": out.where("level = 'EXACT'"), "NEED_REVIEW": out.where("level = 'NEED_REVIEW'"), "UNMATCHED": out.where("level = 'UNMATCHED'").drop("target_rid", "score")}, ["EXACT", "UNMATCHED"]))
+_TYPES = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in validate.PROBLEM_TYPES.items()) + " END"
+_AT = "CASE WHEN {0} <> '' THEN '(' || replace({0}, ',', ', ') || ')' ELSE '-' END"
+PROBLEMS_SQL = " UNION ALL ".join((MISSING_SQL, DEVIATION_SQL, DUPLICATE_SQL))
 
 
-add("merge_levels", "src tgt", _merged, fall_sql("tgt") + " SELECT rid, target_rid, round(score, 6) AS score, level FROM fall WHERE level IN ('EXACT', 'UNMATCHED')")
-QUERIES["excel_coloured"] = lambda spark, sf_dir: profile.names_frame(spark, ["[源:a]x", "【匹配源:a】x", "【匹配目标:b】y", "[目标:b]y", "匹配分数"]).select("name", sinks.column_role(F.col("name")).alias("role"))
-SQL["excel_coloured"] = "SELECT * FROM (VALUES ('[源:a]x', 'source'), ('【匹配源:a】x', 'match_source'), ('【匹配目标:b】y', 'match_target'), ('[目标:b]y', 'target'), ('匹配分数', 'meta')) t(name, role)"
+def report_sql(of: str) -> str:
+    return f"""SELECT gid AS "目标表GID", CASE WHEN db_code <> '' THEN db_code ELSE '-' END AS "数据库code", value AS "源表匹配值", status AS "状态", CASE WHEN kind = 'deviation' THEN status ELSE '-' END AS "偏差距离",
+  {_AT.format('shape_at')} AS "原始坐标", {_AT.format('db_at')} AS "数据库坐标", {_TYPES} AS "问题类型" FROM ({of})"""
 
 
-# Sources: a file is written to the folder that all executors share, and read back ---------------------------------------
-def _shared(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _csv(spark, sf_dir):
-    path = _shared(spark, "csv")
-    sinks.write_csv(spark.read.parquet(f"{sf_dir}/nation.parquet"), path)
-    return readers.read_csv(spark, path, "utf-8")
-
-
-def _geojson(spark, sf_dir):
-    path = _shared(spark, "geojson")
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")  # a fixed table of 25 rows
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(0.5)).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("n_name", "n_regionkey").alias("properties"), point.alias("geometry"))
-    nations.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(path)
-    return readers.read_geojson(spark, path)
-
-
-def _local(spark, name: str, files: dict[str, bytes]) -> str:
-    """Writes the files (by suffix) to the shared folder, which must be mounted, and gives the first one's path."""
-    base = _shared(spark, name).removeprefix("file:")
-    os.makedirs(os.path.dirname(base), exist_ok=True)
-    for suffix, data in files.items():
-        with open(base + suffix, "wb") as f:
-            f.write(data)
-    return base + next(iter(files))
-
-
-def _nations(spark, sf_dir):  # a fixed table of 25 rows
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_nationkey", "n_regionkey")
-
-
-def _excel(spark, sf_dir):
-    return readers.auto(spark, _local(spark, "book", {".xlsx": sinks.workbook_bytes(_nations(spark, sf_dir))}))
-
-
-def _shp(spark, sf_dir):
-    points = _nations(spark, sf_dir).withColumn("x", F.col("n_nationkey") + 0.5).withColumn("y", F.col("n_regionkey") - 2.25)
-    return readers.auto(spark, _local(spark, "points", sinks.point_files(points, "x", "y")))
+checked("problem_union", lambda r: validate.report(validate.problems(r, _V)), report_sql(PROBLEMS_SQL))
+checked("problem_filter", lambda r: validate.problems(r, _V).where("kind = 'duplicate'"), DUPLICATE_SQL)
 
 
-def _auto(spark, sf_dir):
-    """A file in a national encoding, found out by its bytes."""
-    rows = _nations(spark, sf_dir).orderBy("n_nationkey").collect()
-    return readers.auto(spark, _local(spark, "auto", {".csv": "\n".join(["名称,编号", *(f"{r.n_name}省,{r.n_nationkey}" for r in rows)]).encode("gbk")}))
+def _exported(spark, sf_dir):
+    """The problem table, written and read back."""
+    rows = validate.resolve(*(frame(spark, sf_dir, n) for n in ("rows_", "db_", "shp_")), _V)
+    path = f"{shared.home(spark)}/{uuid.uuid4().hex}"
+    sinks.write_csv(validate.report(validate.problems(rows, _V)), path)
+    return readers.read_csv(spark, path, "utf-8").na.fill("")
+
+
+QUERIES["export_problems"] = _exported
+SQL["export_problems"] = SQL["problem_union"]
+_LINES = [
+    "repeat('=', 60)", "'数据治理验证统计报告'", "repeat('=', 60)", "''", "'【基本信息】'", "'原始客户数据总数: ' || (SELECT count(*) FROM addr)", "'匹配结果总数: ' || (SELECT count(*) FROM res)", "''",
+    "'【数据完整性统计】'", "'匹配结果在数据库中存在: ' || (SELECT count(d) FROM res)", "'匹配结果在数据库中缺失: ' || (SELECT count(*) - count(d) FROM res)", "''",
+    "'【位置偏差统计】'", "'检查总数: ' || (SELECT count(distance) FROM res)", "'在阈值内: ' || (SELECT count(*) FILTER (distance <= 10) FROM res)", "'超过阈值: ' || (SELECT count(*) FILTER (distance > 10) FROM res)", "''",
+    "'【重复数据统计】'", "'重复匹配值数: ' || (SELECT duplicate_keys FROM ds)", "'重复记录数: ' || (SELECT duplicate_records FROM ds)", "''",
+]
+add("text_report", "addr rows_ db_ shp_", lambda a, r, d, s: validate.text_report(a.agg(F.count("*").alias("n")), validate.resolve(r, d, s, _V), _V),
+    RESOLVE_SQL + f""", pb AS ({PROBLEMS_SQL}), ds AS ({SQL['duplicate_stats'][SQL['duplicate_stats'].rindex('SELECT count(DISTINCT'):]}), nb AS (SELECT *, row_number() OVER (ORDER BY rid, kind) AS n FROM pb)
+""" + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS line, {x} AS text" for i, x in enumerate(_LINES)) + f"""
+UNION ALL SELECT {len(_LINES)}, '【问题数据详情】' WHERE (SELECT count(*) FROM pb) > 0
+UNION ALL SELECT {len(_LINES)} + n, n || '. ' || status || ' - GID: ' || gid FROM nb WHERE n <= 100
+UNION ALL SELECT {len(_LINES) + 101}, '... 还有 ' || (count(*) - 100) || ' 条问题数据未显示' FROM pb HAVING count(*) > 100""")
+add("completeness_original", "rows_ db_", lambda r, d: validate.completeness_original(r, d, _V), f"nm AS (SELECT DISTINCT {_NORM.format('name')} AS k FROM db_), hit AS (SELECT {_NORM.format('v1')} IN (SELECT k FROM nm WHERE k <> '') OR {_NORM.format('v2')} IN (SELECT k FROM nm WHERE k <> '') AS h FROM rows_) SELECT count(*) AS total, count(*) FILTER (h) AS found, count(*) - count(*) FILTER (h) AS missing, round(count(*) FILTER (h) / count(*) * 100, 6) AS rate FROM hit")
+add("export_duplicates", "db_", validate.duplicate_records, f"SELECT DISTINCT code, name, x, y FROM db_ WHERE {_NORM.format('code')} IN (SELECT {_NORM.format('code')} FROM db_ GROUP BY 1 HAVING count(*) > 1) OR {_NORM.format('name')} IN (SELECT {_NORM.format('name')} FROM db_ GROUP BY 1 HAVING count(*) > 1)")
+_GIDS = ["[源:a]gid|[目标:b]code|[目标:b]GID", "[目标:b]x|[目标:b]code", "x|gid", "[目标:b]gid_code|[目标:c]my_gid"]
+add("pick_target_gid", "tgt", lambda df: _column_lists(df, _GIDS).select("rid", validate.target_gid(F.col("names")).alias("found")),
+    f"""SELECT rid, coalesce(list_filter(names, lambda x: contains(x, '[目标:') AND contains(lower(x), 'gid') AND NOT contains(lower(x), 'code'))[1], list_filter(names, lambda x: contains(x, '[目标:') AND contains(lower(x), 'code'))[1]) AS found FROM {_lists_sql(_GIDS)}""")
+_MAPS = ["x|【匹配源:t】v", "[目标:t]v1|[源:t]v", "a|has v in it", "none", "【匹配源:t】v|[源:t]v"]
+add("map_fields", "tgt", lambda df: _column_lists(df, _MAPS).select("rid", validate.map_field("v", "t", F.col("names")).alias("found")),
+    f"""SELECT rid, coalesce(list_filter(['[源:t]v', '【匹配源:t】v'], lambda x: list_contains(names, x))[1], list_filter(names, lambda x: contains(x, 'v'))[1]) AS found FROM {_lists_sql(_MAPS)}""")
 
 
-def _resolve(spark, sf_dir):
-    path = _local(spark, "resolve", {".csv": b"a\n"})
-    folder, name = os.path.split(path)
-    return profile.names_frame(spark, [os.path.relpath(readers.resolve(name, [folder + "/none", folder]), folder).replace(name, "found")])
+def _mercator(df):
+    x, y = (F.col("rid") % 340 - 170).cast("double"), (F.col("rid") % 160 - 80).cast("double")
+    east, north = geo.to_mercator(x, y)
+    back = geo.from_mercator(F.col("east"), F.col("north"))
+    rows = df.select("rid", east.alias("east"), north.alias("north"))
+    return rows.select("rid", (F.round("east", 3) + 0.0).alias("east"), (F.round("north", 3) + 0.0).alias("north"), (F.round(back[0], 6) + 0.0).alias("x"), (F.round(back[1], 6) + 0.0).alias("y"))
 
 
-QUERIES |= {"scan_excel": _excel, "scan_shp": _shp, "scan_auto": _auto, "resolve_path": _resolve}
-SQL["scan_excel"] = "SELECT n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
-SQL["scan_shp"] = """SELECT n_name, CAST(n_nationkey AS VARCHAR) AS n_nationke, CAST(n_regionkey AS VARCHAR) AS n_regionke,
-    'POINT (' || (n_nationkey + 0.5::DOUBLE) || ' ' || (n_regionkey - 2.25::DOUBLE) || ')' AS geometry, CAST(NULL AS VARCHAR) AS crs FROM nation"""
-SQL["scan_auto"] = """SELECT n_name || '省' AS "名称", CAST(n_nationkey AS VARCHAR) AS "编号" FROM nation"""
-SQL["resolve_path"] = "SELECT 'found' AS name"
-QUERIES["scan_csv"] = QUERIES["scan_pandas_multi"] = QUERIES["convert_to_csv"] = _csv
-SQL["scan_csv"] = SQL["scan_pandas_multi"] = SQL["convert_to_csv"] = "SELECT CAST(n_name AS VARCHAR) AS n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"
-QUERIES["scan_geojson"] = _geojson
-SQL["scan_geojson"] = """SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, '{"coordinates":[' || CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) || ',0.5],"type":"Point"}' AS geometry FROM nation"""
-QUERIES["file_columns"] = lambda spark, sf_dir: profile.names_frame(spark, _csv(spark, sf_dir).columns)
-SQL["file_columns"] = "SELECT unnest(['n_name', 'n_nationkey', 'n_regionkey']) AS name"
-FLAGSHIP = QUERIES["match_stats"]
+add("mercator", "src", _mercator, f"""SELECT rid, round(radians(x) * {geo.MERCATOR}, 3) + 0.0 AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * {geo.MERCATOR}, 3) + 0.0 AS north, round(x, 6) AS x, round(y, 6) AS y
+  FROM (SELECT rid, CAST(rid % 340 - 170 AS DOUBLE) AS x, CAST(rid % 160 - 80 AS DOUBLE) AS y FROM src)""")

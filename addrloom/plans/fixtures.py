@@ -34,6 +34,9 @@ FRAMES = {
       '' AS pois, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE concat('D', CAST(s_nationkey % 5 AS VARCHAR(10))) END AS district FROM supplier""",
     "tgt2": f"""SELECT p_partkey AS rid, concat('K', CAST(p_partkey % 40 + 17 AS VARCHAR(10))) AS core, {_poi('p_partkey', '一二三四,子丑寅卯辰,东南西北')} AS poi, '' AS pois,
       concat('D', CAST(p_size % 5 AS VARCHAR(10))) AS district FROM part""",
+    "kv10": f"""SELECT c_custkey AS rid, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('prov=', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE {pick('浙江省,江苏省,广东省', 'c_custkey')} END, ' city=', {pick('杭州市,苏州市,广州市', 'c_custkey')},
+      ' district=', {pick('西湖区,姑苏区,,天河区', 'c_custkey')}, ' town=', {pick('文一街道,,平江街道', 'c_custkey')}, ' village=', {pick(',东村', 'c_custkey')}, ' road=', {pick('文三路,人民路,中山路', 'c_custkey')}, ' roadNo=', CAST(c_custkey % 13 AS VARCHAR(10)), '号',
+      ' poi=', {pick('阳光花园,,商场', 'c_custkey')}, ' houseno=', {pick('3,,12', 'c_custkey')}, ' cellno=', {pick(',2', 'c_custkey')}, ' roomno=', CAST(c_custkey % 5 AS VARCHAR(10))) END AS structure FROM customer""",
     "lt": "SELECT c_custkey AS lid, CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 17 = 1 THEN '  ' ELSE concat(' N', CAST(c_custkey % 300 AS VARCHAR(10))) END AS ka, CASE WHEN c_custkey % 17 < 2 THEN NULL ELSE CAST(nullif(c_nationkey % 7, 0) AS VARCHAR(10)) END AS kb FROM customer",
     "rt": "SELECT s_suppkey AS rid, CASE WHEN s_suppkey % 19 = 0 THEN NULL ELSE concat('n', CAST(s_suppkey * 2 AS VARCHAR(10)), ' ') END AS ka, CAST(nullif(s_nationkey % 7, 0) AS VARCHAR(10)) AS kb FROM supplier",
     "rows_": """SELECT c_custkey AS rid, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 9 = 1 THEN concat(CAST(c_custkey AS VARCHAR(10)), '.0') WHEN c_custkey % 9 = 2 THEN 'abc' ELSE CAST(c_custkey AS VARCHAR(10)) END AS gid,
@@ -50,10 +53,15 @@ FRAMES = {
       CASE WHEN c_custkey % 4 = 0 THEN concat('预测', CAST(c_custkey % 5 AS VARCHAR(10))) WHEN c_custkey % 4 = 1 THEN ' ' END AS predicted FROM customer""",
 }
 
+#: With an embedding of the POI, for semantic scores.
+FRAMES |= {
+    "src_v": f"SELECT s.*, e.embedding AS v FROM ({FRAMES['src']}) s LEFT JOIN embeddings e ON e.vec_id = s.rid % 61",
+    "tgt_v": f"SELECT t.*, e.embedding AS v FROM ({FRAMES['tgt']}) t LEFT JOIN embeddings e ON e.vec_id = t.rid % 37",
+}
+
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         if t in FRAMES.get(name, name):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(FRAMES.get(name, name))
-

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo, similarity, text as T
-from addrloom.operators import clean, join, match, profile, region
+from addrloom.operators import clean, enrich, join, match, profile, region
 from addrloom.sources import readers, sinks
 
 
@@ -163,6 +163,144 @@ def test_right_sides_of_any_size(spark):
     for sizes in ((4096, 16_384), (40, 30)):
         assert {tuple(x) for x in match.semantic_best(left, right, *sizes).collect()} == want
     assert match.semantic_best(left, right.limit(0)).collect() == []
-    words = spark.createDataFrame([(i, f"阳光花园{i}号楼", f"阳光花园{i}号楼") for i in range(12)], "rid long, poi string, pois string")
-    for made in (lambda **n: match.poi_match(words, words, **n), lambda **n: join.fuzzy(words.withColumnRenamed("rid", "lid"), words, "poi", "poi", **n)):
-        assert sorted(made(right_most=3).collect()) == sorted(made().collect())
+
+
+def _words(r, n, letters="甲乙丙丁戊己庚辛"):
+    return ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(n)]
+
+
+def test_blocked_pairs_lose_none(spark):
+    r = random.Random(4)
+    left = _words(r, 70) + ["阳光花园", "阳光花园小区北门", "aab", ""]
+    right = _words(r, 70) + [w + "旁" for w in left[:30]] + ["花园", "ab", " "]
+    a, b = (spark.createDataFrame([(w,) for w in ws], f"{n} string") for ws, n in ((left, "a"), (right, "b")))
+    pairs = {(x, y) for x in left if x for y in right if y}
+    got = {(x.a, x.b): x.score for x in similarity.partial_candidates(a, b, 75.0).collect()}
+    assert got == {p: s for p in pairs if (s := similarity.partial(*p)) >= 75}
+    got = {(x.a, x.b): x.score for x in similarity.difflib_candidates(a, b, 0.7).collect()}
+    assert got == {p: s for p in pairs if (s := similarity.difflib_score(*p)) >= 0.7}
+
+
+def test_fuzzy_and_poi_match_against_every_pair(spark):
+    r = random.Random(6)
+    left = [(i, w) for i, w in enumerate(_words(r, 40) + ["", " ", "123", "3号调压站", "#12", "阳光花园;别的"])]
+    right = [(i, w) for i, w in enumerate(_words(r, 60) + ["阳光花园12", "某某市", "", "12"])]
+    a, b = (spark.createDataFrame(x, "rid long, poi string") for x in (left, right))
+    got = {x.lid: (x.rid, x.confidence) for x in join.fuzzy(a.withColumnRenamed("rid", "lid"), b, "poi", "poi").collect()}
+    want = {}
+    for i, x in left:
+        found = [(similarity.difflib_score(x.strip(), y.strip()), -j) for j, y in right if x.strip() and y.strip()]
+        if found and max(found)[0] >= 0.7:
+            want[i] = (-max(found)[1], max(found)[0])
+    assert got == want
+    got = {x.rid: (x.kind, x.target_rid, x.score) for x in match.poi_match(a, b, "poi", "poi").collect()}
+    clean = {j: "".join(c for c in y if not c.isdigit() and c not in "#-") or y for j, y in right if y and y != "某某市"}
+    for i, x in left:
+        first = x.split(";")[0].strip()
+        kind = "empty_left" if not first else "non_poi_left" if first.isdigit() or "调压" in first else "no_poi_left" if first == "#12" else None
+        if kind:
+            assert got[i] == (kind, None, 0.0)
+            continue
+        score, j = max((similarity.partial(first, y), -j) for j, y in clean.items())
+        assert got[i] == (("fuzzy_strong_poi" if score >= 90 else "fuzzy_weak_poi", -j, score) if score >= 75 else ("unmatched", None, 0.0))
+    none = match.poi_match(a, b.limit(0), "poi", "poi").collect()
+    assert {x.kind for x in none} == {"empty_left", "non_poi_left", "no_poi_left", "no_poi_right"}
+
+
+def test_semantic_tier(spark):
+    kind = "rid long, core string, poi string, pois string, district string, v array<double>"
+    source = spark.createDataFrame([
+        (1, "", "甲乙丙丁戊", "", "D", [1.0, 0.0, 0.0]),  # equal meaning, four letters in common
+        (2, "", "天地玄黄宇", "", "D", [0.0, 1.0, 0.0]),  # equal meaning, nothing in common
+        (3, "", "甲乙丙丁戊己庚辛壬癸", "", "D", [0.0, 0.0, 1.0]),  # a ratio of 95, district of the target
+        (4, "", "红橙黄绿紫", "", None, [0.96, 0.0, 0.28]),  # two letters of five in common
+        (5, "", "无向量的", "", "D", None),
+    ], kind)
+    target = spark.createDataFrame([
+        (1, "", "甲乙丙丁己", "", "D", [2.0, 0.0, 0.0]),
+        (2, "", "日月盈昃辰", "", "D", [0.0, 1.0, 0.0]),
+        (3, "", "甲乙丙丁戊己庚辛壬癸子", "", "D", None),
+        (4, "", "红橙青蓝白", "", None, [0.96, 0.0, 0.28]),
+    ], kind)
+    got = {x.rid: (x.target_rid, x.level, x.match_type, x.score) for x in match.cascade(source, target).collect()}
+    assert got[1] == (1, "HIGH_CONFIDENCE", "semantic_strong", 100.0)
+    assert got[2][1:] == ("UNMATCHED", "unmatched", 0.0) and got[5][1:] == ("UNMATCHED", "unmatched", 0.0)
+    assert got[3][:3] == (3, "HIGH_CONFIDENCE", "district_fuzzy_95")
+    assert got[4] == (4, "NEED_REVIEW", "semantic_strong", 92.0)
+    pois = {x.rid: (x.kind, x.target_rid, x.score) for x in match.poi_match(source.where("rid in (1, 2, 5)"), target, "poi", "poi").collect()}
+    assert pois == {1: ("fuzzy_strong_poi", 3, 100.0), 2: ("semantic_strong_poi", 2, 100.0), 5: ("unmatched", None, 0.0)}
+    weak = source.where("rid = 2").withColumn("v", F.array(F.lit(0.6), F.lit(0.78), F.lit(0.0)))
+    assert match.poi_match(weak, target, "poi", "poi").first().kind == "semantic_weak_poi"
+    assert len(match.poi_report(source, target, "a", "b", "poi").columns) == 19
+
+
+def test_layers_are_written(spark, tmp_path):
+    kind = "rid long, core string, poi string, pois string, district string"
+    source = spark.createDataFrame([(0, "k", "甲", "x", None), (1, "", "乙", "", None)], kind)
+    target = spark.createDataFrame([(0, "k", "丙", "", None)], kind)
+    result = match.waterfall(source, [target])
+    paths = sinks.write_layers(result, str(tmp_path), source, "客户 表_标准化.csv", [("目标.csv", target)])
+    assert {k: p.rpartition("/")[2] for k, p in paths.items()} == {"EXACT": "客户_表_精确匹配_1条", "UNMATCHED": "客户_表_未匹配_1条"}
+    row = readers.read_csv(spark, paths["EXACT"]).first().asDict()
+    assert row["[源:客户 表]core"] == row["【匹配目标:目标】core"] == "k" and row["匹配类型"] == "core_field_exact" and row["目标表文件"] == "目标.csv" and row["目标表行号"] == "1"
+    assert readers.read_csv(spark, paths["UNMATCHED"]).first()["匹配层级"] == "未匹配"
+    book = sinks.coloured_bytes(sinks.layered(result, "EXACT", source, "a.csv", [("b.csv", target)]), "a.csv")
+    assert dict(readers.header_colours(book))["匹配分数"] == sinks.COLOURS["match"][0]
+    assert readers.workbook_rows(book, "图例说明")[0] == ["颜色", "说明"]
+    assert sinks.export(target, str(tmp_path / "e"), ["rid"]).endswith(".xlsx") and readers.auto(spark, str(tmp_path / "e.xlsx")).columns == ["rid"]
+
+
+def test_enrichment(spark):
+    rows = spark.createDataFrame([(1, " a "), (2, "b"), (3, ""), (4, None), (5, "c")], "rid long, addr string")
+    structures = spark.createDataFrame([("a", {"city": "杭州市", "poi": "园"})], enrich.STRUCTURES)
+    pois = spark.createDataFrame([], enrich.POIS)
+    asked = []
+
+    def service(texts):
+        asked.append(sorted(x.text for x in texts.collect()))
+        return spark.createDataFrame([("b", {"city": "苏州市"}), ("c", {})], enrich.STRUCTURES)
+
+    out, new, found = enrich.standardise(rows, "addr", structures, pois, service, lambda d: d.withColumn("poi", F.when(F.col("std") == "苏州市", "")))
+    got = {x.rid: x for x in out.collect()}
+    assert asked == [["b", "c"]] and [x.text for x in new.collect()] == ["b"] and [tuple(x) for x in found.collect()] == [("苏州市", "")]
+    assert (got[1]["标准化地址"], got[1]["标准化POI抽取"], got[1]["POI来源"], got[1].structure_cached) == ("杭州市园", "园", "structure", True)
+    assert (got[2]["市"], got[2]["POI来源"], got[2].cached) == ("苏州市", "empty", False) and got[3]["标准化地址"] == got[4]["市"] == got[5]["省"] == ""
+    assert enrich.hits(out).first().asDict() == {"total": 5, "hits": 1}
+    nothing, _, _ = enrich.standardise(rows, "addr", structures, pois)
+    assert {x.rid for x in nothing.where("`标准化地址` <> ''").collect()} == {1}
+
+
+def test_national_encodings(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    for i, text in enumerate(("名称,b\n\"两\n行\",1\n名称,b\n", "名称,b\n园,2\n")):
+        (tmp_path / "g" / f"{i}.csv").write_bytes(text.encode("gbk"))
+    assert sorted(tuple(x) for x in readers.read_csv(spark, str(tmp_path / "g")).collect()) == [("两\n行", "1"), ("名称", "b"), ("园", "2")]
+    (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"x,1\n" * 400_000 + "阳光,2\n".encode("gbk"))
+    assert readers.encoding_of(spark, str(tmp_path / "late.csv")) == "gbk"
+    assert readers.encoding_of(spark, str(tmp_path / "late.csv"), ("utf-8",)) == "utf-8"
+    (tmp_path / "empty.csv").write_bytes(b"")
+    assert readers.encoding_of(spark, str(tmp_path / "empty.csv")) == "utf-8"
+
+
+def test_point_files_of_long_names(spark, tmp_path):
+    df = spark.createDataFrame([("园" * 100, "7", "1.5", 1.0, 2.0), (None, "12", "", 3.0, 4.0)], "`标准化地址` string, `标准化地区` string, n string, x double, y double")
+    for suffix, data in sinks.point_files(df, "x", "y").items():
+        (tmp_path / f"p{suffix}").write_bytes(data)
+    got = readers.auto(spark, str(tmp_path / "p.shp"))
+    assert got.columns == ["标准化", "标准化1", "n", "geometry", "crs"]
+    assert sorted(map(tuple, got.select("标准化", "标准化1", "n").collect()), key=str) == sorted([("园" * 84, "7", "1.5"), (None, "12", None)], key=str)
+    assert readers.dbf_fields((tmp_path / "p.dbf").read_bytes())[1][1] == "N"
+    assert [sinks.dbf_type(v) for v in (["1", ""], ["1.5", "2"], ["x"], [], [""])] == ["N", "F", "C", "C", "N"]
+
+
+def test_blank_values_are_no_key(spark):
+    rows = spark.createDataFrame([(1, "", " ", None), (2, None, "P", "")], "rid long, gid string, v1 string, v2 string")
+    db = spark.createDataFrame([("", "", 1.0, 2.0), ("9", " p", 1.0, 2.0)], "code string, name string, x double, y double")
+    shapes = spark.createDataFrame([], "seq long, gid string, x double, y double")
+    from addrloom.operators import validate
+
+    found = validate.resolve(rows, db, shapes, ["v1", "v2"])
+    assert {x.rid: (x.db_by, x.db_n) for x in found.collect()} == {1: (None, 0), 2: ("v1", 1)}
+    assert validate.report(validate.problems(found, ["v1", "v2"])).columns == ["目标表GID", "数据库code", "源表匹配值", "状态", "偏差距离", "原始坐标", "数据库坐标", "问题类型"]
+    lines = [x.text for x in validate.text_report(rows.agg(F.count("*").alias("n")), found, ["v1", "v2"], most=0).orderBy("line").collect()]
+    assert lines[5] == "原始客户数据总数: 2" and lines[9:11] == ["匹配结果在数据库中存在: 1", "匹配结果在数据库中缺失: 1"] and lines[-1] == "... 还有 1 条问题数据未显示"
