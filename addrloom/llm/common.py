@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import contextvars
 import ctypes
-import os
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..sources.shared import drop, home, shared_dir  # noqa: F401
+
 #: ASCII white space only: the words of every contract are runs of [^\x20\x09-\x0D]; bytes.split() splits exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 CACHE_WORDS = 400_000
@@ -27,37 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. A local one serves local masters only (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-    return found.rstrip("/")
-
-
 _scope: contextvars.ContextVar[str | None] = contextvars.ContextVar("staging", default=None)
 
 
-def home(spark: SparkSession) -> str:
-    """The folder of all that this application stages; it goes when the driver's interpreter ends."""
-    own = f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
-    if own not in _homes:
-        _homes.add(own)
-        path, conf = spark._jvm.org.apache.hadoop.fs.Path(own), spark._jsc.hadoopConfiguration()
-        atexit.register(lambda: _dropped(path, conf))
-    return own
-
-
-_homes: set[str] = set()
-
-
-def _dropped(path, conf) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone before its driver
-        path.getFileSystem(conf).delete(path, True)
-
-
 @contextlib.contextmanager
 def staging(spark: SparkSession):
     """Gathers what is staged inside it (in this thread) in one folder, which it gives; the caller drops it in time."""
@@ -87,11 +57,6 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     return spark.read.schema(made.schema).parquet(path)
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def column(name: str) -> Column:
     """A column by its very name, whatever letters that has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -447,3 +447,16 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, lambda: jaccard_components(table(spark, sf_dir, "documents")))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT r, doc_id, CAST(len(g) AS BIGINT) AS n FROM s),
+u AS (SELECT r, unnest(g) AS x FROM s),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM u a JOIN u b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(r, other) AS (SELECT r, r FROM n UNION SELECT c.r, e.b FROM c JOIN e ON e.a = c.other)
+SELECT n.doc_id, n.n AS n_shingles, min(x.doc_id) AS component_id FROM n JOIN c ON n.r = c.r JOIN n x ON x.r = c.other GROUP BY n.r, n.doc_id, n.n
+"""

@@ -51,8 +51,9 @@ def measure(text: str | None) -> tuple[int, ...]:
     n = len(words)
     if not n:
         return (0,) * len(MEASURES)
-    raw = b"".join(words)
-    chars = len(raw.decode("utf-8", "surrogatepass"))
+    raw = b" ".join(words)
+    shown = raw.decode("utf-8", "surrogatepass")
+    chars = len(shown) - n + 1
     symbols = len(raw) - len(raw.translate(None, _SYMBOL))
     lines = [x for x in text.encode("utf-8", "surrogatepass").split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
     number: dict[bytes, int] = {}
@@ -67,8 +68,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         for k in range(3):
             hit[k : n - 2 + k] |= again
         repeats = int(hit.sum())
-    upper = sum(map(str.isupper, text.split()))
-    return (n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), min(n, upper), words.count(b"|"), len(number))
+    upper = sum(map(str.isupper, shown.split(" ")))
+    return (n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), upper, words.count(b"|"), len(number))
 
 
 def _measured(docs: DataFrame, carried: Column) -> DataFrame:
@@ -120,3 +121,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = judged(ledger(table(spark, sf_dir, "documents")), "strict-2")
     base = F.col("rule_bits").bitwiseAND(F.lit(mask("base-1"))) != 0
     return book.select("doc_id", *MEASURES[:5], base.alias("base_failed"), "kept", "rule_bits")
+
+
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+t AS (SELECT r, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, x, y, z) AS times FROM t WHERE z IS NOT NULL),
+h AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times > 1) GROUP BY 1),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+v AS (SELECT r, count(*) AS n_words, CAST(sum(length(x)) AS BIGINT) AS word_chars, count(*) FILTER (upper(x) = x AND lower(x) <> x) AS n_upper_words, count(*) FILTER (x = '|') AS n_table_words, count(DISTINCT x) AS n_distinct_words FROM u GROUP BY 1),
+m AS (SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in MEASURES if c != "n_symbols")}, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d LEFT JOIN v USING (r) LEFT JOIN h USING (r) LEFT JOIN l USING (r)),
+b AS (SELECT *, CAST({" + ".join(f"CASE WHEN {rule} THEN {bit(name)} ELSE 0 END" for name, rule in RULES.items())} AS BIGINT) AS rule_bits FROM m)
+SELECT doc_id, {", ".join(MEASURES[:5])}, rule_bits & {mask("base-1")} <> 0 AS base_failed, rule_bits & {mask("strict-2")} = 0 AS kept, rule_bits FROM b
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_search, sharding, tool_calls
+from . import exact_search, ngram_join, quality, sharding, substring_dedup, tool_calls
 from .exact_search import op6_kd_tree_search
 from .line_templates import op3_line_templates
 from .ngram_join import op10_ngram_jaccard_join
@@ -27,4 +27,11 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {"op2_tool_calls": tool_calls.SQL, "op6_kd_tree_search": exact_search.SQL, "op7_permutation_sharding": sharding.SQL}
+SQL: dict[str, str] = {
+    "op2_tool_calls": tool_calls.SQL,
+    "op4_quality_rules": quality.SQL,
+    "op6_kd_tree_search": exact_search.SQL,
+    "op7_permutation_sharding": sharding.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
+    "op10_ngram_jaccard_join": ngram_join.SQL,
+}

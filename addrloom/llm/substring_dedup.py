@@ -260,3 +260,14 @@ def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, sh
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return finished(spark, lambda: dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY array_to_string(w[i : i + 34], ' ')) AS times FROM g),
+h AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM c WHERE times > 1),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.i) FILTER (h.i IS NULL) AS kept, count(h.i) AS n_removed FROM u LEFT JOIN h ON u.r = h.r AND u.i = h.i GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
