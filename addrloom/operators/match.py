@@ -231,6 +231,15 @@ def breakdown(matched: DataFrame) -> DataFrame:
     return matched.groupBy("kind").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("rate"))
 
 
+def embedded(rows: DataFrame, column: str, encoder) -> DataFrame:
+    """rows with v, the embedding of a text column. The encoder is a function from a frame of different texts (text) to one of
+    (text, v), for instance by mapInPandas around a model that is loaded once per worker; blank texts get none."""
+    key = T.strip(F.col(f"`{column}`").cast("string"))
+    texts = rows.select(key.alias("text")).where("text <> ''").distinct()
+    found = encoder(texts).select(F.col("text").alias("_text"), "v")
+    return rows.join(found, key == F.col("_text"), "left").drop("_text")
+
+
 def _nearest():
     """The best right row of each left row of a block, by the similarity at six places, the first on ties."""
     def run(key, group):

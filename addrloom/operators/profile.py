@@ -67,10 +67,9 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, community): connected components named by their least node. The graph has one node per column, so its labels
-    (not the rows) are iterated; each round halves nothing but is a join of column names."""
-    labels = nodes.select(F.concat_ws(".", "file", "field").alias("node")).withColumn("community", F.col("node"))
-    ends = _ends(edges).distinct().collect()  # a pair of column names each
-    found = {r.node: r.node for r in labels.collect()}
+    (not the rows) are what the driver gets."""
+    ends = graph(nodes, edges).select("node", "other").collect()  # names of columns, in one job
+    found = {r.node: r.node for r in ends}
 
     def top(x):
         while found[x] != x:
@@ -79,8 +78,9 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return x
 
     for r in ends:
-        a, b = sorted((top(r.node), top(r.other)))
-        found[b] = a
+        if r.other is not None:
+            a, b = sorted((top(r.node), top(r.other)))
+            found[b] = a
     return nodes.sparkSession.createDataFrame([(n, top(n)) for n in sorted(found)], "node string, community string")
 
 

@@ -147,3 +147,14 @@ def map_field(field: str, table: str, names: Column) -> Column:
     """Of a list of column names the source's column for a field, by its very name under either prefix, or the first that has it."""
     exact = [F.when(F.array_contains(names, n), n) for n in (f"[源:{table}]{field}", f"【匹配源:{table}】{field}")]
     return F.coalesce(*exact, F.get(F.filter(names, lambda x: x.contains(field)), F.lit(0)))
+
+
+def gid_field(names: Column) -> Column:
+    """Of a list of a shape layer's column names the one with its ids: gid, or else id, or else the first."""
+    named = lambda word: F.get(F.filter(names, lambda x: F.lower(x) == word), F.lit(0))
+    return F.coalesce(named("gid"), named("id"), F.get(names, F.lit(0)))
+
+
+def point_layer(layers: dict[str, DataFrame]) -> str | None:
+    """The first layer, in the order given (database layers go first), that has the columns code and name."""
+    return next((name for name, df in layers.items() if {"code", "name"} <= {c.lower() for c in df.columns}), None)

@@ -405,3 +405,18 @@ def _mercator(df):
 
 add("mercator", "src", _mercator, f"""SELECT rid, round(radians(x) * {geo.MERCATOR}, 3) + 0.0 AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * {geo.MERCATOR}, 3) + 0.0 AS north, round(x, 6) AS x, round(y, 6) AS y
   FROM (SELECT rid, CAST(rid % 340 - 170 AS DOUBLE) AS x, CAST(rid % 160 - 80 AS DOUBLE) AS y FROM src)""")
+
+
+_LAYERS = ["x|ID|gid", "name|Id", "code|name", "GID|id"]
+add("gid_field", "tgt", lambda df: _column_lists(df, _LAYERS).select("rid", validate.gid_field(F.col("names")).alias("found")),
+    f"SELECT rid, coalesce(list_filter(names, lambda x: lower(x) = 'gid')[1], list_filter(names, lambda x: lower(x) = 'id')[1], names[1]) AS found FROM {_lists_sql(_LAYERS)}")
+
+
+def _point_layer(spark, sf_dir):
+    """Records of the layer that is found among others."""
+    layers = {n: frame(spark, sf_dir, n) for n in ("shp_", "db_", "src")}
+    return layers[validate.point_layer(layers)].select("code", "name")
+
+
+QUERIES["point_layer"] = _point_layer
+SQL["point_layer"] = f"SELECT code, name FROM ({FRAMES['db_']})"

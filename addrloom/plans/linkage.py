@@ -61,6 +61,21 @@ QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(_vectors(spa
 SQL["semantic_sim"] = """WITH p AS (SELECT l.vec_id AS rid, r.vec_id AS target_rid, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings l, embeddings r WHERE l.vec_id % 2 = 0 AND r.vec_id % 2 = 1)
 SELECT rid, target_rid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) AS n FROM p) WHERE n = 1"""
 
+_LETTERS = "花园广场中心小区学医院路门"
+
+
+def _letter_counts(texts):
+    """A stand-in for an encoder: one, and how often each of some letters occurs."""
+    count = lambda x: F.length("text") - F.length(F.replace("text", F.lit(x), F.lit("")))
+    return texts.select("text", F.array(F.lit(1.0), *(count(x).cast("double") for x in _LETTERS)).alias("v"))
+
+
+_COUNTS = "[1.0::DOUBLE" + "".join(f", CAST(length(t) - length(replace(t, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]"
+add("semantic_encoded", "src tgt", lambda s, t: match.semantic_best(*(match.embedded(x, "poi", _letter_counts).where("v is not null").select("rid", "v") for x in (s, t))),
+    f"""l AS (SELECT rid, {_COUNTS} AS v FROM (SELECT rid, {strip_sql('poi')} AS t FROM src) WHERE t <> ''), r AS (SELECT rid AS target_rid, {_COUNTS} AS w FROM (SELECT rid, {strip_sql('poi')} AS t FROM tgt) WHERE t <> ''),
+p AS (SELECT rid, target_rid, round(list_cosine_similarity(v, w), 6) AS similarity FROM l, r)
+SELECT rid, target_rid, similarity FROM p QUALIFY row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) = 1""")
+
 # Tiers ------------------------------------------------------------------------------------------------------------------
 _SAME = "coalesce(district <> '' AND target_district <> '' AND district = target_district, false)"
 _OTHER = "coalesce(district <> '' AND target_district <> '' AND district <> target_district, false)"
@@ -141,6 +156,21 @@ SELECT *, CASE WHEN offered > 0 THEN '完成' ELSE '无剩余记录' END AS stat
 add("target_details", "src tgt tgt2", lambda s, *t: match.target_details(match.waterfall(s, list(t)), len(t)), fall_sql("tgt", "tgt2") + DETAIL_SQL)
 add("task_totals", "src tgt tgt2", lambda s, *t: match.waterfall(s, list(t)).groupBy("level").agg(F.count("*").alias("n")), fall_sql("tgt", "tgt2") + " SELECT level, count(*) AS n FROM fall GROUP BY 1")
 
+
+
+def _state(spark, sf_dir):
+    """The totals of a task, saved as its state and read back."""
+    frames = [frame(spark, sf_dir, n) for n in ("src", "tgt")]
+    totals = {r.level: r.n for r in match.cascade(*frames).groupBy("level").agg(F.count("*").alias("n")).collect()}
+    path = f"{shared.home(spark)}/{uuid.uuid4().hex}/tasks.json"
+    sinks.save_state(spark, path, {"tasks": []})
+    sinks.save_state(spark, path, {"tasks": [{"source": "甲", "targets": ["乙"], "totals": totals}]})
+    return spark.createDataFrame(sorted(readers.read_state(spark, path)["tasks"][0]["totals"].items()), "level string, n long")
+
+
+QUERIES["task_state"] = _state
+SQL["task_state"] = f"WITH src AS ({FRAMES['src']}), tgt AS ({FRAMES['tgt']}),\n" + fall_sql("tgt") + " SELECT level, count(*) AS n FROM fall GROUP BY 1"
+
 # POI matching -----------------------------------------------------------------------------------------------------------
 
 

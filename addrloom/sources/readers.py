@@ -217,6 +217,6 @@ def resolve(spark: SparkSession, name: str, folders: list[str]) -> str:
     raise FileNotFoundError(name)
 
 
-def read_state(path: str) -> dict:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def read_state(spark: SparkSession, path: str) -> dict:
+    """What sinks.save_state has written: tasks, relations, lineage of files; a small file."""
+    return json.loads(spark.read.text(path, wholetext=True).first().value)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.text import level_label, strip
+from .shared import write_bytes
 
 PLAIN_ROWS, CSV_ROWS = 50_000, 100_000
 
@@ -318,8 +319,12 @@ def free_name(name: str, taken: set[str]) -> str:
     return found
 
 
-def save_state(path: str, state: dict) -> None:
-    """Written beside the target and moved, so that a reader never sees half of it."""
-    with open(path + ".part", "w", encoding="utf-8") as f:
-        json.dump(state, f, ensure_ascii=False, indent=1, sort_keys=True)
-    os.replace(path + ".part", path)
+def save_state(spark, path: str, state: dict) -> None:
+    """JSON, written beside the target and moved, so that a reader never sees half of it."""
+    text = json.dumps(state, ensure_ascii=False, indent=1, sort_keys=True)
+    write_bytes(spark, path + ".part", text.encode())
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(place(path), False)
+    if not files.rename(place(path + ".part"), place(path)):
+        raise OSError(path)
