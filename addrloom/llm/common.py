@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -39,11 +40,16 @@ def staging(spark: SparkSession):
         _scope.reset(before)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows are written once to the shared folder and read back from there."""
+def staged(df: DataFrame, heavy: bool = False) -> DataFrame:
+    """Cuts the lineage: the rows are written once to the shared folder and read back from there.
+
+    Shuffle files of what is no longer needed go when the driver collects its garbage; after heavy ones it is asked to."""
     spark = df.sparkSession
     path = f"{_scope.get() or home(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if heavy:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

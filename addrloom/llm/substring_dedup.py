@@ -107,16 +107,16 @@ def repeated_spans(docs: DataFrame, least: int = 35) -> DataFrame:
     anchors = docs.select("text").mapInArrow(_anchors(least), "anchor array<long>").select(F.explode("anchor").alias("anchor"))
     often = bloom_of(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_runs(least, often), f"doc_id {kind}, rk long, ctx long, first int, size int, windows array<long>"))
+    found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_runs(least, often), f"doc_id {kind}, rk long, ctx long, first int, size int, windows array<long>"), heavy=True)
     place = F.struct("doc_id", "rk", "first", "windows")
-    distinct = staged(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min_by(place, F.struct("rk", "first")).alias("at")).select("ctx", "n", "at.*"))
+    distinct = staged(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min_by(place, F.struct("rk", "first")).alias("at")).select("ctx", "n", "at.*"), heavy=True)
     whole = distinct.where("n > 1").select(F.col("ctx").cast("string").alias("c"))
     whole = found.select("doc_id", "rk", "first", "size", F.col("ctx").cast("string").alias("c0")).join(whole, F.col("c0") == F.col("c")).select("doc_id", "rk", "first", "size")
     windows = distinct.select(F.explode("windows").alias("w"), F.least("n", F.lit(2)).alias("n"))
     twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("w").cast("string").alias("w2"))
     alone = distinct.where("n = 1").select("doc_id", "rk", "first", F.posexplode("windows").alias("i", "w"))
     parts = alone.join(twice, F.col("w").cast("string") == F.col("w2")).select("doc_id", "rk", (F.col("first") + F.col("i")).cast("int").alias("first"), F.lit(1).alias("size"))
-    return whole.unionByName(parts)
+    return staged(whole.unionByName(parts), heavy=True)
 
 
 def _cut(least: int):
@@ -151,8 +151,8 @@ def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
     """row (the carried columns in one) and what is added."""
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in carried)).alias("row"))
     # Equal rows have the same spans: each span is gathered once, however often its row occurs.
-    found = repeated_spans(keyed.select("rk", "doc_id", "text"), least).groupBy("rk", "doc_id", "first").agg(F.max("size").alias("size"))
-    per = found.groupBy("rk", "doc_id").agg(F.collect_list(F.struct("first", "size")).alias("x")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
+    found = repeated_spans(keyed.select("rk", "doc_id", "text"), least)
+    per = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("first", "size")).alias("x")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
     joined = keyed.join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
     return joined.mapInArrow(_cut(least), carrying(keyed.schema["row"].dataType, _KINDS))
 
