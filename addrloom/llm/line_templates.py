@@ -1,5 +1,8 @@
 """Line dedup by a log-template tree: lines of templates that recur across documents stay in their first document only.
 
+Documents of one and the same text count as one, and fare alike: what recurs only within copies of a text stays for the operators
+that find copies, which would meet nothing but remnants otherwise.
+
 The tree has a fixed depth: the number of tokens, then the leading tokens (a token with a digit counts as a variable field).
 In a leaf, a line joins the nearest seed that it shares all but ``VARIABLE_MOST`` of its places with; the places where a
 template's lines deviate are its variable ones, whatever stands there, and documents are counted over all of its lines. Seeds are
@@ -160,16 +163,18 @@ def templates(lines: DataFrame, documents: int = DOCUMENTS, leaf_most: int = LEA
 
 
 def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(doc_id, rk, line): hashes of the lines that go, by document; docs has doc_id, rk and text."""
+    """(doc_id, rk, line): hashes of the lines that go, by document; docs has doc_id, rk (a hash of the text) and text."""
     leaves = docs.select("text").mapInArrow(_leaves, "leaf array<long>").select(F.explode("leaf").alias("leaf"))
     often = bloom_of(leaves.groupBy("leaf").count().where(F.col("count") >= documents).select("leaf"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_candidates(often), f"doc_id {kind}, rk long, leaf long, line long, form string"))
+    found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_candidates(often), f"doc_id {kind}, rk long, leaf long, line long, form string"), heavy=True)
     lines = staged(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("form").alias("form")))
     known = lines.select("line").join(templates(lines, documents).withColumnRenamed("line", "line_"), F.col("line") == F.col("line_"), "left").select(F.col("line").cast("string").alias("line_"), F.coalesce("template", "line").alias("template"))
-    rows = staged(found.select("doc_id", "rk", "line").join(known, F.col("line").cast("string") == F.col("line_")).select("doc_id", "rk", "line", "template"))
+    rows = staged(found.select("doc_id", "rk", "line").join(known, F.col("line").cast("string") == F.col("line_")).select("doc_id", "rk", "line", "template"), heavy=True)
+    # rk is the text's hash: texts are counted, not rows.
     first = F.struct(F.col("doc_id").alias("d"), F.col("rk").alias("r"))
-    common = rows.groupBy("template", "doc_id", "rk").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n"), F.min(first).alias("first")).where(F.col("n") >= documents).select(F.col("template").cast("string").alias("t"), F.col("first.r").alias("r"))
+    texts = rows.groupBy("template", "rk").agg(F.min(first).alias("first"))
+    common = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= documents).select(F.col("template").cast("string").alias("t"), F.col("first.r").alias("r"))
     return rows.join(common, F.col("template").cast("string") == F.col("t")).where("rk <> r").select("doc_id", "rk", "line")
 
 
@@ -193,7 +198,7 @@ def _strip(batches):
 
 def _dropped(docs: DataFrame, documents: int) -> DataFrame:
     """row (all columns of docs in one), kept_text, n_lines, n_dropped."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("row"))
+    keyed = docs.select(F.xxhash64("text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("row"))
     gone = dropped_lines(keyed, documents).groupBy("rk", "doc_id").agg(F.collect_set("line").alias("gone")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), "gone")
     joined = keyed.join(gone, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "gone")
     return joined.mapInArrow(_strip, carrying(keyed.schema["row"].dataType, "kept_text string, n_lines long, n_dropped long"))

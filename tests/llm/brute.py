@@ -93,13 +93,13 @@ def without_lines(rows, documents):
     docs = collections.defaultdict(set)
     for (leaf, f), t in template.items():
         docs[t] |= leaves[leaf][f]
-    first = {t: min(d, key=lambda r: (r[0] is not None, r[0])) for t, d in docs.items() if len(d) >= documents}
+    first = {t: min(d, key=lambda r: (r[0] is not None, r[0]))[1] for t, d in docs.items() if len({r[1] for r in d}) >= documents}
     out = []
     for row in rows:
         if row[1] is None:
             out.append(None)
             continue
-        keep = [p is None or first.get(template[p[0], p[2].decode()], row) == row for p in parsed[row]]
+        keep = [p is None or first.get(template[p[0], p[2].decode()], row[1]) == row[1] for p in parsed[row]]
         out.append("\n".join(x for x, k in zip(row[1].split("\n"), keep) if k))
     return out
 

@@ -131,6 +131,17 @@ def test_lines_against_brute_force(spark):
         assert Counter((x.doc_id, x.kept_text) for x in got) == Counter(zip([d for d, _ in rows], brute.without_lines(rows, documents)))
 
 
+def test_copies_keep_their_lines(spark):
+    """Lines that only copies of one text share stay; one that other texts have too goes, from all copies."""
+    r = random.Random(2)
+    prose = lambda n: "\n".join(" ".join(f"w{r.randint(0, 10**6)}" for _ in range(12)) for _ in range(n))
+    body, note = prose(5), "All rights are reserved by somebody"
+    rows = [(i, body) for i in range(8)] + [(30 + i, prose(3) + "\n" + note) for i in range(3)] + [(50 + i, own) for own in [prose(3) + "\n" + note] for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.text) for x in line_templates.deduped_documents(docs).collect())
+    assert got == Counter((i, t if i <= 30 else t.removesuffix("\n" + note)) for i, t in rows)
+
+
 def test_context_of_a_hit():
     def of(text):
         words = toxicity.tokens(text)
