@@ -234,11 +234,11 @@ def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> Data
     keys = made.select("sid", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     often = bloom_of(keys.where("lo <> hi").select("key"))
     few = made.select("doc_id", "hash", "n_shingles", "sid", "prefix").mapInArrow(_promising(often, lambda n: shared_least(n, percent), "prefix"), "doc_id long, hash long, n_shingles long, sid long")
-    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"))
+    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"), heavy=True)
     # Repeated rows have the same id and text, and so bring a set more than once.
     sets = staged(_with_sets(docs, one, k).dropDuplicates(["sid"]))
     again = bloom_of(sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema))
+    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema), heavy=True)
 
 
 def _part_keys(percent: int, light: int):
@@ -279,7 +279,7 @@ def _shared_parts(likely: DataFrame, percent: int, light: int) -> DataFrame:
 
     rows = staged(shared(parts.mapInArrow(_held(often), parts.schema)).drop("hub"))
     enough = rows.groupBy("sid", "band").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select(F.col("sid").alias("s"), F.col("band").alias("b"))
-    return staged(shared(rows.join(enough, (F.col("sid") == F.col("s")) & (F.col("band") == F.col("b")), "left_semi")).select("sid", "key", "hub"))
+    return staged(shared(rows.join(enough, (F.col("sid") == F.col("s")) & (F.col("band") == F.col("b")), "left_semi")).select("sid", "key", "hub"), heavy=True)
 
 
 def _hub_links(likely: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
