@@ -7,7 +7,9 @@ MERCATOR = 6378137.0
 
 
 def haversine(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    a = F.pow(F.sin(F.radians(y2 - y1) / 2), 2) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
+    a = F.pow(
+        F.sin(F.radians(y2 - y1) / 2), 2
+    ) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
     return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 

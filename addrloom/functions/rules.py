@@ -33,9 +33,16 @@ ADDRESS_FIELDS = {
     "province": "省 province prov 省份".split(), "city": "市 city 地级市".split(), "district": "区 district 县 旗 自治区".split(),
     "street": "街道 street 街 路 道 巷 弄".split(), "address": "地址 address 详细地址 全地址".split(), "building": "楼 building 号 栋".split(), "community": "社区 community 小区 园区".split(),
 }
-ID_FIELDS = {"id": "id uid 编号 代码 code".split(), "name": "name 名称 姓名".split(), "phone": "phone tel telephone 电话 手机".split(), "email": "email mail 邮箱".split()}
+ID_FIELDS = {
+    "id": "id uid 编号 代码 code".split(), "name": "name 名称 姓名".split(), "phone": "phone tel telephone 电话 手机".split(),
+    "email": "email mail 邮箱".split()
+}
 REASONS = ("全空行", "清洗后为空", "纯行政区")
-THRESHOLDS = {"high": 98.0, "high_same_district": 95.0, "review_low": 90.0, "review_high": 98.0, "mismatch_extra": 5.0, "poi_strong": 90.0, "poi_weak": 75.0, "semantic_strong": 0.82, "semantic_weak": 0.75, "overlap_03": 15.0, "overlap_05": 8.0}
+THRESHOLDS = {
+    "high": 98.0, "high_same_district": 95.0, "review_low": 90.0, "review_high": 98.0, "mismatch_extra": 5.0,
+    "poi_strong": 90.0, "poi_weak": 75.0, "semantic_strong": 0.82, "semantic_weak": 0.75, "overlap_03": 15.0,
+    "overlap_05": 8.0
+}
 
 
 def any_of(words: list[str]) -> str:

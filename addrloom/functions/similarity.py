@@ -80,7 +80,9 @@ def dedupe_phrases(text: pd.Series) -> pd.Series:
 def _numbered(c: Column) -> Column:
     """Letters with the number of their occurrence, so that multisets meet as sets."""
     letters = F.split(c, "")
-    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+    return F.transform(
+        letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string"))
+    )
 
 
 def _strings(df: DataFrame, name: str) -> DataFrame:
@@ -90,7 +92,9 @@ def _strings(df: DataFrame, name: str) -> DataFrame:
 def _by_rarity(strings: DataFrame, name: str, often: DataFrame) -> DataFrame:
     """(name, letters): a string's numbered letters, those that the fewest strings have first."""
     rows = strings.withColumn("letter", F.explode(_numbered(F.col(name)))).join(often, "letter")
-    return rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).getField("letter").alias("letters"))
+    return rows.groupBy(name).agg(
+        F.array_sort(F.collect_list(F.struct("n", "letter"))).getField("letter").alias("letters")
+    )
 
 
 def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,14 +106,19 @@ def _ranked(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _posted(rows: DataFrame, name: str, size: Column) -> DataFrame:
     """A row for each of the first `size` letters: name, letters, at, k."""
-    return rows.select(name, F.col("letters").alias(f"letters_{name}"), F.posexplode(F.slice("letters", 1, size)).alias(f"at_{name}", "k"))
+    return rows.select(
+        name, F.col("letters").alias(f"letters_{name}"),
+        F.posexplode(F.slice("letters", 1, size)).alias(f"at_{name}", "k")
+    )
 
 
 def overlapping(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Different (a, b) of left (a) and right (b) whose letters in common allow a ratio of `least`: an equi-join on the rarest
     letters, of which any such pair shares one, with bounds by length and by the letters that are left after it."""
     a, b = _ranked(left, right)
-    first = lambda name: F.length(name) - F.ceil(F.length(name) * least / (200 - least) - 1e-9).cast("int") + 1
+    first = lambda name: F.length(name) - F.ceil(
+        F.length(name) * least / (200 - least) - 1e-9
+    ).cast("int") + 1
     pairs = _posted(a, "a", first("a")).join(_posted(b, "b", first("b")), "k")
     la, lb = F.length("a"), F.length("b")
     needed = F.ceil(least * (la + lb) / 200 - 1e-9)
@@ -139,4 +148,6 @@ def partial_candidates(left: DataFrame, right: DataFrame, least: float) -> DataF
 
 def difflib_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """Different (a, b) with difflib's score >= least (0 to 1), and the score: its blocks are letters in common."""
-    return overlapping(left, right, 100 * least).withColumn("score", similarity_score("a", "b")).where(F.col("score") >= least)
+    return overlapping(left, right, 100 * least).withColumn(
+        "score", similarity_score("a", "b")
+    ).where(F.col("score") >= least)

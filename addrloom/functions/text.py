@@ -45,7 +45,9 @@ def is_pure_admin(c: Column) -> Column:
     letters = F.regexp_replace(text, "[^一-龥]", "")
     return (
         F.when(text == "", False).when(text.rlike(r"[0-9]"), False).when(text.rlike(R.any_of(R.ADDRESS_WORDS)), False)
-        .when(letters == "", True).when(letters.rlike(R.any_of(R.VILLAGE_WORDS)), False).otherwise(letters.rlike(R.PURE_ADMIN))
+        .when(letters == "", True).when(
+            letters.rlike(R.any_of(R.VILLAGE_WORDS)), False
+        ).otherwise(letters.rlike(R.PURE_ADMIN))
     )
 
 
@@ -58,7 +60,9 @@ def fallback_address(names: list[str]) -> Column:
 def has_building_info(names: list[str]) -> Column:
     def one(n):
         c = F.col(f"`{n}`").cast("string")
-        named = ~strip(c).isin("", "无", "nan", "None") if any(b in n.lower() for b in R.BUILDING_COLUMNS) else F.lit(False)
+        named = ~strip(c).isin("", "无", "nan", "None") if any(
+            b in n.lower() for b in R.BUILDING_COLUMNS
+        ) else F.lit(False)
         return F.coalesce(named | c.rlike(R.any_of(R.BUILDING_WORDS)), F.lit(False))
 
     return reduce(lambda a, b: a | b, map(one, names), F.lit(False))
@@ -82,7 +86,9 @@ def is_admin_only(c: Column) -> Column:
 
 
 def normalize_poi(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"_[0-9]+$", ""), r"（[^（）]*）|\([^()]*\)", ""))
+    return strip(
+        F.regexp_replace(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"_[0-9]+$", ""), r"（[^（）]*）|\([^()]*\)", "")
+    )
 
 
 def first_poi(c: Column, sep: str = ";") -> Column:
@@ -103,14 +109,23 @@ def length_ratio(a: Column, b: Column) -> Column:
 def std_address(parts: dict[str, Column]) -> Column:
     """Parts of a structured address in fixed order; the room is left out."""
     plain = [parts[k] for k in ("prov", "city", "district", "town", "village", "road", "roadNo", "poi") if k in parts]
-    marked = [F.when(~blank(parts[k]), F.concat(strip(parts[k]), F.lit(m))) for k, m in (("houseno", "号楼"), ("cellno", "单元")) if k in parts]
+    marked = [
+        F.when(~blank(parts[k]), F.concat(strip(parts[k]), F.lit(m))) for k,
+        m in (("houseno", "号楼"), ("cellno", "单元")) if k in parts
+    ]
     return F.concat_ws("", *(F.when(~blank(c), strip(c)) for c in plain), *marked)
 
 
 def parse_kv(c: Column) -> Column:
     """'k=v k=v' to a map; the first '=' of a part counts, the last value of a key wins."""
     parts = F.filter(F.split(strip(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: F.instr(x, "=") > 1)
-    return F.aggregate(parts, F.expr("cast(map() as map<string,string>)"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != F.substring_index(x, "=", 1)), F.create_map(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))))
+    return F.aggregate(
+        parts, F.expr("cast(map() as map<string,string>)"),
+        lambda m, x: F.map_concat(
+            F.map_filter(m, lambda k, _: k != F.substring_index(x, "=", 1)),
+            F.create_map(F.substring_index(x, "=", 1), F.regexp_replace(x, "^[^=]*=", ""))
+        )
+    )
 
 
 def poi_choice(predicted: Column, structured: Column) -> tuple[Column, Column]:
@@ -129,7 +144,9 @@ def gid_norm(c: Column) -> Column:
 
 
 def level_label(c: Column) -> Column:
-    return F.when(c == "EXACT", "精确匹配").when(c == "HIGH_CONFIDENCE", "高置信度").when(c == "NEED_REVIEW", "需人工确认").otherwise("未匹配")
+    return F.when(c == "EXACT", "精确匹配").when(
+        c == "HIGH_CONFIDENCE", "高置信度"
+    ).when(c == "NEED_REVIEW", "需人工确认").otherwise("未匹配")
 
 
 def pair_label(c: Column) -> tuple[Column, Column]:
@@ -140,12 +157,19 @@ def pair_label(c: Column) -> tuple[Column, Column]:
 
 
 def wkt_kind(c: Column) -> Column:
-    return F.upper(F.regexp_extract(strip(F.coalesce(c, F.lit(""))), r"(?i)^(MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|POINT|LINESTRING|POLYGON)", 1))
+    return F.upper(
+        F.regexp_extract(
+            strip(F.coalesce(c, F.lit(""))), r"(?i)^(MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|POINT|LINESTRING|POLYGON)",
+            1
+        )
+    )
 
 
 def wkt_point(c: Column) -> Column:
     n = r"\s*([-+0-9.eE]+)\s+([-+0-9.eE]+)"
-    part = lambda i: F.nullif(F.regexp_extract(c, r"(?i)^\s*POINT\s*(?:Z|M|ZM)?\s*\(" + n, i), F.lit("")).try_cast("double")
+    part = lambda i: F.nullif(
+        F.regexp_extract(c, r"(?i)^\s*POINT\s*(?:Z|M|ZM)?\s*\(" + n, i), F.lit("")
+    ).try_cast("double")
     return F.struct(part(1).alias("x"), part(2).alias("y"))
 
 

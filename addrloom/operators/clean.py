@@ -14,7 +14,12 @@ LINEAGE = ["_record_id", "_source_file", "_source_row"]
 def lineage(df: DataFrame, stem: str, rid: str = "rid") -> DataFrame:
     """Row numbers are those of a file with a header: the first row is row 2."""
     row = F.col(rid) + 2
-    return df.withColumns({"_record_id": F.concat(F.lit(stem + "_"), row.cast("string")), "_source_file": F.lit(stem), "_source_row": row.cast("int")})
+    return df.withColumns(
+        {
+            "_record_id": F.concat(F.lit(stem + "_"), row.cast("string")), "_source_file": F.lit(stem),
+            "_source_row": row.cast("int")
+        }
+    )
 
 
 def ids_first(df: DataFrame) -> DataFrame:
@@ -24,9 +29,19 @@ def ids_first(df: DataFrame) -> DataFrame:
 def useless_fields(df: DataFrame, fields: list[str]) -> DataFrame:
     """(field, ignored): fields without any value, or with one different value of digits only. One aggregate over all fields."""
     value = lambda f: F.when(~T.blank(F.col(f"`{f}`")), T.strip(F.col(f"`{f}`").cast("string")))
-    stats = df.agg(*(F.struct(F.lit(f).alias("field"), F.min(value(f)).alias("low"), F.max(value(f)).alias("high")).alias(f"f{i}") for i, f in enumerate(fields)))
+    stats = df.agg(
+        *(
+            F.struct(
+                F.lit(f).alias("field"), F.min(value(f)).alias("low"), F.max(value(f)).alias("high")
+            ).alias(f"f{i}") for i,
+            f in enumerate(fields)
+        )
+    )
     rows = stats.select(F.explode(F.array(*(f"f{i}" for i in range(len(fields))))).alias("x")).select("x.*")
-    return rows.select("field", (F.col("low").isNull() | ((F.col("low") == F.col("high")) & F.col("low").rlike("^[0-9]+$"))).alias("ignored"))
+    return rows.select(
+        "field",
+        (F.col("low").isNull() | ((F.col("low") == F.col("high")) & F.col("low").rlike("^[0-9]+$"))).alias("ignored")
+    )
 
 
 def active_fields(df: DataFrame, fields: list[str]) -> list[str]:
@@ -46,15 +61,21 @@ def judged(df: DataFrame, fields: list[str], stem: str, phrases: bool = True) ->
     clean = T.dedupe_admin(clean)
     out = df.withColumn("_clean", clean)
     if phrases:
-        out = out.withColumn("_clean", F.when(F.length("_clean") >= 8, similarity.dedupe_phrases("_clean")).otherwise(F.col("_clean")))
-    reason = F.when(empty_row(fields), R.REASONS[0]).when(F.col("_clean") == "", R.REASONS[1]).when(T.is_pure_admin(F.col("_clean")) & ~T.has_building_info(names), R.REASONS[2])
+        out = out.withColumn(
+            "_clean", F.when(F.length("_clean") >= 8, similarity.dedupe_phrases("_clean")).otherwise(F.col("_clean"))
+        )
+    reason = F.when(empty_row(fields), R.REASONS[0]).when(F.col("_clean") == "", R.REASONS[1]).when(
+        T.is_pure_admin(F.col("_clean")) & ~T.has_building_info(names), R.REASONS[2]
+    )
     return out.withColumn("reason", reason).withColumnRenamed("_clean", f"{stem}_adr_clean")
 
 
 def partition(df: DataFrame, fields: list[str], stem: str) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected)."""
     rows = judged(df, fields, stem)
-    return rows.where("reason is null").drop("reason"), rows.where("reason is not null").drop(f"{stem}_adr_clean").withColumnRenamed("reason", "_剔除原因")
+    return rows.where("reason is null").drop("reason"), rows.where(
+        "reason is not null"
+    ).drop(f"{stem}_adr_clean").withColumnRenamed("reason", "_剔除原因")
 
 
 def counts(judged_rows: DataFrame) -> DataFrame:
@@ -65,6 +86,9 @@ def field_warnings(df: DataFrame, fields: list[str], rid: str = "rid") -> DataFr
     """(field, n_sampled, has_chinese) over the first hundred values of each field."""
     def one(f):
         first = df.where(F.col(f).isNotNull()).orderBy(rid).limit(100)
-        return first.agg(F.lit(f).alias("field"), F.count("*").alias("n_sampled"), F.coalesce(F.max(T.contains_chinese(F.col(f).cast("string"))), F.lit(False)).alias("has_chinese"))
+        return first.agg(
+            F.lit(f).alias("field"), F.count("*").alias("n_sampled"),
+            F.coalesce(F.max(T.contains_chinese(F.col(f).cast("string"))), F.lit(False)).alias("has_chinese")
+        )
 
     return reduce(DataFrame.unionByName, map(one, fields))

@@ -35,23 +35,32 @@ def _key(c: Column) -> Column:
     return F.lower(strip(c.cast("string")))
 
 
-def exact(left: DataFrame, right: DataFrame, on_left: str, on_right: str, lid: str = "lid", rid: str = "rid") -> DataFrame:
+def exact(
+    left: DataFrame, right: DataFrame, on_left: str, on_right: str, lid: str = "lid", rid: str = "rid"
+) -> DataFrame:
     """(lid, rid, confidence): equal keys without case and outer space; empty ones and nulls match nothing."""
     a = left.select(lid, _key(F.col(on_left)).alias("k")).where("k <> ''")
     b = right.select(rid, _key(F.col(on_right)).alias("k")).where("k <> ''")
     return a.join(b, "k").select(lid, rid, F.lit(1.0).alias("confidence"))
 
 
-def multi_field(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], lid: str = "lid", rid: str = "rid") -> DataFrame:
+def multi_field(
+    left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], lid: str = "lid", rid: str = "rid"
+) -> DataFrame:
     """Composite keys, joined by a bar; a row takes part unless all its parts are empty."""
     def keyed(df, names, i):
         parts = [F.coalesce(_key(F.col(n)), F.lit("")) for n in names]
         return df.select(i, F.concat_ws("|", *parts).alias("k"), F.concat(*parts).alias("all")).where("all <> ''")
 
-    return keyed(left, [a for a, _ in pairs], lid).join(keyed(right, [b for _, b in pairs], rid), "k").select(lid, rid, F.lit(1.0).alias("confidence"))
+    return keyed(left, [a for a, _ in pairs], lid).join(
+        keyed(right, [b for _, b in pairs], rid), "k"
+    ).select(lid, rid, F.lit(1.0).alias("confidence"))
 
 
-def fuzzy(left: DataFrame, right: DataFrame, on_left: str, on_right: str, least: float = 0.7, lid: str = "lid", rid: str = "rid") -> DataFrame:
+def fuzzy(
+    left: DataFrame, right: DataFrame, on_left: str, on_right: str, least: float = 0.7, lid: str = "lid",
+    rid: str = "rid"
+) -> DataFrame:
     """The best right row of each left one by difflib's score of at least `least`, the first on ties. Only pairs of different
     strings whose letters in common allow that score are compared, whatever the sizes of both sides."""
     from ..functions.similarity import difflib_candidates
@@ -65,7 +74,10 @@ def fuzzy(left: DataFrame, right: DataFrame, on_left: str, on_right: str, least:
 
 def batch(results: list[DataFrame], lid: str = "lid", rid: str = "rid") -> DataFrame:
     """Strategies in order: the first match of each left row counts."""
-    rows = reduce(DataFrame.unionByName, (r.select(lid, rid, "confidence", F.lit(i).alias("strategy")) for i, r in enumerate(results)))
+    rows = reduce(
+        DataFrame.unionByName,
+        (r.select(lid, rid, "confidence", F.lit(i).alias("strategy")) for i, r in enumerate(results))
+    )
     first = F.row_number().over(Window.partitionBy(lid).orderBy("strategy", rid))
     return rows.withColumn("_n", first).where("_n = 1").drop("_n")
 
@@ -89,7 +101,11 @@ def predicate(rows: list[tuple[str, str, str, object]]) -> Column:
 
 
 def pair_predicate(source: Column, target: Column, kind: str) -> Column:
-    return {"=": lambda: source == target, "LIKE": lambda: source.contains(target), "包含": lambda: source.contains(target), "被包含": lambda: target.contains(source), "前缀": lambda: source.startswith(target), "后缀": lambda: source.endswith(target)}[kind]()
+    return {
+        "=": lambda: source == target, "LIKE": lambda: source.contains(target), "包含": lambda: source.contains(target),
+        "被包含": lambda: target.contains(source), "前缀": lambda: source.startswith(target),
+        "后缀": lambda: source.endswith(target)
+    }[kind]()
 
 
 def remaining(rows: DataFrame, matched: DataFrame, rid: str = "rid") -> DataFrame:

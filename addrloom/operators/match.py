@@ -29,14 +29,24 @@ def exact_by(source: DataFrame, target: DataFrame, field: str) -> DataFrame:
     """(rid, target_rid, score): the first target row with the same trimmed value."""
     key = T.strip(F.col(field).cast("string")).alias("k")
     first = target.select(key, "rid").where("k <> '' and k <> 'nan'").groupBy("k").agg(F.min("rid").alias("target_rid"))
-    return source.select("rid", key).where("k <> '' and k <> 'nan'").join(first, "k").select("rid", "target_rid", F.lit(100.0).alias("score"))
+    return source.select("rid", key).where("k <> '' and k <> 'nan'").join(first, "k").select(
+        "rid", "target_rid", F.lit(100.0).alias("score")
+    )
 
 
 def contained(source: DataFrame, target: DataFrame) -> DataFrame:
     """A target POI of two letters or more among the source's POIs: the one first met in the target; of its rows the last."""
-    rows = target.select(T.strip(F.col("poi")).alias("k"), "rid").where("length(k) >= 2 and k <> 'nan'").groupBy("k").agg(F.min("rid").alias("at"), F.max("rid").alias("target_rid"))
-    words = source.select("rid", F.explode(F.split(F.coalesce("pois", F.lit("")), ";")).alias("k")).select("rid", T.strip(F.col("k")).alias("k")).where("k <> ''")
-    return words.join(rows, "k").groupBy("rid").agg(F.min_by("target_rid", "at").alias("target_rid"), F.lit(100.0).alias("score"))
+    rows = target.select(
+        T.strip(F.col("poi")).alias("k"), "rid"
+    ).where("length(k) >= 2 and k <> 'nan'").groupBy("k").agg(
+        F.min("rid").alias("at"), F.max("rid").alias("target_rid")
+    )
+    words = source.select(
+        "rid", F.explode(F.split(F.coalesce("pois", F.lit("")), ";")).alias("k")
+    ).select("rid", T.strip(F.col("k")).alias("k")).where("k <> ''")
+    return words.join(rows, "k").groupBy("rid").agg(
+        F.min_by("target_rid", "at").alias("target_rid"), F.lit(100.0).alias("score")
+    )
 
 
 def _named(df: DataFrame, name: str) -> DataFrame:
@@ -48,20 +58,37 @@ def _closest(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
 
     Ratios depend on strings alone, so different strings are scored once; on ties the target's first row wins."""
     s, t = _named(source, "a").select("rid", "a", "district"), _named(target, "b")
-    first = t.groupBy("b").agg(F.min_by(F.struct(F.col("rid").alias("target_rid"), F.col("district").alias("target_district")), "rid").alias("t"))
+    first = t.groupBy("b").agg(
+        F.min_by(
+            F.struct(F.col("rid").alias("target_rid"), F.col("district").alias("target_district")), "rid"
+        ).alias("t")
+    )
     pairs = similarity.candidates(s, t, least).join(first, "b")
-    best = pairs.groupBy("a").agg(F.max_by(F.struct("t", "b", "score"), F.struct("score", -F.col("t.target_rid"))).alias("x"))
-    return s.join(best, "a").select("rid", "a", "district", "x.t.target_rid", F.col("x.b").alias("b"), "x.t.target_district", F.col("x.score").alias("score"))
+    best = pairs.groupBy("a").agg(
+        F.max_by(F.struct("t", "b", "score"), F.struct("score", -F.col("t.target_rid"))).alias("x")
+    )
+    return s.join(best, "a").select(
+        "rid", "a", "district", "x.t.target_rid", F.col("x.b").alias("b"), "x.t.target_district",
+        F.col("x.score").alias("score")
+    )
 
 
 def _meaning(source: DataFrame, target: DataFrame) -> DataFrame:
     """Like _closest, by the cosine of the embeddings in hundredths; less where the strings have few letters in common."""
     s, t = _named(source, "a"), _named(target, "b")
-    best = semantic_best(s.where("v is not null").select("rid", "v"), t.where("v is not null").select("rid", "v")).where("similarity is not null")
-    rows = best.join(s.select("rid", "a", "district"), "rid").join(t.select(F.col("rid").alias("target_rid"), "b", F.col("district").alias("target_district")), "target_rid")
+    best = semantic_best(
+        s.where("v is not null").select("rid", "v"), t.where("v is not null").select("rid", "v")
+    ).where("similarity is not null")
+    rows = best.join(s.select("rid", "a", "district"), "rid").join(
+        t.select(F.col("rid").alias("target_rid"), "b", F.col("district").alias("target_district")), "target_rid"
+    )
     overlap, full = T.char_overlap(F.col("a"), F.col("b")), F.col("similarity") * 100
-    less = F.when(overlap < 0.3, R.THRESHOLDS["overlap_03"]).when(overlap < 0.5, R.THRESHOLDS["overlap_05"]).otherwise(0.0)
-    return rows.select("rid", "a", "district", "target_rid", "b", "target_district", F.greatest(F.lit(0.0), full - less).alias("score"))
+    less = F.when(
+        overlap < 0.3, R.THRESHOLDS["overlap_03"]
+    ).when(overlap < 0.5, R.THRESHOLDS["overlap_05"]).otherwise(0.0)
+    return rows.select(
+        "rid", "a", "district", "target_rid", "b", "target_district", F.greatest(F.lit(0.0), full - less).alias("score")
+    )
 
 
 def scored(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
@@ -75,28 +102,44 @@ def scored(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
     found = _closest(source, target, least).withColumn("match_type", kind(F.col("score")))
     if "v" in source.columns and "v" in target.columns:
         meaning = _meaning(source, target).where("score > 0")
-        label = F.when(F.col("score") >= 100 * t["semantic_strong"], "semantic_strong").when(F.col("score") >= 100 * t["semantic_weak"], "semantic_weak").otherwise("semantic")
-        meaning = meaning.withColumn("match_type", label).withColumn("exactly", F.col("score")).withColumn("score", F.round("score", 2))
+        label = F.when(
+            F.col("score") >= 100 * t["semantic_strong"], "semantic_strong"
+        ).when(F.col("score") >= 100 * t["semantic_weak"], "semantic_weak").otherwise("semantic")
+        meaning = meaning.withColumn("match_type", label).withColumn("exactly", F.col("score")).withColumn(
+            "score", F.round("score", 2)
+        )
         settled = (F.col("score") >= t["high"]) & (T.length_ratio(F.col("a"), F.col("b")) >= 0.8)
         both = found.withColumn("exactly", F.when(settled, 1000.0).otherwise(F.col("score"))).unionByName(meaning)
         names = [c for c in found.columns if c != "rid"]
-        best = both.groupBy("rid").agg(F.max_by(F.struct(*names), F.struct("exactly", F.col("match_type").startswith("semantic"))).alias("x"))
+        best = both.groupBy("rid").agg(
+            F.max_by(F.struct(*names), F.struct("exactly", F.col("match_type").startswith("semantic"))).alias("x")
+        )
         found = best.select("rid", "x.*")
     a, b = F.col("a"), F.col("b")
-    rows = found.withColumn("score", F.when(T.length_ratio(a, b) < 0.6, F.greatest(F.lit(0.0), F.col("score") - 5)).otherwise(F.col("score")))
+    rows = found.withColumn(
+        "score",
+        F.when(T.length_ratio(a, b) < 0.6, F.greatest(F.lit(0.0), F.col("score") - 5)).otherwise(F.col("score"))
+    )
     rows = rows.where((T.char_overlap(a, b) >= 0.2) & ((T.char_overlap(a, b) >= 0.3) | (F.col("score") >= t["high"])))
-    return rows.select("rid", "target_rid", "score", "match_type", a.alias("source_value"), b.alias("target_value"), "district", "target_district")
+    return rows.select(
+        "rid", "target_rid", "score", "match_type", a.alias("source_value"), b.alias("target_value"), "district",
+        "target_district"
+    )
 
 
 def _districts(agree: bool) -> Column:
     known = F.coalesce(_present(F.col("district")) & _present(F.col("target_district")), F.lit(False))
-    return known & ((F.col("district") == F.col("target_district")) if agree else (F.col("district") != F.col("target_district")))
+    return known & (
+        (F.col("district") == F.col("target_district")) if agree else (F.col("district") != F.col("target_district"))
+    )
 
 
 def _surely() -> Column:
     """Same district: 95 is enough; different ones: five more than the threshold, which no score reaches; else 98."""
     t = R.THRESHOLDS
-    enough = F.when(_districts(True), F.col("score") >= t["high_same_district"]).when(_districts(False), F.col("score") >= t["high"] + t["mismatch_extra"]).otherwise(F.col("score") >= t["high"])
+    enough = F.when(_districts(True), F.col("score") >= t["high_same_district"]).when(
+        _districts(False), F.col("score") >= t["high"] + t["mismatch_extra"]
+    ).otherwise(F.col("score") >= t["high"])
     return F.coalesce(enough, F.lit(False))
 
 
@@ -106,7 +149,9 @@ def _maybe() -> Column:
 
 def _typed(sure: Column) -> Column:
     """A ratio that the district has made sure of says so."""
-    return F.when(sure & _districts(True) & F.col("match_type").startswith("fuzzy"), F.concat(F.lit("district_"), "match_type")).otherwise(F.col("match_type"))
+    return F.when(
+        sure & _districts(True) & F.col("match_type").startswith("fuzzy"), F.concat(F.lit("district_"), "match_type")
+    ).otherwise(F.col("match_type"))
 
 
 def high_confidence(found: DataFrame) -> DataFrame:
@@ -121,11 +166,17 @@ def tiers(source: DataFrame, target: DataFrame, settled: DataFrame | None = None
     """(rid, target_rid, score, tier, match_type) of all tiers, before the first is chosen, and the rids that exact tiers have
     settled, together with those already settled."""
     exact = [exact_by(source, target, "core"), exact_by(source, target, "poi"), contained(source, target)]
-    parts = [p.select("rid", "target_rid", "score", F.lit(i).alias("tier"), F.lit(EXACT_TYPES[i]).alias("match_type")) for i, p in enumerate(exact)]
+    parts = [
+        p.select("rid", "target_rid", "score", F.lit(i).alias("tier"), F.lit(EXACT_TYPES[i]).alias("match_type")) for i,
+        p in enumerate(exact)
+    ]
     done = reduce(DataFrame.unionByName, (p.select("rid") for p in parts))
     done = done.unionByName(settled) if settled is not None else done
     found = scored(source.join(done, "rid", "left_anti"), target, R.THRESHOLDS["review_low"])
-    near = found.select("rid", "target_rid", "score", F.when(_surely(), 3).when(_maybe(), 4).alias("tier"), _typed(_surely()).alias("match_type")).where("tier is not null")
+    near = found.select(
+        "rid", "target_rid", "score", F.when(_surely(), 3).when(_maybe(), 4).alias("tier"),
+        _typed(_surely()).alias("match_type")
+    ).where("tier is not null")
     return reduce(DataFrame.unionByName, [*parts, near]), done
 
 
@@ -137,10 +188,17 @@ def waterfall(source: DataFrame, targets: list[DataFrame]) -> DataFrame:
         found, settled = tiers(source, target, settled)
         parts.append(found.withColumn("target", F.lit(i)))
     columns = F.struct("target", "target_rid", "score", "tier", "match_type")
-    first = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(F.min_by(columns, F.struct("target", "tier")).alias("x"))
-    names = reduce(lambda c, k: c.when(F.col("x.tier") == k, LEVELS[k]), list(LEVELS)[1:], F.when(F.col("x.tier") == 0, LEVELS[0])).otherwise("UNMATCHED")
+    first = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(
+        F.min_by(columns, F.struct("target", "tier")).alias("x")
+    )
+    names = reduce(
+        lambda c, k: c.when(F.col("x.tier") == k, LEVELS[k]), list(LEVELS)[1:], F.when(F.col("x.tier") == 0, LEVELS[0])
+    ).otherwise("UNMATCHED")
     kind = F.coalesce("x.match_type", F.lit("unmatched"))
-    return source.select("rid").join(first, "rid", "left").select("rid", "x.target", "x.target_rid", F.coalesce("x.score", F.lit(0.0)).alias("score"), names.alias("level"), kind.alias("match_type"))
+    return source.select("rid").join(first, "rid", "left").select(
+        "rid", "x.target", "x.target_rid", F.coalesce("x.score", F.lit(0.0)).alias("score"), names.alias("level"),
+        kind.alias("match_type")
+    )
 
 
 def cascade(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -149,28 +207,51 @@ def cascade(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def statistics(result: DataFrame) -> DataFrame:
     n = lambda level: F.count_if(F.col("level") == level)
-    counts = result.agg(F.count("*").alias("total"), n("EXACT").alias("exact"), n("HIGH_CONFIDENCE").alias("high_confidence"), n("NEED_REVIEW").alias("need_review"), n("UNMATCHED").alias("unmatched"))
+    counts = result.agg(
+        F.count("*").alias("total"), n("EXACT").alias("exact"), n("HIGH_CONFIDENCE").alias("high_confidence"),
+        n("NEED_REVIEW").alias("need_review"), n("UNMATCHED").alias("unmatched")
+    )
     rate = lambda c: F.when(F.col("total") == 0, 0.0).otherwise(F.round(c / F.col("total") * 100, 2))
     auto = F.col("exact") + F.col("high_confidence")
-    return counts.withColumns({"auto_match": auto, "auto_rate": rate(auto), "match_rate": rate(auto + F.col("need_review"))})
+    return counts.withColumns(
+        {"auto_match": auto, "auto_rate": rate(auto), "match_rate": rate(auto + F.col("need_review"))}
+    )
 
 
 def target_details(result: DataFrame, targets: int) -> DataFrame:
     """Counts by target, also of those that matched nothing, with the rows still open before and after."""
     n = lambda level: F.count_if(F.col("level") == level)
-    by = result.where("target is not null").groupBy("target").agg(n("EXACT").alias("exact"), n("HIGH_CONFIDENCE").alias("high_confidence"), n("NEED_REVIEW").alias("need_review"))
+    by = result.where("target is not null").groupBy("target").agg(
+        n("EXACT").alias("exact"), n("HIGH_CONFIDENCE").alias("high_confidence"), n("NEED_REVIEW").alias("need_review")
+    )
     every = result.sparkSession.range(targets).select(F.col("id").cast("int").alias("target"))
-    rows = every.join(by, "target", "left").na.fill(0).withColumn("matched", F.col("exact") + F.col("high_confidence") + F.col("need_review"))
+    rows = every.join(by, "target", "left").na.fill(0).withColumn(
+        "matched", F.col("exact") + F.col("high_confidence") + F.col("need_review")
+    )
     total = result.agg(F.count("*").alias("total"))
-    before = F.coalesce(F.sum("matched").over(Window.partitionBy("total").orderBy("target").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(
+        F.sum("matched").over(Window.partitionBy("total").orderBy("target").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)
+    )
     rows = rows.join(F.broadcast(total)).withColumn("offered", F.col("total") - before)
-    return rows.select("target", "exact", "high_confidence", "need_review", "matched", "offered", F.when(F.col("offered") > 0, "完成").otherwise("无剩余记录").alias("status"))
+    return rows.select(
+        "target", "exact", "high_confidence", "need_review", "matched", "offered",
+        F.when(F.col("offered") > 0, "完成").otherwise("无剩余记录").alias("status")
+    )
 
 
 #: match type -> (label, where its POI comes from); values of reports.
 POI_TYPES = {
-    "empty_left": ("源表POI为空", "empty"), "non_poi_left": ("源表为非地点类", "rule"), "no_poi_left": ("源表无可用POI主体", "step3"), "no_poi_right": ("目标表无可用POI主体", "step3"),
-    "fuzzy_strong_poi": ("模糊强匹配", "step3"), "semantic_strong_poi": ("语义强匹配", "step3"), "semantic_weak_poi": ("语义弱匹配", "step3"), "fuzzy_weak_poi": ("模糊弱匹配", "step3"), "unmatched": ("未匹配", "step3"),
+    "empty_left": ("源表POI为空", "empty"), "non_poi_left": ("源表为非地点类", "rule"), "no_poi_left": (
+        "源表无可用POI主体", "step3"
+    ), "no_poi_right": (
+        "目标表无可用POI主体", "step3"
+    ),
+    "fuzzy_strong_poi": (
+        "模糊强匹配", "step3"
+    ), "semantic_strong_poi": (
+        "语义强匹配", "step3"
+    ), "semantic_weak_poi": ("语义弱匹配", "step3"), "fuzzy_weak_poi": ("模糊弱匹配", "step3"), "unmatched": ("未匹配", "step3"),
 }
 
 
@@ -182,53 +263,98 @@ def poi_match(left: DataFrame, right: DataFrame, left_poi: str = "pois", right_p
     p = R.THRESHOLDS
     raw = T.first_poi(F.col(left_poi))
     rows = left.withColumn("raw", raw).withColumn("a", T.clean_poi(F.col("raw")))
-    kind = F.when(F.col("raw") == "", "empty_left").when(T.is_pure_numeric(F.col("raw")) | T.is_device(F.col("raw")), "non_poi_left").when(F.col("a") == "", "no_poi_left")
+    kind = F.when(F.col("raw") == "", "empty_left").when(
+        T.is_pure_numeric(F.col("raw")) | T.is_device(F.col("raw")), "non_poi_left"
+    ).when(F.col("a") == "", "no_poi_left")
     rows = rows.select("rid", "a", kind.alias("early"), *(["v"] if "v" in left.columns else []))
     whole = F.coalesce(F.col(right_poi).cast("string"), F.lit(""))
     clean = T.clean_poi(T.first_poi(whole))
-    names = right.where(~T.is_admin_only(T.first_poi(whole))).withColumn("b", F.when(clean == "", whole).otherwise(clean)).where("b <> ''")
+    names = right.where(~T.is_admin_only(T.first_poi(whole))).withColumn(
+        "b", F.when(clean == "", whole).otherwise(clean)
+    ).where("b <> ''")
     first = names.groupBy("b").agg(F.min("rid").alias("target_rid"))
     asked = rows.where("early is null")
     pairs = similarity.partial_candidates(asked, first, p["poi_weak"]).join(first, "b")
-    found = pairs.groupBy("a").agg(F.max_by(F.struct("target_rid", "score"), F.struct("score", -F.col("target_rid"))).alias("f"))
+    found = pairs.groupBy("a").agg(
+        F.max_by(F.struct("target_rid", "score"), F.struct("score", -F.col("target_rid"))).alias("f")
+    )
     out = rows.join(found, "a", "left")
     if "v" in left.columns and "v" in right.columns:
-        meaning = semantic_best(asked.where("v is not null").select("rid", "v"), names.where("v is not null").select("rid", "v"))
+        meaning = semantic_best(
+            asked.where("v is not null").select("rid", "v"), names.where("v is not null").select("rid", "v")
+        )
         out = out.join(meaning.select("rid", F.struct("target_rid", F.col("similarity")).alias("m")), "rid", "left")
     else:
         out = out.withColumn("m", F.lit(None).cast("struct<target_rid:long,similarity:double>"))
     any_right = F.broadcast(first.limit(1).agg(F.count("*").alias("n_right")))
     like, near = F.coalesce("f.score", F.lit(0.0)), F.coalesce("m.similarity", F.lit(0.0))
     weak = F.when(near >= p["semantic_weak"], F.round(near * 100, 2)).otherwise(0.0)
-    found_kind = F.when(like >= p["poi_strong"], "fuzzy_strong_poi").when(near >= p["semantic_strong"], "semantic_strong_poi").when((like >= p["poi_weak"]) & (like > weak), "fuzzy_weak_poi").when(weak > 0, "semantic_weak_poi").otherwise("unmatched")
-    out = out.join(any_right).withColumn("kind", F.coalesce("early", F.when(F.col("n_right") == 0, "no_poi_right"), found_kind))
+    found_kind = F.when(like >= p["poi_strong"], "fuzzy_strong_poi").when(
+        near >= p["semantic_strong"], "semantic_strong_poi"
+    ).when(
+        (like >= p["poi_weak"]) & (like > weak), "fuzzy_weak_poi"
+    ).when(weak > 0, "semantic_weak_poi").otherwise("unmatched")
+    out = out.join(any_right).withColumn(
+        "kind", F.coalesce("early", F.when(F.col("n_right") == 0, "no_poi_right"), found_kind)
+    )
     fuzzy, semantic = F.col("kind").startswith("fuzzy"), F.col("kind").startswith("semantic")
     score = F.when(fuzzy, like).when(semantic, F.round(near * 100, 2)).otherwise(0.0)
-    return out.select("rid", F.when(fuzzy, F.col("f.target_rid")).when(semantic, F.col("m.target_rid")).alias("target_rid"), "kind", score.alias("score"))
+    return out.select(
+        "rid", F.when(fuzzy, F.col("f.target_rid")).when(semantic, F.col("m.target_rid")).alias("target_rid"), "kind",
+        score.alias("score")
+    )
 
 
-def poi_report(left: DataFrame, right: DataFrame, left_file: str, right_file: str, left_poi: str = "pois", right_poi: str = "poi", address: str = "address", name: str = "name") -> DataFrame:
+def poi_report(
+    left: DataFrame, right: DataFrame, left_file: str, right_file: str, left_poi: str = "pois", right_poi: str = "poi",
+    address: str = "address", name: str = "name"
+) -> DataFrame:
     """The nineteen columns of a POI matching, one row per left row; rows of files begin with 1, rids with 0. Columns that a side
     does not have (address, name, _record_id) are empty."""
     found = poi_match(left, right, left_poi, right_poi)
-    text = lambda df, c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")
-    a = left.select(F.col("rid").alias("ra"), *(text(left, c).alias(n) for c, n in (("_record_id", "源表记录ID"), (name, "源表名称"), (address, "源表标准化地址"), (left_poi, "源表POI原始"))))
-    b = right.select(F.col("rid").alias("rb"), *(text(right, c).alias(n) for c, n in (("_record_id", "目标表记录ID"), (name, "目标表名称"), (address, "目标表标准化地址"), (right_poi, "目标表POI原始"))))
+    text = lambda df, c: F.coalesce(
+        F.col(f"`{c}`").cast("string"), F.lit("")
+    ) if c in df.columns else F.lit("")
+    a = left.select(
+        F.col("rid").alias("ra"),
+        *(
+            text(left, c).alias(n) for c,
+            n in (("_record_id", "源表记录ID"), (name, "源表名称"), (address, "源表标准化地址"), (left_poi, "源表POI原始"))
+        )
+    )
+    b = right.select(
+        F.col("rid").alias("rb"),
+        *(
+            text(right, c).alias(n) for c,
+            n in (("_record_id", "目标表记录ID"), (name, "目标表名称"), (address, "目标表标准化地址"), (right_poi, "目标表POI原始"))
+        )
+    )
     rows = found.join(a, F.col("rid") == F.col("ra")).join(b, F.col("target_rid") == F.col("rb"), "left")
     hit = F.col("target_rid").isNotNull()
-    of = lambda i: reduce(lambda c, k: c.when(F.col("kind") == k, POI_TYPES[k][i]), list(POI_TYPES)[1:], F.when(F.col("kind") == next(iter(POI_TYPES)), POI_TYPES[next(iter(POI_TYPES))][i]))
+    of = lambda i: reduce(
+        lambda c, k: c.when(F.col("kind") == k, POI_TYPES[k][i]), list(POI_TYPES)[1:],
+        F.when(F.col("kind") == next(iter(POI_TYPES)), POI_TYPES[next(iter(POI_TYPES))][i])
+    )
     other = lambda c: F.coalesce(c, F.lit("")).alias(c)
     return rows.select(
-        "源表记录ID", other("目标表记录ID"), F.lit(left_file).alias("源表文件"), (F.col("rid") + 1).alias("源表行号"), "源表名称", "源表标准化地址", "源表POI原始", T.first_poi(F.col("源表POI原始")).alias("源表POI"),
-        F.when(hit, right_file).otherwise("").alias("目标表文件"), (F.col("target_rid") + 1).alias("目标表行号"), other("目标表名称"), other("目标表标准化地址"), other("目标表POI原始"),
-        F.when(hit, T.first_poi(F.col("目标表POI原始"))).otherwise("").alias("目标表POI"), of(0).alias("匹配类型"), F.col("kind").alias("匹配类型代码"), F.col("score").alias("匹配分数"), of(1).alias("POI来源"),
+        "源表记录ID", other("目标表记录ID"), F.lit(left_file).alias("源表文件"), (
+            F.col("rid") + 1
+        ).alias("源表行号"), "源表名称", "源表标准化地址", "源表POI原始", T.first_poi(F.col("源表POI原始")).alias("源表POI"),
+        F.when(hit, right_file).otherwise("").alias("目标表文件"), (
+            F.col("target_rid") + 1
+        ).alias("目标表行号"), other("目标表名称"), other("目标表标准化地址"), other("目标表POI原始"),
+        F.when(
+            hit, T.first_poi(F.col("目标表POI原始"))
+        ).otherwise("").alias("目标表POI"), of(0).alias("匹配类型"), F.col("kind").alias("匹配类型代码"), F.col("score").alias("匹配分数"), of(1).alias("POI来源"),
         F.when(hit, "是").otherwise("否").alias("是否匹配"),
     )
 
 
 def breakdown(matched: DataFrame) -> DataFrame:
     total = matched.agg(F.count("*").alias("total"))
-    return matched.groupBy("kind").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("kind", "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("rate"))
+    return matched.groupBy("kind").agg(F.count("*").alias("n")).join(F.broadcast(total)).select(
+        "kind", "n", F.round(F.col("n") / F.col("total") * 100, 2).alias("rate")
+    )
 
 
 def embedded(rows: DataFrame, column: str, encoder) -> DataFrame:
@@ -247,7 +373,12 @@ def _nearest():
         left, right = (x.take(pc.sort_indices(x, [("rid", "ascending")])) for x in held)
         at, value, rows = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         if len(left) and len(right):
-            a, b = (pc.list_flatten(x.column("v")).to_numpy(zero_copy_only=False).reshape(len(x), -1 if len(x.column("v")[0]) else 0) for x in (left, right))
+            a, b = (
+                pc.list_flatten(x.column("v")).to_numpy(zero_copy_only=False).reshape(
+                    len(x), -1 if len(x.column("v")[0]) else 0
+                )
+                for x in (left, right)
+            )
             parts = []
             for i in range(0, len(a), 256):
                 s = a[i : i + 256] @ b.T
@@ -258,7 +389,12 @@ def _nearest():
                 row, first = np.unique(row[same], return_index=True)
                 parts.append((row + i, col[same][first], rounded[same][first]))
             rows, at, value = (np.concatenate(x) for x in zip(*parts))
-        return pa.table({"rid": left.column("rid").take(pa.array(rows)), "target_rid": right.column("rid").take(pa.array(at)), "similarity": pa.array(value, pa.float64(), from_pandas=False)})
+        return pa.table(
+            {
+                "rid": left.column("rid").take(pa.array(rows)), "target_rid": right.column("rid").take(pa.array(at)),
+                "similarity": pa.array(value, pa.float64(), from_pandas=False)
+            }
+        )
 
     return run
 
@@ -268,17 +404,29 @@ def semantic_best(left: DataFrame, right: DataFrame, left_rows: int = 4096, righ
 
     Every left row meets every right row, in tasks of about left_rows by right_rows rows; the best of the tasks is merged by row.
     Vectors with a null, or of a length that no right row has, are like none: they get the first right row and no similarity."""
-    unit = lambda df: df.select("rid", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn("v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))"))
+    unit = lambda df: df.select("rid", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn(
+        "v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))")
+    )
     whole = F.expr("v is not null and forall(v, x -> x is not null)")
     blocks, shards = max(1, -(-left.count() // left_rows)), max(1, -(-right.count() // right_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n: F.pmod(F.xxhash64("rid", "v"), F.lit(n)).cast("int")
-    a = unit(left).where(whole).select("rid", "v", F.size("v").alias("width"), F.lit(0).alias("side"), place(blocks).alias("block")).withColumn("shard", every(shards))
-    b = unit(right).where(whole).select("rid", "v", F.size("v").alias("width"), F.lit(1).alias("side"), place(shards).alias("shard")).withColumn("block", every(blocks))
+    a = unit(left).where(whole).select(
+        "rid", "v", F.size("v").alias("width"), F.lit(0).alias("side"), place(blocks).alias("block")
+    ).withColumn("shard", every(shards))
+    b = unit(right).where(whole).select(
+        "rid", "v", F.size("v").alias("width"), F.lit(1).alias("side"), place(shards).alias("shard")
+    ).withColumn("block", every(blocks))
     kind, target = left.schema["rid"].dataType.simpleString(), right.schema["rid"].dataType.simpleString()
     if kind != target:
         raise TypeError(f"rid is {kind} on the left and {target} on the right")
-    found = a.unionByName(b).groupBy("width", "block", "shard").applyInArrow(_nearest(), f"rid {kind}, target_rid {kind}, similarity double")
+    found = a.unionByName(b).groupBy("width", "block", "shard").applyInArrow(
+        _nearest(), f"rid {kind}, target_rid {kind}, similarity double"
+    )
     # One row, if there is any right row.
-    none = left.select("rid").join(F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))).withColumn("similarity", F.lit(None).cast("double"))
-    return found.unionByName(none).groupBy("rid").agg(F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")).select("rid", "x.*")
+    none = left.select("rid").join(
+        F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))
+    ).withColumn("similarity", F.lit(None).cast("double"))
+    return found.unionByName(none).groupBy("rid").agg(
+        F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")
+    ).select("rid", "x.*")

@@ -21,7 +21,9 @@ def read(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 def first_by_name(dim: DataFrame) -> DataFrame:
     """One row per name and per name without its suffix: the first code wins."""
     names = F.array_distinct(F.array("name", F.regexp_replace("name", "(省|市|区|县|自治区|街道|镇|乡)$", "")))
-    return dim.withColumn("key", F.explode(names)).where("key <> ''").groupBy("key").agg(F.min_by(F.struct(*dim.columns), "code").alias("d"))
+    return dim.withColumn("key", F.explode(names)).where("key <> ''").groupBy("key").agg(
+        F.min_by(F.struct(*dim.columns), "code").alias("d")
+    )
 
 
 def deduce(rows: DataFrame, provinces: DataFrame, cities: DataFrame, areas: DataFrame) -> DataFrame:
@@ -30,45 +32,89 @@ def deduce(rows: DataFrame, provinces: DataFrame, cities: DataFrame, areas: Data
         found = first_by_name(dim).select(F.col("key").alias(f"_k{name}"), F.col("d").alias(f"_{name}"))
         return df.join(F.broadcast(found), strip(F.coalesce(F.col(key), F.lit(""))) == F.col(f"_k{name}"), "left")
 
-    by_code = lambda dim, name: F.broadcast(dim.select(F.col("code").alias(f"_c{name}"), F.col("name").alias(f"_n{name}"), *([F.col("provinceCode").alias(f"_p{name}")] if "provinceCode" in dim.columns else [])))
-    out = look(rows, "area", areas, "area").join(by_code(cities, "up"), F.col("_area.cityCode") == F.col("_cup"), "left")
+    by_code = lambda dim, name: F.broadcast(
+        dim.select(
+            F.col("code").alias(f"_c{name}"), F.col("name").alias(f"_n{name}"),
+            *([F.col("provinceCode").alias(f"_p{name}")] if "provinceCode" in dim.columns else [])
+        )
+    )
+    out = look(rows, "area", areas, "area").join(
+        by_code(cities, "up"), F.col("_area.cityCode") == F.col("_cup"), "left"
+    )
     city = F.when(~blank(F.col("city")), strip(F.col("city"))).otherwise(F.coalesce("_nup", F.lit("")))
-    out = look(out.withColumn("city_", city), "city_", cities, "city").join(by_code(provinces, "top"), F.coalesce(F.col("_city.provinceCode"), F.col("_pup")) == F.col("_ctop"), "left")
+    out = look(out.withColumn("city_", city), "city_", cities, "city").join(
+        by_code(provinces, "top"), F.coalesce(F.col("_city.provinceCode"), F.col("_pup")) == F.col("_ctop"), "left"
+    )
     province = F.when(~blank(F.col("province")), strip(F.col("province"))).otherwise(F.coalesce("_ntop", F.lit("")))
-    method = F.when(~blank(F.col("province")) & ~blank(F.col("city")), "given").when(F.col("_nup").isNotNull() & blank(F.col("city")), "area").when(F.col("_ntop").isNotNull() & blank(F.col("province")), "city").otherwise("none")
+    method = F.when(
+        ~blank(F.col("province")) & ~blank(F.col("city")), "given"
+    ).when(F.col("_nup").isNotNull() & blank(F.col("city")), "area").when(
+        F.col("_ntop").isNotNull() & blank(F.col("province")), "city"
+    ).otherwise("none")
     sure = F.when(method == "area", 0.9).when(method == "city", 0.95).when(method == "given", 1.0).otherwise(0.0)
-    return out.select(*rows.columns, province.alias("province_full"), F.col("city_").alias("city_full"), method.alias("method"), sure.alias("confidence"))
+    return out.select(
+        *rows.columns, province.alias("province_full"), F.col("city_").alias("city_full"), method.alias("method"),
+        sure.alias("confidence")
+    )
 
 
 def valid(rows: DataFrame, provinces: DataFrame, cities: DataFrame, areas: DataFrame) -> DataFrame:
     """rows (rid, province, city, area) with valid: the area is of the city and the city of the province, by name with or
     without suffix. Every reading of an ambiguous name counts."""
     short = lambda c: F.regexp_replace(c, "(省|市|区|县|自治区)$", "")
-    chain = areas.select(F.col("name").alias("an"), "cityCode").join(cities.select(F.col("code").alias("cc"), F.col("name").alias("cn"), "provinceCode"), F.col("cityCode") == F.col("cc")).join(provinces.select(F.col("code").alias("pc"), F.col("name").alias("pn")), F.col("provinceCode") == F.col("pc"))
-    keys = F.broadcast(chain.select(short(F.col("pn")).alias("p"), short(F.col("cn")).alias("c"), short(F.col("an")).alias("a")).distinct().withColumn("ok", F.lit(True)))
-    return rows.join(keys, (short(F.col("province")) == F.col("p")) & (short(F.col("city")) == F.col("c")) & (short(F.col("area")) == F.col("a")), "left").select(*rows.columns, F.coalesce("ok", F.lit(False)).alias("valid"))
+    chain = areas.select(F.col("name").alias("an"), "cityCode").join(
+        cities.select(F.col("code").alias("cc"), F.col("name").alias("cn"), "provinceCode"),
+        F.col("cityCode") == F.col("cc")
+    ).join(provinces.select(F.col("code").alias("pc"), F.col("name").alias("pn")), F.col("provinceCode") == F.col("pc"))
+    keys = F.broadcast(
+        chain.select(
+            short(F.col("pn")).alias("p"), short(F.col("cn")).alias("c"), short(F.col("an")).alias("a")
+        ).distinct().withColumn("ok", F.lit(True))
+    )
+    return rows.join(
+        keys,
+        (
+            short(F.col("province")) == F.col("p")
+        ) & (short(F.col("city")) == F.col("c")) & (short(F.col("area")) == F.col("a")),
+        "left"
+    ).select(*rows.columns, F.coalesce("ok", F.lit(False)).alias("valid"))
 
 
 def areas_in(city: str, cities: DataFrame, areas: DataFrame) -> DataFrame:
-    return areas.join(F.broadcast(cities.where(F.col("name") == city).select(F.col("code").alias("c"))), F.col("cityCode") == F.col("c"), "left_semi").select("code", "name")
+    return areas.join(
+        F.broadcast(cities.where(F.col("name") == city).select(F.col("code").alias("c"))),
+        F.col("cityCode") == F.col("c"), "left_semi"
+    ).select("code", "name")
 
 
 def extract_area(rows: DataFrame, areas: DataFrame, address: str = "address") -> DataFrame:
     """(rid, area): the known area name in an address; after a city's suffix it counts most, then autonomous counties, then
     the longest name, then the last by name."""
     text = F.coalesce(F.col(address), F.lit(""))
-    kinds = [(r"[市州盟]([一-龥]{2,6}?[区县旗])", 100), (r"(?<![省市州盟])([一-龥]{2,6}?[区县旗])(?!域|划)", 0), (r"([一-龥]{2,10}?自治[县旗])", 10)]
+    kinds = [
+        (r"[市州盟]([一-龥]{2,6}?[区县旗])", 100), (r"(?<![省市州盟])([一-龥]{2,6}?[区县旗])(?!域|划)", 0), (r"([一-龥]{2,10}?自治[县旗])", 10)
+    ]
     def named(pattern: str, weight: int):
         priority = lambda x: F.lit(100) if weight == 100 else F.length(x) + weight
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(priority(x).alias("priority"), x.alias("name")))
+        return F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
+            lambda x: F.struct(priority(x).alias("priority"), x.alias("name"))
+        )
 
     found = F.concat(*(named(p, w) for p, w in kinds))
-    words = rows.select("rid", F.explode(found).alias("x")).select("rid", "x.*").join(F.broadcast(areas.select("name").distinct()), "name")
-    best = words.groupBy("rid").agg(F.max(F.struct("priority", "name")).alias("x")).select("rid", F.col("x.name").alias("area"))
+    words = rows.select("rid", F.explode(found).alias("x")).select("rid", "x.*").join(
+        F.broadcast(areas.select("name").distinct()), "name"
+    )
+    best = words.groupBy("rid").agg(
+        F.max(F.struct("priority", "name")).alias("x")
+    ).select("rid", F.col("x.name").alias("area"))
     return rows.select("rid").join(best, "rid", "left").select("rid", F.coalesce("area", F.lit("")).alias("area"))
 
 
 def fill(parsed: dict[str, Column], completed: dict[str, Column]) -> dict[str, Column]:
     """Parsed parts stay unless province, city or district lacks: then completed values go first."""
     lacks = blank(parsed["province"]) | blank(parsed["city"]) | blank(parsed["district"])
-    return {k: F.when(lacks, F.coalesce(F.when(~blank(completed[k]), completed[k]), parsed[k])).otherwise(parsed[k]) for k in parsed}
+    return {
+        k: F.when(lacks, F.coalesce(F.when(~blank(completed[k]), completed[k]), parsed[k])).otherwise(parsed[k])
+        for k in parsed
+    }

@@ -15,10 +15,16 @@ from .registry import FIELDS, QUERIES, SQL, add, blank_sql, sanitize_sql, strip_
 # Scalar functions -----------------------------------------------------------------------------------------------------
 
 def scalar(name: str, frames: str, column, sql: str | None, rid: str = "rid") -> None:
-    add(name, frames, lambda df: df.select(rid, column().alias("value")), sql and f"SELECT {rid}, {sql} AS value FROM {frames}")
+    add(
+        name, frames, lambda df: df.select(rid, column().alias("value")),
+        sql and f"SELECT {rid}, {sql} AS value FROM {frames}"
+    )
 
 
-CLEAN_SQL = "concat(" + ", ".join(f"CASE WHEN regexp_matches({s}, '[一-龥]') THEN {s} ELSE '' END" for s in (sanitize_sql(strip_sql(f"coalesce({f}, '')")) for f in FIELDS)) + ")"
+CLEAN_SQL = "concat(" + ", ".join(
+    f"CASE WHEN regexp_matches({s}, '[一-龥]') THEN {s} ELSE '' END"
+    for s in (sanitize_sql(strip_sql(f"coalesce({f}, '')")) for f in FIELDS)
+) + ")"
 PURE_SQL = f"""CASE WHEN {{s}} = '' THEN false WHEN regexp_matches({{s}}, '[0-9]') THEN false WHEN regexp_matches({{s}}, '{R.any_of(R.ADDRESS_WORDS)}') THEN false
   WHEN regexp_replace({{s}}, '[^一-龥]', '', 'g') = '' THEN true WHEN regexp_matches(regexp_replace({{s}}, '[^一-龥]', '', 'g'), '{R.any_of(R.VILLAGE_WORDS)}') THEN false
   ELSE regexp_matches(regexp_replace({{s}}, '[^一-龥]', '', 'g'), '{R.PURE_ADMIN}') END"""
@@ -30,35 +36,83 @@ def pure_sql(c: str) -> str:
 
 FALLBACK_SQL = f"CASE WHEN regexp_matches({strip_sql('location')}, '[一-龥]') AND length({strip_sql('location')}) > 2 THEN {sanitize_sql(strip_sql('location'))} ELSE '' END"
 scalar("sanitize", "addr", lambda: T.sanitize(F.coalesce("street", F.lit(""))), sanitize_sql("coalesce(street, '')"))
-scalar("contains_chinese", "addr", lambda: T.contains_chinese(F.col("location")), "coalesce(regexp_matches(location, '[一-龥]'), false)")
+scalar(
+    "contains_chinese", "addr", lambda: T.contains_chinese(F.col("location")),
+    "coalesce(regexp_matches(location, '[一-龥]'), false)"
+)
 scalar("build_clean_text", "addr", lambda: T.build_clean_text([F.col(f) for f in FIELDS]), CLEAN_SQL)
-scalar("dedupe_admin", "addr", lambda: T.dedupe_admin(F.concat(F.coalesce("city", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street", F.lit("")))), "concat(coalesce(city, ''), coalesce(street, ''))")
-scalar("dedupe_phrases", "addr", lambda: similarity.dedupe_phrases(F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))), None)
-scalar("pure_admin_region", "addr", lambda: T.is_pure_admin(F.concat_ws("", "province", "city")), pure_sql("concat_ws('', province, city)"))
-scalar("fallback_address", "addr", lambda: T.fallback_address(["rid", "province", "location"]), f"coalesce({FALLBACK_SQL}, '')")
-BUILDING_SQL = "(" + " OR ".join(f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '{R.any_of(R.BUILDING_WORDS)}'), false)" for c in ["rid", *FIELDS, "location", "const_code", "nothing"]) + ")"
+scalar(
+    "dedupe_admin", "addr",
+    lambda: T.dedupe_admin(
+        F.concat(F.coalesce("city", F.lit("")), F.coalesce("city", F.lit("")), F.coalesce("street", F.lit("")))
+    ),
+    "concat(coalesce(city, ''), coalesce(street, ''))"
+)
+scalar(
+    "dedupe_phrases", "addr",
+    lambda: similarity.dedupe_phrases(
+        F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))
+    ),
+    None
+)
+scalar(
+    "pure_admin_region", "addr", lambda: T.is_pure_admin(F.concat_ws("", "province", "city")),
+    pure_sql("concat_ws('', province, city)")
+)
+scalar(
+    "fallback_address", "addr", lambda: T.fallback_address(["rid", "province", "location"]),
+    f"coalesce({FALLBACK_SQL}, '')"
+)
+BUILDING_SQL = "(" + " OR ".join(
+    f"coalesce(regexp_matches(CAST({c} AS VARCHAR), '{R.any_of(R.BUILDING_WORDS)}'), false)"
+    for c in ["rid", *FIELDS, "location", "const_code", "nothing"]
+) + ")"
 ADDR = ["rid", *FIELDS, "location", "const_code", "nothing"]
 scalar("has_building_info", "addr", lambda: T.has_building_info(ADDR), BUILDING_SQL)
-scalar("is_pure_numeric", "addr", lambda: T.is_pure_numeric(F.col("location")), f"coalesce(regexp_matches({strip_sql('location')}, '^[0-9]+$'), false)")
-scalar("is_non_poi_device", "addr", lambda: T.is_device(F.col("poi")), f"coalesce(regexp_matches(poi, '调[0-9]+|{R.any_of(R.DEVICE_WORDS)}'), false)")
+scalar(
+    "is_pure_numeric", "addr", lambda: T.is_pure_numeric(F.col("location")),
+    f"coalesce(regexp_matches({strip_sql('location')}, '^[0-9]+$'), false)"
+)
+scalar(
+    "is_non_poi_device", "addr", lambda: T.is_device(F.col("poi")),
+    f"coalesce(regexp_matches(poi, '调[0-9]+|{R.any_of(R.DEVICE_WORDS)}'), false)"
+)
 CLEAN_POI_SQL = strip_sql("regexp_replace(coalesce({c}, ''), '[0-9#\\-]+', '', 'g')")
 scalar("clean_poi_for_fuzzy", "addr", lambda: T.clean_poi(F.col("poi")), CLEAN_POI_SQL.replace("{c}", "poi"))
 ADMIN_SQL = f"(regexp_matches({{s}}, '{R.ADMIN_NAME}') AND NOT regexp_matches({{s}}, '({R.any_of(R.POI_SUFFIXES)})$'))"
-scalar("is_admin_only", "addr", lambda: T.is_admin_only(F.col("poi")), ADMIN_SQL.replace("{s}", strip_sql("coalesce(poi, '')")))
-NORMAL_SQL = strip_sql(r"regexp_replace(regexp_replace(" + strip_sql("coalesce(poi, '')") + r", '_[0-9]+$', '', 'g'), '（[^（）]*）|\([^()]*\)', '', 'g')")
+scalar(
+    "is_admin_only", "addr", lambda: T.is_admin_only(F.col("poi")),
+    ADMIN_SQL.replace("{s}", strip_sql("coalesce(poi, '')"))
+)
+NORMAL_SQL = strip_sql(
+    r"regexp_replace(regexp_replace(" + strip_sql("coalesce(poi, '')")
+    + r", '_[0-9]+$', '', 'g'), '（[^（）]*）|\([^()]*\)', '', 'g')"
+)
 scalar("normalize_poi", "addr", lambda: T.normalize_poi(F.col("poi")), NORMAL_SQL)
 scalar("first_poi", "addr", lambda: T.first_poi(F.col("poi")), strip_sql("split_part(coalesce(poi, ''), ';', 1)"))
 OVERLAP_SQL = "CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(string_split({a}, '')), list_distinct(string_split({b}, '')))) AS DOUBLE) / greatest(len(list_distinct(string_split({a}, ''))), len(list_distinct(string_split({b}, '')))) END"
-scalar("char_overlap", "addr", lambda: F.round(T.char_overlap(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), "round(" + OVERLAP_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)")
+scalar(
+    "char_overlap", "addr",
+    lambda: F.round(T.char_overlap(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6),
+    "round(" + OVERLAP_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)"
+)
 LENGTH_SQL = "CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE CAST(least(length({a}), length({b})) AS DOUBLE) / greatest(length({a}), length({b})) END"
-scalar("length_ratio", "addr", lambda: F.round(T.length_ratio(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6), "round(" + LENGTH_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)")
+scalar(
+    "length_ratio", "addr",
+    lambda: F.round(T.length_ratio(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit(""))), 6),
+    "round(" + LENGTH_SQL.replace("{a}", "coalesce(street, '')").replace("{b}", "coalesce(poi, '')") + ", 6)"
+)
 KV = ["prov", "city", "road", "poi", "houseno"]
 KV_SQL = {k: f"nullif(regexp_extract(structure, '(^|\\s){k}=(\\S*)', 2), '')" for k in KV}
 TEN = ["prov", "city", "district", "town", "village", "road", "roadNo", "poi", "houseno", "cellno"]
 TEN_SQL = {k: f"nullif(regexp_extract(structure, '(^|\\s){k}=(\\S*)', 2), '')" for k in [*TEN, "roomno"]}
 STD_SQL = f"concat_ws('', {', '.join(TEN_SQL[k] for k in TEN[:8])}, {TEN_SQL['houseno']} || '号楼', {TEN_SQL['cellno']} || '单元')"
 scalar("std_address", "kv10", lambda: T.std_address({k: T.parse_kv(F.col("structure"))[k] for k in TEN}), STD_SQL)
-add("parse_kv", "kv", lambda df: df.select("rid", *(F.coalesce(T.parse_kv(F.col("structure"))[k], F.lit("")).alias(k) for k in KV)), "SELECT rid, " + ", ".join(f"coalesce({KV_SQL[k]}, '') AS {k}" for k in KV) + " FROM kv")
+add(
+    "parse_kv", "kv",
+    lambda df: df.select("rid", *(F.coalesce(T.parse_kv(F.col("structure"))[k], F.lit("")).alias(k) for k in KV)),
+    "SELECT rid, " + ", ".join(f"coalesce({KV_SQL[k]}, '') AS {k}" for k in KV) + " FROM kv"
+)
 
 
 def _poi_choice(df):
@@ -66,10 +120,27 @@ def _poi_choice(df):
     return df.select("rid", poi.alias("poi"), origin.alias("origin"))
 
 
-add("poi_choice", "kv", _poi_choice, f"SELECT rid, CASE WHEN NOT {blank_sql('predicted')} THEN {strip_sql('predicted')} ELSE coalesce({KV_SQL['poi']}, '') END AS poi, CASE WHEN NOT {blank_sql('predicted')} THEN 'predict' WHEN {KV_SQL['poi']} IS NOT NULL THEN 'structure' ELSE 'empty' END AS origin FROM kv")
-scalar("match_value", "addr", lambda: T.match_value([F.col(f) for f in FIELDS]), "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {blank_sql(f)} THEN {strip_sql(f)} END" for f in FIELDS) + ")")
-scalar("gid_norm", "rows_", lambda: T.gid_norm(F.col("gid")), "CAST(CAST(trunc(TRY_CAST(gid AS DOUBLE)) AS BIGINT) AS VARCHAR)")
-scalar("level_label", "tgt", lambda: T.level_label(F.element_at(F.split(F.lit("EXACT,HIGH_CONFIDENCE,NEED_REVIEW,UNMATCHED"), ","), (F.col("rid") % 4 + 1).cast("int"))), "split_part('精确匹配,高置信度,需人工确认,未匹配', ',', CAST(rid % 4 + 1 AS INT))")
+add(
+    "poi_choice", "kv", _poi_choice,
+    f"SELECT rid, CASE WHEN NOT {blank_sql('predicted')} THEN {strip_sql('predicted')} ELSE coalesce({KV_SQL['poi']}, '') END AS poi, CASE WHEN NOT {blank_sql('predicted')} THEN 'predict' WHEN {KV_SQL['poi']} IS NOT NULL THEN 'structure' ELSE 'empty' END AS origin FROM kv"
+)
+scalar(
+    "match_value", "addr", lambda: T.match_value([F.col(f) for f in FIELDS]),
+    "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {blank_sql(f)} THEN {strip_sql(f)} END" for f in FIELDS) + ")"
+)
+scalar(
+    "gid_norm", "rows_", lambda: T.gid_norm(F.col("gid")),
+    "CAST(CAST(trunc(TRY_CAST(gid AS DOUBLE)) AS BIGINT) AS VARCHAR)"
+)
+scalar(
+    "level_label", "tgt",
+    lambda: T.level_label(
+        F.element_at(
+            F.split(F.lit("EXACT,HIGH_CONFIDENCE,NEED_REVIEW,UNMATCHED"), ","), (F.col("rid") % 4 + 1).cast("int")
+        )
+    ),
+    "split_part('精确匹配,高置信度,需人工确认,未匹配', ',', CAST(rid % 4 + 1 AS INT))"
+)
 
 
 def _pair_label(df):
@@ -78,23 +149,46 @@ def _pair_label(df):
     return df.select("rid", source.alias("source_label"), target.alias("target_label"))
 
 
-add("field_pair_label", "tgt", _pair_label, "SELECT rid, split_part('名称;匹配字段;地址;a', ';', CAST(rid % 4 + 1 AS INT)) AS source_label, split_part('name;b;匹配值;b=c', ';', CAST(rid % 4 + 1 AS INT)) AS target_label FROM tgt")
+add(
+    "field_pair_label", "tgt", _pair_label,
+    "SELECT rid, split_part('名称;匹配字段;地址;a', ';', CAST(rid % 4 + 1 AS INT)) AS source_label, split_part('name;b;匹配值;b=c', ';', CAST(rid % 4 + 1 AS INT)) AS target_label FROM tgt"
+)
 
 
 def _wkt(df):
-    wkt = F.when(F.col("rid") % 3 == 0, F.concat(F.lit("point ("), F.col("rid").cast("string"), F.lit(" 2.5)"))).when(F.col("rid") % 3 == 1, "MULTIPOLYGON (((0 0, 1 1, 1 0)))").otherwise("none")
+    wkt = F.when(
+        F.col("rid") % 3 == 0, F.concat(F.lit("point ("), F.col("rid").cast("string"), F.lit(" 2.5)"))
+    ).when(F.col("rid") % 3 == 1, "MULTIPOLYGON (((0 0, 1 1, 1 0)))").otherwise("none")
     return df.select("rid", T.wkt_kind(wkt).alias("kind"), T.wkt_point(wkt).x.alias("x"), T.wkt_point(wkt).y.alias("y"))
 
 
-add("wkt_point", "tgt", _wkt, "SELECT rid, CASE rid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'MULTIPOLYGON' ELSE '' END AS kind, CASE WHEN rid % 3 = 0 THEN CAST(rid AS DOUBLE) END AS x, CASE WHEN rid % 3 = 0 THEN 2.5::DOUBLE END AS y FROM tgt")
+add(
+    "wkt_point", "tgt", _wkt,
+    "SELECT rid, CASE rid % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'MULTIPOLYGON' ELSE '' END AS kind, CASE WHEN rid % 3 = 0 THEN CAST(rid AS DOUBLE) END AS x, CASE WHEN rid % 3 = 0 THEN 2.5::DOUBLE END AS y FROM tgt"
+)
 
 # Cleaning -------------------------------------------------------------------------------------------------------------
-add("lineage_cols", "addr", lambda df: clean.lineage(df.select("rid", "province"), "custs"), "SELECT rid, province, concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row FROM addr")
-add("ids_first", "addr", lambda df: clean.ids_first(clean.lineage(df.select("rid", "city"), "custs")), "SELECT concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row, rid, city FROM addr")
+add(
+    "lineage_cols", "addr", lambda df: clean.lineage(df.select("rid", "province"), "custs"),
+    "SELECT rid, province, concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row FROM addr"
+)
+add(
+    "ids_first", "addr", lambda df: clean.ids_first(clean.lineage(df.select("rid", "city"), "custs")),
+    "SELECT concat('custs_', CAST(rid + 2 AS VARCHAR)) AS _record_id, 'custs' AS _source_file, CAST(rid + 2 AS INTEGER) AS _source_row, rid, city FROM addr"
+)
 _IGNORED = ["province", "location", "const_code", "nothing"]
-add("ignore_fields", "addr", lambda df: clean.useless_fields(df, _IGNORED), " UNION ALL ".join(f"SELECT '{f}' AS field, (count(nullif({strip_sql(f)}, '')) = 0 OR (min(nullif({strip_sql(f)}, '')) = max(nullif({strip_sql(f)}, '')) AND regexp_matches(min(nullif({strip_sql(f)}, '')), '^[0-9]+$'))) AS ignored FROM addr" for f in _IGNORED))
+add(
+    "ignore_fields", "addr", lambda df: clean.useless_fields(df, _IGNORED),
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, (count(nullif({strip_sql(f)}, '')) = 0 OR (min(nullif({strip_sql(f)}, '')) = max(nullif({strip_sql(f)}, '')) AND regexp_matches(min(nullif({strip_sql(f)}, '')), '^[0-9]+$'))) AS ignored FROM addr"
+        for f in _IGNORED
+    )
+)
 EMPTY_SQL = "(" + " AND ".join(map(blank_sql, FIELDS)) + ")"
-add("empty_row", "addr", lambda df: df.select("rid", clean.empty_row(FIELDS).alias("empty")), f"SELECT rid, {EMPTY_SQL} AS empty FROM addr")
+add(
+    "empty_row", "addr", lambda df: df.select("rid", clean.empty_row(FIELDS).alias("empty")),
+    f"SELECT rid, {EMPTY_SQL} AS empty FROM addr"
+)
 JUDGED_SQL = f"j AS (SELECT rid, CASE WHEN {CLEAN_SQL} = '' THEN coalesce({FALLBACK_SQL}, '') ELSE {CLEAN_SQL} END AS clean, {EMPTY_SQL} AS e, {BUILDING_SQL} AS b FROM addr), k AS (SELECT rid, clean, CASE WHEN e THEN '{R.REASONS[0]}' WHEN clean = '' THEN '{R.REASONS[1]}' WHEN {pure_sql('clean')} AND NOT b THEN '{R.REASONS[2]}' END AS reason FROM j)"
 
 
@@ -102,11 +196,29 @@ def _judged(df, phrases=False):
     return clean.judged(df, FIELDS, "custs", phrases)
 
 
-add("clean_partition", "addr", lambda df: _judged(df).select("rid", F.col("custs_adr_clean").alias("clean"), "reason"), JUDGED_SQL + " SELECT rid, clean, reason FROM k")
-add("clean_counts", "addr", lambda df: clean.counts(_judged(df)), JUDGED_SQL + " SELECT coalesce(reason, '有效') AS reason, count(*) AS n FROM k GROUP BY 1")
+add(
+    "clean_partition", "addr", lambda df: _judged(df).select("rid", F.col("custs_adr_clean").alias("clean"), "reason"),
+    JUDGED_SQL + " SELECT rid, clean, reason FROM k"
+)
+add(
+    "clean_counts", "addr", lambda df: clean.counts(_judged(df)),
+    JUDGED_SQL + " SELECT coalesce(reason, '有效') AS reason, count(*) AS n FROM k GROUP BY 1"
+)
 add("clean_file", "addr", lambda df: clean.judged(df, FIELDS, "custs").select("rid", "custs_adr_clean", "reason"))
-add("check_field_config", "addr", lambda df: clean.field_warnings(df, ["province", "location"]), " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n_sampled, coalesce(bool_or(regexp_matches({f}, '[一-龥]')), false) AS has_chinese FROM (SELECT {f} FROM addr WHERE {f} IS NOT NULL ORDER BY rid LIMIT 100)" for f in ("province", "location")))
-add("file_quality", "addr", lambda df: profile.file_quality(df, ["poi", "district"]), " UNION ALL ".join(f"SELECT '{f}' AS field, round(avg(CASE WHEN {blank_sql(f)} THEN 0 ELSE 1 END), 6) AS filled FROM addr" for f in ("poi", "district")))
+add(
+    "check_field_config", "addr", lambda df: clean.field_warnings(df, ["province", "location"]),
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, count(*) AS n_sampled, coalesce(bool_or(regexp_matches({f}, '[一-龥]')), false) AS has_chinese FROM (SELECT {f} FROM addr WHERE {f} IS NOT NULL ORDER BY rid LIMIT 100)"
+        for f in ("province", "location")
+    )
+)
+add(
+    "file_quality", "addr", lambda df: profile.file_quality(df, ["poi", "district"]),
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS field, round(avg(CASE WHEN {blank_sql(f)} THEN 0 ELSE 1 END), 6) AS filled FROM addr"
+        for f in ("poi", "district")
+    )
+)
 
 # Joins and predicates -------------------------------------------------------------------------------------------------
 _A, _B = "SELECT c_custkey, nullif(c_nationkey % 7, 0) AS k FROM customer", "SELECT s_suppkey, nullif(s_nationkey % 7, 0) AS k2 FROM supplier"
@@ -121,11 +233,17 @@ def joined(kind, on="k2"):
 
 QUERIES["join_inner"] = joined("inner")
 SQL["join_inner"] = f'SELECT a.c_custkey AS "[A]c_custkey", a.k AS "【关联A】k", b.s_suppkey AS "[B]s_suppkey", b.k2 AS "【关联B】k2" FROM ({_A}) a JOIN ({_B}) b ON a.k IS NOT DISTINCT FROM b.k2'
-QUERIES["join_left_anti"] = lambda spark, sf_dir: join.left_anti(frame(spark, sf_dir, _A), frame(spark, sf_dir, _FEW_B), "k", "k2")
+QUERIES["join_left_anti"] = lambda spark, sf_dir: join.left_anti(
+    frame(spark, sf_dir, _A), frame(spark, sf_dir, _FEW_B), "k", "k2"
+)
 SQL["join_left_anti"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_FEW_B}) b WHERE a.k = b.k2)"
-QUERIES["join_right_anti"] = lambda spark, sf_dir: join.right_anti(frame(spark, sf_dir, _FEW_A), frame(spark, sf_dir, _B), "k", "k2")
+QUERIES["join_right_anti"] = lambda spark, sf_dir: join.right_anti(
+    frame(spark, sf_dir, _FEW_A), frame(spark, sf_dir, _B), "k", "k2"
+)
 SQL["join_right_anti"] = f"SELECT * FROM ({_B}) b WHERE NOT EXISTS (SELECT 1 FROM ({_FEW_A}) a WHERE a.k = b.k2)"
-QUERIES["join_export"] = lambda spark, sf_dir: join.export(frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", "k2", "left_anti")
+QUERIES["join_export"] = lambda spark, sf_dir: join.export(
+    frame(spark, sf_dir, _A), frame(spark, sf_dir, _B), "k", "k2", "left_anti"
+)
 SQL["join_export"] = f"SELECT * FROM ({_A}) a WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE a.k = b.k2)"
 _KA = "lower(" + strip_sql("{t}.ka") + ")"
 EXACT_SQL = f"SELECT lid, rid, 1.0::DOUBLE AS confidence FROM lt JOIN rt ON {_KA.replace('{t}', 'lt')} = {_KA.replace('{t}', 'rt')} WHERE {_KA.replace('{t}', 'lt')} <> ''"
@@ -134,31 +252,61 @@ MULTI_SQL = f"SELECT lid, rid, 1.0::DOUBLE AS confidence FROM lt JOIN rt ON {_MK
 _PAIRS = [("ka", "ka"), ("kb", "kb")]
 add("me_exact", "lt rt", lambda l, r: join.exact(l, r, "ka", "ka"), EXACT_SQL)
 add("me_multi_field", "lt rt", lambda l, r: join.multi_field(l, r, _PAIRS), MULTI_SQL)
-add("me_batch", "lt rt", lambda l, r: join.batch([join.multi_field(l, r, _PAIRS), join.exact(l, r, "ka", "ka")]), f"u AS (SELECT *, 0 AS strategy FROM ({MULTI_SQL}) UNION ALL SELECT *, 1 FROM ({EXACT_SQL})) SELECT lid, rid, confidence, strategy FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY strategy, rid) AS n FROM u) WHERE n = 1")
-_ROWS = [("AND", "c_nationkey", ">=", 3), ("AND", "c_mktsegment", "LIKE", "U"), ("OR", "c_acctbal", "<", 0), ("AND", "c_nationkey", "IN", [1, 2, 5]), ("AND", "c_name", "IS NOT NULL", None)]
-QUERIES["filter_builder"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").where(join.predicate(_ROWS)).select("c_custkey", "c_nationkey")
-SQL["filter_builder"] = "SELECT c_custkey, c_nationkey FROM customer WHERE (((c_nationkey >= 3 AND c_mktsegment LIKE '%U%') OR c_acctbal < 0) AND c_nationkey IN (1, 2, 5)) AND c_name IS NOT NULL"
+add(
+    "me_batch", "lt rt", lambda l, r: join.batch([join.multi_field(l, r, _PAIRS), join.exact(l, r, "ka", "ka")]),
+    f"u AS (SELECT *, 0 AS strategy FROM ({MULTI_SQL}) UNION ALL SELECT *, 1 FROM ({EXACT_SQL})) SELECT lid, rid, confidence, strategy FROM (SELECT *, row_number() OVER (PARTITION BY lid ORDER BY strategy, rid) AS n FROM u) WHERE n = 1"
+)
+_ROWS = [
+    ("AND", "c_nationkey", ">=", 3), ("AND", "c_mktsegment", "LIKE", "U"), ("OR", "c_acctbal", "<", 0),
+    ("AND", "c_nationkey", "IN", [1, 2, 5]), ("AND", "c_name", "IS NOT NULL", None)
+]
+QUERIES["filter_builder"] = lambda spark, sf_dir: spark.read.parquet(
+    f"{sf_dir}/customer.parquet"
+).where(join.predicate(_ROWS)).select("c_custkey", "c_nationkey")
+SQL[
+    "filter_builder"
+] = "SELECT c_custkey, c_nationkey FROM customer WHERE (((c_nationkey >= 3 AND c_mktsegment LIKE '%U%') OR c_acctbal < 0) AND c_nationkey IN (1, 2, 5)) AND c_name IS NOT NULL"
 _KINDS = ["=", "LIKE", "包含", "被包含", "前缀", "后缀"]
 _NAMES = "SELECT n_nationkey, n_name, r_name FROM nation, region"
-QUERIES["pair_predicates"] = lambda spark, sf_dir: frame(spark, sf_dir, _NAMES).select("n_nationkey", "r_name", *(join.pair_predicate(F.col("n_name"), F.substring("r_name", 1, 1), k).alias(f"p{i}") for i, k in enumerate(_KINDS)))
-SQL["pair_predicates"] = f"SELECT n_nationkey, r_name, n_name = f AS p0, contains(n_name, f) AS p1, contains(n_name, f) AS p2, contains(f, n_name) AS p3, starts_with(n_name, f) AS p4, ends_with(n_name, f) AS p5 FROM (SELECT *, substr(r_name, 1, 1) AS f FROM ({_NAMES}))"
-add("remaining_rows", "src tgt", lambda s, t: join.remaining(s, match.exact_by(s, t, "core")).select("rid", "core"), f"SELECT rid, core FROM src WHERE NOT coalesce({strip_sql('core')} IN (SELECT {strip_sql('core')} FROM tgt WHERE core <> ''), false)")
-add("head_n", "src", lambda s: join.head(s, 10).select("rid", "core"), "SELECT rid, core FROM src ORDER BY rid LIMIT 10")
+QUERIES["pair_predicates"] = lambda spark, sf_dir: frame(spark, sf_dir, _NAMES).select(
+    "n_nationkey", "r_name",
+    *(join.pair_predicate(F.col("n_name"), F.substring("r_name", 1, 1), k).alias(f"p{i}") for i, k in enumerate(_KINDS))
+)
+SQL[
+    "pair_predicates"
+] = f"SELECT n_nationkey, r_name, n_name = f AS p0, contains(n_name, f) AS p1, contains(n_name, f) AS p2, contains(f, n_name) AS p3, starts_with(n_name, f) AS p4, ends_with(n_name, f) AS p5 FROM (SELECT *, substr(r_name, 1, 1) AS f FROM ({_NAMES}))"
+add(
+    "remaining_rows", "src tgt", lambda s, t: join.remaining(s, match.exact_by(s, t, "core")).select("rid", "core"),
+    f"SELECT rid, core FROM src WHERE NOT coalesce({strip_sql('core')} IN (SELECT {strip_sql('core')} FROM tgt WHERE core <> ''), false)"
+)
+add(
+    "head_n", "src", lambda s: join.head(s, 10).select("rid", "core"), "SELECT rid, core FROM src ORDER BY rid LIMIT 10"
+)
 add("sample_n", "src", lambda s: join.sample(s, 1000).select("rid", "core"))
-add("paginate", "src", lambda s: join.page(s, 3).select("rid", "poi"), "SELECT rid, poi FROM src ORDER BY rid LIMIT 100 OFFSET 200")
+add(
+    "paginate", "src", lambda s: join.page(s, 3).select("rid", "poi"),
+    "SELECT rid, poi FROM src ORDER BY rid LIMIT 100 OFFSET 200"
+)
 #: Lists of column names, chosen by row.
 _LISTS = ["a|POI|poi|predict_poi", "poi|x", "名称", "POI_结构化|POI", "标准化POI抽取|predict_poi"]
 
 
 def _column_lists(df, lists):
-    return df.select("rid", F.split(F.element_at(F.array(*map(F.lit, lists)), (F.col("rid") % len(lists) + 1).cast("int")), "\\|").alias("names"))
+    return df.select(
+        "rid",
+        F.split(
+            F.element_at(F.array(*map(F.lit, lists)), (F.col("rid") % len(lists) + 1).cast("int")), "\\|"
+        ).alias("names")
+    )
 
 
 def _lists_sql(lists):
     return f"(SELECT rid, string_split(([{', '.join(repr(x) for x in lists)}])[CAST(rid % {len(lists)} + 1 AS INT)], '|') AS names FROM tgt)"
 
 
-add("detect_poi_column", "tgt", lambda df: _column_lists(df, _LISTS).select("rid", T.poi_column(F.col("names")).alias("found")),
+add("detect_poi_column", "tgt", lambda df: _column_lists(df, _LISTS).select(
+    "rid", T.poi_column(F.col("names")).alias("found")
+),
     f"SELECT rid, list_filter(['标准化POI抽取', 'predict_poi', 'POI', 'poi', 'POI_结构化'], lambda x: list_contains(names, x))[1] AS found FROM {_lists_sql(_LISTS)}")
 
 # Region ---------------------------------------------------------------------------------------------------------------
@@ -167,7 +315,9 @@ add("detect_poi_column", "tgt", lambda df: _column_lists(df, _LISTS).select("rid
 def _region_dim(spark, sf_dir):
     """The dimension as a JSON file in the shared folder."""
     folder = f"{shared.home(spark)}/{uuid.uuid4().hex}"
-    frame(spark, sf_dir, "cities").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(f"{folder}/cities.json")
+    frame(spark, sf_dir, "cities").agg(
+        F.to_json(F.collect_list(F.struct("*"))).alias("value")
+    ).coalesce(1).write.text(f"{folder}/cities.json")
     return region.first_by_name(region.read(spark, folder, "cities")).select("key", "d.*")
 
 
@@ -179,32 +329,60 @@ DEDUCE_SQL = f"""r1 AS (SELECT *, (SELECT name FROM cities c WHERE c.code = {_LO
 r2 AS (SELECT *, CASE WHEN coalesce(city, '') <> '' THEN city ELSE coalesce(up, '') END AS city_full FROM r1),
 r3 AS (SELECT *, (SELECT name FROM provinces p WHERE p.code = coalesce({_LOOK.format(what='d.provinceCode', dim='cities', v='r2.city_full')}, (SELECT provinceCode FROM cities c WHERE c.name = r2.up))) AS top FROM r2),
 r4 AS (SELECT *, CASE WHEN province <> '' THEN province ELSE coalesce(top, '') END AS province_full, CASE WHEN province <> '' AND coalesce(city, '') <> '' THEN 'given' WHEN up IS NOT NULL AND coalesce(city, '') = '' THEN 'area' WHEN top IS NOT NULL AND province = '' THEN 'city' ELSE 'none' END AS method FROM r3)"""
-add("region_deduce", "places provinces cities areas", lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full"), DEDUCE_SQL + " SELECT rid, province_full, city_full FROM r4")
-add("complete_address", "places provinces cities areas", lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full", "method", "confidence"), DEDUCE_SQL + " SELECT rid, province_full, city_full, method, CASE method WHEN 'area' THEN 0.9::DOUBLE WHEN 'city' THEN 0.95::DOUBLE WHEN 'given' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r4")
+add(
+    "region_deduce", "places provinces cities areas",
+    lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full"),
+    DEDUCE_SQL + " SELECT rid, province_full, city_full FROM r4"
+)
+add(
+    "complete_address", "places provinces cities areas",
+    lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full", "method", "confidence"),
+    DEDUCE_SQL + " SELECT rid, province_full, city_full, method, CASE method WHEN 'area' THEN 0.9::DOUBLE WHEN 'city' THEN 0.95::DOUBLE WHEN 'given' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r4"
+)
 _SHORT = "regexp_replace({}, '(省|市|区|县|自治区)$', '')"
-add("validate_region", "places provinces cities areas", lambda r, p, c, a: region.valid(r, p, c, a).select("rid", "valid"), f"SELECT rid, EXISTS (SELECT 1 FROM areas a JOIN cities c ON a.cityCode = c.code JOIN provinces p ON c.provinceCode = p.code WHERE {_SHORT.format('a.name')} = {_SHORT.format('places.area')} AND {_SHORT.format('c.name')} = {_SHORT.format('places.city')} AND {_SHORT.format('p.name')} = {_SHORT.format('places.province')}) AS valid FROM places")
-add("areas_in_city", "cities areas", lambda c, a: region.areas_in("杭州市", c, a), "SELECT code, name FROM areas WHERE cityCode = '3301'")
+add(
+    "validate_region", "places provinces cities areas",
+    lambda r, p, c, a: region.valid(r, p, c, a).select("rid", "valid"),
+    f"SELECT rid, EXISTS (SELECT 1 FROM areas a JOIN cities c ON a.cityCode = c.code JOIN provinces p ON c.provinceCode = p.code WHERE {_SHORT.format('a.name')} = {_SHORT.format('places.area')} AND {_SHORT.format('c.name')} = {_SHORT.format('places.city')} AND {_SHORT.format('p.name')} = {_SHORT.format('places.province')}) AS valid FROM places"
+)
+add(
+    "areas_in_city", "cities areas", lambda c, a: region.areas_in("杭州市", c, a),
+    "SELECT code, name FROM areas WHERE cityCode = '3301'"
+)
 add("region_extract", "places areas", lambda r, a: region.extract_area(r, a))
 
 
 def _fill(df):
-    done = region.fill({"province": F.col("province"), "city": F.col("city"), "district": F.col("area")}, {"province": F.lit("浙江省"), "city": F.lit(""), "district": F.lit("西湖区")})
+    done = region.fill(
+        {"province": F.col("province"), "city": F.col("city"), "district": F.col("area")},
+        {"province": F.lit("浙江省"), "city": F.lit(""), "district": F.lit("西湖区")}
+    )
     return df.select("rid", *(c.alias(k) for k, c in done.items()))
 
 
 _LACKS = "(coalesce(province, '') = '' OR coalesce(city, '') = '')"
-add("fill_region", "places", _fill, f"SELECT rid, CASE WHEN {_LACKS} THEN '浙江省' ELSE province END AS province, city, CASE WHEN {_LACKS} THEN '西湖区' ELSE area END AS district FROM places")
+add(
+    "fill_region", "places", _fill,
+    f"SELECT rid, CASE WHEN {_LACKS} THEN '浙江省' ELSE province END AS province, city, CASE WHEN {_LACKS} THEN '西湖区' ELSE area END AS district FROM places"
+)
 
 
 # Profiles and relations -----------------------------------------------------------------------------------------------
-COLUMNS = {"customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "region": ["r_regionkey", "r_name"], "supplier": ["s_suppkey", "s_nationkey"]}
+COLUMNS = {
+    "customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_nationkey"]
+}
 
 
 def _long(spark, sf_dir):
     return profile.values({n: spark.read.parquet(f"{sf_dir}/{n}.parquet").select(*c) for n, c in COLUMNS.items()})
 
 
-LONG_SQL = "lv AS (" + " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in COLUMNS.items() for c in cs) + "), dv AS (SELECT DISTINCT * FROM lv), nv AS (SELECT file, field, count(*) AS n FROM dv GROUP BY ALL)"
+LONG_SQL = "lv AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t,
+    cs in COLUMNS.items() for c in cs
+) + "), dv AS (SELECT DISTINCT * FROM lv), nv AS (SELECT file, field, count(*) AS n FROM dv GROUP BY ALL)"
 EDGE_SQL = LONG_SQL + """, ev AS (SELECT a.file AS file_a, a.field AS field_a, b.file AS file_b, b.field AS field_b, count(*) AS overlap FROM dv a JOIN dv b ON a.value = b.value AND (a.file, a.field) < (b.file, b.field) {same} GROUP BY ALL),
 edges AS (SELECT ev.*, x.n + y.n - overlap AS union_count, round(overlap / (x.n + y.n - overlap), 6) AS jaccard, round(overlap / x.n, 6) AS containment_a, round(overlap / y.n, 6) AS containment_b FROM ev JOIN nv x ON x.file = file_a AND x.field = field_a JOIN nv y ON y.file = file_b AND y.field = field_b)"""
 EDGES = EDGE_SQL.replace("{same}", "AND a.file <> b.file")
@@ -222,23 +400,53 @@ def _degree(v):
     return profile.degree_centrality(profile.profile(v), profile.pairs(v))
 
 
-relation("field_profile", profile.profile, LONG_SQL + " SELECT file, field, count(DISTINCT value) AS unique_count, count(*) AS non_null FROM lv GROUP BY ALL")
-relation("rel_overlap", lambda v: profile.pairs(v).select("file_a", "field_a", "file_b", "field_b", "overlap"), EDGES + " SELECT file_a, field_a, file_b, field_b, overlap FROM edges")
+relation(
+    "field_profile", profile.profile,
+    LONG_SQL + " SELECT file, field, count(DISTINCT value) AS unique_count, count(*) AS non_null FROM lv GROUP BY ALL"
+)
+relation(
+    "rel_overlap", lambda v: profile.pairs(v).select("file_a", "field_a", "file_b", "field_b", "overlap"),
+    EDGES + " SELECT file_a, field_a, file_b, field_b, overlap FROM edges"
+)
 relation("jaccard_pairs", profile.pairs, EDGES + " SELECT * FROM edges")
 relation("relation_graph", lambda v: profile.graph(profile.profile(v), profile.pairs(v)), DEGREE_SQL + """, pr AS (SELECT concat(file, '.', field) AS node, count(DISTINCT value) AS unique_count FROM lv GROUP BY ALL),
   ab AS (SELECT concat(file_a, '.', field_a) AS node, concat(file_b, '.', field_b) AS other, overlap, jaccard FROM edges UNION ALL SELECT concat(file_b, '.', field_b), concat(file_a, '.', field_a), overlap, jaccard FROM edges)
   SELECT node, unique_count, other, overlap, jaccard FROM pr LEFT JOIN ab USING (node)""")
-relation("relation_samples", lambda v: profile.sample_values(v, profile.pairs(v).select("file_a", "field_a", "file_b", "field_b")), EDGES + ", c AS (SELECT file_a, field_a, file_b, field_b, a.value, row_number() OVER (PARTITION BY file_a, field_a, file_b, field_b ORDER BY a.value) AS n FROM edges JOIN dv a ON a.file = file_a AND a.field = field_a JOIN dv b ON b.file = file_b AND b.field = field_b AND a.value = b.value) SELECT file_a, field_a, file_b, field_b, string_agg(value, '|' ORDER BY n) AS samples FROM c WHERE n <= 20 GROUP BY ALL")
+relation(
+    "relation_samples",
+    lambda v: profile.sample_values(v, profile.pairs(v).select("file_a", "field_a", "file_b", "field_b")),
+    EDGES + ", c AS (SELECT file_a, field_a, file_b, field_b, a.value, row_number() OVER (PARTITION BY file_a, field_a, file_b, field_b ORDER BY a.value) AS n FROM edges JOIN dv a ON a.file = file_a AND a.field = field_a JOIN dv b ON b.file = file_b AND b.field = field_b AND a.value = b.value) SELECT file_a, field_a, file_b, field_b, string_agg(value, '|' ORDER BY n) AS samples FROM c WHERE n <= 20 GROUP BY ALL"
+)
 relation("degree_centrality", _degree, DEGREE_SQL + " SELECT * FROM deg")
 _RANK = "file_a, field_a, file_b, field_b"
-relation("relations_ranked", lambda v: profile.ranked(profile.pairs(v), 10), EDGES + f" SELECT * FROM edges ORDER BY overlap DESC, jaccard DESC, {_RANK} LIMIT 10")
-relation("relation_filters", lambda v: profile.pairs(v).where("file_a = 'customer' or file_b = 'customer'"), EDGES + " SELECT * FROM edges WHERE file_a = 'customer' OR file_b = 'customer'")
-relation("insight_high_relation", lambda v: profile.insight_high(profile.pairs(v)), EDGES + f" SELECT * FROM edges WHERE field_a <> field_b AND jaccard > 0.6 ORDER BY jaccard DESC, {_RANK} LIMIT 5")
+relation(
+    "relations_ranked", lambda v: profile.ranked(profile.pairs(v), 10),
+    EDGES + f" SELECT * FROM edges ORDER BY overlap DESC, jaccard DESC, {_RANK} LIMIT 10"
+)
+relation(
+    "relation_filters", lambda v: profile.pairs(v).where("file_a = 'customer' or file_b = 'customer'"),
+    EDGES + " SELECT * FROM edges WHERE file_a = 'customer' OR file_b = 'customer'"
+)
+relation(
+    "insight_high_relation", lambda v: profile.insight_high(profile.pairs(v)),
+    EDGES + f" SELECT * FROM edges WHERE field_a <> field_b AND jaccard > 0.6 ORDER BY jaccard DESC, {_RANK} LIMIT 5"
+)
 _A_IN = "containment_a > 0.9"
-relation("insight_foreign_key", lambda v: profile.insight_foreign_key(profile.pairs(v)), EDGES + f" SELECT CASE WHEN {_A_IN} THEN concat(file_a, '.', field_a) ELSE concat(file_b, '.', field_b) END AS child, CASE WHEN {_A_IN} THEN concat(file_b, '.', field_b) ELSE concat(file_a, '.', field_a) END AS parent, CASE WHEN {_A_IN} THEN containment_a ELSE containment_b END AS containment, overlap FROM edges WHERE overlap >= 10 AND field_a <> field_b AND ({_A_IN} OR containment_b > 0.9) ORDER BY containment DESC, overlap DESC, child, parent LIMIT 5")
-relation("insight_central", lambda v: profile.insight_central(_degree(v)), DEGREE_SQL + " SELECT * FROM deg WHERE degree >= 2 ORDER BY centrality DESC, node LIMIT 5")
-relation("insight_stats", lambda v: profile.insight_counts(_degree(v)), DEGREE_SQL + " SELECT count(*) FILTER (degree > 0) AS connected, count(*) FILTER (degree = 0) AS isolated FROM deg")
-COMPONENT_SQL = DEGREE_SQL.replace("lv AS", "RECURSIVE lv AS", 1) + ", cc(node, seen) AS (SELECT node, node FROM deg UNION SELECT cc.node, en.other FROM cc JOIN en ON en.node = cc.seen), com AS (SELECT node, min(seen) AS community FROM cc GROUP BY 1)"
+relation(
+    "insight_foreign_key", lambda v: profile.insight_foreign_key(profile.pairs(v)),
+    EDGES + f" SELECT CASE WHEN {_A_IN} THEN concat(file_a, '.', field_a) ELSE concat(file_b, '.', field_b) END AS child, CASE WHEN {_A_IN} THEN concat(file_b, '.', field_b) ELSE concat(file_a, '.', field_a) END AS parent, CASE WHEN {_A_IN} THEN containment_a ELSE containment_b END AS containment, overlap FROM edges WHERE overlap >= 10 AND field_a <> field_b AND ({_A_IN} OR containment_b > 0.9) ORDER BY containment DESC, overlap DESC, child, parent LIMIT 5"
+)
+relation(
+    "insight_central", lambda v: profile.insight_central(_degree(v)),
+    DEGREE_SQL + " SELECT * FROM deg WHERE degree >= 2 ORDER BY centrality DESC, node LIMIT 5"
+)
+relation(
+    "insight_stats", lambda v: profile.insight_counts(_degree(v)),
+    DEGREE_SQL + " SELECT count(*) FILTER (degree > 0) AS connected, count(*) FILTER (degree = 0) AS isolated FROM deg"
+)
+COMPONENT_SQL = DEGREE_SQL.replace(
+    "lv AS", "RECURSIVE lv AS", 1
+) + ", cc(node, seen) AS (SELECT node, node FROM deg UNION SELECT cc.node, en.other FROM cc JOIN en ON en.node = cc.seen), com AS (SELECT node, min(seen) AS community FROM cc GROUP BY 1)"
 
 
 def _communities(v):
@@ -246,8 +454,14 @@ def _communities(v):
 
 
 relation("communities", _communities, COMPONENT_SQL + " SELECT * FROM com")
-relation("insights", lambda v: profile.insight_communities(_communities(v)), COMPONENT_SQL + " SELECT community, count(*) AS n_fields, count(DISTINCT split_part(node, '.', 1)) AS n_files FROM com GROUP BY 1 HAVING n_files >= 2 ORDER BY n_fields DESC, community LIMIT 5")
-relation("relation_usage", lambda v: profile.usage(profile.pairs(v)), EDGES + " SELECT file_a, field_a, file_b, field_b, CASE WHEN regexp_matches(lower(field_a), '省|市|县|区|province|city|district') THEN 'constraint' WHEN regexp_matches(lower(field_a), 'id|gid|编号|code') THEN 'filter' ELSE 'match' END AS use_for FROM edges")
+relation(
+    "insights", lambda v: profile.insight_communities(_communities(v)),
+    COMPONENT_SQL + " SELECT community, count(*) AS n_fields, count(DISTINCT split_part(node, '.', 1)) AS n_files FROM com GROUP BY 1 HAVING n_files >= 2 ORDER BY n_fields DESC, community LIMIT 5"
+)
+relation(
+    "relation_usage", lambda v: profile.usage(profile.pairs(v)),
+    EDGES + " SELECT file_a, field_a, file_b, field_b, CASE WHEN regexp_matches(lower(field_a), '省|市|县|区|province|city|district') THEN 'constraint' WHEN regexp_matches(lower(field_a), 'id|gid|编号|code') THEN 'filter' ELSE 'match' END AS use_for FROM edges"
+)
 _NUMBER = r"'^-?[0-9]+(\.[0-9]+)?$'"
 #: Tables with fields of the same names and values.
 NAMED = {
@@ -256,12 +470,18 @@ NAMED = {
     "parts_of_world": "SELECT r_regionkey AS region_id, r_name AS region FROM region",
     "sales": "SELECT o_orderpriority AS priority, o_custkey AS id, o_orderstatus AS status FROM orders",
 }
-NAMED_FIELDS = {"clients": ["segment", "nation", "home", "id", "_name"], "lands": ["nation", "region_id"], "parts_of_world": ["region_id", "region"], "sales": ["priority", "id", "status"]}
+NAMED_FIELDS = {
+    "clients": ["segment", "nation", "home", "id", "_name"], "lands": ["nation", "region_id"],
+    "parts_of_world": ["region_id", "region"], "sales": ["priority", "id", "status"]
+}
 NAMED_SQL = ", ".join(f"{n} AS ({q})" for n, q in NAMED.items()) + ",\n"
 
 
 def _long_sql(fields, most=None):
-    parts = " UNION ALL ".join(f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t, cs in fields.items() for c in cs)
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS file, '{c}' AS field, CAST({c} AS VARCHAR) AS value FROM {t} WHERE {c} IS NOT NULL" for t,
+        cs in fields.items() for c in cs
+    )
     first = f" WHERE NOT starts_with(field, '_') QUALIFY row_number() OVER (PARTITION BY file, field ORDER BY value) <= {most}" if most else ""
     return f"lv AS ({parts}), d0 AS (SELECT DISTINCT * FROM lv), dv AS (SELECT * FROM d0{first}), nv AS (SELECT file, field, count(*) AS n FROM dv GROUP BY ALL)"
 
@@ -275,16 +495,31 @@ def named(name, make, sql):
     SQL[name] = "WITH " + sql
 
 
-named("insight_same_name", lambda v: profile.insight_same_name(profile.pairs(v)), _named_edges("AND a.file <> b.file") + f" SELECT * FROM edges WHERE field_a = field_b AND jaccard > 0.8 ORDER BY jaccard DESC, {_RANK} LIMIT 3")
-named("relation_sampled", profile.sampled_relations, _named_edges(f"AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = a.file AND z.field = a.field) AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = b.file AND z.field = b.field)", 500)
+named(
+    "insight_same_name", lambda v: profile.insight_same_name(profile.pairs(v)),
+    _named_edges(
+        "AND a.file <> b.file"
+    ) + f" SELECT * FROM edges WHERE field_a = field_b AND jaccard > 0.8 ORDER BY jaccard DESC, {_RANK} LIMIT 3"
+)
+named("relation_sampled", profile.sampled_relations, _named_edges(
+    f"AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = a.file AND z.field = a.field) AND (SELECT NOT bool_and(regexp_matches(value, {_NUMBER})) FROM dv z WHERE z.file = b.file AND z.field = b.field)",
+    500
+)
     + " SELECT file_a, field_a, file_b, field_b, overlap, round(jaccard, 3) AS jaccard FROM edges WHERE overlap >= 3 AND jaccard >= 0.1")
-_FIELD_NAMES = ["省份", "city_name", "District", "街道", "addr", "detail address", "楼号", "小区", "uid", "width", "姓名", "telephone", "e-mail", "remark"]
+_FIELD_NAMES = [
+    "省份", "city_name", "District", "街道", "addr", "detail address", "楼号", "小区", "uid", "width", "姓名", "telephone",
+    "e-mail", "remark"
+]
 
 
 def _types_sql(source: str) -> str:
     n = "lower(replace(name, ' ', ''))"
-    hits = [(k, "address", p, 0.8) for k, p in R.ADDRESS_FIELDS.items()] + [(k, k, p, 0.7) for k, p in R.ID_FIELDS.items()]
-    case = lambda pick, rest: "CASE " + " ".join(f"WHEN regexp_matches({n}, '{R.any_of(h[2])}') THEN {pick(h)}" for h in hits) + f" ELSE {rest} END"
+    hits = [
+        (k, "address", p, 0.8) for k, p in R.ADDRESS_FIELDS.items()
+    ] + [(k, k, p, 0.7) for k, p in R.ID_FIELDS.items()]
+    case = lambda pick, rest: "CASE " + " ".join(
+        f"WHEN regexp_matches({n}, '{R.any_of(h[2])}') THEN {pick(h)}" for h in hits
+    ) + f" ELSE {rest} END"
     return f"SELECT *, {case(lambda h: repr(h[1]), repr('text'))} AS inferred_type, {case(lambda h: repr(h[0]), repr(''))} AS category, CAST({case(lambda h: h[3], 0.5)} AS DOUBLE) AS confidence FROM {source}"
 
 
@@ -294,12 +529,19 @@ SQL["detect_field_type"] = _types_sql(_NAMES_SQL)
 
 
 def _refined(spark, sf_dir):
-    df = frame(spark, sf_dir, "SELECT o_orderkey AS rid, CAST(o_orderdate AS VARCHAR(30)) AS shipped, CAST(o_totalprice AS VARCHAR(30)) AS amount, o_orderstatus AS remark FROM orders")
-    return profile.refine_types(profile.field_types(profile.names_frame(spark, ["shipped", "amount", "remark"])), df, "rid")
+    df = frame(
+        spark, sf_dir,
+        "SELECT o_orderkey AS rid, CAST(o_orderdate AS VARCHAR(30)) AS shipped, CAST(o_totalprice AS VARCHAR(30)) AS amount, o_orderstatus AS remark FROM orders"
+    )
+    return profile.refine_types(
+        profile.field_types(profile.names_frame(spark, ["shipped", "amount", "remark"])), df, "rid"
+    )
 
 
 QUERIES["refine_by_samples"] = _refined
-SQL["refine_by_samples"] = "SELECT * FROM (VALUES ('shipped', 'date', '', 0.8::DOUBLE), ('amount', 'numeric', '', 0.6::DOUBLE), ('remark', 'text', '', 0.5::DOUBLE)) t(name, inferred_type, category, confidence)"
+SQL[
+    "refine_by_samples"
+] = "SELECT * FROM (VALUES ('shipped', 'date', '', 0.8::DOUBLE), ('amount', 'numeric', '', 0.6::DOUBLE), ('remark', 'text', '', 0.5::DOUBLE)) t(name, inferred_type, category, confidence)"
 
 
 def _related(spark, sf_dir):
@@ -326,7 +568,10 @@ res AS (SELECT *, round(CASE WHEN abs(sx) < 180 AND abs(sy) < 90 AND abs(x) < 18
 
 
 def checked(name, make, sql):
-    add(name, "rows_ db_ shp_", lambda r, d, s: make(validate.resolve(r, d, s, _V)), RESOLVE_SQL + " " + sql if sql else None)
+    add(
+        name, "rows_ db_ shp_", lambda r, d, s: make(validate.resolve(r, d, s, _V)),
+        RESOLVE_SQL + " " + sql if sql else None
+    )
 
 
 _VALUE = "concat_ws('; ', " + ", ".join(f"CASE WHEN NOT {blank_sql(f)} THEN {strip_sql(f)} END" for f in _V) + ")"
@@ -340,12 +585,27 @@ def problem_sql(kind: str, status: str, where: str) -> str:
 MISSING_SQL = problem_sql("missing", "'数据库中未找到'", "d IS NULL")
 DEVIATION_SQL = problem_sql("deviation", "printf('%.2f米', distance)", "distance > 10")
 DUPLICATE_SQL = problem_sql("duplicate", "printf('重复%d条', db_n)", "db_n > 1")
-checked("val_db_lookup", lambda r: r.select("rid", "db_by", F.col("db.code").alias("code"), F.col("db.name").alias("name")), "SELECT rid, db_by, code, name FROM res")
-checked("val_shp_lookup", lambda r: r.select("rid", F.col("shape.x").alias("x"), F.col("shape.y").alias("y")), "SELECT rid, sx AS x, sy AS y FROM res")
+checked(
+    "val_db_lookup", lambda r: r.select("rid", "db_by", F.col("db.code").alias("code"), F.col("db.name").alias("name")),
+    "SELECT rid, db_by, code, name FROM res"
+)
+checked(
+    "val_shp_lookup", lambda r: r.select("rid", F.col("shape.x").alias("x"), F.col("shape.y").alias("y")),
+    "SELECT rid, sx AS x, sy AS y FROM res"
+)
 checked("distance", lambda r: r.select("rid", "distance"), "SELECT rid, distance FROM res")
-checked("completeness_match", validate.completeness, "SELECT count(*) AS total, count(d) AS found, count(*) - count(d) AS missing, round(count(d) / count(*) * 100, 6) AS rate FROM res")
-checked("deviation_stats", validate.deviation, "SELECT count(*) AS attempted, count(distance) AS checked, count(*) FILTER (distance <= 10) AS within, count(*) FILTER (distance > 10) AS exceed, count(*) FILTER (sx IS NULL) AS no_shp, count(*) FILTER (sx IS NOT NULL AND d IS NULL) AS no_db, round(count(*) FILTER (distance <= 10) / count(distance) * 100, 6) AS within_rate FROM res")
-checked("duplicate_stats", validate.duplicates, f"SELECT count(DISTINCT CASE WHEN db_n > 1 THEN CASE WHEN db_by = 'gid' THEN concat('code:', {_NORM.format('code')}) ELSE concat('name:', {_NORM.format('name')}) END END) AS duplicate_keys, count(*) FILTER (db_n > 1) AS duplicate_rows, CAST(coalesce(sum(db_n) FILTER (db_n > 1), 0) AS BIGINT) AS duplicate_records FROM res")
+checked(
+    "completeness_match", validate.completeness,
+    "SELECT count(*) AS total, count(d) AS found, count(*) - count(d) AS missing, round(count(d) / count(*) * 100, 6) AS rate FROM res"
+)
+checked(
+    "deviation_stats", validate.deviation,
+    "SELECT count(*) AS attempted, count(distance) AS checked, count(*) FILTER (distance <= 10) AS within, count(*) FILTER (distance > 10) AS exceed, count(*) FILTER (sx IS NULL) AS no_shp, count(*) FILTER (sx IS NOT NULL AND d IS NULL) AS no_db, round(count(*) FILTER (distance <= 10) / count(distance) * 100, 6) AS within_rate FROM res"
+)
+checked(
+    "duplicate_stats", validate.duplicates,
+    f"SELECT count(DISTINCT CASE WHEN db_n > 1 THEN CASE WHEN db_by = 'gid' THEN concat('code:', {_NORM.format('code')}) ELSE concat('name:', {_NORM.format('name')}) END END) AS duplicate_keys, count(*) FILTER (db_n > 1) AS duplicate_rows, CAST(coalesce(sum(db_n) FILTER (db_n > 1), 0) AS BIGINT) AS duplicate_records FROM res"
+)
 checked("val_missing", lambda r: validate.missing(r, _V), MISSING_SQL)
 checked("val_deviation", lambda r: validate.deviations(r, _V), DEVIATION_SQL)
 checked("val_duplicates", lambda r: validate.duplicate_rows(r, _V), DUPLICATE_SQL)
@@ -379,19 +639,31 @@ _LINES = [
     "'【位置偏差统计】'", "'检查总数: ' || (SELECT count(distance) FROM res)", "'在阈值内: ' || (SELECT count(*) FILTER (distance <= 10) FROM res)", "'超过阈值: ' || (SELECT count(*) FILTER (distance > 10) FROM res)", "''",
     "'【重复数据统计】'", "'重复匹配值数: ' || (SELECT duplicate_keys FROM ds)", "'重复记录数: ' || (SELECT duplicate_records FROM ds)", "''",
 ]
-add("text_report", "addr rows_ db_ shp_", lambda a, r, d, s: validate.text_report(a.agg(F.count("*").alias("n")), validate.resolve(r, d, s, _V), _V),
+add("text_report", "addr rows_ db_ shp_", lambda a, r, d, s: validate.text_report(
+    a.agg(F.count("*").alias("n")), validate.resolve(r, d, s, _V), _V
+),
     RESOLVE_SQL + f""", pb AS ({PROBLEMS_SQL}), ds AS ({SQL['duplicate_stats'][SQL['duplicate_stats'].rindex('SELECT count(DISTINCT'):]}), nb AS (SELECT *, row_number() OVER (ORDER BY rid, kind) AS n FROM pb)
 """ + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS line, {x} AS text" for i, x in enumerate(_LINES)) + f"""
 UNION ALL SELECT {len(_LINES)}, '【问题数据详情】' WHERE (SELECT count(*) FROM pb) > 0
 UNION ALL SELECT {len(_LINES)} + n, n || '. ' || status || ' - GID: ' || gid FROM nb WHERE n <= 100
 UNION ALL SELECT {len(_LINES) + 101}, '... 还有 ' || (count(*) - 100) || ' 条问题数据未显示' FROM pb HAVING count(*) > 100""")
-add("completeness_original", "rows_ db_", lambda r, d: validate.completeness_original(r, d, _V), f"nm AS (SELECT DISTINCT {_NORM.format('name')} AS k FROM db_), hit AS (SELECT {_NORM.format('v1')} IN (SELECT k FROM nm WHERE k <> '') OR {_NORM.format('v2')} IN (SELECT k FROM nm WHERE k <> '') AS h FROM rows_) SELECT count(*) AS total, count(*) FILTER (h) AS found, count(*) - count(*) FILTER (h) AS missing, round(count(*) FILTER (h) / count(*) * 100, 6) AS rate FROM hit")
-add("export_duplicates", "db_", validate.duplicate_records, f"SELECT DISTINCT code, name, x, y FROM db_ WHERE {_NORM.format('code')} IN (SELECT {_NORM.format('code')} FROM db_ GROUP BY 1 HAVING count(*) > 1) OR {_NORM.format('name')} IN (SELECT {_NORM.format('name')} FROM db_ GROUP BY 1 HAVING count(*) > 1)")
+add(
+    "completeness_original", "rows_ db_", lambda r, d: validate.completeness_original(r, d, _V),
+    f"nm AS (SELECT DISTINCT {_NORM.format('name')} AS k FROM db_), hit AS (SELECT {_NORM.format('v1')} IN (SELECT k FROM nm WHERE k <> '') OR {_NORM.format('v2')} IN (SELECT k FROM nm WHERE k <> '') AS h FROM rows_) SELECT count(*) AS total, count(*) FILTER (h) AS found, count(*) - count(*) FILTER (h) AS missing, round(count(*) FILTER (h) / count(*) * 100, 6) AS rate FROM hit"
+)
+add(
+    "export_duplicates", "db_", validate.duplicate_records,
+    f"SELECT DISTINCT code, name, x, y FROM db_ WHERE {_NORM.format('code')} IN (SELECT {_NORM.format('code')} FROM db_ GROUP BY 1 HAVING count(*) > 1) OR {_NORM.format('name')} IN (SELECT {_NORM.format('name')} FROM db_ GROUP BY 1 HAVING count(*) > 1)"
+)
 _GIDS = ["[源:a]gid|[目标:b]code|[目标:b]GID", "[目标:b]x|[目标:b]code", "x|gid", "[目标:b]gid_code|[目标:c]my_gid"]
-add("pick_target_gid", "tgt", lambda df: _column_lists(df, _GIDS).select("rid", validate.target_gid(F.col("names")).alias("found")),
+add("pick_target_gid", "tgt", lambda df: _column_lists(df, _GIDS).select(
+    "rid", validate.target_gid(F.col("names")).alias("found")
+),
     f"""SELECT rid, coalesce(list_filter(names, lambda x: contains(x, '[目标:') AND contains(lower(x), 'gid') AND NOT contains(lower(x), 'code'))[1], list_filter(names, lambda x: contains(x, '[目标:') AND contains(lower(x), 'code'))[1]) AS found FROM {_lists_sql(_GIDS)}""")
 _MAPS = ["x|【匹配源:t】v", "[目标:t]v1|[源:t]v", "a|has v in it", "none", "【匹配源:t】v|[源:t]v"]
-add("map_fields", "tgt", lambda df: _column_lists(df, _MAPS).select("rid", validate.map_field("v", "t", F.col("names")).alias("found")),
+add("map_fields", "tgt", lambda df: _column_lists(df, _MAPS).select(
+    "rid", validate.map_field("v", "t", F.col("names")).alias("found")
+),
     f"""SELECT rid, coalesce(list_filter(['[源:t]v', '【匹配源:t】v'], lambda x: list_contains(names, x))[1], list_filter(names, lambda x: contains(x, 'v'))[1]) AS found FROM {_lists_sql(_MAPS)}""")
 
 
@@ -400,7 +672,10 @@ def _mercator(df):
     east, north = geo.to_mercator(x, y)
     back = geo.from_mercator(F.col("east"), F.col("north"))
     rows = df.select("rid", east.alias("east"), north.alias("north"))
-    return rows.select("rid", (F.round("east", 3) + 0.0).alias("east"), (F.round("north", 3) + 0.0).alias("north"), (F.round(back[0], 6) + 0.0).alias("x"), (F.round(back[1], 6) + 0.0).alias("y"))
+    return rows.select(
+        "rid", (F.round("east", 3) + 0.0).alias("east"), (F.round("north", 3) + 0.0).alias("north"),
+        (F.round(back[0], 6) + 0.0).alias("x"), (F.round(back[1], 6) + 0.0).alias("y")
+    )
 
 
 add("mercator", "src", _mercator, f"""SELECT rid, round(radians(x) * {geo.MERCATOR}, 3) + 0.0 AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * {geo.MERCATOR}, 3) + 0.0 AS north, round(x, 6) AS x, round(y, 6) AS y
@@ -408,7 +683,9 @@ add("mercator", "src", _mercator, f"""SELECT rid, round(radians(x) * {geo.MERCAT
 
 
 _LAYERS = ["x|ID|gid", "name|Id", "code|name", "GID|id"]
-add("gid_field", "tgt", lambda df: _column_lists(df, _LAYERS).select("rid", validate.gid_field(F.col("names")).alias("found")),
+add("gid_field", "tgt", lambda df: _column_lists(df, _LAYERS).select(
+    "rid", validate.gid_field(F.col("names")).alias("found")
+),
     f"SELECT rid, coalesce(list_filter(names, lambda x: lower(x) = 'gid')[1], list_filter(names, lambda x: lower(x) = 'id')[1], names[1]) AS found FROM {_lists_sql(_LAYERS)}")
 
 

@@ -25,14 +25,20 @@ NATIONS_SQL = "SELECT CAST(n_name AS VARCHAR) AS n_name, CAST(n_nationkey AS VAR
 # Frames of sinks --------------------------------------------------------------------------------------------------------
 add("export_frame", "addr", lambda df: sinks.chosen(df, ["rid", "absent", "city"]), "SELECT rid, city FROM addr")
 POLICY_SQL = "CASE WHEN count(*) * 400 > 100000 THEN 'csv' WHEN count(*) * 400 > 50000 THEN 'plain_excel' ELSE 'excel' END"
-add("export_size_policy", "src", lambda df: df.groupBy((F.col("rid") % 5).alias("part")).agg((F.count("*") * 400).alias("n")).select("part", "n", sinks.format_policy(F.col("n")).alias("format")),
+add("export_size_policy", "src", lambda df: df.groupBy(
+    (F.col("rid") % 5).alias("part")
+).agg((F.count("*") * 400).alias("n")).select(
+    "part", "n", sinks.format_policy(F.col("n")).alias("format")
+),
     f"SELECT rid % 5 AS part, count(*) * 400 AS n, {POLICY_SQL} AS format FROM src GROUP BY 1")
 
 
 def _written(spark, sf_dir):
     path = _place(spark)
     sinks.write_csv(frame(spark, sf_dir, "addr").select("rid", "province", "poi"), path)
-    first = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(F.hex(F.substring("content", 1, 3)).alias("c")).distinct().collect()
+    first = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select(
+        F.hex(F.substring("content", 1, 3)).alias("c")
+    ).distinct().collect()
     if [r.c for r in first] != ["EFBBBF"]:
         raise ValueError("a file lacks its byte order mark")
     return readers.read_csv(spark, path, "utf-8").na.fill("")
@@ -49,7 +55,9 @@ def _categories(spark, sf_dir):
     for name in _NAMES:
         shared.write_bytes(spark, f"{folder}/{name}", "a\n1\n".encode())
     found = sinks.export_categories(spark, [folder, f"{folder}/none"], ["清洗结果", "匹配结果", "未匹配数据", "关联分析结果"], out)
-    there = spark.read.format("binaryFile").load(out).select(F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("name"), "length")
+    there = spark.read.format("binaryFile").load(out).select(
+        F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("name"), "length"
+    )
     return found.join(there, "name").select("name", "category", "length")
 
 
@@ -69,9 +77,17 @@ def _csv(spark, sf_dir):
 def _geojson(spark, sf_dir):
     path = _place(spark)
     nations = _nations(spark, sf_dir)
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(0.5)).alias("coordinates"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct("n_name", "n_regionkey").alias("properties"), point.alias("geometry"))
-    nations.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")).coalesce(1).write.text(path)
+    point = F.struct(
+        F.lit("Point").alias("type"), F.array(F.col("n_nationkey").cast("double"), F.lit(0.5)).alias("coordinates")
+    )
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct("n_name", "n_regionkey").alias("properties"), point.alias("geometry")
+    )
+    nations.agg(
+        F.to_json(
+            F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))
+        ).alias("value")
+    ).coalesce(1).write.text(path)
     return readers.read_geojson(spark, path)
 
 
@@ -82,7 +98,9 @@ def _book(spark, sf_dir):
 
 
 def _shapes(spark, sf_dir):
-    points, base = _nations(spark, sf_dir).withColumn("x", F.col("n_nationkey") + 0.5).withColumn("y", F.col("n_regionkey") - 2.25), _place(spark)
+    points, base = _nations(spark, sf_dir).withColumn("x", F.col("n_nationkey") + 0.5).withColumn(
+        "y", F.col("n_regionkey") - 2.25
+    ), _place(spark)
     for suffix, data in sinks.point_files(points.withColumnRenamed("n_name", "标准化地址"), "x", "y").items():
         shared.write_bytes(spark, base + suffix, data)
     return readers.auto(spark, base + ".shp")
@@ -99,7 +117,9 @@ def _national(spark, sf_dir, encoding, lines):
 
 def _auto(spark, sf_dir):
     """Names hold line ends, and one row is the header once more."""
-    folder = _national(spark, sf_dir, "gbk", lambda r: f'"{r.n_name}\n省",{r.n_nationkey}\n' + ("名称,编号\n" if r.n_nationkey == 2 else ""))
+    folder = _national(
+        spark, sf_dir, "gbk", lambda r: f'"{r.n_name}\n省",{r.n_nationkey}\n' + ("名称,编号\n" if r.n_nationkey == 2 else "")
+    )
     if readers.encoding_of(spark, folder) != "gbk":
         raise ValueError("the encoding was not found")
     return readers.read_csv(spark, folder).select(F.regexp_replace("名称", "\n", "").alias("名称"), "编号")
@@ -107,7 +127,10 @@ def _auto(spark, sf_dir):
 
 def _multi(spark, sf_dir):
     """A letter that GBK does not have."""
-    return readers.read_any(spark, _national(spark, sf_dir, "gb18030", lambda r: f"{r.n_name}㐀{chr(0x20000 + r.n_nationkey)},{r.n_nationkey}\n"))
+    return readers.read_any(
+        spark,
+        _national(spark, sf_dir, "gb18030", lambda r: f"{r.n_name}㐀{chr(0x20000 + r.n_nationkey)},{r.n_nationkey}\n")
+    )
 
 
 def _converted(spark, sf_dir):
@@ -122,13 +145,20 @@ def _resolved(spark, sf_dir):
     folder = _place(spark)
     for place in ("a/one.csv", "b/one.csv", "b/two.csv", "c/three.csv"):
         shared.write_bytes(spark, f"{folder}/{place}", b"a\n")
-    found = [(n, readers.resolve(spark, n, [f"{folder}/{d}" for d in ("none", "a", "b", "c")]).removeprefix(folder)) for n in ("one.csv", "two.csv", "three.csv")]
+    found = [
+        (n, readers.resolve(spark, n, [f"{folder}/{d}" for d in ("none", "a", "b", "c")]).removeprefix(folder))
+        for n in ("one.csv", "two.csv", "three.csv")
+    ]
     return spark.createDataFrame(found, "name string, path string")
 
 
 QUERIES |= {
-    "scan_csv": _csv, "scan_geojson": _geojson, "scan_excel": lambda spark, sf_dir: readers.auto(spark, _book(spark, sf_dir)), "scan_shp": _shapes, "scan_auto": _auto, "scan_pandas_multi": _multi,
-    "convert_to_csv": _converted, "resolve_path": _resolved, "file_columns": lambda spark, sf_dir: profile.names_frame(spark, _csv(spark, sf_dir).columns),
+    "scan_csv": _csv, "scan_geojson": _geojson, "scan_excel": lambda spark, sf_dir: readers.auto(
+        spark, _book(spark, sf_dir)
+    ), "scan_shp": _shapes, "scan_auto": _auto, "scan_pandas_multi": _multi,
+    "convert_to_csv": _converted, "resolve_path": _resolved, "file_columns": lambda spark, sf_dir: profile.names_frame(
+        spark, _csv(spark, sf_dir).columns
+    ),
 }
 SQL |= {
     "scan_csv": NATIONS_SQL, "scan_excel": NATIONS_SQL, "convert_to_csv": NATIONS_SQL, "file_columns": "SELECT unnest(['n_name', 'n_nationkey', 'n_regionkey']) AS name",

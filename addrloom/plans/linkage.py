@@ -47,17 +47,38 @@ def _poi_of(t, name):
     return f"SELECT DISTINCT {strip_sql('poi')} AS {name} FROM {t} WHERE {strip_sql('poi')} <> ''"
 
 
-add("fuzz_ratio", "src tgt", lambda s, t: _scores(similarity.candidates(_stripped(s, "a"), _stripped(t, "b"), 90.0)), pairs_sql("src", "tgt") + " SELECT a, b, round(score, 6) AS score FROM ratios_tgt WHERE score >= 90")
-add("partial_ratio", "src tgt", lambda s, t: _scores(similarity.partial_candidates(_stripped(s, "a"), _stripped(t, "b"), 75.0)), partial_sql(_poi_of("src", "a"), _poi_of("tgt", "b")) + " SELECT pa AS a, pb AS b, round(score, 6) AS score FROM pr WHERE score >= 75")
-add("difflib_score", "tgt tgt2", lambda s, t: _scores(similarity.difflib_candidates(_stripped(s, "a"), _stripped(t, "b"), 0.7)))
-add("me_fuzzy", "src tgt", lambda s, t: join.fuzzy(s.withColumnRenamed("rid", "lid"), t, "poi", "poi").select("lid", "rid", F.round("confidence", 6).alias("confidence")))
+add(
+    "fuzz_ratio", "src tgt", lambda s, t: _scores(similarity.candidates(_stripped(s, "a"), _stripped(t, "b"), 90.0)),
+    pairs_sql("src", "tgt") + " SELECT a, b, round(score, 6) AS score FROM ratios_tgt WHERE score >= 90"
+)
+add(
+    "partial_ratio", "src tgt",
+    lambda s, t: _scores(similarity.partial_candidates(_stripped(s, "a"), _stripped(t, "b"), 75.0)),
+    partial_sql(
+        _poi_of("src", "a"), _poi_of("tgt", "b")
+    ) + " SELECT pa AS a, pb AS b, round(score, 6) AS score FROM pr WHERE score >= 75"
+)
+add(
+    "difflib_score", "tgt tgt2",
+    lambda s, t: _scores(similarity.difflib_candidates(_stripped(s, "a"), _stripped(t, "b"), 0.7))
+)
+add(
+    "me_fuzzy", "src tgt",
+    lambda s, t: join.fuzzy(s.withColumnRenamed("rid", "lid"), t, "poi", "poi").select(
+        "lid", "rid", F.round("confidence", 6).alias("confidence")
+    )
+)
 
 
 def _vectors(spark, sf_dir, rest):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % 2 == rest).select(F.col("vec_id").alias("rid"), F.col("embedding").alias("v"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") % 2 == rest).select(
+        F.col("vec_id").alias("rid"), F.col("embedding").alias("v")
+    )
 
 
-QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(_vectors(spark, sf_dir, 0), _vectors(spark, sf_dir, 1))
+QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(
+    _vectors(spark, sf_dir, 0), _vectors(spark, sf_dir, 1)
+)
 SQL["semantic_sim"] = """WITH p AS (SELECT l.vec_id AS rid, r.vec_id AS target_rid, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings l, embeddings r WHERE l.vec_id % 2 = 0 AND r.vec_id % 2 = 1)
 SELECT rid, target_rid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) AS n FROM p) WHERE n = 1"""
 
@@ -70,8 +91,12 @@ def _letter_counts(texts):
     return texts.select("text", F.array(F.lit(1.0), *(count(x).cast("double") for x in _LETTERS)).alias("v"))
 
 
-_COUNTS = "[1.0::DOUBLE" + "".join(f", CAST(length(t) - length(replace(t, '{x}', '')) AS DOUBLE)" for x in _LETTERS) + "]"
-add("semantic_encoded", "src tgt", lambda s, t: match.semantic_best(*(match.embedded(x, "poi", _letter_counts).where("v is not null").select("rid", "v") for x in (s, t))),
+_COUNTS = "[1.0::DOUBLE" + "".join(
+    f", CAST(length(t) - length(replace(t, '{x}', '')) AS DOUBLE)" for x in _LETTERS
+) + "]"
+add("semantic_encoded", "src tgt", lambda s, t: match.semantic_best(
+    *(match.embedded(x, "poi", _letter_counts).where("v is not null").select("rid", "v") for x in (s, t))
+),
     f"""l AS (SELECT rid, {_COUNTS} AS v FROM (SELECT rid, {strip_sql('poi')} AS t FROM src) WHERE t <> ''), r AS (SELECT rid AS target_rid, {_COUNTS} AS w FROM (SELECT rid, {strip_sql('poi')} AS t FROM tgt) WHERE t <> ''),
 p AS (SELECT rid, target_rid, round(list_cosine_similarity(v, w), 6) AS similarity FROM l, r)
 SELECT rid, target_rid, similarity FROM p QUALIFY row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) = 1""")
@@ -86,13 +111,17 @@ _OVERLAP, _LIKE = (x.replace("{a}", "a").replace("{b}", "b") for x in (OVERLAP_S
 def near_sql(source: str, t: str, meaning: bool) -> str:
     """x_ (rid, target_rid, score, match_type, district, target_district): the best target by ratio, or by meaning too."""
     best = f"SELECT s.rid, s.district, t.rid AS target_rid, t.district AS target_district, r.a, r.b, r.score, r.score AS exactly, 'fuzzy_' || CAST(floor(r.score) AS INT) AS match_type, 0 AS of FROM {source} s JOIN ratios_{t} r ON trim(s.poi) = r.a JOIN {t} t ON trim(t.poi) = r.b WHERE r.score >= 90 QUALIFY row_number() OVER (PARTITION BY s.rid ORDER BY r.score DESC, t.rid) = 1"
-    parts, more = [f"SELECT * REPLACE (CASE WHEN score >= 98 AND {_LIKE} >= 0.8 THEN 1000.0::DOUBLE ELSE exactly END AS exactly) FROM k_{t}"], ""
+    parts, more = [
+        f"SELECT * REPLACE (CASE WHEN score >= 98 AND {_LIKE} >= 0.8 THEN 1000.0::DOUBLE ELSE exactly END AS exactly) FROM k_{t}"
+    ], ""
     if meaning:
         more = f""",
 m_{t} AS (SELECT s.rid, s.district, t.rid AS target_rid, t.district AS target_district, trim(s.poi) AS a, trim(t.poi) AS b, round(list_cosine_similarity(s.v::DOUBLE[], t.v::DOUBLE[]), 6) AS sim FROM {source} s, {t} t WHERE trim(s.poi) <> '' AND trim(t.poi) <> '' AND s.v IS NOT NULL AND t.v IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY s.rid ORDER BY sim DESC, t.rid) = 1),
 q_{t} AS (SELECT *, greatest(0.0::DOUBLE, sim * 100 - CASE WHEN {_OVERLAP} < 0.3 THEN 15.0::DOUBLE WHEN {_OVERLAP} < 0.5 THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END) AS points FROM m_{t})"""
-        parts.append(f"SELECT rid, district, target_rid, target_district, a, b, round(points, 2), points, CASE WHEN points >= 82 THEN 'semantic_strong' WHEN points >= 75 THEN 'semantic_weak' ELSE 'semantic' END, 1 FROM q_{t} WHERE points > 0")
+        parts.append(
+            f"SELECT rid, district, target_rid, target_district, a, b, round(points, 2), points, CASE WHEN points >= 82 THEN 'semantic_strong' WHEN points >= 75 THEN 'semantic_weak' ELSE 'semantic' END, 1 FROM q_{t} WHERE points > 0"
+        )
     return f"""k_{t} AS ({best}){more},
 c_{t} AS (SELECT * FROM ({' UNION ALL '.join(parts)}) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY exactly DESC, of DESC) = 1),
 l_{t} AS (SELECT * REPLACE (CASE WHEN {_LIKE} < 0.6 THEN greatest(0.0::DOUBLE, score - 5) ELSE score END AS score) FROM c_{t}),
@@ -140,21 +169,51 @@ add("sm_exact_core", "src tgt", lambda s, t: match.exact_by(s, t, "core"), tier_
 add("sm_exact_poi", "src tgt", lambda s, t: match.exact_by(s, t, "poi"), tier_sql("tgt") + " SELECT * FROM e1_tgt")
 add("sm_poi_contains", "src tgt", match.contained, tier_sql("tgt") + " SELECT * FROM e2_tgt")
 MEANING = tier_sql("tgt_v", "src_v", True)
-add("sm_high_conf", "src_v tgt_v", lambda s, t: _shown(match.high_confidence(_near(s, t))), MEANING + f" SELECT {_PICK} FROM e3_tgt_v")
-add("sm_need_review", "src_v tgt_v", lambda s, t: _shown(match.need_review(_near(s, t))), MEANING + f" SELECT {_PICK} FROM e4_tgt_v")
-add("sm_high_conf_ratio", "src tgt", lambda s, t: _shown(match.high_confidence(_near(s, t))), tier_sql("tgt") + f" SELECT {_PICK} FROM e3_tgt")
-add("sm_unmatched", "src tgt", lambda s, t: match.cascade(s, t).where("level = 'UNMATCHED'").select("rid", "level"), fall_sql("tgt") + " SELECT rid, level FROM fall WHERE level = 'UNMATCHED'")
-add("sm_cascade", "src_v tgt_v", lambda s, t: rounded(match.cascade(s, t)), fall_sql("tgt_v", source="src_v", meaning=True) + f" SELECT {_ROW.replace('target, ', '', 1)} FROM fall")
-add("task_waterfall", "src tgt tgt2", lambda s, *t: rounded(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + f" SELECT {_ROW} FROM fall")
-COUNTS_SQL = ", ".join(f"count(*) FILTER (level = '{k}') AS {k.lower()}" for k in ("EXACT", "HIGH_CONFIDENCE", "NEED_REVIEW", "UNMATCHED"))
+add(
+    "sm_high_conf", "src_v tgt_v", lambda s, t: _shown(match.high_confidence(_near(s, t))),
+    MEANING + f" SELECT {_PICK} FROM e3_tgt_v"
+)
+add(
+    "sm_need_review", "src_v tgt_v", lambda s, t: _shown(match.need_review(_near(s, t))),
+    MEANING + f" SELECT {_PICK} FROM e4_tgt_v"
+)
+add(
+    "sm_high_conf_ratio", "src tgt", lambda s, t: _shown(match.high_confidence(_near(s, t))),
+    tier_sql("tgt") + f" SELECT {_PICK} FROM e3_tgt"
+)
+add(
+    "sm_unmatched", "src tgt", lambda s, t: match.cascade(s, t).where("level = 'UNMATCHED'").select("rid", "level"),
+    fall_sql("tgt") + " SELECT rid, level FROM fall WHERE level = 'UNMATCHED'"
+)
+add(
+    "sm_cascade", "src_v tgt_v", lambda s, t: rounded(match.cascade(s, t)),
+    fall_sql("tgt_v", source="src_v", meaning=True) + f" SELECT {_ROW.replace('target, ', '', 1)} FROM fall"
+)
+add(
+    "task_waterfall", "src tgt tgt2", lambda s, *t: rounded(match.waterfall(s, list(t))),
+    fall_sql("tgt", "tgt2") + f" SELECT {_ROW} FROM fall"
+)
+COUNTS_SQL = ", ".join(
+    f"count(*) FILTER (level = '{k}') AS {k.lower()}" for k in ("EXACT", "HIGH_CONFIDENCE", "NEED_REVIEW", "UNMATCHED")
+)
 STATS_SQL = f", c AS (SELECT count(*) AS total, {COUNTS_SQL} FROM fall) SELECT *, exact + high_confidence AS auto_match, round((exact + high_confidence) / total * 100, 2) AS auto_rate, round((exact + high_confidence + need_review) / total * 100, 2) AS match_rate FROM c"
-add("match_stats", "src tgt tgt2", lambda s, *t: match.statistics(match.waterfall(s, list(t))), fall_sql("tgt", "tgt2") + STATS_SQL)
+add(
+    "match_stats", "src tgt tgt2", lambda s, *t: match.statistics(match.waterfall(s, list(t))),
+    fall_sql("tgt", "tgt2") + STATS_SQL
+)
 DETAIL_SQL = """, d AS (SELECT CAST(i AS INTEGER) AS target, count(rid) FILTER (level = 'EXACT') AS exact, count(rid) FILTER (level = 'HIGH_CONFIDENCE') AS high_confidence,
   count(rid) FILTER (level = 'NEED_REVIEW') AS need_review, count(rid) AS matched FROM range(2) r(i) LEFT JOIN fall ON target = i GROUP BY 1),
 o AS (SELECT *, CAST((SELECT count(*) FROM src) - coalesce(sum(matched) OVER (ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offered FROM d)
 SELECT *, CASE WHEN offered > 0 THEN '完成' ELSE '无剩余记录' END AS status FROM o"""
-add("target_details", "src tgt tgt2", lambda s, *t: match.target_details(match.waterfall(s, list(t)), len(t)), fall_sql("tgt", "tgt2") + DETAIL_SQL)
-add("task_totals", "src tgt tgt2", lambda s, *t: match.waterfall(s, list(t)).groupBy("level").agg(F.count("*").alias("n")), fall_sql("tgt", "tgt2") + " SELECT level, count(*) AS n FROM fall GROUP BY 1")
+add(
+    "target_details", "src tgt tgt2", lambda s, *t: match.target_details(match.waterfall(s, list(t)), len(t)),
+    fall_sql("tgt", "tgt2") + DETAIL_SQL
+)
+add(
+    "task_totals", "src tgt tgt2",
+    lambda s, *t: match.waterfall(s, list(t)).groupBy("level").agg(F.count("*").alias("n")),
+    fall_sql("tgt", "tgt2") + " SELECT level, count(*) AS n FROM fall GROUP BY 1"
+)
 
 
 
@@ -165,7 +224,9 @@ def _state(spark, sf_dir):
     path = f"{shared.home(spark)}/{uuid.uuid4().hex}/tasks.json"
     sinks.save_state(spark, path, {"tasks": []})
     sinks.save_state(spark, path, {"tasks": [{"source": "甲", "targets": ["乙"], "totals": totals}]})
-    return spark.createDataFrame(sorted(readers.read_state(spark, path)["tasks"][0]["totals"].items()), "level string, n long")
+    return spark.createDataFrame(
+        sorted(readers.read_state(spark, path)["tasks"][0]["totals"].items()), "level string, n long"
+    )
 
 
 QUERIES["task_state"] = _state
@@ -199,9 +260,23 @@ REPORT_SQL = f""" SELECT '' AS "源表记录ID", '' AS "目标表记录ID", '甲
   CASE WHEN r.rid IS NULL THEN '' ELSE '乙.csv' END AS "目标表文件", m.target_rid + 1 AS "目标表行号", '' AS "目标表名称", '' AS "目标表标准化地址", coalesce(r.poi, '') AS "目标表POI原始", {strip_sql("split_part(coalesce(r.poi, ''), ';', 1)")} AS "目标表POI",
   k.label AS "匹配类型", m.kind AS "匹配类型代码", round(m.score, 6) AS "匹配分数", k.origin AS "POI来源", CASE WHEN r.rid IS NULL THEN '否' ELSE '是' END AS "是否匹配"
   FROM pm m JOIN addr l ON m.rid = l.rid LEFT JOIN tgt2 r ON m.target_rid = r.rid JOIN (VALUES {_FALLBACK_SQL}) k(kind, label, origin) ON m.kind = k.kind"""
-add("poi_match", "src_v tgt_v", lambda s, t: rounded(match.poi_match(s, t, "poi", "poi")), poi_sql("src_v", "poi", "tgt_v", True) + " SELECT rid, target_rid, kind, round(score, 6) AS score FROM pm")
-add("poi_match_large", "addr tgt2", lambda s, t: match.poi_report(s, t, "甲.csv", "乙.csv", "poi", "poi", "location").withColumn("匹配分数", F.round("匹配分数", 6)), poi_sql("addr", "poi", "tgt2", False) + REPORT_SQL)
-add("poi_type_breakdown", "addr tgt", lambda s, t: match.breakdown(match.poi_match(s, t, "poi", "poi")), poi_sql("addr", "poi", "tgt", False) + " SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM pm) * 100, 2) AS rate FROM pm GROUP BY 1")
+add(
+    "poi_match", "src_v tgt_v", lambda s, t: rounded(match.poi_match(s, t, "poi", "poi")),
+    poi_sql("src_v", "poi", "tgt_v", True) + " SELECT rid, target_rid, kind, round(score, 6) AS score FROM pm"
+)
+add(
+    "poi_match_large", "addr tgt2",
+    lambda s, t: match.poi_report(
+        s, t, "甲.csv", "乙.csv", "poi", "poi", "location"
+    ).withColumn("匹配分数", F.round("匹配分数", 6)),
+    poi_sql("addr", "poi", "tgt2", False) + REPORT_SQL
+)
+add(
+    "poi_type_breakdown", "addr tgt", lambda s, t: match.breakdown(match.poi_match(s, t, "poi", "poi")),
+    poi_sql(
+        "addr", "poi", "tgt", False
+    ) + " SELECT kind, count(*) AS n, round(count(*) / (SELECT count(*) FROM pm) * 100, 2) AS rate FROM pm GROUP BY 1"
+)
 
 # Layered results --------------------------------------------------------------------------------------------------------
 _TARGETS = ["乙_标准化.csv", "丙.csv"]
@@ -225,32 +300,54 @@ def layer_sql(level: str) -> str:
     label = {k: tuple(x.format(core="core") for x in sinks.MATCH_FIELDS[k]) for k in sinks.LEVEL_TYPES[level]}
     columns = [f's.{c} AS "[源:甲]{c}"' for c in ("rid", "core", "poi", "pois", "district")]
     for k, (a, _) in label.items():
-        value = "''" if k == "unmatched" else "substr(s.pois, 1, 50)" if k == "poi_contains" else strip_sql(f"s.{own[k]}")
+        value = "''" if k == "unmatched" else "substr(s.pois, 1, 50)" if k == "poi_contains" else strip_sql(
+            f"s.{own[k]}"
+        )
         columns.append(f"""CASE WHEN {kind} = '{k}' THEN {value} END AS "【匹配源:甲】{a}\"""")
     for i, name in enumerate(("乙", "丙")):
         if level == "UNMATCHED":
             columns += [f"""'' AS "【匹配目标:{name}】匹配值\""""] if i == 0 else []
             continue
-        columns += [f"""CASE WHEN {kind} = '{k}' THEN {strip_sql(f't{i}.{other[k]}')} END AS "【匹配目标:{name}】{b}\"""" for k, (_, b) in label.items()]
-    columns += ['round(score, 6) AS "匹配分数"', 'match_type AS "匹配类型"', f"""'{dict(EXACT='精确匹配', HIGH_CONFIDENCE='高置信度', NEED_REVIEW='需人工确认', UNMATCHED='未匹配')[level]}' AS "匹配层级\""""]
+        columns += [
+            f"""CASE WHEN {kind} = '{k}' THEN {strip_sql(f't{i}.{other[k]}')} END AS "【匹配目标:{name}】{b}\"""" for k,
+            (_, b) in label.items()
+        ]
+    columns += [
+        'round(score, 6) AS "匹配分数"', 'match_type AS "匹配类型"',
+        f"""'{dict(EXACT='精确匹配', HIGH_CONFIDENCE='高置信度', NEED_REVIEW='需人工确认', UNMATCHED='未匹配')[level]}' AS "匹配层级\""""
+    ]
     joins = ""
     if level != "UNMATCHED":
-        columns += [f"""CASE target WHEN 0 THEN '{_TARGETS[0]}' WHEN 1 THEN '{_TARGETS[1]}' END AS "目标表文件\"""", 'target_rid + 1 AS "目标表行号"']
-        columns += [f't{i}.{c} AS "[目标:{name}]{c}"' for i, name in enumerate(("乙", "丙")) for c in ("rid", "core", "poi", "pois", "district")]
+        columns += [
+            f"""CASE target WHEN 0 THEN '{_TARGETS[0]}' WHEN 1 THEN '{_TARGETS[1]}' END AS "目标表文件\"""",
+            'target_rid + 1 AS "目标表行号"'
+        ]
+        columns += [
+            f't{i}.{c} AS "[目标:{name}]{c}"' for i,
+            name in enumerate(("乙", "丙")) for c in ("rid", "core", "poi", "pois", "district")
+        ]
         joins = " LEFT JOIN tgt t0 ON target = 0 AND t0.rid = target_rid LEFT JOIN tgt2 t1 ON target = 1 AND t1.rid = target_rid"
     return f"SELECT {', '.join(columns)} FROM fall f JOIN src s ON f.rid = s.rid{joins} WHERE level = '{level}'"
 
 
-add("layered_export", "src tgt tgt2", _layers, fall_sql("tgt", "tgt2") + " " + " UNION ALL BY NAME ".join(map(layer_sql, sinks.LEVEL_TYPES)))
+add(
+    "layered_export", "src tgt tgt2", _layers,
+    fall_sql("tgt", "tgt2") + " " + " UNION ALL BY NAME ".join(map(layer_sql, sinks.LEVEL_TYPES))
+)
 
 
 def _merged(s, t):
     out = match.cascade(s, t)
-    parts = {k: out.where(F.col("level") == k) for k in ("EXACT", "HIGH_CONFIDENCE", "NEED_REVIEW")} | {"UNMATCHED": out.where("level = 'UNMATCHED'").drop("target_rid", "score")}
+    parts = {
+        k: out.where(F.col("level") == k) for k in ("EXACT", "HIGH_CONFIDENCE", "NEED_REVIEW")
+    } | {"UNMATCHED": out.where("level = 'UNMATCHED'").drop("target_rid", "score")}
     return rounded(sinks.merged(parts, ["EXACT", "NEED_REVIEW", "UNMATCHED"]))
 
 
-add("merge_levels", "src tgt", _merged, fall_sql("tgt") + " SELECT rid, target_rid, CASE WHEN level <> 'UNMATCHED' THEN round(score, 6) END AS score, level, match_type FROM fall WHERE level <> 'HIGH_CONFIDENCE'")
+add(
+    "merge_levels", "src tgt", _merged,
+    fall_sql("tgt") + " SELECT rid, target_rid, CASE WHEN level <> 'UNMATCHED' THEN round(score, 6) END AS score, level, match_type FROM fall WHERE level <> 'HIGH_CONFIDENCE'"
+)
 
 
 def _coloured(spark, sf_dir):
@@ -261,8 +358,12 @@ def _coloured(spark, sf_dir):
     return spark.createDataFrame(found, "name string, colour string")
 
 
-_COLUMNS = ["[源:甲]rid", "[源:甲]core", "[源:甲]poi", "[源:甲]pois", "[源:甲]district", *(f"【匹配{side}】{x}" for side in ("源:甲", "目标:乙", "目标:丙") for x in ("core", "POI_结构化", "标准化POI抽取 contains POI_结构化")),
-            "匹配分数", "匹配类型", "匹配层级", "目标表文件", "目标表行号", *(f"[目标:{t}]{c}" for t in "乙丙" for c in ("rid", "core", "poi", "pois", "district"))]
+_COLUMNS = ["[源:甲]rid", "[源:甲]core", "[源:甲]poi", "[源:甲]pois", "[源:甲]district", *(
+    f"【匹配{side}】{x}" for side in ("源:甲", "目标:乙", "目标:丙") for x in ("core", "POI_结构化", "标准化POI抽取 contains POI_结构化")
+),
+            "匹配分数", "匹配类型", "匹配层级", "目标表文件", "目标表行号", *(
+                f"[目标:{t}]{c}" for t in "乙丙" for c in ("rid", "core", "poi", "pois", "district")
+            )]
 QUERIES["excel_coloured"] = _coloured
 SQL["excel_coloured"] = f"""SELECT name, CASE WHEN starts_with(name, '[源:') THEN '{sinks.COLOURS['source'][0]}' WHEN starts_with(name, '[目标:') OR starts_with(name, '目标表') THEN '{sinks.COLOURS['target'][0]}' ELSE '{sinks.COLOURS['match'][0]}' END AS colour
   FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _COLUMNS)}]) AS name)"""
@@ -272,25 +373,48 @@ SQL["excel_coloured"] = f"""SELECT name, CASE WHEN starts_with(name, '[源:') TH
 
 def _structured(texts):
     """A stand-in for a service: it knows no address on one of the roads."""
-    parts = F.when(F.col("text").contains("road=人民路"), F.create_map().cast("map<string,string>")).otherwise(T.parse_kv(F.col("text")))
+    parts = F.when(
+        F.col("text").contains("road=人民路"), F.create_map().cast("map<string,string>")
+    ).otherwise(T.parse_kv(F.col("text")))
     return texts.select("text", parts.alias("structure"))
 
 
 def _predicted(addresses):
     """Another one: by the length of an address it fails, finds nothing, or names a POI."""
     n = F.length("std")
-    return addresses.select("std", F.when(n % 3 == 1, "").when(n % 3 == 2, F.concat(F.lit("预测"), n.cast("string"))).alias("poi"))
+    return addresses.select(
+        "std", F.when(n % 3 == 1, "").when(n % 3 == 2, F.concat(F.lit("预测"), n.cast("string"))).alias("poi")
+    )
 
 
 def _enriched(rows, provinces, cities, areas):
     """With tables of answers that are stored and read back, in two batches of which the later one counts."""
     spark, folder = rows.sparkSession, f"{shared.home(rows.sparkSession)}/{uuid.uuid4().hex}"
-    text = rows.select(T.strip(F.col("structure")).alias("text"), "rid").where("text <> '' and rid % 3 = 0").select("text").distinct()
-    enrich.keep(text.select("text", F.create_map(F.lit("city"), F.lit("旧市")).alias("structure")), f"{folder}/structures", 1)
+    text = rows.select(
+        T.strip(F.col("structure")).alias("text"), "rid"
+    ).where("text <> '' and rid % 3 = 0").select("text").distinct()
+    enrich.keep(
+        text.select("text", F.create_map(F.lit("city"), F.lit("旧市")).alias("structure")), f"{folder}/structures", 1
+    )
     enrich.keep(text.select("text", T.parse_kv(F.col("text")).alias("structure")), f"{folder}/structures", 2)
-    std = rows.where("rid % 5 = 0 and structure <> ''").select(T.std_address({k: T.parse_kv(F.col("structure"))[k] for k in ("prov", "city", "district", "town", "village", "road", "roadNo", "poi", "houseno", "cellno")}).alias("std")).distinct()
-    enrich.keep(std.select("std", F.when(F.length("std") % 2 == 0, "").otherwise(F.concat(F.lit("缓存"), F.substring("std", 1, 2))).alias("poi")), f"{folder}/pois", 1)
-    known = enrich.load(spark, f"{folder}/structures", enrich.STRUCTURES), enrich.load(spark, f"{folder}/pois", enrich.POIS)
+    std = rows.where("rid % 5 = 0 and structure <> ''").select(
+        T.std_address(
+            {
+                k: T.parse_kv(F.col("structure"))[k]
+                for k in ("prov", "city", "district", "town", "village", "road", "roadNo", "poi", "houseno", "cellno")
+            }
+        ).alias("std")
+    ).distinct()
+    enrich.keep(
+        std.select(
+            "std",
+            F.when(F.length("std") % 2 == 0, "").otherwise(F.concat(F.lit("缓存"), F.substring("std", 1, 2))).alias("poi")
+        ),
+        f"{folder}/pois", 1
+    )
+    known = enrich.load(
+        spark, f"{folder}/structures", enrich.STRUCTURES
+    ), enrich.load(spark, f"{folder}/pois", enrich.POIS)
     return enrich.standardise(rows, "structure", *known, _structured, _predicted, (provinces, cities, areas))[0]
 
 
@@ -302,10 +426,19 @@ pc AS (SELECT DISTINCT {STD_SQL} AS std FROM kv10 WHERE rid % 5 = 0 AND structur
 t4 AS (SELECT t3.*, pc.std IS NOT NULL AND t3.std <> '' AS hit, CASE WHEN t3.std = '' THEN NULL WHEN pc.std IS NOT NULL THEN CASE WHEN length(t3.std) % 2 = 0 THEN '' ELSE '缓存' || substr(t3.std, 1, 2) END
   WHEN length(t3.std) % 3 = 1 THEN '' WHEN length(t3.std) % 3 = 2 THEN '预测' || length(t3.std) END AS predicted FROM t3 LEFT JOIN pc ON t3.std = pc.std),
 t5 AS (SELECT *, {', '.join(f"coalesce({TEN_SQL[k]}, '') AS {k}" for k in TEN_SQL)} FROM t4)"""
-_NAMED = {"区县": "district", "街道镇": "town", "村社区": "village", "道路": "road", "门牌号": "roadNo", "POI_结构化": "poi", "楼号": "houseno", "单元号": "cellno", "房间号": "roomno"}
+_NAMED = {
+    "区县": "district", "街道镇": "town", "村社区": "village", "道路": "road", "门牌号": "roadNo", "POI_结构化": "poi", "楼号": "houseno",
+    "单元号": "cellno", "房间号": "roomno"
+}
 ENRICHED_SQL = ENRICH_SQL + f""", t6 AS (SELECT rid, std AS "标准化地址", CASE WHEN predicted <> '' THEN predicted ELSE poi END AS "标准化POI抽取", CASE WHEN predicted <> '' THEN 'predict' WHEN poi <> '' THEN 'structure' WHEN structure = '' AND NOT EXISTS (SELECT 1 FROM t0 WHERE t0.rid = t5.rid AND t0.structure <> '') THEN '' ELSE 'empty' END AS "POI来源",
   CASE WHEN prov = '' THEN coalesce((SELECT p.name FROM cities c JOIN provinces p ON c.provinceCode = p.code WHERE c.name = city), '') ELSE prov END AS "省", city AS "市", {', '.join(f'{c} AS "{n}"' for n, c in _NAMED.items())}, sc AS structure_cached, hit AS poi_cached, sc AND hit AS cached FROM t5)"""
-add("address_parse_cached", "kv10 provinces cities areas", lambda r, *dims: _enriched(r, *dims).drop("structure"), ENRICHED_SQL + " SELECT * FROM t6")
-add("cache_hit_counts", "kv10 provinces cities areas", lambda r, *dims: enrich.hits(_enriched(r, *dims)), ENRICHED_SQL + " SELECT count(*) AS total, count(*) FILTER (structure_cached OR poi_cached) AS hits FROM t6")
+add(
+    "address_parse_cached", "kv10 provinces cities areas", lambda r, *dims: _enriched(r, *dims).drop("structure"),
+    ENRICHED_SQL + " SELECT * FROM t6"
+)
+add(
+    "cache_hit_counts", "kv10 provinces cities areas", lambda r, *dims: enrich.hits(_enriched(r, *dims)),
+    ENRICHED_SQL + " SELECT count(*) AS total, count(*) FILTER (structure_cached OR poi_cached) AS hits FROM t6"
+)
 
 FLAGSHIP = QUERIES["match_stats"]

@@ -21,7 +21,9 @@ def add(name: str, frames: str, make, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: make(*(frame(spark, sf_dir, n) for n in names))
     if sql:
         used = [n for n in FRAMES if n in names or re.search(rf"\b{n}\b", sql)]
-        SQL[name] = "WITH " + ", ".join(f"{n} AS ({FRAMES[n]})" for n in used) + ("\n" if re.match(r"\s*SELECT", sql) else ",\n") + sql
+        SQL[name] = "WITH " + ", ".join(f"{n} AS ({FRAMES[n]})" for n in used) + (
+            "\n" if re.match(r"\s*SELECT", sql) else ",\n"
+        ) + sql
 
 
 def strip_sql(c: str) -> str:

@@ -67,7 +67,10 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(_NS + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_NS + "si")]
+            shared = [
+                "".join(t.text or "" for t in si.iter(_NS + "t"))
+                for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_NS + "si")
+            ]
         sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_NS + "sheet")]
         at = sheets.index(sheet) + 1 if sheet else 1
         rows = []
@@ -78,7 +81,9 @@ def workbook_rows(data: bytes, sheet: str | None = None) -> list[list[str | None
                 for letter in re.match("[A-Z]+", c.get("r", "A")).group():
                     column = column * 26 + ord(letter) - 64
                 value, kind = c.find(_NS + "v"), c.get("t")
-                text = "".join(t.text or "" for t in c.iter(_NS + "t")) if kind == "inlineStr" else None if value is None else value.text
+                text = "".join(
+                    t.text or "" for t in c.iter(_NS + "t")
+                ) if kind == "inlineStr" else None if value is None else value.text
                 cells[column - 1] = shared[int(text)] if kind == "s" and text is not None else text
             rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
     return rows
@@ -137,7 +142,10 @@ def shape_wkt(record: bytes) -> str | None:
         parts, n = number(36), number(40)
         starts = [*struct.unpack(f"<{parts}i", record[44 : 44 + 4 * parts]), n]
         points = struct.unpack(f"<{2 * n}d", record[44 + 4 * parts : 44 + 4 * parts + 16 * n])
-        rings = ["(" + ", ".join(f"{points[2 * i]:.10g} {points[2 * i + 1]:.10g}" for i in range(a, b)) + ")" for a, b in zip(starts, starts[1:])]
+        rings = [
+            "(" + ", ".join(f"{points[2 * i]:.10g} {points[2 * i + 1]:.10g}" for i in range(a, b)) + ")" for a,
+            b in zip(starts, starts[1:])
+        ]
         if kind == 5:
             return f"POLYGON ({', '.join(rings)})"
         return f"LINESTRING {rings[0]}" if parts == 1 else f"MULTILINESTRING ({', '.join(rings)})"
@@ -177,9 +185,15 @@ def shape_rows(shapes: bytes, table: bytes, projection: str | None) -> list[list
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     """A .shp file with its .dbf (and .prj), or a folder of such files with the same attributes. A task reads a layer."""
-    files = _files(spark, f"{path[:-4]}.*" if path.lower().endswith(".shp") else path).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
-    content = lambda kind: F.first(F.when(F.col("kind") == kind, F.col("content")), ignorenulls=True).alias(kind)
-    layers = files.where(F.col("kind").isin("shp", "dbf", "prj")).groupBy(F.regexp_replace("path", r"\.[^.]+$", "").alias("base")).agg(*map(content, ("shp", "dbf", "prj"))).where("shp is not null")
+    files = _files(
+        spark, f"{path[:-4]}.*" if path.lower().endswith(".shp") else path
+    ).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
+    content = lambda kind: F.first(
+        F.when(F.col("kind") == kind, F.col("content")), ignorenulls=True
+    ).alias(kind)
+    layers = files.where(F.col("kind").isin("shp", "dbf", "prj")).groupBy(
+        F.regexp_replace("path", r"\.[^.]+$", "").alias("base")
+    ).agg(*map(content, ("shp", "dbf", "prj"))).where("shp is not null")
     names = [*(n for n, _, _ in dbf_fields(bytes(layers.orderBy("base").select("dbf").first().dbf))), "geometry", "crs"]
 
     def run(batches):
@@ -192,13 +206,18 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
 
 def auto(spark: SparkSession, path: str) -> DataFrame:
     suffix = os.path.splitext(path)[1].lower()
-    kinds = {".csv": read_csv, ".txt": read_csv, ".geojson": read_geojson, ".json": read_geojson, ".xlsx": read_workbook, ".xls": read_workbook, ".shp": read_shapefile}
+    kinds = {
+        ".csv": read_csv, ".txt": read_csv, ".geojson": read_geojson, ".json": read_geojson, ".xlsx": read_workbook,
+        ".xls": read_workbook, ".shp": read_shapefile
+    }
     if suffix not in kinds:
         raise ValueError(f"no reader for {suffix or path}")
     return kinds[suffix](spark, path)
 
 
-def read_any(spark: SparkSession, path: str, tried: tuple[str, ...] = ("utf-8-sig", "gbk", "gb18030", "latin-1")) -> DataFrame:
+def read_any(
+    spark: SparkSession, path: str, tried: tuple[str, ...] = ("utf-8-sig", "gbk", "gb18030", "latin-1")
+) -> DataFrame:
     """A CSV file in the first of the encodings that it is valid in, without line ends inside of fields: large files are split."""
     return read_csv(spark, path, encoding_of(spark, path, tried), multi_line=False)
 

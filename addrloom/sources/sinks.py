@@ -24,7 +24,9 @@ def flat(df: DataFrame) -> DataFrame:
     """Columns by name, all as text: null is empty, nested values are JSON."""
     def one(f):
         c = F.col(f"`{f.name}`")
-        return F.coalesce(F.to_json(c) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else c.cast("string"), F.lit("")).alias(f.name)
+        return F.coalesce(
+            F.to_json(c) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else c.cast("string"), F.lit("")
+        ).alias(f.name)
 
     return df.select(*(one(f) for f in sorted(df.schema.fields, key=lambda f: f.name)))
 
@@ -35,11 +37,16 @@ def write_csv(df: DataFrame, path: str) -> None:
         raise ValueError("no rows to write")
     out = flat(df)
     first = out.columns[0]
-    out.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").options(header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    out.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").options(
+        header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 #: (fill of the header, its letters, fill of the cells) by part of a layered result; fixed values.
-COLOURS = {"source": ("FF93C5FD", "FF1E3A8A", "FFDBEAFE"), "match": ("FFFCD34D", "FF92400E", "FFFEF3C7"), "target": ("FF86EFAC", "FF065F46", "FFD1FAE5")}
+COLOURS = {
+    "source": ("FF93C5FD", "FF1E3A8A", "FFDBEAFE"), "match": ("FFFCD34D", "FF92400E", "FFFEF3C7"),
+    "target": ("FF86EFAC", "FF065F46", "FFD1FAE5")
+}
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 
 
@@ -61,21 +68,31 @@ def _sheet(rows, styles: list[tuple[int, int]] | None = None) -> str:
             return f'<c r="{_letters(at)}{n}"{mark}/>' if mark else ""
         return f'<c r="{_letters(at)}{n}"{mark} t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>'
 
-    body = "".join(f'<row r="{n}">{"".join(cell(i, n, v) for i, v in enumerate(row))}</row>' for n, row in enumerate(rows, 1))
+    body = "".join(
+        f'<row r="{n}">{"".join(cell(i, n, v) for i, v in enumerate(row))}</row>' for n, row in enumerate(rows, 1)
+    )
     frozen = wide = ""
     if styles:
         frozen = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
         size = lambda i: min(2 + max(len(str(r[i])) for r in rows if r[i] is not None), 50)
-        wide = "<cols>" + "".join(f'<col min="{i + 1}" max="{i + 1}" width="{size(i)}" customWidth="1"/>' for i in range(len(rows[0]))) + "</cols>"
+        wide = "<cols>" + "".join(
+            f'<col min="{i + 1}" max="{i + 1}" width="{size(i)}" customWidth="1"/>' for i in range(len(rows[0]))
+        ) + "</cols>"
     return f'<worksheet xmlns="{_MAIN}">{frozen}{wide}<sheetData>{body}</sheetData></worksheet>'
 
 
 def _styles() -> str:
     """Style 1 and 2 are the header and the cells of the first of COLOURS, and so on; style 0 is plain."""
-    fills = "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for head, _, cells in COLOURS.values() for c in (head, cells))
+    fills = "".join(
+        f'<fill><patternFill patternType="solid"><fgColor rgb="{c}"/></patternFill></fill>' for head, _,
+        cells in COLOURS.values() for c in (head, cells)
+    )
     fonts = "".join(f'<font><b/><color rgb="{letters}"/></font>' for _, letters, _ in COLOURS.values())
     side = lambda s: f'<{s} style="thin"/>'
-    forms = "".join(f'<xf fontId="{i + 1}" fillId="{2 * i + 2}" borderId="1" applyFill="1" applyFont="1"><alignment horizontal="center" vertical="center"/></xf><xf fontId="0" fillId="{2 * i + 3}" borderId="1" applyFill="1"/>' for i in range(len(COLOURS)))
+    forms = "".join(
+        f'<xf fontId="{i + 1}" fillId="{2 * i + 2}" borderId="1" applyFill="1" applyFont="1"><alignment horizontal="center" vertical="center"/></xf><xf fontId="0" fillId="{2 * i + 3}" borderId="1" applyFill="1"/>'
+        for i in range(len(COLOURS))
+    )
     return (
         f'<styleSheet xmlns="{_MAIN}"><fonts count="{len(COLOURS) + 1}"><font/>{fonts}</fonts><fills count="{2 * len(COLOURS) + 2}"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fills}</fills>'
         f'<borders count="2"><border/><border>{side("left")}{side("right")}{side("top")}{side("bottom")}</border></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{2 * len(COLOURS) + 1}"><xf/>{forms}</cellXfs></styleSheet>'
@@ -86,16 +103,30 @@ def _book(sheets: dict[str, str], styled: bool) -> bytes:
     links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     packed, kind = "http://schemas.openxmlformats.org/package/2006", "application/vnd.openxmlformats-officedocument.spreadsheetml"
     part = lambda name, what: f'<Override PartName="/xl/{name}.xml" ContentType="{kind}.{what}+xml"/>'
-    parts = part("workbook", "sheet.main") + "".join(part(f"worksheets/sheet{i}", "worksheet") for i in range(1, len(sheets) + 1)) + (part("styles", "styles") if styled else "")
+    parts = part("workbook", "sheet.main") + "".join(
+        part(f"worksheets/sheet{i}", "worksheet") for i in range(1, len(sheets) + 1)
+    ) + (part("styles", "styles") if styled else "")
     names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
     link = lambda i, what, target: f'<Relationship Id="rId{i}" Type="{links}/{what}" Target="{target}"/>'
-    inner = "".join(link(i, "worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)) + (link(len(sheets) + 1, "styles", "styles.xml") if styled else "")
+    inner = "".join(
+        link(i, "worksheet", f"worksheets/sheet{i}.xml") for i in range(1, len(sheets) + 1)
+    ) + (link(len(sheets) + 1, "styles", "styles.xml") if styled else "")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{parts}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="{packed}/relationships">{link(1, "officeDocument", "xl/workbook.xml")}</Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{packed}/relationships">{inner}</Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{links}"><sheets>{names}</sheets></workbook>')
+        z.writestr(
+            "[Content_Types].xml",
+            f'<Types xmlns="{packed}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>{parts}</Types>'
+        )
+        z.writestr(
+            "_rels/.rels",
+            f'<Relationships xmlns="{packed}/relationships">{link(1, "officeDocument", "xl/workbook.xml")}</Relationships>'
+        )
+        z.writestr(
+            "xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{packed}/relationships">{inner}</Relationships>'
+        )
+        z.writestr(
+            "xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{links}"><sheets>{names}</sheets></workbook>'
+        )
         for i, sheet in enumerate(sheets.values(), 1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", sheet)
         if styled:
@@ -142,21 +173,38 @@ def point_files(df: DataFrame, x: str, y: str) -> dict[str, bytes]:
     the first hundred rows hold; of a text's bytes 254 are kept, cut between letters. Built by the driver like a workbook, with
     the same bound."""
     names = [c for c in df.columns if c not in (x, y)]
-    rows = df.select(F.col(x).cast("double"), F.col(y).cast("double"), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names)).limit(PLAIN_ROWS + 1).collect()
+    rows = df.select(
+        F.col(x).cast("double"), F.col(y).cast("double"),
+        *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names)
+    ).limit(PLAIN_ROWS + 1).collect()
     if len(rows) > PLAIN_ROWS:
         raise ValueError("too many rows for a point layer")
     kinds = [dbf_type([row[i + 2] for row in rows[:100]]) for i in range(len(names))]
     values = [[clipped(v, 254) for v in row[2:]] for row in rows]
     sizes = [max([1, *(len(v[i]) for v in values)]) for i in range(len(names))]
-    decimals = [max([0, *(len(v[i].partition(b".")[2]) for v in values)]) if k == "F" else 0 for i, k in enumerate(kinds)]
+    decimals = [
+        max([0, *(len(v[i].partition(b".")[2]) for v in values)]) if k == "F" else 0 for i, k in enumerate(kinds)
+    ]
     box = [f([row[i] for row in rows] or [0.0]) for f in (min, max) for i in (0, 1)]
-    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size // 2) + struct.pack("<2i8d", 1000, 1, *box, 0, 0, 0, 0)
-    shapes = b"".join(struct.pack(">2i", n, 10) + struct.pack("<i2d", 1, row[0], row[1]) for n, row in enumerate(rows, 1))
+    head = lambda size: struct.pack(
+        ">7i", 9994, 0, 0, 0, 0, 0, size // 2
+    ) + struct.pack("<2i8d", 1000, 1, *box, 0, 0, 0, 0)
+    shapes = b"".join(
+        struct.pack(">2i", n, 10) + struct.pack("<i2d", 1, row[0], row[1]) for n, row in enumerate(rows, 1)
+    )
     index = b"".join(struct.pack(">2i", 50 + 14 * n, 10) for n in range(len(rows)))
     heads = zip(dbf_names(names), kinds, sizes, decimals)
-    fields = b"".join(name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([size, min(d, 15)]) + bytes(14) for name, kind, size, d in heads)
-    table = bytes([3, 100, 1, 1]) + struct.pack("<IHH", len(rows), 33 + 32 * len(names), 1 + sum(sizes)) + bytes(20) + fields + b"\r"
-    table += b"".join(b" " + b"".join(v.ljust(size) if k == "C" else v.rjust(size) for v, size, k in zip(row, sizes, kinds)) for row in values) + b"\x1a"
+    fields = b"".join(
+        name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([size, min(d, 15)]) + bytes(14) for name,
+        kind, size, d in heads
+    )
+    table = bytes([3, 100, 1, 1]) + struct.pack(
+        "<IHH", len(rows), 33 + 32 * len(names), 1 + sum(sizes)
+    ) + bytes(20) + fields + b"\r"
+    table += b"".join(
+        b" " + b"".join(v.ljust(size) if k == "C" else v.rjust(size) for v, size, k in zip(row, sizes, kinds))
+        for row in values
+    ) + b"\x1a"
     return {".shp": head(100 + len(shapes)) + shapes, ".shx": head(100 + len(index)) + index, ".dbf": table}
 
 
@@ -166,11 +214,21 @@ def chosen(df: DataFrame, columns: list[str] | None) -> DataFrame:
 
 
 #: By match type: what was compared, on the source's and the target's side (labels of the layered result).
-MATCH_FIELDS = {"core_field_exact": ("{core}", "{core}"), "poi_exact": ("POI_结构化", "POI_结构化"), "poi_contains": ("标准化POI抽取 contains POI_结构化",) * 2, "fuzzy": ("POI_结构化",) * 2, "semantic": ("POI_结构化+语义",) * 2, "unmatched": ("匹配值", "匹配值")}
-LEVEL_TYPES = {"EXACT": ["core_field_exact", "poi_exact", "poi_contains"], "HIGH_CONFIDENCE": ["fuzzy", "semantic"], "NEED_REVIEW": ["fuzzy", "semantic"], "UNMATCHED": ["unmatched"]}
-
-
-def layered(result: DataFrame, level: str, source: DataFrame, source_name: str, targets: list[tuple[str, DataFrame]], core: str = "core") -> DataFrame:
+MATCH_FIELDS = {
+    "core_field_exact": ("{core}", "{core}"), "poi_exact": ("POI_结构化", "POI_结构化"),
+    "poi_contains": ("标准化POI抽取 contains POI_结构化",) * 2, "fuzzy": ("POI_结构化",) * 2, "semantic": ("POI_结构化+语义",) * 2,
+    "unmatched": ("匹配值", "匹配值")
+}
+LEVEL_TYPES = {
+    "EXACT": ["core_field_exact", "poi_exact", "poi_contains"], "HIGH_CONFIDENCE": ["fuzzy", "semantic"],
+    "NEED_REVIEW": ["fuzzy", "semantic"], "UNMATCHED": ["unmatched"]
+}
+
+
+def layered(
+    result: DataFrame, level: str, source: DataFrame, source_name: str, targets: list[tuple[str, DataFrame]],
+    core: str = "core"
+) -> DataFrame:
     """Rows of one level of a waterfall (rid, target, target_rid, score, level, match_type): the source's columns, what was
     compared, score, type and level, the target's file and row, and each target's columns, under their prefixes.
 
@@ -178,11 +236,20 @@ def layered(result: DataFrame, level: str, source: DataFrame, source_name: str,
     short = lambda name: name.rpartition(".")[0].replace("_标准化", "") if "." in name else name.replace("_标准化", "")
     own = short(source_name)
     text = lambda c: F.col(c).cast("string")
-    a = source.select(F.col("rid").alias("_a"), F.struct(*(text(c).alias(c) for c in ("core", "poi", "pois") if c in source.columns)).alias("_s"), *(F.col(f"`{c}`").alias(f"[源:{own}]{c}") for c in source.columns if c != "v"))
+    a = source.select(
+        F.col("rid").alias("_a"),
+        F.struct(*(text(c).alias(c) for c in ("core", "poi", "pois") if c in source.columns)).alias("_s"),
+        *(F.col(f"`{c}`").alias(f"[源:{own}]{c}") for c in source.columns if c != "v")
+    )
     rows = result.where(F.col("level") == level).join(a, F.col("rid") == F.col("_a"))
-    kind = F.when(F.col("match_type").isin("core_field_exact", "poi_exact", "poi_contains", "unmatched"), F.col("match_type")).when(F.col("match_type").startswith("fuzzy"), "fuzzy").otherwise("semantic")
+    kind = F.when(
+        F.col("match_type").isin("core_field_exact", "poi_exact", "poi_contains", "unmatched"), F.col("match_type")
+    ).when(F.col("match_type").startswith("fuzzy"), "fuzzy").otherwise("semantic")
     rows = rows.withColumn("_kind", kind)
-    given = {"core_field_exact": ("core", "core"), "poi_exact": ("poi", "poi"), "poi_contains": ("pois", "poi"), "fuzzy": ("poi", "poi"), "semantic": ("poi", "poi")}
+    given = {
+        "core_field_exact": ("core", "core"), "poi_exact": ("poi", "poi"), "poi_contains": ("pois", "poi"),
+        "fuzzy": ("poi", "poi"), "semantic": ("poi", "poi")
+    }
     columns = [F.col(f"`{c}`") for c in a.columns if c.startswith("[源:")]
     labels = {k: tuple(x.format(core=core) for x in MATCH_FIELDS[k]) for k in LEVEL_TYPES[level]}
 
@@ -200,19 +267,32 @@ def layered(result: DataFrame, level: str, source: DataFrame, source_name: str,
     columns += [c.alias(f"【匹配源:{own}】{label}") for label, c in compared(0, from_source).items()]
     found, there = [], []
     for i, (name, target) in enumerate(targets):
-        keyed = target.select(F.struct(*(F.col(f"`{c}`") for c in target.columns if c != "v")).alias(f"_t{i}"), F.col("rid").alias(f"_r{i}"))
-        rows = rows.join(keyed, (F.col("target") == i) & (F.col("target_rid") == F.col(f"_r{i}")), "left") if level != "UNMATCHED" else rows
+        keyed = target.select(
+            F.struct(*(F.col(f"`{c}`") for c in target.columns if c != "v")).alias(f"_t{i}"),
+            F.col("rid").alias(f"_r{i}")
+        )
+        rows = rows.join(
+            keyed, (F.col("target") == i) & (F.col("target_rid") == F.col(f"_r{i}")), "left"
+        ) if level != "UNMATCHED" else rows
         there += [F.col(f"_t{i}").getField(c).alias(f"[目标:{short(name)}]{c}") for c in target.columns if c != "v"]
         if level != "UNMATCHED" or i == 0:
-            value = lambda k, i=i: strip(F.col(f"_t{i}").getField(given[k][1]).cast("string")) if k in given else F.lit("")
+            value = lambda k, i=i: strip(
+                F.col(f"_t{i}").getField(given[k][1]).cast("string")
+            ) if k in given else F.lit("")
             found += [c.alias(f"【匹配目标:{short(name)}】{label}") for label, c in compared(1, value).items()]
-    name = reduce(lambda c, i: c.when(F.col("target") == i, targets[i][0]), range(1, len(targets)), F.when(F.col("target") == 0, targets[0][0]))
+    name = reduce(
+        lambda c, i: c.when(F.col("target") == i, targets[i][0]), range(1, len(targets)),
+        F.when(F.col("target") == 0, targets[0][0])
+    )
     meta = [F.col("score").alias("匹配分数"), F.col("match_type").alias("匹配类型"), level_label(F.col("level")).alias("匹配层级")]
     end = [name.alias("目标表文件"), (F.col("target_rid") + 1).alias("目标表行号"), *there] if level != "UNMATCHED" else []
     return rows.select(*columns, *found, *meta, *end)
 
 
-def write_layers(result: DataFrame, folder: str, source: DataFrame, source_name: str, targets: list[tuple[str, DataFrame]], core: str = "core") -> dict[str, str]:
+def write_layers(
+    result: DataFrame, folder: str, source: DataFrame, source_name: str, targets: list[tuple[str, DataFrame]],
+    core: str = "core"
+) -> dict[str, str]:
     """Writes each level that has rows to a folder of its own below the given one, named after source, level and number of rows;
     gives level -> path. Other folders are left alone."""
     out = {}
@@ -235,7 +315,9 @@ def category(name: Column) -> Column:
     stem = F.regexp_replace(name, r"\.csv$", "")
     ends = {"_清洗", "_标准化"}
     hit = lambda p: stem.endswith(p) if p in ends else stem.rlike(p)
-    return reduce(lambda c, k: c.when(hit(CATEGORIES[k]), k), list(CATEGORIES)[1:], F.when(hit(CATEGORIES["清洗结果"]), "清洗结果"))
+    return reduce(
+        lambda c, k: c.when(hit(CATEGORIES[k]), k), list(CATEGORIES)[1:], F.when(hit(CATEGORIES["清洗结果"]), "清洗结果")
+    )
 
 
 def export_categories(spark, folders: list[str], wanted: list[str], out: str) -> DataFrame:
@@ -248,7 +330,9 @@ def export_categories(spark, folders: list[str], wanted: list[str], out: str) ->
         files = where.getFileSystem(conf)
         if files.exists(where):
             names += [(s.getPath().getName(), s.getPath().toString()) for s in files.listStatus(where)]
-    listed = spark.createDataFrame(names, "name string, path string").withColumn("category", category(F.col("name"))).where(F.col("category").isin(*wanted)).orderBy("name")
+    listed = spark.createDataFrame(names, "name string, path string").withColumn(
+        "category", category(F.col("name"))
+    ).where(F.col("category").isin(*wanted)).orderBy("name")
     copied = []
     for r in listed.collect():  # a row for each file of results
         a, b = path(r.path), path(f"{out.rstrip('/')}/{r.name}")
@@ -259,7 +343,9 @@ def export_categories(spark, folders: list[str], wanted: list[str], out: str) ->
 
 def merged(frames: dict[str, DataFrame], levels: list[str]) -> DataFrame:
     """All frames of the wanted levels, one below the other; columns that one lacks are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (d for level, d in frames.items() if level in levels))
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), (d for level, d in frames.items() if level in levels)
+    )
 
 
 def format_policy(rows: Column) -> Column:
@@ -268,7 +354,9 @@ def format_policy(rows: Column) -> Column:
 
 def column_role(name: Column) -> Column:
     """Which part of a layered result a column belongs to."""
-    return F.when(name.startswith("[源:"), "source").when(name.startswith("【匹配源:"), "match_source").when(name.startswith("【匹配目标:"), "match_target").when(name.startswith("[目标:"), "target").otherwise("meta")
+    return F.when(name.startswith("[源:"), "source").when(name.startswith("【匹配源:"), "match_source").when(
+        name.startswith("【匹配目标:"), "match_target"
+    ).when(name.startswith("[目标:"), "target").otherwise("meta")
 
 
 def part_of(name: str) -> str:

@@ -10,4 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.master("local[4]").config(
+        "spark.sql.shuffle.partitions", "4"
+    ).config("spark.ui.enabled", "false").config(
+        "spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}"
+    ).config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").getOrCreate()

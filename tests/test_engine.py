@@ -63,8 +63,17 @@ def test_similarity_goldens():
 
 
 def test_tiers_partition_the_source(spark):
-    src = spark.createDataFrame([(1, "k1", "甲乙丙丁戊己庚辛壬癸", "", "D"), (2, None, "甲乙丙丁戊己庚辛壬子", "", "D"), (3, "", "", "城;好园", None), (4, "q", "别的地方", "", None)], "rid long, core string, poi string, pois string, district string")
-    tgt = spark.createDataFrame([(1, "k1", "无关", "", "D"), (2, "k1", "甲乙丙丁戊己庚辛壬癸", "", "D"), (3, "", "好园", "", None), (4, "", "好园", "", None)], "rid long, core string, poi string, pois string, district string")
+    src = spark.createDataFrame(
+        [
+            (1, "k1", "甲乙丙丁戊己庚辛壬癸", "", "D"), (2, None, "甲乙丙丁戊己庚辛壬子", "", "D"), (3, "", "", "城;好园", None),
+            (4, "q", "别的地方", "", None)
+        ],
+        "rid long, core string, poi string, pois string, district string"
+    )
+    tgt = spark.createDataFrame(
+        [(1, "k1", "无关", "", "D"), (2, "k1", "甲乙丙丁戊己庚辛壬癸", "", "D"), (3, "", "好园", "", None), (4, "", "好园", "", None)],
+        "rid long, core string, poi string, pois string, district string"
+    )
     got = {r.rid: (r.level, r.target_rid) for r in match.cascade(src, tgt).collect()}
     assert got == {1: ("EXACT", 1), 2: ("NEED_REVIEW", 2), 3: ("EXACT", 4), 4: ("UNMATCHED", None)}
     stats = match.statistics(match.cascade(src, tgt)).first()
@@ -88,7 +97,9 @@ def test_clean_rejects_all_without_fields(spark):
 
 
 def test_region_extract(spark):
-    areas = spark.createDataFrame([("1", "安次区", "c"), ("2", "大厂回族自治县", "c")], "code string, name string, cityCode string")
+    areas = spark.createDataFrame(
+        [("1", "安次区", "c"), ("2", "大厂回族自治县", "c")], "code string, name string, cityCode string"
+    )
     rows = spark.createDataFrame([(1, "河北省廊坊市安次区银河路"), (2, "大厂回族自治县"), (3, None)], "rid long, address string")
     assert {r.rid: r.area for r in region.extract_area(rows, areas).collect()} == {1: "安次区", 2: "大厂回族自治县", 3: ""}
 
@@ -111,14 +122,21 @@ def test_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
         z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="S" sheetId="1"/></sheets></workbook>')
         z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>名称</t></si><si><t>园</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>2.5</v></c></row></sheetData></worksheet>')
+        z.writestr(
+            "xl/worksheets/sheet1.xml",
+            f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>2.5</v></c></row></sheetData></worksheet>'
+        )
     assert readers.workbook_rows((tmp_path / "w.xlsx").read_bytes()) == [["名称", None, "n"], ["园", None, "2.5"]]
     record = struct.pack("<i2d", 1, 3.5, -2.0)
     shp = bytes(100) + struct.pack(">2i", 1, len(record) // 2) + record
     (tmp_path / "p.shp").write_bytes(shp)
     field = b"gid".ljust(11, b"\0") + b"C" + bytes(4) + bytes([5]) + bytes(15)
-    (tmp_path / "p.dbf").write_bytes(bytes([3, 0, 0, 0]) + struct.pack("<IHH", 1, 32 + 32 + 1, 6) + bytes(20) + field + b"\x0d" + b" 12   ")
-    assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()] == [("12", "POINT (3.5 -2)", None)]
+    (tmp_path / "p.dbf").write_bytes(
+        bytes([3, 0, 0, 0]) + struct.pack("<IHH", 1, 32 + 32 + 1, 6) + bytes(20) + field + b"\x0d" + b" 12   "
+    )
+    assert [
+        tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()
+    ] == [("12", "POINT (3.5 -2)", None)]
     assert sinks.dbf_names(["a" * 12, "a" * 11, "b"]) == ["a" * 10, "a" * 9 + "1", "b"]
     assert sinks.free_name("x.csv", {"x.csv", "x_1.csv"}) == "x_2.csv"
 
@@ -131,7 +149,9 @@ def test_usage_and_types(spark):
 def test_workbook_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a<&>b", 1, None), (" 园 ", 2, "x")], "`名 称` string, n int, z string")
     (tmp_path / "r.xlsx").write_bytes(sinks.workbook_bytes(df, "表"))
-    assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "r.xlsx")).collect()] == [("a<&>b", "1", None), (" 园 ", "2", "x")]
+    assert [
+        tuple(r) for r in readers.auto(spark, str(tmp_path / "r.xlsx")).collect()
+    ] == [("a<&>b", "1", None), (" 园 ", "2", "x")]
     assert readers.auto(spark, str(tmp_path / "r.xlsx")).columns == df.columns
 
 
@@ -148,7 +168,9 @@ def test_point_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("甲", 1.5, -2.0), (None, 3.0, 4.25)], "name string, x double, y double")
     for suffix, data in sinks.point_files(df, "x", "y").items():
         (tmp_path / f"p{suffix}").write_bytes(data)
-    assert [tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()] == [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)]
+    assert [
+        tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()
+    ] == [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)]
 
 
 def test_right_sides_of_any_size(spark):
@@ -158,7 +180,10 @@ def test_right_sides_of_any_size(spark):
     unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
     df = spark.createDataFrame(rows + [(900, None), (901, [1.0])], "rid long, v array<double>").repartition(3)
     left, right = df.where("rid % 2 = 0"), df.where("rid % 2 = 1 and rid < 900")
-    want = {i: min((-round(sum(x * y for x, y in zip(unit[i], unit[j])), 6), j) for j in unit if j % 2) for i in unit if i % 2 == 0}
+    want = {
+        i: min((-round(sum(x * y for x, y in zip(unit[i], unit[j])), 6), j) for j in unit if j % 2) for i in unit
+        if i % 2 == 0
+    }
     want = {(i, j, -s) for i, (s, j) in want.items()} | {(900, 1, None)}
     for sizes in ((4096, 16_384), (40, 30)):
         assert {tuple(x) for x in match.semantic_best(left, right, *sizes).collect()} == want
@@ -186,7 +211,9 @@ def test_fuzzy_and_poi_match_against_every_pair(spark):
     left = [(i, w) for i, w in enumerate(_words(r, 40) + ["", " ", "123", "3号调压站", "#12", "阳光花园;别的"])]
     right = [(i, w) for i, w in enumerate(_words(r, 60) + ["阳光花园12", "某某市", "", "12"])]
     a, b = (spark.createDataFrame(x, "rid long, poi string") for x in (left, right))
-    got = {x.lid: (x.rid, x.confidence) for x in join.fuzzy(a.withColumnRenamed("rid", "lid"), b, "poi", "poi").collect()}
+    got = {
+        x.lid: (x.rid, x.confidence) for x in join.fuzzy(a.withColumnRenamed("rid", "lid"), b, "poi", "poi").collect()
+    }
     want = {}
     for i, x in left:
         found = [(similarity.difflib_score(x.strip(), y.strip()), -j) for j, y in right if x.strip() and y.strip()]
@@ -202,7 +229,10 @@ def test_fuzzy_and_poi_match_against_every_pair(spark):
             assert got[i] == (kind, None, 0.0)
             continue
         score, j = max((similarity.partial(first, y), -j) for j, y in clean.items())
-        assert got[i] == (("fuzzy_strong_poi" if score >= 90 else "fuzzy_weak_poi", -j, score) if score >= 75 else ("unmatched", None, 0.0))
+        assert got[i] == (
+            ("fuzzy_strong_poi" if score >= 90 else "fuzzy_weak_poi", -j, score) if score >= 75
+            else ("unmatched", None, 0.0)
+        )
     none = match.poi_match(a, b.limit(0), "poi", "poi").collect()
     assert {x.kind for x in none} == {"empty_left", "non_poi_left", "no_poi_left", "no_poi_right"}
 
@@ -227,8 +257,13 @@ def test_semantic_tier(spark):
     assert got[2][1:] == ("UNMATCHED", "unmatched", 0.0) and got[5][1:] == ("UNMATCHED", "unmatched", 0.0)
     assert got[3][:3] == (3, "HIGH_CONFIDENCE", "district_fuzzy_95")
     assert got[4] == (4, "NEED_REVIEW", "semantic_strong", 92.0)
-    pois = {x.rid: (x.kind, x.target_rid, x.score) for x in match.poi_match(source.where("rid in (1, 2, 5)"), target, "poi", "poi").collect()}
-    assert pois == {1: ("fuzzy_strong_poi", 3, 100.0), 2: ("semantic_strong_poi", 2, 100.0), 5: ("unmatched", None, 0.0)}
+    pois = {
+        x.rid: (x.kind, x.target_rid, x.score)
+        for x in match.poi_match(source.where("rid in (1, 2, 5)"), target, "poi", "poi").collect()
+    }
+    assert pois == {
+        1: ("fuzzy_strong_poi", 3, 100.0), 2: ("semantic_strong_poi", 2, 100.0), 5: ("unmatched", None, 0.0)
+    }
     weak = source.where("rid = 2").withColumn("v", F.array(F.lit(0.6), F.lit(0.78), F.lit(0.0)))
     assert match.poi_match(weak, target, "poi", "poi").first().kind == "semantic_weak_poi"
     assert len(match.poi_report(source, target, "a", "b", "poi").columns) == 19
@@ -242,12 +277,16 @@ def test_layers_are_written(spark, tmp_path):
     paths = sinks.write_layers(result, str(tmp_path), source, "客户 表_标准化.csv", [("目标.csv", target)])
     assert {k: p.rpartition("/")[2] for k, p in paths.items()} == {"EXACT": "客户_表_精确匹配_1条", "UNMATCHED": "客户_表_未匹配_1条"}
     row = readers.read_csv(spark, paths["EXACT"]).first().asDict()
-    assert row["[源:客户 表]core"] == row["【匹配目标:目标】core"] == "k" and row["匹配类型"] == "core_field_exact" and row["目标表文件"] == "目标.csv" and row["目标表行号"] == "1"
+    assert row["[源:客户 表]core"] == row[
+        "【匹配目标:目标】core"
+    ] == "k" and row["匹配类型"] == "core_field_exact" and row["目标表文件"] == "目标.csv" and row["目标表行号"] == "1"
     assert readers.read_csv(spark, paths["UNMATCHED"]).first()["匹配层级"] == "未匹配"
     book = sinks.coloured_bytes(sinks.layered(result, "EXACT", source, "a.csv", [("b.csv", target)]), "a.csv")
     assert dict(readers.header_colours(book))["匹配分数"] == sinks.COLOURS["match"][0]
     assert readers.workbook_rows(book, "图例说明")[0] == ["颜色", "说明"]
-    assert sinks.export(target, str(tmp_path / "e"), ["rid"]).endswith(".xlsx") and readers.auto(spark, str(tmp_path / "e.xlsx")).columns == ["rid"]
+    assert sinks.export(
+        target, str(tmp_path / "e"), ["rid"]
+    ).endswith(".xlsx") and readers.auto(spark, str(tmp_path / "e.xlsx")).columns == ["rid"]
 
 
 def test_enrichment(spark):
@@ -260,11 +299,19 @@ def test_enrichment(spark):
         asked.append(sorted(x.text for x in texts.collect()))
         return spark.createDataFrame([("b", {"city": "苏州市"}), ("c", {})], enrich.STRUCTURES)
 
-    out, new, found = enrich.standardise(rows, "addr", structures, pois, service, lambda d: d.withColumn("poi", F.when(F.col("std") == "苏州市", "")))
+    out, new, found = enrich.standardise(
+        rows, "addr", structures, pois, service, lambda d: d.withColumn("poi", F.when(F.col("std") == "苏州市", ""))
+    )
     got = {x.rid: x for x in out.collect()}
-    assert asked == [["b", "c"]] and [x.text for x in new.collect()] == ["b"] and [tuple(x) for x in found.collect()] == [("苏州市", "")]
-    assert (got[1]["标准化地址"], got[1]["标准化POI抽取"], got[1]["POI来源"], got[1].structure_cached) == ("杭州市园", "园", "structure", True)
-    assert (got[2]["市"], got[2]["POI来源"], got[2].cached) == ("苏州市", "empty", False) and got[3]["标准化地址"] == got[4]["市"] == got[5]["省"] == ""
+    assert asked == [["b", "c"]] and [x.text for x in new.collect()] == ["b"] and [
+        tuple(x) for x in found.collect()
+    ] == [("苏州市", "")]
+    assert (
+        got[1]["标准化地址"], got[1]["标准化POI抽取"], got[1]["POI来源"], got[1].structure_cached
+    ) == ("杭州市园", "园", "structure", True)
+    assert (
+        got[2]["市"], got[2]["POI来源"], got[2].cached
+    ) == ("苏州市", "empty", False) and got[3]["标准化地址"] == got[4]["市"] == got[5]["省"] == ""
     assert enrich.hits(out).first().asDict() == {"total": 5, "hits": 1}
     nothing, _, _ = enrich.standardise(rows, "addr", structures, pois)
     assert {x.rid for x in nothing.where("`标准化地址` <> ''").collect()} == {1}
@@ -274,7 +321,9 @@ def test_national_encodings(spark, tmp_path):
     (tmp_path / "g").mkdir()
     for i, text in enumerate(("名称,b\n\"两\n行\",1\n名称,b\n", "名称,b\n园,2\n")):
         (tmp_path / "g" / f"{i}.csv").write_bytes(text.encode("gbk"))
-    assert sorted(tuple(x) for x in readers.read_csv(spark, str(tmp_path / "g")).collect()) == [("两\n行", "1"), ("名称", "b"), ("园", "2")]
+    assert sorted(
+        tuple(x) for x in readers.read_csv(spark, str(tmp_path / "g")).collect()
+    ) == [("两\n行", "1"), ("名称", "b"), ("园", "2")]
     (tmp_path / "late.csv").write_bytes(b"a,b\n" + b"x,1\n" * 400_000 + "阳光,2\n".encode("gbk"))
     assert readers.encoding_of(spark, str(tmp_path / "late.csv")) == "gbk"
     assert readers.encoding_of(spark, str(tmp_path / "late.csv"), ("utf-8",)) == "utf-8"
@@ -283,24 +332,40 @@ def test_national_encodings(spark, tmp_path):
 
 
 def test_point_files_of_long_names(spark, tmp_path):
-    df = spark.createDataFrame([("园" * 100, "7", "1.5", 1.0, 2.0), (None, "12", "", 3.0, 4.0)], "`标准化地址` string, `标准化地区` string, n string, x double, y double")
+    df = spark.createDataFrame(
+        [("园" * 100, "7", "1.5", 1.0, 2.0), (None, "12", "", 3.0, 4.0)],
+        "`标准化地址` string, `标准化地区` string, n string, x double, y double"
+    )
     for suffix, data in sinks.point_files(df, "x", "y").items():
         (tmp_path / f"p{suffix}").write_bytes(data)
     got = readers.auto(spark, str(tmp_path / "p.shp"))
     assert got.columns == ["标准化", "标准化1", "n", "geometry", "crs"]
-    assert sorted(map(tuple, got.select("标准化", "标准化1", "n").collect()), key=str) == sorted([("园" * 84, "7", "1.5"), (None, "12", None)], key=str)
+    assert sorted(
+        map(tuple, got.select("标准化", "标准化1", "n").collect()), key=str
+    ) == sorted([("园" * 84, "7", "1.5"), (None, "12", None)], key=str)
     assert readers.dbf_fields((tmp_path / "p.dbf").read_bytes())[1][1] == "N"
     assert [sinks.dbf_type(v) for v in (["1", ""], ["1.5", "2"], ["x"], [], [""])] == ["N", "F", "C", "C", "N"]
 
 
 def test_blank_values_are_no_key(spark):
     rows = spark.createDataFrame([(1, "", " ", None), (2, None, "P", "")], "rid long, gid string, v1 string, v2 string")
-    db = spark.createDataFrame([("", "", 1.0, 2.0), ("9", " p", 1.0, 2.0)], "code string, name string, x double, y double")
+    db = spark.createDataFrame(
+        [("", "", 1.0, 2.0), ("9", " p", 1.0, 2.0)], "code string, name string, x double, y double"
+    )
     shapes = spark.createDataFrame([], "seq long, gid string, x double, y double")
     from addrloom.operators import validate
 
     found = validate.resolve(rows, db, shapes, ["v1", "v2"])
     assert {x.rid: (x.db_by, x.db_n) for x in found.collect()} == {1: (None, 0), 2: ("v1", 1)}
-    assert validate.report(validate.problems(found, ["v1", "v2"])).columns == ["目标表GID", "数据库code", "源表匹配值", "状态", "偏差距离", "原始坐标", "数据库坐标", "问题类型"]
-    lines = [x.text for x in validate.text_report(rows.agg(F.count("*").alias("n")), found, ["v1", "v2"], most=0).orderBy("line").collect()]
-    assert lines[5] == "原始客户数据总数: 2" and lines[9:11] == ["匹配结果在数据库中存在: 1", "匹配结果在数据库中缺失: 1"] and lines[-1] == "... 还有 1 条问题数据未显示"
+    assert validate.report(validate.problems(found, ["v1", "v2"])).columns == [
+        "目标表GID", "数据库code", "源表匹配值", "状态", "偏差距离", "原始坐标", "数据库坐标", "问题类型"
+    ]
+    lines = [
+        x.text
+        for x in validate.text_report(
+            rows.agg(F.count("*").alias("n")), found, ["v1", "v2"], most=0
+        ).orderBy("line").collect()
+    ]
+    assert lines[5] == "原始客户数据总数: 2" and lines[9:11] == [
+        "匹配结果在数据库中存在: 1", "匹配结果在数据库中缺失: 1"
+    ] and lines[-1] == "... 还有 1 条问题数据未显示"
