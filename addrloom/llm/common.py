@@ -222,3 +222,18 @@ def bloom_of(keys: DataFrame, bits: int = 1 << 26):
     full = np.zeros(bits // 64, np.int64)
     full[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(Bloom(full))
+
+
+def rows_held(rows: DataFrame, found, key: str = "rk") -> DataFrame:
+    """The rows whose key (a long) a broadcast filter holds: of a join that touches few rows, only these need to be shuffled."""
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(found.value.holds(batch.column(key).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def without_held(batches, found, key: str = "rk"):
+    """In a worker, the batches' other rows."""
+    for batch in batches:
+        yield batch.filter(pa.array(~found.value.holds(batch.column(key).to_numpy())))

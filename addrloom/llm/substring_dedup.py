@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, carrying, column, finished, free_names, hash_words, int64_lists, mix, signed, slices, staged, table, words_of
+from .common import bloom_of, carrying, column, finished, free_names, hash_words, int64_lists, mix, signed, rows_held, slices, staged, table, without_held, words_of
 
 ANCHOR = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -116,14 +116,17 @@ def repeated_spans(docs: DataFrame, least: int = 35) -> DataFrame:
     twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("w").cast("string").alias("w2"))
     alone = distinct.where("n = 1").select("doc_id", "rk", "first", F.posexplode("windows").alias("i", "w"))
     parts = alone.join(twice, F.col("w").cast("string") == F.col("w2")).select("doc_id", "rk", (F.col("first") + F.col("i")).cast("int").alias("first"), F.lit(1).alias("size"))
-    return staged(whole.unionByName(parts), heavy=True)
+    return whole.unionByName(parts)
 
 
-def _cut(least: int):
+def _cut(least: int, whole=None):
+    """Cuts the spans (firsts, sizes) out of texts; with a filter, of the rows that it does not hold, which have none."""
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(without_held(batches, whole) if whole else batches):
             texts, n_words, n_removed, spans = [], [], [], []
-            for text, firsts, sizes in zip(batch.column("text").to_pylist(), batch.column("firsts").to_pylist(), batch.column("sizes").to_pylist()):
+            none = [None] * len(batch)
+            places = (none, none) if whole else (batch.column("firsts").to_pylist(), batch.column("sizes").to_pylist())
+            for text, firsts, sizes in zip(batch.column("text").to_pylist(), *places):
                 words, cover, found = words_of(text), None, []
                 if firsts:
                     edge = np.zeros(len(words) + 1, np.int32)
@@ -153,8 +156,11 @@ def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
     # Equal rows have the same spans: each span is gathered once, however often its row occurs.
     found = repeated_spans(keyed.select("rk", "doc_id", "text"), least)
     per = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("first", "size")).alias("x")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
-    joined = keyed.join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
-    return joined.mapInArrow(_cut(least), carrying(keyed.schema["row"].dataType, _KINDS))
+    per = staged(per, heavy=True)
+    touched = bloom_of(per.select("k"))
+    joined = rows_held(keyed, touched).join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
+    made = carrying(keyed.schema["row"].dataType, _KINDS)
+    return joined.mapInArrow(_cut(least), made).unionByName(keyed.select("rk", "text", "row").mapInArrow(_cut(least, touched), made))
 
 
 def dedup(docs: DataFrame, least: int = 35) -> DataFrame:
