@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, components, finished, int64_lists, mix, shingle_hashes, signed, slices, staged, table
+from .common import bloom_of, components, finished, int64_lists, mix, rows_held, shingle_hashes, signed, slices, staged, table, without_held
 
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 #: The most shingles that a light set's partner may lack: beyond it a set has thousands of subsets.
@@ -420,12 +420,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return labelled(docs, k, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _touched(found, wanted: bool):
-    """The rows whose key the filter holds, or those whose key it does not hold."""
+def _others(found):
     def run(batches):
-        for batch in slices(batches):
-            held = found.value.holds(batch.column("key").to_numpy())
-            yield batch.filter(pa.array(held if wanted else ~held))
+        yield from without_held(batches, found, "key")
 
     return run
 
@@ -440,8 +437,8 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     touched = bloom_of(gone.unionByName(again).select(F.xxhash64("d0", "h0").alias("key")))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h")).withColumn("key", F.xxhash64("d", "h"))
     same = F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0"))
-    left = staged(rows.mapInArrow(_touched(touched, True), rows.schema).join(gone, same, "left_anti"))
-    parts = [rows.mapInArrow(_touched(touched, False), rows.schema), left.join(again, same, "left_anti"), left.join(again, same, "left_semi").dropDuplicates(["d", "h"])]
+    left = staged(rows_held(rows, touched, "key").join(gone, same, "left_anti"))
+    parts = [rows.mapInArrow(_others(touched), rows.schema), left.join(again, same, "left_anti"), left.join(again, same, "left_semi").dropDuplicates(["d", "h"])]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("row.*")
 
 
