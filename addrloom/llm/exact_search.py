@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import finished, staged, table
 
-LEAF, SHARD_ROWS, BLOCK_QUERIES, SAMPLE_VALUES, FEWEST = 128, 8192, 65_536, 2_000_000, 16
+LEAF, BLOCK_QUERIES, SAMPLE_VALUES, FEWEST = 128, 65_536, 2_000_000, 16
+#: A shard has so many values and rows at most, as its tree is held by a task; small tables are cut finer, down to SHARD_LEAST
+#: rows, until there are two shards for each core.
+SHARD_VALUES, SHARD_MOST, SHARD_LEAST = 1 << 22, 65_536, 4096
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -245,7 +248,15 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def shards_for(rows: int, width: int, cores: int) -> int:
+    """Queries are copied to the shards that they visit, so shards are as large as a task can hold."""
+    most = max(1, min(SHARD_MOST, SHARD_VALUES // width))
+    return max(-(-rows // most), min(2 * cores, -(-rows // min(most, SHARD_LEAST))))
+
+
+def top_k(
+    vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int | None = None, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """query_id, rank, vec_id, score for vectors (vec_id, embedding); queries are the ids divisible by `every`.
 
     Beyond the sample, the driver gets a row for each length of vectors, and for each cell (at most a row of the sample in
@@ -259,7 +270,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHA
     counts = {r.width: r.n for r in rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    wanted = {w: -(-n // shard_rows) for w, n in counts.items()}
+    cores = spark.sparkContext.defaultParallelism
+    wanted = {w: -(-n // shard_rows) if shard_rows else shards_for(n, w, cores) for w, n in counts.items()}
     splits: dict[int, list] = {}
     if max(wanted.values()) > 1:
         sample = rows.orderBy(F.xxhash64("id", "v")).limit(max(1, SAMPLE_VALUES // max(counts))).select("v").toArrow().combine_chunks()
@@ -271,7 +283,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int = SHA
     boxes = parts.groupBy("width", "cell").applyInArrow(_box, parts.schema).orderBy("width", "cell").collect()
     number, first, total, by_width = {}, {}, 0, {}
     for b in boxes:
-        number[b.width, b.cell], first[b.width, b.cell] = -(-b.n // shard_rows), total
+        number[b.width, b.cell] = max(1, round(b.n * wanted[b.width] / counts[b.width]))
+        first[b.width, b.cell] = total
         total += number[b.width, b.cell]
     for w in counts:
         own = [b for b in boxes if b.width == w]
