@@ -147,7 +147,9 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     hashes = hash_words(words)
-    return np.unique(grams(hashes, min(k, len(words))) if len(words) >= k else mix(grams(hashes, len(words)) + np.uint64(len(words))))
+    return np.unique(
+        grams(hashes, min(k, len(words))) if len(words) >= k else mix(grams(hashes, len(words)) + np.uint64(len(words)))
+    )
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -171,24 +173,36 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     component meets in one task. Each round is staged.
     """
     def stars(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        both = e.select("a", "b").unionByName(
+            e.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ) if large else e.select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        )
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         # The key is cast so that both sides are dealt anew: then the rows of a node with very many edges can be split.
         linked = both.join(low, F.col("a").cast("string") == F.col("k").cast("string"))
-        kept = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        kept = linked.where("b > a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")
+        ) if large else linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+            low.select(F.col("k").alias("a"), F.col("m").alias("b"))
+        )
         return kept.where("a <> b").distinct()
 
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(rounds):
         now = staged(stars(stars(now, True), False))
-        last, mark = mark, now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(20)))")).first()
+        last, mark = mark, now.agg(
+            F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(20)))")
+        ).first()
         if mark == last or not mark[0]:
             break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.withColumn("root", F.col("node")))
+    return now.select(
+        F.col("a").alias("node"), F.col("b").alias("root")
+    ).unionByName(roots.withColumn("root", F.col("node")))
 
 
 class Bloom:
@@ -199,7 +213,10 @@ class Bloom:
 
     @staticmethod
     def places(keys: np.ndarray, shift: np.uint64) -> list[np.ndarray]:
-        return [(mix(keys.view(np.uint64) ^ np.uint64(seed)) >> shift).astype(np.int64) for seed in (0x5BD1E995, 0x1B873593CC9E2D51)]
+        return [
+            (mix(keys.view(np.uint64) ^ np.uint64(seed)) >> shift).astype(np.int64)
+            for seed in (0x5BD1E995, 0x1B873593CC9E2D51)
+        ]
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
@@ -216,9 +233,13 @@ def bloom_of(keys: DataFrame, bits: int = 1 << 26):
         for batch in batches:
             at = np.concatenate(Bloom.places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), shift))
             word = at >> 6
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "mask"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word.astype(np.int32)), pa.array(np.left_shift(np.int64(1), at & 63))], ["word", "mask"]
+            )
 
-    words = keys.mapInArrow(run, "word int, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    words = keys.mapInArrow(run, "word int, mask long").groupBy("word").agg(
+        F.expr("bit_or(mask)").alias("mask")
+    ).toArrow()
     full = np.zeros(bits // 64, np.int64)
     full[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     return keys.sparkSession.sparkContext.broadcast(Bloom(full))

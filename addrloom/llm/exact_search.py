@@ -62,7 +62,9 @@ class Tree:
             self.nodes[at] = [self._grow(ids[h], points[h]) for h in halves]
         return at
 
-    def search(self, owns: list[int], queries: np.ndarray, k: int, floors: list[int | None]) -> list[tuple[int, int, int]]:
+    def search(
+        self, owns: list[int], queries: np.ndarray, k: int, floors: list[int | None]
+    ) -> list[tuple[int, int, int]]:
         """(query's id, id, score) of the k best of each query that are no less than its floor."""
         out, reach = [], bounds(queries, self.low, self.high)
         for own, query, least, bound in zip(owns, queries, floors, reach.tolist()):
@@ -82,7 +84,9 @@ class Tree:
                     continue
                 ids, points = held
                 # Whole numbers of 64 bits add up rightly as long as the sum fits.
-                scores = (points @ query if exact else points.astype(np.int64) @ query.astype(np.int64)).astype(np.int64)
+                scores = (
+                    points @ query if exact else points.astype(np.int64) @ query.astype(np.int64)
+                ).astype(np.int64)
                 for i in np.flatnonzero(scores >= least).tolist():
                     if ids[i] != own:
                         item = (int(scores[i]), -int(ids[i]))
@@ -160,7 +164,9 @@ def _placed(splits):
             cell = np.zeros(len(batch), np.int32)
             for width, at, points in _by_width(batch):
                 cell[at] = cells_of(points, splits.value.get(width, []))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell)], ["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("v"), pa.array(cell)], ["id", "v", "cell"]
+            )
 
     return run
 
@@ -175,13 +181,27 @@ def _boxes(batches):
                 own = points[cell[at] == c]
                 n, low, high = held.get((width, c), (0, np.inf, -np.inf))
                 held[width, c] = n + len(own), np.minimum(low, own.min(axis=0)), np.maximum(high, own.max(axis=0))
-    rows = [{"width": w, "cell": c, "n": n, "low": low.tolist(), "high": high.tolist()} for (w, c), (n, low, high) in held.items()]
-    yield pa.RecordBatch.from_pylist(rows, pa.schema([("width", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))]))
+    rows = [
+        {"width": w, "cell": c, "n": n, "low": low.tolist(), "high": high.tolist()} for (w, c),
+        (n, low, high) in held.items()
+    ]
+    yield pa.RecordBatch.from_pylist(
+        rows,
+        pa.schema(
+            [
+                ("width", pa.int32()), ("cell", pa.int32()), ("n", pa.int64()), ("low", pa.list_(pa.float64())),
+                ("high", pa.list_(pa.float64()))
+            ]
+        )
+    )
 
 
 def _box(key, group):
     bound = lambda name, f: f(np.array(group.column(name).to_pylist()), axis=0).tolist()
-    row = {"width": key[0].as_py(), "cell": key[1].as_py(), "n": sum(group.column("n").to_pylist()), "low": bound("low", np.min), "high": bound("high", np.max)}
+    row = {
+        "width": key[0].as_py(), "cell": key[1].as_py(), "n": sum(group.column("n").to_pylist()),
+        "low": bound("low", np.min), "high": bound("high", np.max)
+    }
     return pa.Table.from_pylist([row], group.schema)
 
 
@@ -206,7 +226,10 @@ def _routed(boxes, start: int, end: int):
                             shards.append(int(first[c]) + (n + int(ids[i])) % int(number[c]))
                         place += int(number[c])
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("id", "v", "least")), pa.array(shards, pa.int32())], ["id", "v", "least", "shard"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(rows) for c in ("id", "v", "least")), pa.array(shards, pa.int32())],
+                ["id", "v", "least", "shard"]
+            )
 
     return run
 
@@ -237,7 +260,9 @@ def _streamed(k: int):
                     for i in range(0, len(owns), 256):
                         found += tree.search(owns[i : i + 256], points[i : i + 256], k, floors[i : i + 256])
             q, v, s = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, v, s)], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (q, v, s)], ["query_id", "vec_id", "score"]
+            )
 
     return run
 
@@ -245,7 +270,9 @@ def _streamed(k: int):
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query; the rank limit also holds before the shuffle, task by task."""
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )
 
 
 def shards_for(rows: int, width: int, cores: int) -> int:
@@ -263,10 +290,16 @@ def top_k(
     FEWEST, and one for each length)."""
     spark = vectors.sparkSession
     x = F.transform("embedding", lambda v: F.floor(F.lit(256.0) * v.cast("double")).cast("double"))
-    good = F.expr("embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(cast(v as double)) < double('infinity'))")
-    rows = vectors.where(F.col("vec_id").isNotNull() & good).select(F.col("vec_id").cast("long").alias("id"), x.alias("v"))
+    good = F.expr(
+        "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(cast(v as double)) < double('infinity'))"
+    )
+    rows = vectors.where(F.col("vec_id").isNotNull() & good).select(
+        F.col("vec_id").cast("long").alias("id"), x.alias("v")
+    )
     # A component of a vector this short fits in an int.
-    rows = rows.where(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v) < 2.0**62).select("id", F.expr("transform(v, x -> cast(x as int))").alias("v"))
+    rows = rows.where(
+        F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v) < 2.0**62
+    ).select("id", F.expr("transform(v, x -> cast(x as int))").alias("v"))
     counts = {r.width: r.n for r in rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -274,12 +307,20 @@ def top_k(
     wanted = {w: -(-n // shard_rows) if shard_rows else shards_for(n, w, cores) for w, n in counts.items()}
     splits: dict[int, list] = {}
     if max(wanted.values()) > 1:
-        sample = rows.orderBy(F.xxhash64("id", "v")).limit(max(1, SAMPLE_VALUES // max(counts))).select("v").toArrow().combine_chunks()
+        sample = rows.orderBy(F.xxhash64("id", "v")).limit(
+            max(1, SAMPLE_VALUES // max(counts))
+        ).select("v").toArrow().combine_chunks()
         for batch in sample.to_batches():
             splits |= {w: planes(points, wanted[w]) for w, _, points in _by_width(batch)}
     held = spark.sparkContext.broadcast(splits)
-    placed = staged(rows.mapInArrow(_placed(held), "id long, v array<int>, cell int").withColumn("salt", F.monotonically_increasing_id()))
-    parts = placed.select("v", "cell").mapInArrow(_boxes, "width int, cell int, n long, low array<double>, high array<double>")
+    placed = staged(
+        rows.mapInArrow(
+            _placed(held), "id long, v array<int>, cell int"
+        ).withColumn("salt", F.monotonically_increasing_id())
+    )
+    parts = placed.select("v", "cell").mapInArrow(
+        _boxes, "width int, cell int, n long, low array<double>, high array<double>"
+    )
     boxes = parts.groupBy("width", "cell").applyInArrow(_box, parts.schema).orderBy("width", "cell").collect()
     number, first, total, by_width = {}, {}, 0, {}
     for b in boxes:
@@ -288,9 +329,16 @@ def top_k(
         total += number[b.width, b.cell]
     for w in counts:
         own = [b for b in boxes if b.width == w]
-        by_width[w] = tuple(np.array([f(b) for b in own]) for f in (lambda b: b.low, lambda b: b.high, lambda b: first[b.width, b.cell], lambda b: number[b.width, b.cell]))
+        by_width[w] = tuple(
+            np.array([f(b) for b in own])
+            for f in (
+                lambda b: b.low, lambda b: b.high, lambda b: first[b.width, b.cell], lambda b: number[b.width, b.cell]
+            )
+        )
     held = spark.sparkContext.broadcast(by_width)
-    owner = spark.createDataFrame([(w, c, first[w, c], n) for (w, c), n in number.items()], "width int, own int, first int, number int")
+    owner = spark.createDataFrame(
+        [(w, c, first[w, c], n) for (w, c), n in number.items()], "width int, own int, first int, number int"
+    )
     shards = placed.join(F.broadcast(owner), (F.size("v") == F.col("width")) & (F.col("cell") == F.col("own")))
     shards = shards.select("id", "v", (F.col("first") + F.pmod("salt", "number")).cast("int").alias("shard"))
     queries = placed.where(F.col("id") % every == 0).select("id", "v")
@@ -303,12 +351,24 @@ def top_k(
             asked = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", "least")
         asked = asked.mapInArrow(_routed(held, start, end), "id long, v array<int>, least long, shard int")
         # A shard with very many queries is copied for blocks of them.
-        loads = staged(asked.groupBy("shard").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks")).withColumnRenamed("shard", "s"))
-        here = shards.join(loads, F.col("shard") == F.col("s")).select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id", "v", F.lit(None).cast("long").alias("least"))
-        there = asked.join(loads, F.col("shard") == F.col("s")).select("shard", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "id", "v", "least")
+        loads = staged(
+            asked.groupBy("shard").agg(
+                F.ceil(F.count("*") / block_queries).cast("int").alias("blocks")
+            ).withColumnRenamed("shard", "s")
+        )
+        here = shards.join(loads, F.col("shard") == F.col("s")).select(
+            "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id",
+            "v", F.lit(None).cast("long").alias("least")
+        )
+        there = asked.join(loads, F.col("shard") == F.col("s")).select(
+            "shard", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"), "id",
+            "v", "least"
+        )
         met = here.unionByName(there).repartition("shard", "block").sortWithinPartitions("shard", "block", "side")
         found = met.mapInArrow(_streamed(k), _FOUND)
-        best = staged(_best(found if best is None else best.select("query_id", "vec_id", "score").unionByName(found), k))
+        best = staged(
+            _best(found if best is None else best.select("query_id", "vec_id", "score").unionByName(found), k)
+        )
         start, end = end, 8 * end + 1
     return best
 

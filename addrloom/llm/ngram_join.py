@@ -151,7 +151,10 @@ def _signatures(k: int, percent: int):
             n, sid = [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]
             small = int64_lists([signed(s) if len(s) <= light else np.zeros(0, np.int64) for s in sets])
             first = int64_lists([signed(prefix(s, percent)) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), small, first], ["doc_id", "hash", "n_shingles", "sid", "small", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), small, first],
+                ["doc_id", "hash", "n_shingles", "sid", "small", "prefix"]
+            )
 
     return run
 
@@ -163,9 +166,16 @@ def boundary(small: DataFrame, percent: int) -> int:
     the length of the inverted lists of its sets' prefixes. Both are sums by size: one row for each, light_most of them."""
     lists = small.select("n_shingles", F.explode("prefix").alias("key"))
     length = lists.groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").cast("string").alias("k"), "n")
-    scan = lists.join(length, F.col("key").cast("string") == F.col("k")).groupBy("n_shingles").agg(F.sum("n").alias("scan"))
+    scan = lists.join(
+        length, F.col("key").cast("string") == F.col("k")
+    ).groupBy("n_shingles").agg(F.sum("n").alias("scan"))
     rows = small.groupBy("n_shingles").agg(F.count("*").alias("sets")).join(scan, "n_shingles", "left").collect()
-    costs = {r.n_shingles: (r.sets * sum(math.comb(r.n_shingles, g) for g in range(lacking(r.n_shingles, percent) + 1)), r.scan or 0) for r in rows}
+    costs = {
+        r.n_shingles: (
+            r.sets * sum(math.comb(r.n_shingles, g) for g in range(lacking(r.n_shingles, percent) + 1)), r.scan or 0
+        )
+        for r in rows
+    }
     total = lambda x: sum(light if n <= x else heavy for n, (light, heavy) in costs.items())
     return min(range(light_most(percent) + 1), key=lambda x: (total(x), x))
 
@@ -179,7 +189,10 @@ def _subsets(percent: int):
             made = [light_keys(s, percent) for s in sets]
             times = pa.array(np.repeat(np.arange(len(made)), [len(a) for a, _ in made]))
             keys, sizes = (np.concatenate(x) if made else np.zeros(0, np.int64) for x in (list(zip(*made)) or ((), ())))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(times), batch.column(1).take(times), pa.array(signed(keys)), pa.array(sizes)], ["sid", "n_shingles", "key", "o"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(times), batch.column(1).take(times), pa.array(signed(keys)), pa.array(sizes)],
+                ["sid", "n_shingles", "key", "o"]
+            )
 
     return run
 
@@ -187,12 +200,16 @@ def _subsets(percent: int):
 def _light_links(small: DataFrame, percent: int) -> DataFrame:
     """Sets that share a whole subset are linked, if their sizes allow it: a star around the smallest of them, as whoever links
     by this subset links with that one too."""
-    subsets = small.select("sid", "n_shingles", "small").mapInArrow(_subsets(percent), "sid long, n_shingles long, key long, o long")
+    subsets = small.select("sid", "n_shingles", "small").mapInArrow(
+        _subsets(percent), "sid long, n_shingles long, key long, o long"
+    )
     rank = F.struct(F.col("n_shingles").alias("n"), F.col("sid").alias("s"))
     hubs = subsets.groupBy("key", "o").agg(F.min(rank).alias("hub"), F.max(rank).alias("last")).where("hub <> last")
     hubs = hubs.select(F.col("key").cast("string").alias("hub_key"), F.col("o").alias("hub_o"), "hub.n", "hub.s")
     found = subsets.join(hubs, (F.col("key").cast("string") == F.col("hub_key")) & (F.col("o") == F.col("hub_o")))
-    return found.where((F.col("sid") != F.col("s")) & (100 * F.col("o") >= percent * (F.col("n_shingles") + F.col("n") - F.col("o")))).select(F.col("sid").alias("a"), F.col("s").alias("b"))
+    return found.where(
+        (F.col("sid") != F.col("s")) & (100 * F.col("o") >= percent * (F.col("n_shingles") + F.col("n") - F.col("o")))
+    ).select(F.col("sid").alias("a"), F.col("s").alias("b"))
 
 
 def _sets(k: int, wanted):
@@ -201,7 +218,13 @@ def _sets(k: int, wanted):
         for batch in slices(batches):
             batch = batch.take(pa.array(np.flatnonzero(wanted.value.holds(batch.column(2).to_numpy()))))
             sets = [shingle_hashes(t, k) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()), int64_lists([signed(s) for s in sets])], ["id", "hash", "set", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(2), pa.array([set_id(s) for s in sets], pa.int64()),
+                    int64_lists([signed(s) for s in sets])
+                ],
+                ["id", "hash", "set", "shingles"]
+            )
 
     return run
 
@@ -209,8 +232,12 @@ def _sets(k: int, wanted):
 def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """members (sid, doc_id, hash and more), one row for each set, with the set's shingles instead of doc_id and hash."""
     wanted = bloom_of(members.select("hash"))
-    sets = docs.mapInArrow(_sets(k, wanted), "id long, hash long, set long, shingles array<long>").withColumnsRenamed({"hash": "h"})
-    found = members.join(sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h")))
+    sets = docs.mapInArrow(
+        _sets(k, wanted), "id long, hash long, set long, shingles array<long>"
+    ).withColumnsRenamed({"hash": "h"})
+    found = members.join(
+        sets, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sid") == F.col("set")) & (F.col("hash") == F.col("h"))
+    )
     return found.select(*(c for c in members.columns if c not in ("doc_id", "hash")), "shingles")
 
 
@@ -224,21 +251,37 @@ def _promising(found, least, keys: str):
             ends = np.cumsum(lengths)
             sums = np.concatenate([[0], np.cumsum(held)])
             needed = np.array([least(n) for n in batch.column("n_shingles").to_pylist()], np.int64)
-            yield batch.filter(pa.array(sums[ends] - sums[ends - lengths] >= needed)).drop_columns([keys] if keys == "prefix" else [])
+            yield batch.filter(
+                pa.array(sums[ends] - sums[ends - lengths] >= needed)
+            ).drop_columns([keys] if keys == "prefix" else [])
 
     return run
 
 
 def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
     """(sid, n_shingles, shingles) of the heavy sets that can have a partner: enough of their shingles are in other sets too."""
-    keys = made.select("sid", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    keys = made.select("sid", F.explode("prefix").alias("key")).groupBy("key").agg(
+        F.min("sid").alias("lo"), F.max("sid").alias("hi")
+    )
     often = bloom_of(keys.where("lo <> hi").select("key"))
-    few = made.select("doc_id", "hash", "n_shingles", "sid", "prefix").mapInArrow(_promising(often, lambda n: shared_least(n, percent), "prefix"), "doc_id long, hash long, n_shingles long, sid long")
-    one = staged(few.groupBy("sid", "n_shingles").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("sid", "n_shingles", "one.doc_id", "one.hash"), heavy=True)
+    few = made.select("doc_id", "hash", "n_shingles", "sid", "prefix").mapInArrow(
+        _promising(often, lambda n: shared_least(n, percent), "prefix"),
+        "doc_id long, hash long, n_shingles long, sid long"
+    )
+    one = staged(
+        few.groupBy("sid", "n_shingles").agg(
+            F.min(F.struct("doc_id", "hash")).alias("one")
+        ).select("sid", "n_shingles", "one.doc_id", "one.hash"),
+        heavy=True
+    )
     # Repeated rows have the same id and text, and so bring a set more than once.
     sets = staged(_with_sets(docs, one, k).dropDuplicates(["sid"]))
-    again = bloom_of(sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key"))
-    return staged(sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema), heavy=True)
+    again = bloom_of(
+        sets.select(F.explode("shingles").alias("key")).groupBy("key").count().where("count > 1").select("key")
+    )
+    return staged(
+        sets.mapInArrow(_promising(again, lambda n: -(-percent * n // 100), "shingles"), sets.schema), heavy=True
+    )
 
 
 def _part_keys(percent: int, light: int):
@@ -254,7 +297,10 @@ def _part_keys(percent: int, light: int):
             times = [len(keys) for *_, keys in rows]
             of = lambda j, kind: pa.array(np.repeat(np.array([r[j] for r in rows], kind), times))
             flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("sid").take(of(0, np.int64)), of(1, np.int32), of(2, np.int32), pa.array(signed(flat))], ["sid", "band", "least", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid").take(of(0, np.int64)), of(1, np.int32), of(2, np.int32), pa.array(signed(flat))],
+                ["sid", "band", "least", "key"]
+            )
 
     return run
 
@@ -270,16 +316,29 @@ def _held(wanted):
 
 def _shared_parts(likely: DataFrame, percent: int, light: int) -> DataFrame:
     """(sid, key, hub): the parts that several sets share, with the least of them, of sets that share enough parts."""
-    parts = staged(likely.select("sid", "shingles").mapInArrow(_part_keys(percent, light), "sid long, band int, least int, key long"))
+    parts = staged(
+        likely.select("sid", "shingles").mapInArrow(
+            _part_keys(percent, light), "sid long, band int, least int, key long"
+        )
+    )
     often = bloom_of(parts.groupBy("key").count().where("count > 1").select("key"))
 
     def shared(rows: DataFrame) -> DataFrame:
-        hubs = rows.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("last")).where("hub <> last").select(F.col("key").cast("string").alias("k"), "hub")
+        hubs = rows.groupBy("key").agg(
+            F.min("sid").alias("hub"), F.max("sid").alias("last")
+        ).where("hub <> last").select(F.col("key").cast("string").alias("k"), "hub")
         return rows.join(hubs, F.col("key").cast("string") == F.col("k")).drop("k")
 
     rows = staged(shared(parts.mapInArrow(_held(often), parts.schema)).drop("hub"))
-    enough = rows.groupBy("sid", "band").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select(F.col("sid").alias("s"), F.col("band").alias("b"))
-    return staged(shared(rows.join(enough, (F.col("sid") == F.col("s")) & (F.col("band") == F.col("b")), "left_semi")).select("sid", "key", "hub"), heavy=True)
+    enough = rows.groupBy("sid", "band").agg(
+        F.count("*").alias("n"), F.max("least").alias("least")
+    ).where("n >= least").select(F.col("sid").alias("s"), F.col("band").alias("b"))
+    return staged(
+        shared(
+            rows.join(enough, (F.col("sid") == F.col("s")) & (F.col("band") == F.col("b")), "left_semi")
+        ).select("sid", "key", "hub"),
+        heavy=True
+    )
 
 
 def _hub_links(likely: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +352,9 @@ def _hub_links(likely: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * overlap >= percent * (F.size("x") + F.size("y") - overlap)).select("a", "b")
 
 
-def forest_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, left_root=None, right_root=None) -> list[tuple[int, int]]:
+def forest_links(
+    left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, left_root=None, right_root=None
+) -> list[tuple[int, int]]:
     """Links between two blocks of sets (or within one), by scanning the inverted lists of the one with each set of the other;
     the links that join no new parts of the forest are left out: it begins with the sets of equal roots, if they are given.
     Places count on through both blocks."""
@@ -342,7 +403,12 @@ def _verify(percent: int):
         if len(set(roots)) > 1:
             two = key[1].as_py() != key[2].as_py()
             found = forest_links(sets[:split], sets[split:] if two else None, percent, roots[:split], roots[split:])
-        return pa.table({"a": pa.array([int(sids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(sids[j]) for _, j in found], pa.int64())})
+        return pa.table(
+            {
+                "a": pa.array([int(sids[i]) for i, _ in found], pa.int64()),
+                "b": pa.array([int(sids[j]) for _, j in found], pa.int64())
+            }
+        )
 
     return run
 
@@ -351,30 +417,73 @@ def _open_links(likely: DataFrame, parts: DataFrame, roots: DataFrame, percent:
     """Links across components of sets that share a part: sets with such parts in common form clusters; of each cluster, the
     sets outside of its largest component meet each other and those inside, in blocks."""
     text = lambda c: F.col(c).cast("string")
-    named = parts.join(roots.select("node", F.col("root").alias("r")), text("sid") == text("node"), "left").select("sid", "key", "hub", F.coalesce("r", "sid").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(text("key").alias("k"))
+    named = parts.join(
+        roots.select("node", F.col("root").alias("r")), text("sid") == text("node"), "left"
+    ).select("sid", "key", "hub", F.coalesce("r", "sid").alias("root"))
+    mixed = named.groupBy("key").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi")
+    ).where("lo <> hi").select(text("key").alias("k"))
     rows = staged(named.join(mixed, text("key") == F.col("k")).select("sid", "hub", "root").distinct())
     found = components(rows.where("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")))
-    members = rows.select("sid", "root").distinct().join(found.select(F.col("node").alias("c"), F.col("root").alias("cluster")), text("sid") == text("c")).select("sid", "root", "cluster")
-    members = staged(members.join(likely.select(F.col("sid").alias("s"), "n_shingles"), text("sid") == text("s")).drop("s"))
-    shares = members.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    members = rows.select("sid", "root").distinct().join(
+        found.select(F.col("node").alias("c"), F.col("root").alias("cluster")), text("sid") == text("c")
+    ).select("sid", "root", "cluster")
+    members = staged(
+        members.join(likely.select(F.col("sid").alias("s"), "n_shingles"), text("sid") == text("s")).drop("s")
+    )
+    shares = members.groupBy("cluster", "root").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("n_shingles").alias("low"),
+        F.max("n_shingles").alias("high")
+    )
     shares = staged(shares)
-    whole = shares.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("main")).select(text("cluster").alias("k"), "main")
+    whole = shares.groupBy("cluster").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main")
+    ).select(text("cluster").alias("k"), "main")
     outer = F.col("root") != F.col("main")
     kinds = shares.join(whole, text("cluster") == F.col("k")).groupBy("k", "main").agg(
-        F.sum(F.when(outer, F.col("n"))).alias("out_n"), F.sum(F.when(outer, F.col("size"))).alias("out_size"), F.min(F.when(outer, F.col("low"))).alias("low"), F.max(F.when(outer, F.col("high"))).alias("high"),
-        F.sum(F.when(~outer, F.col("n"))).alias("in_n"), F.sum(F.when(~outer, F.col("size"))).alias("in_size")).where("out_n > 0")
-    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("int")
-    kinds = staged(kinds.select("k", "main", "low", "high", blocks("out_n", "out_size").alias("outs"), blocks("in_n", "in_size").alias("ins")))
+        F.sum(F.when(outer, F.col("n"))).alias("out_n"), F.sum(
+            F.when(outer, F.col("size"))
+        ).alias("out_size"), F.min(F.when(outer, F.col("low"))).alias("low"), F.max(
+            F.when(outer, F.col("high"))
+        ).alias("high"),
+        F.sum(F.when(~outer, F.col("n"))).alias("in_n"), F.sum(
+            F.when(~outer, F.col("size"))
+        ).alias("in_size")).where("out_n > 0")
+    blocks = lambda n, size: F.greatest(
+        F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(size) / BLOCK_SHINGLES)
+    ).cast("int")
+    kinds = staged(
+        kinds.select(
+            "k", "main", "low", "high", blocks("out_n", "out_size").alias("outs"),
+            blocks("in_n", "in_size").alias("ins")
+        )
+    )
     rows = members.join(kinds, text("cluster") == F.col("k")).withColumn("outer", outer)
     # Inside, sets of a size that none outside can link with are left out.
-    rows = rows.where("outer").unionByName(rows.where(~F.col("outer") & (100 * F.col("n_shingles") >= percent * F.col("low")) & (percent * F.col("n_shingles") <= 100 * F.col("high"))))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    rows = rows.where("outer").unionByName(
+        rows.where(
+            ~F.col("outer") & (100 * F.col("n_shingles") >= percent * F.col("low"))
+            & (percent * F.col("n_shingles") <= 100 * F.col("high"))
+        )
+    )
+    rows = rows.withColumn(
+        "mine", F.pmod(F.xxhash64("sid"), F.when(F.col("outer"), F.col("outs")).otherwise(F.col("ins"))).cast("int")
+    )
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    deal = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
-    among = F.transform(upto("outs"), lambda x: deal(F.least("mine", x), F.greatest("mine", x), (F.col("mine") > x).cast("int")))
-    out = rows.where("outer").select("sid", "root", "cluster", F.explode(F.concat(among, F.transform(upto("ins"), lambda x: deal(F.col("mine"), -1 - x, F.lit(0))))).alias("x"))
-    inside = rows.where(~F.col("outer")).select("sid", "root", "cluster", F.explode(F.transform(upto("outs"), lambda x: deal(x, -1 - F.col("mine"), F.lit(1)))).alias("x"))
+    deal = lambda i, j, side: F.struct(
+        i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side")
+    )
+    among = F.transform(
+        upto("outs"), lambda x: deal(F.least("mine", x), F.greatest("mine", x), (F.col("mine") > x).cast("int"))
+    )
+    out = rows.where("outer").select(
+        "sid", "root", "cluster",
+        F.explode(F.concat(among, F.transform(upto("ins"), lambda x: deal(F.col("mine"), -1 - x, F.lit(0))))).alias("x")
+    )
+    inside = rows.where(~F.col("outer")).select(
+        "sid", "root", "cluster",
+        F.explode(F.transform(upto("outs"), lambda x: deal(x, -1 - F.col("mine"), F.lit(1)))).alias("x")
+    )
     dealt = out.unionByName(inside).select("sid", "root", "cluster", "x.*")
     dealt = dealt.join(likely.select(F.col("sid").alias("s"), "shingles"), text("sid") == text("s")).drop("s")
     return dealt.groupBy("cluster", "i", "j").applyInArrow(_verify(percent), "a long, b long")
@@ -382,7 +491,11 @@ def _open_links(likely: DataFrame, parts: DataFrame, roots: DataFrame, percent:
 
 def _linked_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root) of the sets with links."""
-    small = staged(made.where("size(small) > 0").groupBy("sid", "n_shingles").agg(F.min("small").alias("small"), F.min("prefix").alias("prefix")))
+    small = staged(
+        made.where("size(small) > 0").groupBy("sid", "n_shingles").agg(
+            F.min("small").alias("small"), F.min("prefix").alias("prefix")
+        )
+    )
     light = boundary(small, percent)
     links = _light_links(small.where(F.col("n_shingles") <= light), percent)
     likely = _likely_sets(docs, made.where(F.col("n_shingles") >= bands(percent, light, 1)[0]), k, percent)
@@ -392,7 +505,9 @@ def _linked_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> Data
     found = staged(_open_links(likely, parts, first, percent))
     for side in "ab":
         names = first.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        found = found.join(names, text(side) == text("n"), "left").withColumn(side, F.coalesce("r", side)).drop("n", "r")
+        found = found.join(
+            names, text(side) == text("n"), "left"
+        ).withColumn(side, F.coalesce("r", side)).drop("n", "r")
     merged = staged(components(found))
     later = merged.select(F.col("node").alias("n"), F.col("root").alias("r"))
     moved = first.join(later, text("root") == text("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
@@ -402,22 +517,40 @@ def _linked_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> Data
 def labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, hash (of the text), n_shingles and first: (doc_id, hash) of the component's first row, null without shingles."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
-    made = staged(docs.mapInArrow(_signatures(k, percent), "doc_id long, hash long, n_shingles long, sid long, small array<long>, prefix array<long>"))
+    made = staged(
+        docs.mapInArrow(
+            _signatures(k, percent),
+            "doc_id long, hash long, n_shingles long, sid long, small array<long>, prefix array<long>"
+        )
+    )
     found = _linked_sets(docs, made, k, percent)
     # Nulls sort first in structs, so the id's absence comes before it.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     ids = made.where("sid is not null").groupBy("sid").agg(F.min(place).alias("low"))
-    roots = ids.join(found, F.col("sid") == F.col("node"), "left").select("sid", "low", F.coalesce("root", "sid").alias("root"))
-    lowest = roots.groupBy("root").agg(F.min("low").alias("first")).select(F.col("root").cast("string").alias("r"), "first")
-    named = roots.join(lowest, F.col("root").cast("string") == F.col("r")).select(F.col("sid").cast("string").alias("s"), "first")
+    roots = ids.join(found, F.col("sid") == F.col("node"), "left").select(
+        "sid", "low", F.coalesce("root", "sid").alias("root")
+    )
+    lowest = roots.groupBy("root").agg(F.min("low").alias("first")).select(
+        F.col("root").cast("string").alias("r"), "first"
+    )
+    named = roots.join(
+        lowest, F.col("root").cast("string") == F.col("r")
+    ).select(F.col("sid").cast("string").alias("s"), "first")
     # Rows without a set get keys of their own, so that they are dealt evenly.
-    key = F.coalesce(F.col("sid").cast("string"), F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return made.select("doc_id", "hash", "n_shingles", key.alias("s0")).join(named, F.col("s0") == F.col("s"), "left").select("doc_id", "hash", "n_shingles", "first")
+    key = F.coalesce(
+        F.col("sid").cast("string"), F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    )
+    return made.select(
+        "doc_id", "hash", "n_shingles", key.alias("s0")
+    ).join(named, F.col("s0") == F.col("s"), "left").select("doc_id", "hash", "n_shingles", "first")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); sets link when 100 * overlap >= percent * union."""
-    return labelled(docs, k, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return labelled(docs, k, percent).select(
+        "doc_id", "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
 
 
 def _others(found):
@@ -433,12 +566,19 @@ def kept_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = staged(labelled(docs, k, percent).where("n_shingles > 0"))
     here = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     gone = found.where(here != F.col("first")).select(F.col("doc_id").alias("d0"), F.col("hash").alias("h0")).distinct()
-    again = found.where(here == F.col("first")).groupBy("doc_id", "hash").count().where("count > 1").select(F.col("doc_id").alias("d0"), F.col("hash").alias("h0"))
+    again = found.where(here == F.col("first")).groupBy("doc_id", "hash").count().where("count > 1").select(
+        F.col("doc_id").alias("d0"), F.col("hash").alias("h0")
+    )
     touched = bloom_of(gone.unionByName(again).select(F.xxhash64("d0", "h0").alias("key")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h")).withColumn("key", F.xxhash64("d", "h"))
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h")
+    ).withColumn("key", F.xxhash64("d", "h"))
     same = F.col("d").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0"))
     left = staged(rows_held(rows, touched, "key").join(gone, same, "left_anti"))
-    parts = [rows.mapInArrow(_others(touched), rows.schema), left.join(again, same, "left_anti"), left.join(again, same, "left_semi").dropDuplicates(["d", "h"])]
+    parts = [
+        rows.mapInArrow(_others(touched), rows.schema), left.join(again, same, "left_anti"),
+        left.join(again, same, "left_semi").dropDuplicates(["d", "h"])
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("row.*")
 
 

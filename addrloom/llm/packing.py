@@ -30,7 +30,10 @@ FILL, MOST_CUTS = 0.98, 3
 #: What a tokenizer file must say of letters and white space for words to be encoded each by itself, in lower case.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = [
-    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {
+        "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed", "invert": True
+    },
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
 ]
 
@@ -40,7 +43,9 @@ def splits_words(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
     steps = lambda part, name: (whole.get(part) or {}).get(name)
-    return steps("normalizer", "normalizers") == NORMAL and steps("pre_tokenizer", "pretokenizers") == SPLIT and not whole.get("post_processor")
+    return steps("normalizer", "normalizers") == NORMAL and steps(
+        "pre_tokenizer", "pretokenizers"
+    ) == SPLIT and not whole.get("post_processor")
 
 
 class LowerWords:
@@ -54,7 +59,9 @@ class LowerWords:
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
-        self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.merge = tiktoken.Encoding(
+            "words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}
+        )._encode_single_piece
 
     @classmethod
     def of(cls, path: str) -> LowerWords | None:
@@ -67,10 +74,16 @@ class LowerWords:
         ids = [vocab.get(m.replace(" ", "", 1), -1) for m in merged]
         # The usual visible stand-ins of bytes: printable ones are themselves, the others follow from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        stand = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
-        if ids != sorted(set(ids)) or ids[0] < 2 * len(stand) or not all(c in vocab and c + end in vocab for c in stand):
+        stand = {chr(b): b for b in shown} | {
+            chr(256 + i): b for i, b in enumerate(sorted(set(range(256)).difference(shown)))
+        }
+        if ids != sorted(set(ids)) or ids[0] < 2 * len(stand) or not all(
+            c in vocab and c + end in vocab for c in stand
+        ):
             return None
-        ranks = {bytes([b]): vocab[c] for c, b in stand.items()} | {bytes([b]) + cls.END: vocab[c + end] for c, b in stand.items()}
+        ranks = {bytes([b]): vocab[c] for c, b in stand.items()} | {
+            bytes([b]) + cls.END: vocab[c + end] for c, b in stand.items()
+        }
         for m, i in zip(merged, ids):
             token = m.replace(" ", "", 1)
             tail = token.endswith(end)
@@ -101,7 +114,10 @@ class WordIds:
         return self._whole([w.decode("utf-8", "surrogatepass") for w in words])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [
+            struct.pack(f"<{len(e.ids)}I", *e.ids)
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ]
 
     def _encode_joined(self, words: list[bytes]) -> list[bytes]:
         text = f" {self.MARK} ".encode().join(words).decode("utf-8", "surrogatepass")
@@ -227,7 +243,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         def flush():
             rows, packer.out = packer.out, []
             for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 20_000]), kinds)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, kind in zip(zip(*rows[i : i + 20_000]), kinds)], names
+                )
 
         for batch in batches:
             for i in range(0, len(batch), 500):
@@ -238,8 +256,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         packer.finish()
         yield from flush()
 
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return made.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id", "offset")
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+    )
+    return made.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids", "doc_tokens", "sequence_id",
+        "offset"
+    )
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -249,7 +272,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
 
 
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

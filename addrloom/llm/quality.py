@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import carrying, column, keep_only, slices, table, words_of
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_table_words", "n_distinct_words"]
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper_words", "n_table_words",
+    "n_distinct_words"
+]
 _SYMBOL = b"#*$%&|<>"
 
 
@@ -61,7 +64,9 @@ def measure(text: str | None) -> tuple[int, ...]:
     repeats = 0
     if n >= 3:
         v = np.int64(len(number))
-        _, pair = np.unique(ids[:-1] * v + ids[1:], return_inverse=True)  # numbered anew, so that three words fit in 64 bits
+        _, pair = np.unique(
+            ids[:-1] * v + ids[1:], return_inverse=True
+        )  # numbered anew, so that three words fit in 64 bits
         _, at, times = np.unique(pair[:-1] * v + ids[2:], return_inverse=True, return_counts=True)
         again = times[at] > 1
         hit = np.zeros(n, bool)
@@ -78,7 +83,9 @@ def _measured(docs: DataFrame, carried: Column) -> DataFrame:
         keep_only()
         for batch in slices(batches):
             rows = np.array([measure(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["row", *MEASURES])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], ["row", *MEASURES]
+            )
 
     rows = docs.select(carried.alias("row"), "text")
     made = rows.mapInArrow(run, carrying(rows.schema["row"].dataType, ", ".join(f"{m} long" for m in MEASURES)))
@@ -100,8 +107,12 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
     """A row per rule of the policy: how many fail it, how many fail it alone (kept without it), kept by the policy as it is.
 
     One aggregate over the distinct bit patterns (at most 2 ** rules of them)."""
-    patterns = book.select(F.col("rule_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
-    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(bit(r)).cast("long").alias("bit")) for r in POLICIES[policy]))).alias("x")
+    patterns = book.select(
+        F.col("rule_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")
+    ).groupBy("bits").agg(F.count("*").alias("n"))
+    rules = F.explode(
+        F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(bit(r)).cast("long").alias("bit")) for r in POLICIES[policy]))
+    ).alias("x")
     rows = patterns.select("bits", "n", rules).select("bits", "n", "x.rule", "x.bit")
     failed = F.col("bits").bitwiseAND(F.col("bit")) != 0
     return rows.groupBy("rule").agg(

@@ -45,14 +45,21 @@ def names(n: int) -> list[str]:
 
 def slot_of(key, size: int = SIZE):
     """The slot of a key column: the first 15 hexadecimal digits of its MD5, modulo the table's size."""
-    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int")
+    return F.pmod(
+        F.conv(
+            F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10
+        ).cast("long"),
+        F.lit(size)
+    ).cast("int")
 
 
 def placed(docs: DataFrame, key: str = "doc_id", shards: list[str] | None = None, size: int = SIZE) -> DataFrame:
     """docs with slot and shard (its place in shards)."""
     slots = ",".join(map(str, lookup(shards or names(SHARDS), size)))
     slot, shard, at, owner = free_names(["slot", "shard", "at", "owner"], docs.columns)
-    spread = docs.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(slots), ",")).alias(at, owner))
+    spread = docs.sparkSession.range(1, numPartitions=1).select(
+        F.posexplode(F.split(F.lit(slots), ",")).alias(at, owner)
+    )
     spread = spread.select(at, F.col(owner).cast("int").alias(owner))
     rows = docs.withColumn(slot, slot_of(column(key), size))
     return rows.join(F.broadcast(spread), F.col(slot) == F.col(at)).withColumn(shard, F.col(owner)).drop(at, owner)

@@ -47,7 +47,9 @@ class Ranges:
         np.cumsum(hashes * _power(_BASE, self.n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _power(_INVERSE, self.n + 1)[start] + (end - start).astype(np.uint64))
+        return mix(
+            (self.sums[end] - self.sums[start]) * _power(_INVERSE, self.n + 1)[start] + (end - start).astype(np.uint64)
+        )
 
 
 def runs(ranges: Ranges, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,25 +99,48 @@ def _runs(least: int, wanted):
             size = np.concatenate(size)
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             rows = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(ctx)), pa.array(np.concatenate(ws).astype(np.int32)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(windows)))], ["doc_id", "rk", "ctx", "first", "size", "windows"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.concatenate(ctx)),
+                    pa.array(np.concatenate(ws).astype(np.int32)), pa.array(size.astype(np.int32)),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(windows)))
+                ],
+                ["doc_id", "rk", "ctx", "first", "size", "windows"]
+            )
 
     return run
 
 
 def repeated_spans(docs: DataFrame, least: int = 35) -> DataFrame:
     """(doc_id, rk, first, size): runs of windows, by first window and number, that occur elsewhere; docs has doc_id, rk, text."""
-    anchors = docs.select("text").mapInArrow(_anchors(least), "anchor array<long>").select(F.explode("anchor").alias("anchor"))
+    anchors = docs.select("text").mapInArrow(
+        _anchors(least), "anchor array<long>"
+    ).select(F.explode("anchor").alias("anchor"))
     often = bloom_of(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = staged(docs.select("doc_id", "rk", "text").mapInArrow(_runs(least, often), f"doc_id {kind}, rk long, ctx long, first int, size int, windows array<long>"), heavy=True)
+    found = staged(
+        docs.select("doc_id", "rk", "text").mapInArrow(
+            _runs(least, often), f"doc_id {kind}, rk long, ctx long, first int, size int, windows array<long>"
+        ),
+        heavy=True
+    )
     place = F.struct("doc_id", "rk", "first", "windows")
-    distinct = staged(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min_by(place, F.struct("rk", "first")).alias("at")).select("ctx", "n", "at.*"), heavy=True)
+    distinct = staged(
+        found.groupBy("ctx").agg(
+            F.count("*").alias("n"), F.min_by(place, F.struct("rk", "first")).alias("at")
+        ).select("ctx", "n", "at.*"),
+        heavy=True
+    )
     whole = distinct.where("n > 1").select(F.col("ctx").cast("string").alias("c"))
-    whole = found.select("doc_id", "rk", "first", "size", F.col("ctx").cast("string").alias("c0")).join(whole, F.col("c0") == F.col("c")).select("doc_id", "rk", "first", "size")
+    whole = found.select(
+        "doc_id", "rk", "first", "size", F.col("ctx").cast("string").alias("c0")
+    ).join(whole, F.col("c0") == F.col("c")).select("doc_id", "rk", "first", "size")
     windows = distinct.select(F.explode("windows").alias("w"), F.least("n", F.lit(2)).alias("n"))
     twice = windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("w").cast("string").alias("w2"))
     alone = distinct.where("n = 1").select("doc_id", "rk", "first", F.posexplode("windows").alias("i", "w"))
-    parts = alone.join(twice, F.col("w").cast("string") == F.col("w2")).select("doc_id", "rk", (F.col("first") + F.col("i")).cast("int").alias("first"), F.lit(1).alias("size"))
+    parts = alone.join(twice, F.col("w").cast("string") == F.col("w2")).select(
+        "doc_id", "rk", (F.col("first") + F.col("i")).cast("int").alias("first"), F.lit(1).alias("size")
+    )
     return whole.unionByName(parts)
 
 
@@ -141,7 +166,13 @@ def _cut(least: int, whole=None):
                 texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
                 spans.append(found)
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), spans], ["row", *ADDED])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"), pa.array(texts, pa.string()), pa.array(n_words, pa.int64()),
+                    pa.array(n_removed, pa.int64()), spans
+                ],
+                ["row", *ADDED]
+            )
 
     return run
 
@@ -152,15 +183,24 @@ _KINDS = "kept_text string, n_words long, n_removed long, spans array<struct<sta
 
 def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
     """row (the carried columns in one) and what is added."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in carried)).alias("row"))
+    keyed = docs.select(
+        F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in carried)).alias("row")
+    )
     # Equal rows have the same spans: each span is gathered once, however often its row occurs.
     found = repeated_spans(keyed.select("rk", "doc_id", "text"), least)
-    per = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("first", "size")).alias("x")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"), F.col("x.size").alias("sizes"))
+    per = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("first", "size")).alias("x")).select(
+        F.col("rk").alias("k"), F.col("doc_id").alias("d"), F.col("x.first").alias("firsts"),
+        F.col("x.size").alias("sizes")
+    )
     per = staged(per, heavy=True)
     touched = bloom_of(per.select("k"))
-    joined = rows_held(keyed, touched).join(per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "firsts", "sizes")
+    joined = rows_held(keyed, touched).join(
+        per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left"
+    ).select("row", "text", "firsts", "sizes")
     made = carrying(keyed.schema["row"].dataType, _KINDS)
-    return joined.mapInArrow(_cut(least), made).unionByName(keyed.select("rk", "text", "row").mapInArrow(_cut(least, touched), made))
+    return joined.mapInArrow(_cut(least), made).unionByName(
+        keyed.select("rk", "text", "row").mapInArrow(_cut(least, touched), made)
+    )
 
 
 def dedup(docs: DataFrame, least: int = 35) -> DataFrame:
@@ -174,7 +214,9 @@ def deduped_documents(docs: DataFrame, least: int = 35) -> DataFrame:
     """The same columns as docs; a text that loses nothing stays as it is (n_chars follows the texts)."""
     cut, own = F.col("n_removed") > 0, lambda c: F.col("row").getField(c)
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return _removed(docs, least, docs.columns).select(*(F.when(cut, changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c) for c in docs.columns))
+    return _removed(docs, least, docs.columns).select(
+        *(F.when(cut, changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c) for c in docs.columns)
+    )
 
 
 class SuffixAutomaton:
@@ -226,7 +268,9 @@ class SuffixAutomaton:
         return out
 
 
-def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, shard_words: int = 50_000, most_words: int = 2_000_000) -> DataFrame:
+def strip_references(
+    docs: DataFrame, references: DataFrame, least: int = 35, shard_words: int = 50_000, most_words: int = 2_000_000
+) -> DataFrame:
     """docs (doc_id, text) with kept_text, n_words, n_removed, spans: maximal spans of at least `least` words that occur in a
     reference text are removed. References are read up to most_words words; beyond it this raises, as automata are broadcast."""
     shards, size = [[]], 0
@@ -254,7 +298,13 @@ def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, sh
                         ends.update(i for i, m in enumerate(automaton.matching(words)) if m >= least)
                     firsts.append([i - least + 1 for i in sorted(ends)])
                     sizes.append([1] * len(ends))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(firsts, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["row", "text", "firsts", "sizes"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("row"), batch.column("text"), pa.array(firsts, pa.list_(pa.int32())),
+                        pa.array(sizes, pa.list_(pa.int32()))
+                    ],
+                    ["row", "text", "firsts", "sizes"]
+                )
 
         yield from cut(fed())
 
@@ -265,7 +315,10 @@ def strip_references(docs: DataFrame, references: DataFrame, least: int = 35, sh
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return finished(spark, lambda: dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
+    return finished(
+        spark,
+        lambda: dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    )
 
 
 SQL = r"""

@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import finished, slices, staged, table
 
 DEPTH = 200
-_KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+_KINDS = {
+    "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict,
+    "null": type(None)
+}
 CALL = "array<struct<at:int,id:string,name:string,arguments:string,status:string,needs:array<string>>>"
 _SURROGATE = re.compile("[\ud800-\udfff]")
 
@@ -59,7 +62,9 @@ def read(text: str):
     except RecursionError as deep:
         raise ValueError("nested too deep") from deep
     level, depth = [value], 0
-    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+    while level := [
+        x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)
+    ]:
         depth += 1
         if depth > DEPTH:
             raise ValueError("nested too deep")
@@ -119,7 +124,9 @@ def _call(at: int, call: dict, schemas: dict) -> dict:
     own = call.get("id")
     return {
         "at": at, "id": plain(own) if isinstance(own, str) else None, "name": plain(name) if isinstance(name, str) else None,
-        "arguments": canonical(arguments), "status": plain(status), "needs": sorted(set(map(plain, references(arguments)))),
+        "arguments": canonical(arguments), "status": plain(status), "needs": sorted(
+            set(map(plain, references(arguments)))
+        ),
     }
 
 
@@ -142,18 +149,29 @@ def parse(role: str | None, text: str | None, schemas: dict) -> tuple:
 
 def parsed(conversations: DataFrame, schemas: dict) -> DataFrame:
     """row (a key of its own for each message), conv_id, turn, role, content, calls, answers."""
-    call = pa.struct([("at", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("status", pa.string()), ("needs", pa.list_(pa.string()))])
+    call = pa.struct(
+        [
+            ("at", pa.int32()), ("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()),
+            ("status", pa.string()), ("needs", pa.list_(pa.string()))
+        ]
+    )
     names = ["conv_id", "turn", "role", "content", "calls", "answers"]
 
     def run(batches):
         for batch in slices(batches):
-            rows = [parse(role, text, schemas) for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            rows = [
+                parse(role, text, schemas) for role,
+                text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             content, calls, answers = zip(*rows) if rows else ((), (), ())
             made = [pa.array(content, pa.string()), pa.array(calls, pa.list_(call)), pa.array(answers, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], names)
 
     kinds = dict(conversations.dtypes)
-    made = conversations.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, content string, calls {CALL}, answers string")
+    made = conversations.select("conv_id", "turn", "role", "text").mapInArrow(
+        run,
+        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, content string, calls {CALL}, answers string"
+    )
     # Written at once, so that a row keeps its key whatever is computed again later.
     return staged(made.withColumn("row", F.monotonically_increasing_id()))
 
@@ -168,20 +186,35 @@ def levels(edges: DataFrame) -> DataFrame:
     found = []
     while True:
         degree = left.groupBy("node").agg(F.count("*").alias("n"))
-        single = staged(left.join(degree.where("n = 1").select(F.col("node").alias("one")), text("node") == text("one"), "left_semi"))
+        single = staged(
+            left.join(
+                degree.where("n = 1").select(F.col("node").alias("one")), text("node") == text("one"), "left_semi"
+            )
+        )
         rounds = single.count().bit_length()
         for _ in range(rounds):  # after as many, what still points to a single node goes around a cycle
             jump = single.select(F.col("node").alias("via"), F.col("to").alias("far"), F.col("w").alias("more"))
-            jumped = staged(single.join(jump, text("to") == text("via"), "left").select("node", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.col("far").isNotNull().alias("moved")))
+            jumped = staged(
+                single.join(jump, text("to") == text("via"), "left").select(
+                    "node", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"),
+                    F.col("far").isNotNull().alias("moved")
+                )
+            )
             moved, single = not jumped.where("moved").isEmpty(), jumped.drop("moved")
             if not moved:
                 break
         ends = single.select(F.col("node").alias("via"), F.col("to").alias("far"), F.col("w").alias("more"))
-        many = left.join(degree.where("n > 1").select(F.col("node").alias("one")), text("node") == text("one"), "left_semi")
-        many = many.join(ends, text("to") == text("via"), "left").select("node", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        many = left.join(
+            degree.where("n > 1").select(F.col("node").alias("one")), text("node") == text("one"), "left_semi"
+        )
+        many = many.join(ends, text("to") == text("via"), "left").select(
+            "node", F.coalesce("far", "to").alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w")
+        )
         left = single.unionByName(many.groupBy("node", "to").agg(F.max("w").alias("w")))
         known = done.select(F.col("node").alias("d"), "level")
-        judged = left.join(known, text("to") == text("d"), "left").groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        judged = left.join(known, text("to") == text("d"), "left").groupBy("node").agg(
+            F.max(F.col("level") + F.col("w")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")
+        )
         now = staged(judged.where("open = 0").select("node", "level"))
         if now.isEmpty():
             break
@@ -195,60 +228,113 @@ def levels(edges: DataFrame) -> DataFrame:
 
 def linked(messages: DataFrame) -> DataFrame:
     """A row per call of parsed messages: row, conv_id, turn, at, id, name, arguments, status, level, result_turn, result."""
-    calls = staged(messages.where("size(calls) > 0").select("row", "conv_id", "turn", F.xxhash64("role", "content", "calls").alias("tie"), F.explode("calls").alias("x")).select("row", "conv_id", "turn", "tie", "x.*").withColumn("node", F.concat_ws(":", "row", "at")))
+    calls = staged(
+        messages.where("size(calls) > 0").select(
+            "row", "conv_id", "turn", F.xxhash64("role", "content", "calls").alias("tie"), F.explode("calls").alias("x")
+        ).select("row", "conv_id", "turn", "tie", "x.*").withColumn("node", F.concat_ws(":", "row", "at"))
+    )
     place = F.struct("turn", "at", "name", "arguments", "status", "tie", "node")
     named = calls.where("conv_id is not null and id is not null")
-    first = staged(named.groupBy("conv_id", "id").agg(F.min(place).alias("x")).select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("x.node").alias("first"), F.col("x.turn").alias("t")))
+    first = staged(
+        named.groupBy("conv_id", "id").agg(F.min(place).alias("x")).select(
+            F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("x.node").alias("first"),
+            F.col("x.turn").alias("t")
+        )
+    )
     # The first of each identifier, by its node; keys are cast so that both sides of these joins are dealt anew and can be split.
-    key = lambda c, i: F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.col(i))
+    key = lambda c, i: F.concat(
+        F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"), F.col(i)
+    )
     own = first.select(key("c", "i").alias("k"), "first")
-    needs = named.select(F.col("node"), "conv_id", F.explode("needs").alias("need")).join(first.select(F.col("first").alias("f")), F.col("node") == F.col("f"), "left_semi")
-    edges = needs.select("node", key("conv_id", "need").alias("k0")).join(own, F.col("k0") == F.col("k")).select("node", F.col("first").alias("need")).distinct()
+    needs = named.select(F.col("node"), "conv_id", F.explode("needs").alias("need")).join(
+        first.select(F.col("first").alias("f")), F.col("node") == F.col("f"), "left_semi"
+    )
+    edges = needs.select(
+        "node", key("conv_id", "need").alias("k0")
+    ).join(own, F.col("k0") == F.col("k")).select("node", F.col("first").alias("need")).distinct()
     order = levels(edges)
-    results = messages.where("answers is not null and conv_id is not null").select(key("conv_id", "answers").alias("k0"), F.col("turn").alias("result_turn"), F.col("content").alias("result"))
-    results = results.join(first.select(key("c", "i").alias("k"), "first", "t"), F.col("k0") == F.col("k")).where("result_turn > t")
-    results = results.groupBy("first").agg(F.min(F.struct("result_turn", "result")).alias("r")).select(F.col("first").alias("answered"), "r.*")
+    results = messages.where("answers is not null and conv_id is not null").select(
+        key("conv_id", "answers").alias("k0"), F.col("turn").alias("result_turn"), F.col("content").alias("result")
+    )
+    results = results.join(
+        first.select(key("c", "i").alias("k"), "first", "t"), F.col("k0") == F.col("k")
+    ).where("result_turn > t")
+    results = results.groupBy("first").agg(
+        F.min(F.struct("result_turn", "result")).alias("r")
+    ).select(F.col("first").alias("answered"), "r.*")
     level = F.when(F.col("deep").isNotNull(), F.col("deep")).when(F.col("waits").isNull(), F.lit(0).cast("long"))
     out = calls.join(first.select(F.col("first").alias("f")), F.col("node") == F.col("f"), "left")
     out = out.join(results, F.col("node") == F.col("answered"), "left")
-    out = out.join(order.select(F.col("node").alias("o"), F.col("level").alias("deep")), F.col("node") == F.col("o"), "left")
+    out = out.join(
+        order.select(F.col("node").alias("o"), F.col("level").alias("deep")), F.col("node") == F.col("o"), "left"
+    )
     out = out.join(edges.select(F.col("node").alias("waits")).distinct(), F.col("node") == F.col("waits"), "left")
     known = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
     status = F.when(known & F.col("f").isNull(), "duplicate").otherwise(F.col("status"))
-    return out.select("row", "conv_id", "turn", "at", "id", "name", "arguments", status.alias("status"), F.when(F.col("f").isNotNull(), level).alias("level"), "result_turn", "result")
+    return out.select(
+        "row", "conv_id", "turn", "at", "id", "name", "arguments", status.alias("status"),
+        F.when(F.col("f").isNotNull(), level).alias("level"), "result_turn", "result"
+    )
 
 
 def formatted(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv_id, turn, role, message (canonical JSON), n_calls, n_linked: calls of a message by level, then as they stood."""
     messages = parsed(conversations, schemas or {})
-    quoted = lambda c: F.expr(f"coalesce(substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2), 'null')")
-    body = F.concat(F.lit('{"arguments":'), "arguments", F.lit(',"id":'), quoted("id"), F.lit(',"name":'), quoted("name"), F.lit(',"result":'), quoted("result"), F.lit(',"status":'), quoted("status"), F.lit("}"))
+    quoted = lambda c: F.expr(
+        f"coalesce(substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2), 'null')"
+    )
+    body = F.concat(
+        F.lit('{"arguments":'), "arguments", F.lit(',"id":'), quoted("id"), F.lit(',"name":'), quoted("name"),
+        F.lit(',"result":'), quoted("result"), F.lit(',"status":'), quoted("status"), F.lit("}")
+    )
     # What is gathered by row came from that one message.
     place = F.struct(F.coalesce("level", F.lit((1 << 62) - 1)).alias("level"), "at", body.alias("json"))
-    per = linked(messages).groupBy("row").agg(F.array_sort(F.collect_list(place)).alias("listed"), F.count("result_turn").alias("n_linked"))
+    per = linked(messages).groupBy("row").agg(
+        F.array_sort(F.collect_list(place)).alias("listed"), F.count("result_turn").alias("n_linked")
+    )
     rows = messages.join(per.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
 
     def run(batches):
         for batch in slices(batches):
             out = []
-            for role, content, answers, listed in zip(*(batch.column(c).to_pylist() for c in ("role", "content", "answers", "listed"))):
+            for role, content, answers, listed in zip(
+                *(batch.column(c).to_pylist() for c in ("role", "content", "answers", "listed"))
+            ):
                 fields = [f'"content":{canonical(content)}', f'"role":{canonical(role)}']
                 if answers is not None:
                     fields.append(f'"tool_call_id":{canonical(answers)}')
                 if listed:
                     fields.append('"tool_calls":[' + ",".join(x["json"] for x in listed) + "]")
                 out.append("{" + ",".join(fields) + "}")
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(out, pa.string()), batch.column("n_calls"), batch.column("n_linked")], ["conv_id", "turn", "role", "message", "n_calls", "n_linked"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(out, pa.string()),
+                    batch.column("n_calls"), batch.column("n_linked")
+                ],
+                ["conv_id", "turn", "role", "message", "n_calls", "n_linked"]
+            )
 
     kinds = dict(conversations.dtypes)
-    rows = rows.select("conv_id", "turn", "role", "content", "answers", "listed", F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"))
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, message string, n_calls long, n_linked long")
+    rows = rows.select(
+        "conv_id", "turn", "role", "content", "answers", "listed", F.size("calls").cast("long").alias("n_calls"),
+        F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked")
+    )
+    return rows.mapInArrow(
+        run,
+        f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, message string, n_calls long, n_linked long"
+    )
 
 
 #: The tools of `traffic`.
 SCHEMAS = {
-    "measure": {"type": "object", "required": ["chars"], "properties": {"chars": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False},
-    "lookup": {"type": "object", "required": ["chars", "page"], "properties": {"chars": {"type": "integer"}, "page": {"enum": [0, 1, 2]}}},
+    "measure": {
+        "type": "object", "required": ["chars"],
+        "properties": {"chars": {"type": "integer"}, "after": {"type": "object"}}, "additionalProperties": False
+    },
+    "lookup": {
+        "type": "object", "required": ["chars", "page"],
+        "properties": {"chars": {"type": "integer"}, "page": {"enum": [0, 1, 2]}}
+    },
 }
 TOOLS = ["measure", "lookup", "forecast"]
 
@@ -264,14 +350,27 @@ def traffic(conversations: DataFrame) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, TOOLS)), (size % len(TOOLS) + 1).cast("int"))
     id_ = lambda t: F.concat(F.lit("call-"), t.cast("string"))
     ref = lambda x: F.struct(x.alias("$ref"))
-    main = F.struct(id_(turn).alias("id"), name.alias("name"), F.to_json(F.struct(size.alias("chars"), (size % 5).alias("page"), ref(id_(turn - 2)).alias("after"))).alias("arguments"))
-    small = F.struct(id_(turn).alias("id"), name.alias("name"), F.to_json(F.struct(size.alias("chars"), ref(id_(turn - 2)).alias("after"))).alias("arguments"))
-    later = F.struct(F.concat(id_(turn), F.lit("-b")).alias("id"), F.lit("measure").alias("name"), F.to_json(F.struct(size.alias("chars"), ref(id_(turn)).alias("after"))).alias("arguments"))
+    main = F.struct(
+        id_(turn).alias("id"), name.alias("name"),
+        F.to_json(
+            F.struct(size.alias("chars"), (size % 5).alias("page"), ref(id_(turn - 2)).alias("after"))
+        ).alias("arguments")
+    )
+    small = F.struct(
+        id_(turn).alias("id"), name.alias("name"),
+        F.to_json(F.struct(size.alias("chars"), ref(id_(turn - 2)).alias("after"))).alias("arguments")
+    )
+    later = F.struct(
+        F.concat(id_(turn), F.lit("-b")).alias("id"), F.lit("measure").alias("name"),
+        F.to_json(F.struct(size.alias("chars"), ref(id_(turn)).alias("after"))).alias("arguments")
+    )
     own = F.when(size % 2 == 0, F.array(main)).otherwise(F.array(later, small))
     asked = F.to_json(F.struct(F.col("text").alias("content"), own.alias("tool_calls")))
     answer = F.to_json(F.struct(id_(turn - 1).alias("tool_call_id"), F.col("text").alias("content")))
     role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
-    text = F.when(turn.isNull(), F.col("text")).when(F.col("role") == "assistant", asked).when(F.col("role") == "user", answer).otherwise(F.col("text"))
+    text = F.when(turn.isNull(), F.col("text")).when(
+        F.col("role") == "assistant", asked
+    ).when(F.col("role") == "user", answer).otherwise(F.col("text"))
     return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
 
 

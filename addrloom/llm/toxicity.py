@@ -33,14 +33,19 @@ STEMS = range(4, 9)
 _WORD = re.compile(r"[^\W_]+(?:['’*@#$]+[^\W_]+)*|[\"“”«»„]|\n")
 OPENING, MARKS = frozenset("“«„"), frozenset("\"“”«»„")
 #: Words that report what others said, and words that address the reader.
-REPORTING = frozenset("said says say wrote quoted quote quotes reported called calls quoting cited dit écrit cité appelé sagte schrieb zitiert nannte dijo escribió citó llamó".split())
+REPORTING = frozenset(
+    "said says say wrote quoted quote quotes reported called calls quoting cited dit écrit cité appelé sagte schrieb zitiert nannte dijo escribió citó llamó".split()
+)
 DIRECT = frozenset("you your yours you're u are tu te du dich vous sie usted".split())
 _LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
 
 
 def tokens(text: str | None) -> list[str]:
     """Words in lower case, quotation marks and line ends."""
-    return [w.translate(_LOOKALIKE) if not w.isalpha() and any(map(str.isalpha, w)) else w for w in _WORD.findall(text.lower())] if text else []
+    return [
+        w.translate(_LOOKALIKE) if not w.isalpha() and any(map(str.isalpha, w)) else w
+        for w in _WORD.findall(text.lower())
+    ] if text else []
 
 
 def context(words: list[str], i: int) -> tuple[bool, bool]:
@@ -48,7 +53,9 @@ def context(words: list[str], i: int) -> tuple[bool, bool]:
     left, right = words[max(0, i - QUOTE) : i][::-1], words[i + 1 : i + 1 + QUOTE]
     left, right = (x[: x.index("\n")] if "\n" in x else x for x in (left, right))
     before = [w for w in left if w in MARKS]
-    inside = bool(before) and not MARKS.isdisjoint(right) and (before[0] in OPENING or before[0] == '"' and before.count('"') % 2 == 1)
+    inside = bool(before) and not MARKS.isdisjoint(right) and (
+        before[0] in OPENING or before[0] == '"' and before.count('"') % 2 == 1
+    )
     around = words[max(0, i - WINDOW) : i + WINDOW + 1]
     return inside or not REPORTING.isdisjoint(around), not DIRECT.isdisjoint(around)
 
@@ -104,8 +111,13 @@ class Lexicon:
             self.number[key] = len(self.sets)
             self.sets.append(places)
             self.moves.append({})
-            ends = [(stem, edits) for node, edits in places.items() for stem, size in self.ends.get(node, ()) if edits == 0 or size >= FUZZY_LEAST]
-            self.found.append((min((e for s, e in ends if not s), default=9), min((e for s, e in ends if s), default=9)))
+            ends = [
+                (stem, edits) for node, edits in places.items() for stem,
+                size in self.ends.get(node, ()) if edits == 0 or size >= FUZZY_LEAST
+            ]
+            self.found.append(
+                (min((e for s, e in ends if not s), default=9), min((e for s, e in ends if s), default=9))
+            )
         return self.number[key]
 
     def _move(self, state: int, letter: str) -> int:
@@ -136,7 +148,9 @@ class Lexicon:
         return self.found[state][0], stem
 
 
-FEATURES = ["exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "direct", "quoted_fuzzy", "direct_fuzzy", "exact_share", "any"]
+FEATURES = [
+    "exact", "stem", "fuzzy", "fuzzy_stem", "quoted", "direct", "quoted_fuzzy", "direct_fuzzy", "exact_share", "any"
+]
 
 
 class Scorer:
@@ -181,7 +195,13 @@ def _terms(batches):
     for i in range(0, len(rows), 50_000):
         part = rows[i : i + 50_000]
         kinds, terms, toxic = zip(*part)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(terms), pa.array(toxic, pa.int32()), pa.array([counts[x] for x in part], pa.int64())], ["kind", "term", "toxic", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(kinds), pa.array(terms), pa.array(toxic, pa.int32()),
+                pa.array([counts[x] for x in part], pa.int64())
+            ],
+            ["kind", "term", "toxic", "n"]
+        )
 
 
 def lexicon_of(texts: DataFrame, toxic: int) -> Lexicon:
@@ -189,17 +209,29 @@ def lexicon_of(texts: DataFrame, toxic: int) -> Lexicon:
     or more, the shortest that tells, and take the place of the words that begin with them."""
     enough = max(4, toxic // 40)
     n = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
-    terms = staged(texts.mapInArrow(_terms, "kind string, term string, toxic int, n long").groupBy("kind", "term").agg(n(1).alias("bad"), n(0).alias("good")).where("bad > 0"))
+    terms = staged(
+        texts.mapInArrow(
+            _terms, "kind string, term string, toxic int, n long"
+        ).groupBy("kind", "term").agg(n(1).alias("bad"), n(0).alias("good")).where("bad > 0")
+    )
     starts = F.explode(F.array(*(F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEMS)))
-    tails = terms.where("kind = 'w'").select(starts.alias("start")).where("start is not null").groupBy("start").agg(F.count("*").alias("tails")).where("tails >= 4")
-    telling = terms.where((F.col("bad") >= enough) & (F.col("bad") >= 30 * F.col("good") + F.when(F.col("good") > 0, enough).otherwise(0)))
-    telling = telling.join(tails, (F.col("kind") == "s") & (F.col("term") == F.col("start")), "left").where("kind = 'w' or tails is not null")
+    tails = terms.where("kind = 'w'").select(starts.alias("start")).where("start is not null").groupBy("start").agg(
+        F.count("*").alias("tails")
+    ).where("tails >= 4")
+    telling = terms.where(
+        (F.col("bad") >= enough) & (F.col("bad") >= 30 * F.col("good") + F.when(F.col("good") > 0, enough).otherwise(0))
+    )
+    telling = telling.join(
+        tails, (F.col("kind") == "s") & (F.col("term") == F.col("start")), "left"
+    ).where("kind = 'w' or tails is not null")
     found = telling.orderBy(F.col("bad").desc(), "kind", "term").limit(TERMS).select("kind", "term").collect()
     stems: list[str] = []
     for s in sorted((r.term for r in found if r.kind == "s"), key=lambda t: (len(t), t)):
         if not any(s.startswith(x) for x in stems):
             stems.append(s)
-    return Lexicon(sorted(r.term for r in found if r.kind == "w" and not any(r.term.startswith(x) for x in stems)), stems)
+    return Lexicon(
+        sorted(r.term for r in found if r.kind == "w" and not any(r.term.startswith(x) for x in stems)), stems
+    )
 
 
 def regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -225,11 +257,19 @@ def held_out(key):
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
     """On at most `most` different labelled texts that are not held out."""
     spark = docs.sparkSession
-    kept = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    kept = labels.where(
+        F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))
+    ).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = kept.where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where("text is not null")
+    rows = docs.select("doc_id", "text").join(
+        F.broadcast(chosen), F.col("doc_id") == F.col("_id")
+    ).where("text is not null")
     with staging(spark) as folder:
-        texts = staged(rows.groupBy("text").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").limit(most).repartition(64))
+        texts = staged(
+            rows.groupBy("text").agg(
+                F.max("toxic").alias("toxic")
+            ).orderBy(F.xxhash64("text"), "text").limit(most).repartition(64)
+        )
         toxic = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
         scorer = Scorer(lexicon_of(texts, toxic))
         held = spark.sparkContext.broadcast(scorer)
@@ -237,11 +277,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
         def run(batches):
             for batch in slices(batches):
                 made = [held.value.features(t).tolist() for t in batch.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"]
+                )
 
         got = texts.mapInArrow(run, "x array<double>, toxic int").toArrow()
     drop(spark, folder)
-    x, y = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float)
+    x, y = np.array(
+        got.column("x").to_pylist()
+    ).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])  # sums of doubles hang on their order
     scorer.weights, scorer.bias = regression(x[order], y[order])
     return scorer
@@ -254,12 +298,19 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([held.value.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([held.value.score(t) for t in texts], pa.float64())], ["doc_id", "score"]
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    )
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return made.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

@@ -17,7 +17,10 @@ def covered(texts, least):
     """Per text, the places of words in a window that starts anywhere else too."""
     split = [words(t) for t in texts]
     seen = collections.Counter(tuple(w[i : i + least]) for w in split for i in range(len(w) - least + 1))
-    return [{j for i in range(len(w) - least + 1) if seen[tuple(w[i : i + least])] > 1 for j in range(i, i + least)} for w in split]
+    return [
+        {j for i in range(len(w) - least + 1) if seen[tuple(w[i : i + least])] > 1 for j in range(i, i + least)}
+        for w in split
+    ]
 
 
 def removed(texts, least):
@@ -34,7 +37,9 @@ def components(texts, k, percent):
     sets = []
     for t in texts:
         w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+        sets.append(
+            {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+        )
     root = list(range(len(texts)))
 
     def top(i):
@@ -55,8 +60,12 @@ def measures(text):
     hit = {i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)}
     lines = [x for x in t.split("\n") if WORDS.search(x)]
     return {
-        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit),
-        "n_lines": len(lines), "n_upper_words": min(len(w), sum(x.isupper() for x in t.split())), "n_table_words": w.count("|"), "n_distinct_words": len(set(w)),
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(
+            re.findall(r"[#*$%&|<>]", t)
+        ), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit),
+        "n_lines": len(lines), "n_upper_words": min(
+            len(w), sum(x.isupper() for x in t.split())
+        ), "n_table_words": w.count("|"), "n_distinct_words": len(set(w)),
     }
 
 
@@ -89,11 +98,17 @@ def without_lines(rows, documents):
     for row, lines in parsed.items():
         for leaf, _, form in filter(None, lines):
             leaves[leaf][form.decode()].add(row)
-    template = {(leaf, f): (leaf, s) for leaf, forms in leaves.items() for f, s in seeds({f: len(d) for f, d in forms.items()}).items()}
+    template = {
+        (leaf, f): (leaf, s) for leaf, forms in leaves.items() for f,
+        s in seeds({f: len(d) for f, d in forms.items()}).items()
+    }
     docs = collections.defaultdict(set)
     for (leaf, f), t in template.items():
         docs[t] |= leaves[leaf][f]
-    first = {t: min(d, key=lambda r: (r[0] is not None, r[0]))[1] for t, d in docs.items() if len({r[1] for r in d}) >= documents}
+    first = {
+        t: min(d, key=lambda r: (r[0] is not None, r[0]))[1] for t,
+        d in docs.items() if len({r[1] for r in d}) >= documents
+    }
     out = []
     for row in rows:
         if row[1] is None:
@@ -121,8 +136,13 @@ def messages(rows, schemas):
             answer[conv, parsed[i][2]] = min(answer.get((conv, parsed[i][2]), found), found)
     level = {}
     while True:
-        needs = {k: [(k[0], x) for x in call["needs"] if (k[0], x) in first] for k, (_, _, call) in first.items() if k not in level}
-        ready = {k: 1 + max([level[n] for n in on], default=-1) for k, on in needs.items() if all(n in level for n in on)}
+        needs = {
+            k: [(k[0], x) for x in call["needs"] if (k[0], x) in first] for k,
+            (_, _, call) in first.items() if k not in level
+        }
+        ready = {
+            k: 1 + max([level[n] for n in on], default=-1) for k, on in needs.items() if all(n in level for n in on)
+        }
         if not ready:
             break
         level |= ready
@@ -135,8 +155,13 @@ def messages(rows, schemas):
             own = conv is not None and call["id"] is not None and first[key][1] == i and first[key][2] is call
             got = answer.get(key) if own else None
             status = call["status"] if own or conv is None or call["id"] is None else "duplicate"
-            body = {"arguments": call["arguments"], "id": call["id"], "name": call["name"], "result": rows and got and parsed[got[3]][0], "status": status}
-            text = "{" + ",".join(f'"{k}":{v if k == "arguments" else tool_calls.canonical(v)}' for k, v in body.items()) + "}"
+            body = {
+                "arguments": call["arguments"], "id": call["id"], "name": call["name"],
+                "result": rows and got and parsed[got[3]][0], "status": status
+            }
+            text = "{" + ",".join(
+                f'"{k}":{v if k == "arguments" else tool_calls.canonical(v)}' for k, v in body.items()
+            ) + "}"
             listed.append((level.get(key, 1 << 62) if own else 1 << 62, call["at"], text, got is not None))
         fields = [f'"content":{tool_calls.canonical(content)}', f'"role":{tool_calls.canonical(role)}']
         fields += [f'"tool_call_id":{tool_calls.canonical(answers)}'] if answers is not None else []

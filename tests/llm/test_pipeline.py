@@ -16,7 +16,10 @@ def _texts():
     out = [None, "", "too short", "UP " * 200, "spam spam spam " * 40, prose(20_000)]
     for i in range(40):
         lines = [prose(30) for _ in range(3)]
-        lines.insert(r.randint(0, 3), r.choice(["Read more", f"Posted by {word()} on 2021-01-{i} here", "All rights are reserved by us"]))
+        lines.insert(
+            r.randint(0, 3),
+            r.choice(["Read more", f"Posted by {word()} on 2021-01-{i} here", "All rights are reserved by us"])
+        )
         if i % 4 == 0:
             lines.append(passage)
         out.append("\n".join(lines))
@@ -31,7 +34,10 @@ def _texts():
 def test_stages_against_brute_force(spark, tmp_path):
     rows = list(enumerate(_texts()))
     rows += [rows[20], rows[20]]
-    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra", "e2") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, rk string")
+    frame = spark.createDataFrame(
+        [(i, t, "en", "s", len(t or ""), "extra", "e2") for i, t in rows],
+        "doc_id long, text string, lang string, source string, n_chars long, row string, rk string"
+    )
     frame.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     now, docs = rows, spark.read.parquet(f"{tmp_path}/documents.parquet")
     columns, folders = docs.columns, []
@@ -51,7 +57,10 @@ def test_stages_against_brute_force(spark, tmp_path):
             now = [x for i, x in enumerate(now) if not sets[i] or first[root[i]] == i]
         else:
             hits = brute.covered([t for _, t in now], 35)
-            now = [(i, " ".join(w for j, w in enumerate(brute.words(t)) if j not in hit) if hit else t) for (i, t), hit in zip(now, hits)]
+            now = [
+                (i, " ".join(w for j, w in enumerate(brute.words(t)) if j not in hit) if hit else t) for (i, t),
+                hit in zip(now, hits)
+            ]
         assert docs.columns == columns
         got = docs.collect()
         assert sorted((x.doc_id, x.text) for x in got) == sorted(now), name
@@ -62,14 +71,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items()} == {i: struct.pack(f"<{len(ids)}I", *ids) for i, text in now for ids in [t.encode(text, add_special_tokens=False).ids + [1]]}
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in pieces.items()} == {
+        i: struct.pack(f"<{len(ids)}I", *ids) for i,
+        text in now for ids in [t.encode(text, add_special_tokens=False).ids + [1]]
+    }
     import os
 
-    assert len(set(folders)) == 4 and not any(os.path.exists(f.removeprefix("file:").replace("//", "/", 1)) for f in folders)
+    assert len(set(folders)) == 4 and not any(
+        os.path.exists(f.removeprefix("file:").replace("//", "/", 1)) for f in folders
+    )
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in whole.select("doc_id").collect()} == {i for i, _ in now}
 
 
 def test_no_documents(spark, tmp_path):
-    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -14,33 +14,54 @@ CLASH = "n_dropped n_words kept_text spans N_LINES _text _rk rk row k d _slot _s
 
 def _docs(spark, rows):
     names = ["doc_id long", "text string", "n_chars long", *(f"`{c}` string" for c in CLASH), "`odd `` name.x` int"]
-    return spark.createDataFrame([(d, t, len(t or ""), *("mine" for _ in CLASH), 5) for d, t in rows], ", ".join(names)).repartition(3)
+    return spark.createDataFrame(
+        [(d, t, len(t or ""), *("mine" for _ in CLASH), 5) for d, t in rows], ", ".join(names)
+    ).repartition(3)
 
 
 def _texts():
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     shared = " ".join(word() for _ in range(60))
-    rows = [(i, "\n".join([" ".join(word() for _ in range(70)), "The same line in all of them", shared if i % 3 == 0 else word()])) for i in range(12)]
-    return rows + rows[:2] + [(50, None), (51, ""), (None, "The same line in all of them"), (52, " ".join(word() for _ in range(30_000)))]
+    rows = [
+        (
+            i,
+            "\n".join(
+                [" ".join(word() for _ in range(70)), "The same line in all of them", shared if i % 3 == 0 else word()]
+            )
+        )
+        for i in range(12)
+    ]
+    return rows + rows[:2] + [
+        (50, None), (51, ""), (None, "The same line in all of them"), (52, " ".join(word() for _ in range(30_000)))
+    ]
 
 
 def test_names_that_clash(spark):
     rows = _texts()
     docs = _docs(spark, rows)
-    for kept in (line_templates.deduped_documents, substring_dedup.deduped_documents, quality.kept_documents, ngram_join.kept_documents):
+    for kept in (
+        line_templates.deduped_documents, substring_dedup.deduped_documents, quality.kept_documents,
+        ngram_join.kept_documents
+    ):
         made = kept(docs)
         assert made.columns == docs.columns
         got = made.collect()
         assert got and all(x[c] == "mine" for x in got for c in CLASH) and all(x[-1] == 5 for x in got)
     placed = sharding.placed(docs)
-    assert placed.columns == [*docs.columns, "__slot", "__shard"] and all(x["slot"] == "mine" and 0 <= x["__shard"] < 64 for x in placed.collect())
+    assert placed.columns == [*docs.columns, "__slot", "__shard"] and all(
+        x["slot"] == "mine" and 0 <= x["__shard"] < 64 for x in placed.collect()
+    )
     assert sharding.placed(docs.limit(0)).collect() == []
     lines = line_templates.dedup_lines(docs)
-    assert lines.columns[-3:] == ["_kept_text", "_n_lines", "_n_dropped"] and sum(x["_n_dropped"] for x in lines.collect()) > 10
+    assert lines.columns[-3:] == ["_kept_text", "_n_lines", "_n_dropped"] and sum(
+        x["_n_dropped"] for x in lines.collect()
+    ) > 10
     cut = substring_dedup.dedup(docs)
     assert cut.columns[-4:] == ["_kept_text", "_n_words", "_n_removed", "_spans"]
-    assert sorted(x["_n_removed"] for x in cut.collect()) == sorted(x[1] for x in brute.removed([t for _, t in rows], 35))
+    assert sorted(x["_n_removed"] for x in cut.collect()) == sorted(
+        x[1] for x in brute.removed([t for _, t in rows], 35)
+    )
     assert packing.pack(docs, packing.tokenizer_path()).count() > 0 and quality.ledger(docs).count() == len(rows)
     assert ngram_join.jaccard_components(docs).count() == len(rows)
 
@@ -103,9 +124,15 @@ def test_boundary_follows_the_data(spark):
 
 def test_search_of_equal_and_huge_vectors(spark):
     r = random.Random(9)
-    rows = [(i, [0.5, -0.25, 1.0]) for i in range(200)] + [(200 + i, [r.uniform(-1, 1) * 10.0 ** r.choice([0, 3, 6]) for _ in range(3)]) for i in range(150)]
-    rows += [(1000, [1e300, 0.0, 0.0]), (1050, [-1e300, 1.0, 1.0]), (1100, [3e6, 3e6, 3e6]), (1150, [2.0**22, 1.0, 1.0])]
-    df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, id int").repartition(3)
+    rows = [(i, [0.5, -0.25, 1.0]) for i in range(200)] + [
+        (200 + i, [r.uniform(-1, 1) * 10.0 ** r.choice([0, 3, 6]) for _ in range(3)]) for i in range(150)
+    ]
+    rows += [
+        (1000, [1e300, 0.0, 0.0]), (1050, [-1e300, 1.0, 1.0]), (1100, [3e6, 3e6, 3e6]), (1150, [2.0**22, 1.0, 1.0])
+    ]
+    df = spark.createDataFrame(
+        [(i, v, 7) for i, v in rows], "vec_id long, embedding array<double>, id int"
+    ).repartition(3)
     import math
 
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
@@ -117,18 +144,29 @@ def test_search_of_equal_and_huge_vectors(spark):
             found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:5]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
     for sizes in ((1000, 1000), (20, 3)):
-        assert sorted(map(tuple, exact_search.top_k(df, 5, 50, *sizes).select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+        assert sorted(
+            map(tuple, exact_search.top_k(df, 5, 50, *sizes).select("query_id", "rank", "vec_id", "score").collect())
+        ) == sorted(want)
 
 
 def test_lines_against_brute_force(spark):
     r = random.Random(8)
     word = lambda: r.choice("red blue green gold pink".split())
-    kinds = [lambda: f"Posted by {word()} on 2021-{r.randint(1, 12)} here", lambda: f"It was {word()} {word()} {word()} and the rest of it", lambda: " ".join(word() for _ in range(r.randint(1, 9))), lambda: "", lambda: f"Page {r.randint(1, 4)}", lambda: f"own {r.randint(0, 10**6)} words here only {r.randint(0, 10**6)}"]
-    rows = [(None if i == 5 else i, "\n".join(r.choice(kinds)() for _ in range(r.randint(0, 9)))) for i in range(50)] + [(90, None)]
+    kinds = [
+        lambda: f"Posted by {word()} on 2021-{r.randint(1, 12)} here",
+        lambda: f"It was {word()} {word()} {word()} and the rest of it",
+        lambda: " ".join(word() for _ in range(r.randint(1, 9))), lambda: "", lambda: f"Page {r.randint(1, 4)}",
+        lambda: f"own {r.randint(0, 10**6)} words here only {r.randint(0, 10**6)}"
+    ]
+    rows = [
+        (None if i == 5 else i, "\n".join(r.choice(kinds)() for _ in range(r.randint(0, 9)))) for i in range(50)
+    ] + [(90, None)]
     for documents in (2, 4):
         docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         got = line_templates.dedup_lines(docs, documents).collect()
-        assert Counter((x.doc_id, x.kept_text) for x in got) == Counter(zip([d for d, _ in rows], brute.without_lines(rows, documents)))
+        assert Counter((x.doc_id, x.kept_text) for x in got) == Counter(
+            zip([d for d, _ in rows], brute.without_lines(rows, documents))
+        )
 
 
 def test_copies_keep_their_lines(spark):
@@ -136,7 +174,9 @@ def test_copies_keep_their_lines(spark):
     r = random.Random(2)
     prose = lambda n: "\n".join(" ".join(f"w{r.randint(0, 10**6)}" for _ in range(12)) for _ in range(n))
     body, note = prose(5), "All rights are reserved by somebody"
-    rows = [(i, body) for i in range(8)] + [(30 + i, prose(3) + "\n" + note) for i in range(3)] + [(50 + i, own) for own in [prose(3) + "\n" + note] for i in range(4)]
+    rows = [(i, body) for i in range(8)] + [(30 + i, prose(3) + "\n" + note) for i in range(3)] + [
+        (50 + i, own) for own in [prose(3) + "\n" + note] for i in range(4)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((x.doc_id, x.text) for x in line_templates.deduped_documents(docs).collect())
     assert got == Counter((i, t if i <= 30 else t.removesuffix("\n" + note)) for i, t in rows)
@@ -165,7 +205,13 @@ def test_features_against_counts():
     import numpy as np
 
     both = lambda at, j: sum(toxicity.context(words, i)[j] for i in at)
-    want = [*(np.log1p(n) for n in (len(exact), 0, len(near), 0, both(exact, 0), both(exact, 1), both(near, 0), both(near, 1))), min(1.0, 20 * len(exact) / (len(words) + 20)), 1.0]
+    want = [
+        *(
+            np.log1p(n)
+            for n in (len(exact), 0, len(near), 0, both(exact, 0), both(exact, 1), both(near, 0), both(near, 1))
+        ),
+        min(1.0, 20 * len(exact) / (len(words) + 20)), 1.0
+    ]
     assert len(exact) == 6 and len(near) == 9 and np.allclose(scorer.features(text), want)
     assert scorer.features(None).tolist() == [0.0] * len(toxicity.FEATURES)
 
@@ -173,7 +219,9 @@ def test_features_against_counts():
 def test_labels_of_both_kinds(spark):
     rows = [(i, f"the word {i} is vile" if i % 2 else f"calm text {i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    marks = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 0) for i in range(1, 200, 2)], "doc_id long, toxic int")
+    marks = spark.createDataFrame(
+        [(i, i % 2) for i in range(200)] + [(i, 0) for i in range(1, 200, 2)], "doc_id long, toxic int"
+    )
     one, two = (toxicity.fit(docs.repartition(n), marks.repartition(5 - n)) for n in (2, 3))
     assert one.lexicon.words == two.lexicon.words and "vile" in one.lexicon.words
     assert (one.weights == two.weights).all() and one.score("so vile") > 0.5 > one.score("calm")
@@ -192,4 +240,6 @@ def test_tokenizer_of_another_shape(tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(tmp_path / "t.json"))
-    assert not ids.by_word and [list(memoryview(x).cast("I")) if x else [] for x in ids.ids(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert not ids.by_word and [
+        list(memoryview(x).cast("I")) if x else [] for x in ids.ids(texts)
+    ] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]

@@ -44,8 +44,13 @@ def brute_dedup(rows, least):
 
 def test_substring_dedup(spark):
     rows = texts()
-    df = spark.createDataFrame([(None if i % 17 == 3 else i % 50, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, rk string").repartition(5)
-    got = [(r.n_words, r.n_removed, r.s) for r in substring_dedup.dedup(df).withColumn("s", F.sha2("kept_text", 256)).collect()]
+    df = spark.createDataFrame(
+        [(None if i % 17 == 3 else i % 50, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, rk string"
+    ).repartition(5)
+    got = [
+        (r.n_words, r.n_removed, r.s)
+        for r in substring_dedup.dedup(df).withColumn("s", F.sha2("kept_text", 256)).collect()
+    ]
     assert sorted(got) == sorted(brute_dedup(rows, 35))
     back = substring_dedup.deduped_documents(df)
     assert back.columns == df.columns and back.count() == len(rows)
@@ -71,7 +76,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rows = texts(2) + ["don't <|endoftext|> İstanbul ΣΑΣ é 한국 $$$!!"] * 2
-    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(rows)], "doc_id long, text string, start int").repartition(3)
+    df = spark.createDataFrame(
+        [(i, t, 5) for i, t in enumerate(rows)], "doc_id long, text string, start int"
+    ).repartition(3)
     t = Tokenizer.from_file(packing.tokenizer_path())
     want = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in enumerate(rows)}
     pieces = packing.pack(df, packing.tokenizer_path()).collect()
@@ -111,7 +118,9 @@ def brute_quality(t):
 
 def test_quality(spark):
     rows = texts(3) + ["one two\none two\n\n one two\n###", "UP UP | UP " * 40, "z\x0bz\x0cz\n\x0b\nz\x0bz\x0cz"]
-    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, n_words int").repartition(3)
+    df = spark.createDataFrame(
+        [(i, t, 0) for i, t in enumerate(rows)], "doc_id long, text string, n_words int"
+    ).repartition(3)
     got = {r.doc_id: r for r in quality.judged(quality.ledger(df), "strict-2").collect()}
     for i, t in enumerate(rows):
         r = got[i]
@@ -124,5 +133,7 @@ def test_quality(spark):
     bits = [r.rule_bits for r in got.values()]
     for r in quality.ablations(quality.ledger(df), "strict-2").collect():
         b = quality.bit(r.rule)
-        assert (r.n_failed, r.n_kept_without, r.n_kept) == (sum(x & b > 0 for x in bits), sum(x == b for x in bits), bits.count(0))
+        assert (r.n_failed, r.n_kept_without, r.n_kept) == (
+            sum(x & b > 0 for x in bits), sum(x == b for x in bits), bits.count(0)
+        )
     assert quality.ledger(df.limit(0)).collect() == []
