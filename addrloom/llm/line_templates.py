@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, carrying, column, finished, free_names, int64_lists, keep_only, slices, staged, table
+from .common import bloom_of, carrying, column, finished, free_names, int64_lists, keep_only, rows_held, slices, staged, table, without_held
 
 DEPTH, LEAST, DOCUMENTS, VARIABLE_MOST, LEAF_MOST = 3, 3, 2, 0.3, 4000
 _DIGIT, _FIELD, FIELD = re.compile(rb"[0-9]"), re.compile(rb"(?<![^ ])[^ ]*[0-9][^ ]*"), "<*>"
@@ -178,30 +178,37 @@ def dropped_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return rows.join(common, F.col("template").cast("string") == F.col("t")).where("rk <> r").select("doc_id", "rk", "line")
 
 
-def _strip(batches):
-    keep_only()
-    for batch in slices(batches):
-        texts, n_lines, n_dropped = [], [], []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
-            lines, kept = lines_of(text), text
-            if gone:
-                gone = set(gone)
-                left = [x for x in lines if not ((p := parse(x)) and p[1] in gone)]
-                n_dropped.append(len(lines) - len(left))
-                kept = b"\n".join(left).decode("utf-8", "surrogatepass")
-            else:
-                n_dropped.append(0)
-            texts.append(kept)
-            n_lines.append(len(lines))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
+def _strip(whole=None):
+    """Takes the lines that go out of texts; with a filter, of the rows that it does not hold, which lose none."""
+    def run(batches):
+        keep_only()
+        for batch in slices(without_held(batches, whole) if whole else batches):
+            texts, n_lines, n_dropped = [], [], []
+            for text, gone in zip(batch.column("text").to_pylist(), [None] * len(batch) if whole else batch.column("gone").to_pylist()):
+                lines, kept = lines_of(text), text
+                if gone:
+                    gone = set(gone)
+                    left = [x for x in lines if not ((p := parse(x)) and p[1] in gone)]
+                    n_dropped.append(len(lines) - len(left))
+                    kept = b"\n".join(left).decode("utf-8", "surrogatepass")
+                else:
+                    n_dropped.append(0)
+                texts.append(kept)
+                n_lines.append(len(lines))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "kept_text", "n_lines", "n_dropped"])
+
+    return run
 
 
 def _dropped(docs: DataFrame, documents: int) -> DataFrame:
     """row (all columns of docs in one), kept_text, n_lines, n_dropped."""
     keyed = docs.select(F.xxhash64("text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in docs.columns if c != "text")).alias("row"))
-    gone = dropped_lines(keyed, documents).groupBy("rk", "doc_id").agg(F.collect_set("line").alias("gone")).select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), "gone")
-    joined = keyed.join(gone, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "gone")
-    return joined.mapInArrow(_strip, carrying(keyed.schema["row"].dataType, "kept_text string, n_lines long, n_dropped long"))
+    gone = dropped_lines(keyed.select("rk", "doc_id", "text"), documents).groupBy("rk", "doc_id").agg(F.collect_set("line").alias("gone"))
+    gone = staged(gone.select(F.col("rk").alias("k"), F.col("doc_id").alias("d"), "gone"), heavy=True)
+    touched = bloom_of(gone.select("k"))
+    joined = rows_held(keyed, touched).join(gone, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left").select("row", "text", "gone")
+    made = carrying(keyed.schema["row"].dataType, "kept_text string, n_lines long, n_dropped long")
+    return joined.mapInArrow(_strip(), made).unionByName(keyed.select("rk", "text", "row").mapInArrow(_strip(touched), made))
 
 
 def dedup_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
