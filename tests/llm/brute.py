@@ -91,7 +91,7 @@ def seeds(forms):
     return out
 
 
-def without_lines(rows, documents):
+def without_lines(rows, documents, most=None):
     """Texts of (doc_id, text) rows without the lines whose template stands in enough documents, but for its first document."""
     parsed = {row: [line_templates.parse(x.encode()) for x in (row[1] or "").split("\n")] for row in rows}
     leaves = collections.defaultdict(lambda: collections.defaultdict(set))
@@ -115,7 +115,10 @@ def without_lines(rows, documents):
             out.append(None)
             continue
         keep = [p is None or first.get(template[p[0], p[2].decode()], row[1]) == row[1] for p in parsed[row]]
-        out.append("\n".join(x for x, k in zip(row[1].split("\n"), keep) if k))
+        lines = row[1].split("\n")
+        left = [x for x, k in zip(lines, keep) if k]
+        size = [sum(len(x.encode()) for x in xs) for xs in (left, lines)]
+        out.append(row[1] if most is not None and size[0] < (1 - most) * size[1] else "\n".join(left))
     return out
 
 

@@ -48,7 +48,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         if name == "quality_rules":
             now = [x for x in now if brute.passes(x[1], "strict-2")]
         elif name == "line_dedup":
-            now = list(zip([i for i, _ in now], brute.without_lines(now, 2)))
+            now = list(zip([i for i, _ in now], brute.without_lines(now, 2, corpus_pipeline.COPY)))
         elif name == "ngram_jaccard_join":
             sets, root = brute.components([t for _, t in now], 5, 80)
             first = {}

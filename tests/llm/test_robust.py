@@ -182,6 +182,20 @@ def test_copies_keep_their_lines(spark):
     assert got == Counter((i, t if i <= 30 else t.removesuffix("\n" + note)) for i, t in rows)
 
 
+def test_near_copies_can_stay_whole(spark):
+    r = random.Random(5)
+    line = lambda: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(12))
+    lines, note = [line() for _ in range(10)], "All rights are reserved by somebody"
+    rows = [
+        (i, "\n".join([*lines[:i], line(), *lines[i + 1 :]])) for i in range(4)
+    ] + [(9 + i, "\n".join([line(), line(), note])) for i in range(3)] + [(20, None), (21, ""), (22, note)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_templates.deduped_documents(docs, most=0.7).collect()}
+    assert [got[i] for i, _ in rows] == brute.without_lines(rows, 2, 0.7)
+    assert all(got[i] == t for i, t in rows[:4]) and got[10] == rows[5][1].removesuffix("\n" + note) and got[22] == note
+    assert line_templates.deduped_documents(docs).where("doc_id = 1").first().text != rows[1][1]
+
+
 def test_context_of_a_hit():
     def of(text):
         words = toxicity.tokens(text)
