@@ -264,12 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
     rows = docs.select("doc_id", "text").join(
         F.broadcast(chosen), F.col("doc_id") == F.col("_id")
     ).where("text is not null")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # Ids that occur more than once could bring more texts than ids: the least hashes count. Only hashes meet in one task.
+    kept = F.broadcast(rows.select(F.col("h").alias("kept")).distinct().orderBy("kept").limit(most))
+    one = rows.join(kept, F.col("h") == F.col("kept"), "left_semi").groupBy("h")
     with staging(spark) as folder:
-        texts = staged(
-            rows.groupBy("text").agg(
-                F.max("toxic").alias("toxic")
-            ).orderBy(F.xxhash64("text"), "text").limit(most).repartition(64)
-        )
+        texts = staged(one.agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("h").repartition(64))
         toxic = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
         scorer = Scorer(lexicon_of(texts, toxic))
         held = spark.sparkContext.broadcast(scorer)
