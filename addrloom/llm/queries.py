@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_search, ngram_join, quality, sharding, substring_dedup, tool_calls
+from . import exact_search, group_ranks, ngram_join, quality, sharding, substring_dedup, tool_calls
 from .exact_search import op6_kd_tree_search
+from .group_ranks import op12_group_ranks
 from .line_templates import op3_line_templates
 from .ngram_join import op10_ngram_jaccard_join
 from .packing import op5_harmonic_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_piece_lattice": op9_piece_lattice,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_group_ranks": op12_group_ranks,
 }
 
 SQL: dict[str, str] = {
@@ -34,4 +36,5 @@ SQL: dict[str, str] = {
     "op7_permutation_sharding": sharding.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
+    "op12_group_ranks": group_ranks.SQL,
 }
