@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_search, group_ranks, ngram_join, quality, sharding, substring_dedup, tool_calls
+from . import divergence, exact_search, group_ranks, ngram_join, quality, sharding, substring_dedup, tool_calls
+from .best_fit import op13_best_fit_packing
+from .divergence import op11_source_divergence
 from .exact_search import op6_kd_tree_search
 from .group_ranks import op12_group_ranks
 from .line_templates import op3_line_templates
@@ -26,7 +28,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_piece_lattice": op9_piece_lattice,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_source_divergence": op11_source_divergence,
     "op12_group_ranks": op12_group_ranks,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
@@ -36,5 +40,6 @@ SQL: dict[str, str] = {
     "op7_permutation_sharding": sharding.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op10_ngram_jaccard_join": ngram_join.SQL,
+    "op11_source_divergence": divergence.SQL,
     "op12_group_ranks": group_ranks.SQL,
 }
