@@ -95,12 +95,11 @@ def counted(docs: DataFrame, shards: int) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(zip(*found[i : i + 64]), (pa.int32(), pa.binary()))], ["shard", "block"]
                 )
 
-        for batch in batches:
-            for part in slices(batch, 200):
-                for row in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
-                    counts.add(*row)
-                if counts.held() > HELD:
-                    yield from out()
+        for part in slices(batches, 200):
+            for row in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                counts.add(*row)
+            if counts.held() > HELD:
+                yield from out()
         yield from out()
 
     return _texts(docs).mapInArrow(run, "shard int, block binary")
@@ -127,7 +126,7 @@ SELECT lang, term, source, CAST(n AS BIGINT) AS n, CAST(all_n AS BIGINT) AS all_
 
 def kept_terms(blocks: DataFrame) -> DataFrame:
     """Counts of the kept terms by source: shard, lang, term, source, n, all_n (of the language), first (once for a term)."""
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         con = _database()
         parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows.column("block")]
         con.register("blocks", pa.concat_tables(parts))
@@ -183,7 +182,7 @@ PART_SCHEMA = pa.schema([
 
 def parts(kept: DataFrame, groups: DataFrame, shards: int) -> DataFrame:
     """Every shard's parts: lang, source, part, item, value. Each shard gets a copy of the groups' totals beside its counts."""
-    def run(kept_rows: pa.Table, group_rows: pa.Table) -> pa.Table:
+    def run(kept_rows, group_rows):
         if not len(kept_rows):
             return PART_SCHEMA.empty_table()
         con = _database()
