@@ -10,12 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules as R, similarity, text as T
+from . import nearest
 
 LEVELS = {0: "EXACT", 1: "EXACT", 2: "EXACT", 3: "HIGH_CONFIDENCE", 4: "NEED_REVIEW"}
 EXACT_TYPES = ("core_field_exact", "poi_exact", "poi_contains")
@@ -76,7 +74,7 @@ def _closest(source: DataFrame, target: DataFrame, least: float) -> DataFrame:
 def _meaning(source: DataFrame, target: DataFrame) -> DataFrame:
     """Like _closest, by the cosine of the embeddings in hundredths; less where the strings have few letters in common."""
     s, t = _named(source, "a"), _named(target, "b")
-    best = semantic_best(
+    best = nearest.search(
         s.where("v is not null").select("rid", "v"), t.where("v is not null").select("rid", "v")
     ).where("similarity is not null")
     rows = best.join(s.select("rid", "a", "district"), "rid").join(
@@ -280,7 +278,7 @@ def poi_match(left: DataFrame, right: DataFrame, left_poi: str = "pois", right_p
     )
     out = rows.join(found, "a", "left")
     if "v" in left.columns and "v" in right.columns:
-        meaning = semantic_best(
+        meaning = nearest.search(
             asked.where("v is not null").select("rid", "v"), names.where("v is not null").select("rid", "v")
         )
         out = out.join(meaning.select("rid", F.struct("target_rid", F.col("similarity")).alias("m")), "rid", "left")
@@ -364,69 +362,3 @@ def embedded(rows: DataFrame, column: str, encoder) -> DataFrame:
     texts = rows.select(key.alias("text")).where("text <> ''").distinct()
     found = encoder(texts).select(F.col("text").alias("_text"), "v")
     return rows.join(found, key == F.col("_text"), "left").drop("_text")
-
-
-def _nearest():
-    """The best right row of each left row of a block, by the similarity at six places, the first on ties."""
-    def run(key, group):
-        held = [group.filter(pc.equal(group.column("side"), i)).combine_chunks() for i in (0, 1)]
-        left, right = (x.take(pc.sort_indices(x, [("rid", "ascending")])) for x in held)
-        at, value, rows = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        if len(left) and len(right):
-            a, b = (
-                pc.list_flatten(x.column("v")).to_numpy(zero_copy_only=False).reshape(
-                    len(x), -1 if len(x.column("v")[0]) else 0
-                )
-                for x in (left, right)
-            )
-            parts = []
-            for i in range(0, len(a), 256):
-                s = a[i : i + 256] @ b.T
-                most = s.max(axis=1)
-                row, col = np.nonzero((s >= (most - 2e-6)[:, None]) | np.isnan(s))
-                rounded, top = np.round(s[row, col], 6), np.round(most, 6)[row]
-                same = (rounded == top) | (np.isnan(rounded) & np.isnan(top))
-                row, first = np.unique(row[same], return_index=True)
-                parts.append((row + i, col[same][first], rounded[same][first]))
-            rows, at, value = (np.concatenate(x) for x in zip(*parts))
-        return pa.table(
-            {
-                "rid": left.column("rid").take(pa.array(rows)), "target_rid": right.column("rid").take(pa.array(at)),
-                "similarity": pa.array(value, pa.float64(), from_pandas=False)
-            }
-        )
-
-    return run
-
-
-def semantic_best(left: DataFrame, right: DataFrame, left_rows: int = 4096, right_rows: int = 16_384) -> DataFrame:
-    """(rid, target_rid, similarity): the most similar embedding (columns rid, v; normalised to unit length here).
-
-    Every left row meets every right row, in tasks of about left_rows by right_rows rows; the best of the tasks is merged by row.
-    Vectors with a null, or of a length that no right row has, are like none: they get the first right row and no similarity."""
-    unit = lambda df: df.select("rid", F.transform("v", lambda x: x.cast("double")).alias("v")).withColumn(
-        "v", F.expr("transform(v, x -> x / sqrt(aggregate(v, 0D, (s, y) -> s + y * y)))")
-    )
-    whole = F.expr("v is not null and forall(v, x -> x is not null)")
-    blocks, shards = max(1, -(-left.count() // left_rows)), max(1, -(-right.count() // right_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("rid", "v"), F.lit(n)).cast("int")
-    a = unit(left).where(whole).select(
-        "rid", "v", F.size("v").alias("width"), F.lit(0).alias("side"), place(blocks).alias("block")
-    ).withColumn("shard", every(shards))
-    b = unit(right).where(whole).select(
-        "rid", "v", F.size("v").alias("width"), F.lit(1).alias("side"), place(shards).alias("shard")
-    ).withColumn("block", every(blocks))
-    kind, target = left.schema["rid"].dataType.simpleString(), right.schema["rid"].dataType.simpleString()
-    if kind != target:
-        raise TypeError(f"rid is {kind} on the left and {target} on the right")
-    found = a.unionByName(b).groupBy("width", "block", "shard").applyInArrow(
-        _nearest(), f"rid {kind}, target_rid {kind}, similarity double"
-    )
-    # One row, if there is any right row.
-    none = left.select("rid").join(
-        F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))
-    ).withColumn("similarity", F.lit(None).cast("double"))
-    return found.unionByName(none).groupBy("rid").agg(
-        F.max_by(F.struct("target_rid", "similarity"), F.struct("similarity", -F.col("target_rid"))).alias("x")
-    ).select("rid", "x.*")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import rules as R, similarity, text as T
-from ..operators import enrich, join, match
+from ..operators import enrich, join, match, nearest
 from ..sources import readers, shared, sinks
 from .catalog import ADMIN_SQL, CLEAN_POI_SQL, OVERLAP_SQL, LENGTH_SQL, STD_SQL, TEN_SQL
 from .fixtures import FRAMES, frame
@@ -76,9 +76,9 @@ def _vectors(spark, sf_dir, rest):
     )
 
 
-QUERIES["semantic_sim"] = lambda spark, sf_dir: match.semantic_best(
+QUERIES["semantic_sim"] = lambda spark, sf_dir: nearest.search(
     _vectors(spark, sf_dir, 0), _vectors(spark, sf_dir, 1)
-)
+).drop("cells")
 SQL["semantic_sim"] = """WITH p AS (SELECT l.vec_id AS rid, r.vec_id AS target_rid, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS similarity FROM embeddings l, embeddings r WHERE l.vec_id % 2 = 0 AND r.vec_id % 2 = 1)
 SELECT rid, target_rid, similarity FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) AS n FROM p) WHERE n = 1"""
 
@@ -94,9 +94,9 @@ def _letter_counts(texts):
 _COUNTS = "[1.0::DOUBLE" + "".join(
     f", CAST(length(t) - length(replace(t, '{x}', '')) AS DOUBLE)" for x in _LETTERS
 ) + "]"
-add("semantic_encoded", "src tgt", lambda s, t: match.semantic_best(
+add("semantic_encoded", "src tgt", lambda s, t: nearest.search(
     *(match.embedded(x, "poi", _letter_counts).where("v is not null").select("rid", "v") for x in (s, t))
-),
+).drop("cells"),
     f"""l AS (SELECT rid, {_COUNTS} AS v FROM (SELECT rid, {strip_sql('poi')} AS t FROM src) WHERE t <> ''), r AS (SELECT rid AS target_rid, {_COUNTS} AS w FROM (SELECT rid, {strip_sql('poi')} AS t FROM tgt) WHERE t <> ''),
 p AS (SELECT rid, target_rid, round(list_cosine_similarity(v, w), 6) AS similarity FROM l, r)
 SELECT rid, target_rid, similarity FROM p QUALIFY row_number() OVER (PARTITION BY rid ORDER BY similarity DESC, target_rid) = 1""")

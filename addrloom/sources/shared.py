@@ -7,8 +7,9 @@ import contextlib
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,13 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows written once, to a folder or to the application's own, and read back: what follows does not compute them again."""
+    path = f"{folder or home(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file of any file system that Spark writes to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

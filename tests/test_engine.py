@@ -3,11 +3,12 @@ import random
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo, similarity, text as T
-from addrloom.operators import clean, enrich, join, match, profile, region
+from addrloom.operators import clean, enrich, join, match, nearest, profile, region
 from addrloom.sources import readers, sinks
 
 
@@ -185,9 +186,33 @@ def test_right_sides_of_any_size(spark):
         if i % 2 == 0
     }
     want = {(i, j, -s) for i, (s, j) in want.items()} | {(900, 1, None)}
-    for sizes in ((4096, 16_384), (40, 30)):
-        assert {tuple(x) for x in match.semantic_best(left, right, *sizes).collect()} == want
-    assert match.semantic_best(left, right.limit(0)).collect() == []
+    for sizes in ((4096, 4096, 16_384), (4096, 40, 30), (16, 40, 7)):
+        found = nearest.search(left, right, *sizes).collect()
+        assert {(x.rid, x.target_rid, x.similarity) for x in found} == want
+        assert len(found) == len(want) and {x.cells for x in found if x.rid == 900} == {0}
+    assert nearest.search(left, right.limit(0)).collect() == []
+
+
+def test_cells_that_cannot_win_are_not_visited(spark):
+    r = np.random.default_rng(5)
+    around = r.normal(size=(12, 16))
+    of = lambda n, spread: [around[i % 12] + spread * r.normal(size=16) for i in range(n)]
+    right = of(600, 0.05) + [around[0] * 0, np.full(16, np.nan)][:1]
+    left = of(150, 0.05) + [around[3] + 0.01] * 40
+    a, b = (
+        spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "rid long, v array<double>").repartition(3)
+        for rows in (left, right)
+    )
+    unit = lambda rows: np.array([v / (np.linalg.norm(v) or np.nan) for v in rows])
+    sims = np.round(np.nan_to_num(unit(left) @ unit(right).T, nan=-2), 6)
+    found = nearest.search(a, b, 50, 64, 64).collect()
+    assert {(x.rid, x.target_rid, x.similarity) for x in found} == {
+        (i, int(s.argmax()), float(s.max())) for i, s in enumerate(sims)
+    }
+    assert sum(x.cells for x in found) < 0.5 * 13 * len(found)
+    # A vector that is not a number is like a similarity beyond all others, whatever its cell.
+    odd = b.unionByName(spark.createDataFrame([(9999, [float("nan")] * 16)], b.schema))
+    assert {x.target_rid for x in nearest.search(a, odd, 50).collect()} == {9999}
 
 
 def _words(r, n, letters="甲乙丙丁戊己庚辛"):
