@@ -8,7 +8,8 @@ go. The rest, with equal lines counted as one, is dealt by ranges of (group, pai
 its cut lies in many ranges, each of which keeps its first lines only, and those few are ranked.
 
 Nothing that grows with the input is broadcast or reaches the driver; that gets four bounds of the pairs, and after each pass
-whether a group is still searching. Joins deal by a key that no later step groups by, so a hot group's rows can be split.
+whether a group is still searching. Groups of more than one in HOT rows, so fewer than HOT, have their cuts broadcast, and
+their rows are not dealt by key. Joins deal by a key that no later step groups by, so that Spark can split hot ones.
 
 Null group columns are groups of their own; null ties come last; equal rows are ranked and returned separately; an empty table
 gives no row; rows with a place are returned with the columns named in the call, others are ignored. No text is read. A group
@@ -20,22 +21,40 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import column, finished, free_names, staged, table
 
-MOST = 2
+#: Places that are returned; a group of over one in so many rows is cut without being dealt by its key.
+MOST, HOT = 2, 1000
 
 
-def encoded(lines: DataFrame, high: str, low: str) -> Column:
+class Pair:
     """The pair as one number that rises with the order: null is 0, so it comes first. high is a 32-bit number, low a long."""
-    most, least, top, bottom = lines.agg(F.max(column(high)), F.min(column(high)), F.max(column(low)), F.min(column(low))).first()
-    wide = 0 if top is None else top - bottom + 2
-    depth = 0 if most is None else most - least + 2
-    kind = "long" if (depth + 1) * (wide + 1) < 1 << 62 and wide < 1 << 62 else "decimal(38,0)"
-    number = lambda x: F.lit(str(x)).cast(kind)
-    first = F.coalesce(number(most or 0) - column(high).cast(kind) + number(1), number(0))
-    second = F.coalesce(column(low).cast(kind) - number(bottom or 0) + number(1), number(0))
-    return (first * number(wide + 1) + second).cast(kind)
+
+    def __init__(self, lines: DataFrame, high: str, low: str):
+        self.high, self.low = column(high), column(low)
+        found = lines.agg(F.max(self.high), F.min(self.high), F.max(self.low), F.min(self.low)).first()
+        self.most, least, top, self.bottom = (x or 0 for x in found)
+        self.wide = top - self.bottom + 2
+        self.kind = "long" if (self.most - least + 2) * self.wide < 1 << 62 and self.wide < 1 << 62 else "decimal(38,0)"
+
+    def number(self, x: int) -> Column:
+        return F.lit(str(x)).cast(self.kind)
+
+    def encoded(self) -> Column:
+        first = F.coalesce(self.number(self.most + 1) - self.high.cast(self.kind), self.number(0))
+        second = F.coalesce(self.low.cast(self.kind) - self.number(self.bottom - 1), self.number(0))
+        return (first * self.number(self.wide) + second).cast(self.kind)
+
+    def decoded(self) -> tuple[Column, Column]:
+        """high and low of a column called code."""
+        by = f"cast('{self.wide}' as {self.kind})"
+        first, second = F.expr(f"code div {by}"), F.expr(f"code % {by}")
+        return (
+            F.when(first > 0, F.lit(self.most + 1) - first).cast("int"),
+            F.when(second > 0, second + self.number(self.bottom - 1)).cast("long")
+        )
 
 
 def _meet(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -71,22 +90,37 @@ def cuts(counts: DataFrame, most: int) -> DataFrame:
     return state.select("g", F.col("hi").alias("cut"))
 
 
+def _near(rows: DataFrame, counts: DataFrame, cut: DataFrame) -> DataFrame:
+    """The rows up to their group's cut. Groups of more than a thousandth of all rows, of which there can be no thousand, are
+    cut where their rows lie, and their rows are dealt by nothing but their place; the others' are dealt by group."""
+    size = counts.groupBy("g").agg(F.sum("n").alias("n"))
+    total = size.agg(F.sum("n")).first()[0] or 0
+    sized = staged(_meet(size, cut).withColumn("hot", F.col("n") * HOT > F.lit(total)))
+    hot = F.broadcast(sized.where("hot").select("g", F.col("cut").alias("top")))
+    cold = sized.where("not hot").select("g", "cut").withColumn("deal", F.xxhash64("g"))
+    dealt = rows.withColumn("at", F.monotonically_increasing_id()).join(hot, "g", "left").where("top is null or code <= top").withColumn(
+        "deal", F.when(F.col("top").isNull(), F.xxhash64("g")).otherwise(F.xxhash64("g", "at"))
+    ).drop("at")
+    return dealt.join(cold.hint("merge"), ["deal", "g"], "left").where("top is not null or code <= cut").drop("deal", "top", "cut")
+
+
 def leading(lines: DataFrame, groups: list[str], high: str, low: str, ties: list[str], most: int = MOST) -> DataFrame:
     """The first `most` places of every group: groups, high, low and ties with pos and place (from 1, in the order of the pair,
-    then of ties, nulls last) and tied (the group's lines with this pair, returned or not)."""
+    then of ties, nulls last) and tied (the group's lines with this pair, returned or not). Group columns are whole numbers,
+    texts or booleans."""
     spark = lines.sparkSession
 
     def make() -> DataFrame:
         pos, place, tied = free_names(["pos", "place", "tied"], [*groups, high, low, *ties])
-        own = [*groups, high, low, *ties]
+        pair, kept = Pair(lines, high, low), [f"c{i}" for i in range(len(ties))]
+        key = StructType([StructField(str(i), lines.schema[c].dataType) for i, c in enumerate(groups)])
         rows = lines.select(
             F.to_json(F.struct(*[column(c).alias(str(i)) for i, c in enumerate(groups)])).alias("g"),
-            encoded(lines, high, low).alias("code"), *[column(c).alias(f"c{i}") for i, c in enumerate(own)]
+            pair.encoded().alias("code"), *[column(c).alias(k) for c, k in zip(ties, kept)]
         )
-        kept = [f"c{i}" for i in range(len(own))]
         counts = staged(rows.groupBy("g", "code").agg(F.count("*").alias("n")))
-        near = staged(_meet(rows, cuts(counts, most)).where("code <= cut").groupBy("g", "code", *kept).agg(F.count("*").alias("times")))
-        order = [F.asc("code"), *[F.asc_nulls_last(c) for c in kept[len(groups) + 2 :]]]
+        near = staged(_near(rows, counts, cuts(counts, most)).groupBy("g", "code", *kept).agg(F.count("*").alias("times")))
+        order = [F.asc("code"), *[F.asc_nulls_last(c) for c in kept]]
         ranged = near.repartitionByRange("g", *order).withColumn("range", F.spark_partition_id())
         first = ranged.withColumn(
             "at", F.row_number().over(Window.partitionBy("range", "g").orderBy(*order))
@@ -96,9 +130,11 @@ def leading(lines: DataFrame, groups: list[str], high: str, low: str, ties: list
             "pos", F.explode(F.expr(f"sequence(before + 1, least(before + times, {most}L))"))
         )
         deal = lambda df: df.withColumn("deal", F.xxhash64("g", "code"))
-        found = deal(ranked).join(deal(counts).hint("merge"), ["deal", "g", "code"])
+        found = deal(ranked).join(deal(counts).hint("merge"), ["deal", "g", "code"]).withColumn("key", F.from_json("g", key))
+        large, small = pair.decoded()
         return found.select(
-            *[F.col(k).alias(c) for k, c in zip(kept, own)], F.col("pos").cast("long").alias(pos),
+            *[F.col(f"key.{i}").alias(c) for i, c in enumerate(groups)], large.alias(high), small.alias(low),
+            *[F.col(k).alias(c) for k, c in zip(kept, ties)], F.col("pos").cast("long").alias(pos),
             F.col("pos").cast("long").alias(place), F.col("n").cast("long").alias(tied)
         )
 
