@@ -19,12 +19,14 @@ from __future__ import annotations
 import itertools
 import math
 import struct
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import finished, staged, table
+from .common import home, table
 from .packing import tokenizer_path, word_ids
 
 NEARLY, BUFFER, NODE, SAVES = 4, 4096, 4096, 0.01
@@ -32,11 +34,10 @@ PIECE = pa.struct([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
     ("offset", pa.int64())
 ])
-NAMES = ["sequence_id", "used", "full", "pieces"]
-KINDS = [pa.int64(), pa.int32(), pa.bool_(), pa.list_(PIECE)]
+NAMES = ["sequence_id", "used", "pieces", "full"]
 SCHEMA = (
-    "sequence_id long, used int, full boolean, "
-    "pieces array<struct<doc_id: long, piece: int, start: long, ids: binary, doc_tokens: long, offset: long>>"
+    "sequence_id long, used int, "
+    "pieces array<struct<doc_id: long, piece: int, start: long, ids: binary, doc_tokens: long, offset: long>>, full boolean"
 )
 
 
@@ -81,9 +82,18 @@ class BestFit:
         return out
 
 
-def _batches(rows: list[tuple], size: int = 500):
-    for i in range(0, len(rows), size):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + size]), KINDS)], NAMES)
+def _batches(found: list[tuple[int, list]], first: int, full: bool, size: int = 500):
+    """Sequences, numbered from first on, as batches."""
+    for i in range(0, len(found), size):
+        part = found[i : i + size]
+        offsets = np.zeros(len(part) + 1, np.int32)
+        np.cumsum([len(pieces) for _, pieces in part], out=offsets[1:])
+        fields = zip(*(p for _, pieces in part for p in _laid(pieces)))
+        pieces = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(fields, PIECE)], fields=list(PIECE))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.arange(first + i, first + i + len(part))), pa.array([used for used, _ in part], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(offsets), pieces), pa.array([full] * len(part))
+        ], NAMES)
 
 
 def _laid(pieces: list[tuple]) -> list[tuple]:
@@ -100,7 +110,7 @@ class _Out:
 
     def __call__(self, found: list[tuple[int, list]], full: bool):
         first, self.next = self.next, self.next + len(found)
-        yield from _batches([(first + i, used, full, _laid(pieces)) for i, (used, pieces) in enumerate(found)])
+        yield from _batches(found, first, full)
 
 
 def first_round(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -149,23 +159,26 @@ def next_round(items: DataFrame, nodes: int, rounds: int, capacity: int) -> Data
     return items.repartition(nodes, F.xxhash64("sequence_id")).select("used", "pieces").mapInArrow(run, SCHEMA)
 
 
+def _written(sequences: DataFrame) -> DataFrame:
+    """Written once, full and underfull ones apart, so that a round reads the latter alone."""
+    spark, path = sequences.sparkSession, f"{home(sequences.sparkSession)}/{uuid.uuid4().hex}"
+    sequences.write.partitionBy("full").parquet(path)
+    return spark.read.schema(sequences.schema).parquet(path)
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, node: int = NODE) -> DataFrame:
     """docs (doc_id, text) to pieces: doc_id, piece, start, length, ids (binary, little-endian 32-bit), doc_tokens,
-    sequence_id, offset."""
-    def make() -> DataFrame:
-        now = staged(first_round(docs, tokenizer, capacity, end_id))
-        done, rounds, before = now.where("full"), 0, math.inf
-        while True:
-            left = now.where("not full")
-            count = left.count()
-            if not count or count > (1 - SAVES) * before or before <= node:
-                break
-            rounds, before = rounds + 1, count
-            now = staged(next_round(left, math.ceil(count / node), rounds, capacity))
-            done = done.unionByName(now.where("full"))
-        return done.unionByName(left)
-
-    return _pieces(finished(docs.sparkSession, make))
+    sequence_id, offset. The result reads what the rounds have written, so its ids are written once."""
+    now = _written(first_round(docs, tokenizer, capacity, end_id))
+    done, rounds, before = now.where("full"), 0, math.inf
+    while True:
+        left = now.where("not full")
+        count = left.count()
+        if not count or count > (1 - SAVES) * before or before <= node:
+            return _pieces(done.unionByName(left))
+        rounds, before = rounds + 1, count
+        now = _written(next_round(left, math.ceil(count / node), rounds, capacity))
+        done = done.unionByName(now.where("full"))
 
 
 def _pieces(sequences: DataFrame) -> DataFrame:
