@@ -3,9 +3,12 @@ divisions: their size is that of the gazetteer, not of the data."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import blank, strip
+from . import gazetteer
 
 
 def dimension(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
@@ -13,9 +16,9 @@ def dimension(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
     return spark.createDataFrame(rows, names)
 
 
-def read(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """provinces, cities, areas or streets from a JSON file of an array of objects."""
-    return spark.read.option("multiLine", True).json(f"{folder}/{kind}.json")
+def read(spark: SparkSession, folder: str, kind: str, array: bool = True) -> DataFrame:
+    """provinces, cities, areas or streets from a JSON file of an array of objects, or of one object a line, which Spark splits."""
+    return spark.read.option("multiLine", array).json(f"{folder}/{kind}.json")
 
 
 def first_by_name(dim: DataFrame) -> DataFrame:
@@ -87,28 +90,122 @@ def areas_in(city: str, cities: DataFrame, areas: DataFrame) -> DataFrame:
     ).select("code", "name")
 
 
+#: The endings of street names, longest first.
+STREET_ENDS = ["街道办事处", "办事处", "街道", "镇", "乡"]
+AREA_ENDS, CITY_ENDS = ["自治县", "自治旗", "区", "县", "市", "旗"], ["市", "地区", "盟"]
+
+
+def _ending(ends: list[str]) -> str:
+    return f"({'|'.join(ends)})$"
+
+
+def _around(found: DataFrame) -> DataFrame:
+    """With before, the letter before a place (empty at the start), and after, the rest of the text from its end on."""
+    return found.withColumns({
+        "before": F.when(F.col("at") > 0, F.expr("substring(text, at, 1)")).otherwise(""),
+        "after": F.expr("substring(text, at + length(name) + 1)")
+    })
+
+
 def extract_area(rows: DataFrame, areas: DataFrame, address: str = "address") -> DataFrame:
-    """(rid, area): the known area name in an address; after a city's suffix it counts most, then autonomous counties, then
-    the longest name, then the last by name."""
-    text = F.coalesce(F.col(address), F.lit(""))
-    kinds = [
-        (r"[市州盟]([一-龥]{2,6}?[区县旗])", 100), (r"(?<![省市州盟])([一-龥]{2,6}?[区县旗])(?!域|划)", 0), (r"([一-龥]{2,10}?自治[县旗])", 10)
-    ]
-    def named(pattern: str, weight: int):
-        priority = lambda x: F.lit(100) if weight == 100 else F.length(x) + weight
-        return F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)),
-            lambda x: F.struct(priority(x).alias("priority"), x.alias("name"))
+    """(rid, area): the known area name in an address. Names right after the suffix of a city count most, then the longest
+    (ten more for autonomous ones that do not count otherwise), then the last by name; a name that goes on as a zone or a
+    division does not count, nor one right after a province's suffix unless it is autonomous."""
+    texts = rows.select("rid", F.col(address).cast("string").alias("text"))
+    names = areas.select("name").where("name rlike '^[一-龥]{2,10}[区县旗]$'")
+    found = _around(gazetteer.places(texts, names))
+    length, usual = F.length("name"), F.length("name").between(3, 7)
+    priority = F.when(F.col("before").isin(*"市州盟") & usual, 100).when(
+        (F.col("before") != "省") & ~F.col("after").rlike("^[域划]") & usual, length
+    ).when(F.col("name").rlike("自治[县旗]$"), length + 10)
+    best = found.withColumn("priority", priority).where("priority is not null").groupBy("rid").agg(
+        F.max(F.struct("priority", "name")).alias("x")
+    )
+    return rows.select("rid").join(best, "rid", "left").select("rid", F.coalesce("x.name", F.lit("")).alias("area"))
+
+
+def extract_street(rows: DataFrame, streets: DataFrame, address: str = "address") -> DataFrame:
+    """(rid, street): the longest known street name with one of the endings in an address, the last by name among those; a name
+    that goes on as a village does not count. Else the first place of a known street with another ending than its own, the
+    longest there, as the address has it."""
+    texts = rows.select("rid", F.col(address).cast("string").alias("text"))
+    whole = streets.select("name").where(F.col("name").rlike(_ending(STREET_ENDS))).distinct()
+    short = whole.select(F.regexp_replace("name", _ending(STREET_ENDS), "").alias("s")).where("length(s) >= 2").distinct()
+    other = short.select(F.explode(F.array(*(F.concat("s", F.lit(e)) for e in STREET_ENDS))).alias("name")).join(
+        whole, "name", "left_anti"
+    ).distinct()
+    names = whole.withColumn("known", F.lit(True)).unionByName(other.withColumn("known", F.lit(False)))
+    found = _around(gazetteer.places(texts, names)).join(names, "name")
+    found = found.where("not (name rlike '[镇乡]$' and startswith(after, '村'))")
+    place = F.when(F.col("known"), 0).otherwise(-F.col("at"))
+    best = found.groupBy("rid").agg(
+        F.max_by("name", F.struct("known", place.alias("place"), F.length("name").alias("n"), "name")).alias("street")
+    )
+    return rows.select("rid").join(best, "rid", "left").select("rid", F.coalesce("street", F.lit("")).alias("street"))
+
+
+def chains(provinces: DataFrame, cities: DataFrame, areas: DataFrame, streets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What lies above a city, an area and a street, by name and by name without its suffix (the first code wins): a key, and
+    the names province, city and area as far as they go."""
+    up = cities.select("code", F.col("name").alias("city"), F.col("provinceCode").alias("p")).join(
+        provinces.select(F.col("code").alias("p"), F.col("name").alias("province")), "p", "left"
+    )
+    of_area = areas.select("code", F.col("name").alias("area"), F.col("cityCode").alias("c")).join(
+        up.select(F.col("code").alias("c"), "province", "city"), "c", "left"
+    )
+    of_street = streets.select("code", F.col("name").alias("street"), F.col("areaCode").alias("a")).join(
+        of_area.select(F.col("code").alias("a"), "province", "city", "area"), "a", "left"
+    )
+
+    def by(dim, name, ends, *columns):
+        keys = F.array_distinct(F.array(name, F.regexp_replace(name, _ending(ends), "")))
+        return dim.withColumn("key", F.explode(keys)).where("key <> ''").groupBy("key").agg(
+            F.min_by(F.struct(*columns), "code").alias("d")
         )
 
-    found = F.concat(*(named(p, w) for p, w in kinds))
-    words = rows.select("rid", F.explode(found).alias("x")).select("rid", "x.*").join(
-        F.broadcast(areas.select("name").distinct()), "name"
+    return (
+        by(up, "city", CITY_ENDS, "province"), by(of_area, "area", AREA_ENDS, "province", "city"),
+        by(of_street, "street", STREET_ENDS, "province", "city", "area")
     )
-    best = words.groupBy("rid").agg(
-        F.max(F.struct("priority", "name")).alias("x")
-    ).select("rid", F.col("x.name").alias("area"))
-    return rows.select("rid").join(best, "rid", "left").select("rid", F.coalesce("area", F.lit("")).alias("area"))
+
+
+def _above(rows: DataFrame, of: str, dim: DataFrame, ends: list[str]) -> DataFrame:
+    """rows with d, what lies above a name: as it is or, where that is not known, without its suffix."""
+    exact, short = dim.select(F.col("key").alias("k1"), F.col("d").alias("d1")), dim.select(F.col("key").alias("k2"), F.col("d").alias("d2"))
+    bare = F.regexp_replace(of, _ending(ends), "")
+    out = rows.join(exact, F.col(of) == F.col("k1"), "left").join(short, bare == F.col("k2"), "left")
+    return out.withColumn("d", F.when(F.col("k1").isNotNull(), F.col("d1")).otherwise(F.col("d2"))).drop("k1", "k2", "d1", "d2")
+
+
+def complete(rows: DataFrame, provinces: DataFrame, cities: DataFrame, areas: DataFrame, streets: DataFrame) -> DataFrame:
+    """rid, province, city, area, street, confidence and method of rows (rid, address and what is known of the four).
+
+    Area and street are looked for in the address where they are not given. Then what lacks is filled from the area (0.9,
+    area_lookup), from the street (0.85 at least, street_lookup) and the province from the city (0.95 at least, city_lookup);
+    the last step that filled anything names the method, none if there was none. Dimensions are joined, whatever their size."""
+    of_city, of_area, of_street = chains(provinces, cities, areas, streets)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    known = rows.select("rid", "address", *(text(c) for c in ("province", "city", "area", "street")))
+    found = known.join(
+        extract_area(known, areas).withColumnRenamed("area", "area_"), "rid"
+    ).join(extract_street(known, streets).withColumnRenamed("street", "street_"), "rid")
+    or_else = lambda c, x: F.when(F.col(c) == "", F.coalesce(x, F.lit(""))).otherwise(F.col(c))
+    now = found.withColumns({
+        "area": or_else("area", F.col("area_")), "street": or_else("street", F.col("street_")), "confidence": F.lit(0.0),
+        "method": F.lit("none")
+    }).drop("area_", "street_", "address")
+    steps = [
+        ("area", of_area, AREA_ENDS, ["province", "city"], 0.9), ("city", of_city, CITY_ENDS, ["province"], 0.95)
+    ]
+    steps.insert(1, ("street", of_street, STREET_ENDS, ["province", "city", "area"], 0.85))
+    for of, dim, ends, lacking, sure in steps:
+        lacks = reduce(Column.__or__, (F.col(c) == "" for c in lacking)) & (F.col(of) != "")
+        now = _above(now, of, dim, ends).withColumn("hit", lacks & F.col("d").isNotNull())
+        filled = {c: F.when(F.col("hit"), or_else(c, F.col(f"d.{c}"))).otherwise(F.col(c)) for c in lacking}
+        surer = F.when(F.col("hit"), F.greatest("confidence", F.lit(sure))).otherwise(F.col("confidence"))
+        method = F.when(F.col("hit"), f"{of}_lookup").otherwise(F.col("method"))
+        now = now.withColumns(filled | {"confidence": surer, "method": method}).drop("d", "hit")
+    return now
 
 
 def fill(parsed: dict[str, Column], completed: dict[str, Column]) -> dict[str, Column]:

@@ -334,11 +334,76 @@ add(
     lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full"),
     DEDUCE_SQL + " SELECT rid, province_full, city_full FROM r4"
 )
+_ENDS = "(街道办事处|办事处|街道|镇|乡)$"
+#: Areas and streets named in the addresses of a table t (rid, address).
+EXTRACT_SQL = f"""at_ AS (SELECT rid, address, unnest(range(1, length(address) + 1)) AS i FROM {{t}}),
+af AS (SELECT rid, name, CASE WHEN i > 1 AND substr(address, i - 1, 1) IN ('市', '州', '盟') AND length(name) BETWEEN 3 AND 7 THEN 100
+    WHEN NOT (i > 1 AND substr(address, i - 1, 1) = '省') AND NOT substr(address, i + length(name), 1) IN ('域', '划') AND length(name) BETWEEN 3 AND 7 THEN length(name)
+    WHEN regexp_matches(name, '自治[县旗]$') THEN length(name) + 10 END AS priority
+  FROM at_ JOIN (SELECT DISTINCT name FROM areas WHERE regexp_matches(name, '^[一-龥]{{{{2,10}}}}[区县旗]$')) n ON substr(address, i, length(name)) = name),
+ax AS (SELECT rid, name AS area FROM af WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY rid ORDER BY priority DESC, name DESC) = 1),
+sw AS (SELECT DISTINCT name FROM streets WHERE regexp_matches(name, '{_ENDS}')),
+sn AS (SELECT name, true AS known FROM sw UNION ALL SELECT DISTINCT name, false FROM (SELECT regexp_replace(name, '{_ENDS}', '') || unnest({region.STREET_ENDS}) AS name FROM sw WHERE length(regexp_replace(name, '{_ENDS}', '')) >= 2) WHERE name NOT IN (FROM sw)),
+sf AS (SELECT rid, name, known, i FROM at_ JOIN sn ON substr(address, i, length(name)) = name WHERE NOT (regexp_matches(name, '[镇乡]$') AND substr(address, i + length(name), 1) = '村')),
+sx AS (SELECT rid, name AS street FROM sf QUALIFY row_number() OVER (PARTITION BY rid ORDER BY known DESC, CASE WHEN known THEN 0 ELSE i END, length(name) DESC, name DESC) = 1)"""
+_BARE = {
+    "area": "regexp_replace({v}, '(自治县|自治旗|区|县|市|旗)$', '')", "street": f"regexp_replace({{v}}, '{_ENDS}', '')",
+    "city": "regexp_replace({v}, '(市|地区|盟)$', '')"
+}
+_UP = "LEFT JOIN cities c ON c.code = a.cityCode LEFT JOIN provinces p ON p.code = c.provinceCode"
+_DIMS = {
+    "city": "SELECT c.code, c.name, p.name AS province, c.name AS city, '' AS area FROM cities c LEFT JOIN provinces p ON p.code = c.provinceCode",
+    "area": f"SELECT a.code, a.name, p.name AS province, c.name AS city, a.name AS area FROM areas a {_UP}",
+    "street": f"SELECT s.code, s.name, p.name AS province, c.name AS city, a.name AS area FROM streets s LEFT JOIN areas a ON a.code = s.areaCode {_UP}"
+}
+
+
+def _above_sql(of: str, n: int) -> str:
+    """Steps of the completion: k{n}, what lies above a name; s{n}, the rows after it."""
+    lacking = {"area": ["province", "city"], "street": ["province", "city", "area"], "city": ["province"]}[of]
+    sure = {"area": 0.9, "street": 0.85, "city": 0.95}[of]
+    lacks = " OR ".join(f"{c} = ''" for c in lacking)
+    hit = f"({lacks}) AND {of} <> '' AND d IS NOT NULL"
+    filled = ", ".join(f"CASE WHEN {hit} AND {c} = '' THEN coalesce(d.{c}, '') ELSE {c} END AS {c}" for c in lacking)
+    return f"""d{n} AS (SELECT *, unnest(list_distinct([name, {_BARE[of].format(v='name')}])) AS key FROM ({_DIMS[of]})),
+k{n} AS (SELECT key, struct_pack(province := province, city := city, area := area) AS d FROM d{n} WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY code) = 1),
+j{n} AS (SELECT s.*, CASE WHEN x.key IS NOT NULL THEN x.d ELSE y.d END AS d FROM s{n - 1} s LEFT JOIN k{n} x ON x.key = s.{of} LEFT JOIN k{n} y ON y.key = {_BARE[of].format(v=f's.{of}')}),
+s{n} AS (SELECT * EXCLUDE (d) REPLACE ({filled}, CASE WHEN {hit} THEN greatest(confidence, {sure}::DOUBLE) ELSE confidence END AS confidence, CASE WHEN {hit} THEN '{of}_lookup' ELSE method END AS method) FROM j{n})"""
+
+
+_OR_ELSE = "CASE WHEN coalesce({c}, '') = '' THEN coalesce(x_{c}, '') ELSE {c} END AS {c}"
+COMPLETE_SQL = EXTRACT_SQL.format(t="spots") + f""",
+s0 AS (SELECT rid, coalesce(province, '') AS province, coalesce(city, '') AS city, {_OR_ELSE.format(c='area')}, {_OR_ELSE.format(c='street')}, 0.0::DOUBLE AS confidence, 'none' AS method
+  FROM (SELECT s.*, ax.area AS x_area, sx.street AS x_street FROM spots s LEFT JOIN ax USING (rid) LEFT JOIN sx USING (rid))),
+""" + ",\n".join(_above_sql(of, n + 1) for n, of in enumerate(("area", "street", "city")))
 add(
-    "complete_address", "places provinces cities areas",
-    lambda r, p, c, a: region.deduce(r, p, c, a).select("rid", "province_full", "city_full", "method", "confidence"),
-    DEDUCE_SQL + " SELECT rid, province_full, city_full, method, CASE method WHEN 'area' THEN 0.9::DOUBLE WHEN 'city' THEN 0.95::DOUBLE WHEN 'given' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM r4"
+    "complete_address", "spots provinces cities areas streets", region.complete, COMPLETE_SQL + " SELECT * FROM s3"
 )
+
+
+def _from_street(rows, *dims):
+    alone = rows.select("rid", "address", *(F.lit("").alias(c) for c in ("province", "city", "area")), "street")
+    found = region.complete(alone, *dims).where("method = 'street_lookup'")
+    return found.select("rid", "province", "city", "area", "street")
+
+
+add(
+    "region_deduce_street", "spots provinces cities areas streets", _from_street,
+    COMPLETE_SQL.replace("FROM spots s LEFT", "FROM (SELECT * REPLACE ('' AS province, '' AS city, '' AS area) FROM spots) s LEFT")
+    + " SELECT rid, province, city, area, street FROM s3 WHERE method = 'street_lookup'"
+)
+
+
+def _street_dim(spark, sf_dir):
+    """Streets as a JSON file in the shared folder, read as a dimension."""
+    folder = f"{shared.home(spark)}/{uuid.uuid4().hex}"
+    frame(spark, sf_dir, "streets").select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/streets.json")
+    return region.first_by_name(region.read(spark, folder, "streets", False)).select("key", "d.*")
+
+
+QUERIES["read_street_dim"] = _street_dim
+SQL["read_street_dim"] = f"""WITH streets AS ({FRAMES['streets']}), n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM streets)
+SELECT key, areaCode, code, name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY code) AS r FROM n) WHERE r = 1"""
 _SHORT = "regexp_replace({}, '(省|市|区|县|自治区)$', '')"
 add(
     "validate_region", "places provinces cities areas",
@@ -349,7 +414,11 @@ add(
     "areas_in_city", "cities areas", lambda c, a: region.areas_in("杭州市", c, a),
     "SELECT code, name FROM areas WHERE cityCode = '3301'"
 )
-add("region_extract", "places areas", lambda r, a: region.extract_area(r, a))
+add(
+    "region_extract", "spots areas streets",
+    lambda r, a, s: region.extract_area(r, a).join(region.extract_street(r, s), "rid"),
+    EXTRACT_SQL.format(t="spots") + " SELECT rid, coalesce(area, '') AS area, coalesce(street, '') AS street FROM (SELECT rid FROM spots) s LEFT JOIN ax USING (rid) LEFT JOIN sx USING (rid)"
+)
 
 
 def _fill(df):

@@ -53,6 +53,23 @@ FRAMES = {
       CASE WHEN c_custkey % 4 = 0 THEN concat('预测', CAST(c_custkey % 5 AS VARCHAR(10))) WHEN c_custkey % 4 = 1 THEN ' ' END AS predicted FROM customer""",
 }
 
+_STEMS = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉"
+
+
+def _stem(key: str) -> str:
+    """A name of two letters, of which there are four hundred."""
+    at = lambda k: f"substr('{_STEMS}', CAST({k} % 20 AS INT) + 1, 1)"
+    return f"concat({at(key)}, {at(f'CAST(floor({key} / 20) AS INT)')})"
+
+
+#: Streets of the areas, and addresses that name some of them.
+FRAMES |= {
+    "streets": f"""SELECT CAST(330106000000 + p_partkey AS VARCHAR(20)) AS code, concat({_stem('p_partkey')}, {pick('街道,镇,乡,街道办事处,街道', 'p_partkey')}) AS name, {pick('330106,320508,440106,330203', 'p_partkey')} AS areaCode FROM part""",
+    "spots": f"""SELECT c_custkey AS rid, CASE WHEN c_custkey % 3 = 0 THEN '浙江省' WHEN c_custkey % 3 = 1 THEN '' END AS province, CASE WHEN c_custkey % 4 = 0 THEN {pick('杭州市,苏州市,宁波,某某市', 'c_custkey')} ELSE '' END AS city,
+      CASE WHEN c_custkey % 5 = 0 THEN {pick('西湖区,姑苏县,天河,无此区', 'c_custkey')} END AS area, CASE WHEN c_custkey % 7 = 0 THEN concat({_stem('c_custkey')}, '街道') ELSE '' END AS street,
+      CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE concat({pick('浙江省杭州市,苏州市,广州,江苏省', 'c_custkey')}, {pick('西湖区,姑苏区域,天河区,,', 'c_custkey')}, {_stem('(c_custkey * 7)')}, {pick('街道,镇村,乡,路,办事处,镇,街道办事处', 'c_custkey')}, CAST(c_custkey % 90 AS VARCHAR(10)), '号', CASE WHEN c_custkey % 6 = 0 THEN concat({_stem('(c_custkey * 3)')}, '街道') ELSE '' END) END AS address FROM customer""",
+}
+
 #: With an embedding of the POI, for semantic scores.
 FRAMES |= {
     "src_v": f"SELECT s.*, e.embedding AS v FROM ({FRAMES['src']}) s LEFT JOIN embeddings e ON e.vec_id = s.rid % 61",
