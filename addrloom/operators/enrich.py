@@ -58,10 +58,12 @@ def standardise(
     """(rows with the fourteen standard columns and structure_cached, poi_cached, cached; new structures; new POIs).
 
     structures (text, structure) and pois (std, poi) are known answers. An empty structure and a null POI are failures and are
-    not kept; an empty POI is an answer. Rows without an address have empty columns. dims (provinces, cities, areas) complete
+    not kept; an empty POI is an answer. Rows without an address have empty columns. Columns of the rows stay, but for those that
+    have the name of a result's. dims (provinces, cities, areas) complete
     province and city where province, city or district lacks."""
     text = T.strip(F.coalesce(F.col(f"`{address}`").cast("string"), F.lit("")))
-    named = rows.withColumn("text", text)
+    # The row goes along as one column, whatever its own columns are called.
+    named = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), text.alias("text"))
     asked = named.select("text").where("text <> ''").distinct()
     found, new_structures = _answers(asked, _known(structures, "text", "structure"), "text", "structure", structure_of)
     part = lambda keys: F.coalesce(*(F.nullif(F.col("structure")[k], F.lit("")) for k in keys), F.lit(""))
@@ -99,8 +101,9 @@ def standardise(
     columns = [F.coalesce(c, F.lit("")).alias(c) for c in standard]
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("structure_cached", "poi_cached")]
     both = F.coalesce(F.col("structure_cached") & F.col("poi_cached"), F.lit(False)).alias("cached")
+    made = {"标准化地址", *standard, "structure_cached", "poi_cached", "cached"}
     return out.select(
-        *(F.col(f"`{c}`") for c in rows.columns if c != "text"), F.coalesce("std", F.lit("")).alias("标准化地址"), *columns,
+        *(F.col(f"row.`{c}`") for c in rows.columns if c not in made), F.coalesce("std", F.lit("")).alias("标准化地址"), *columns,
         *flags, both
     ), new_structures, new_pois
 
