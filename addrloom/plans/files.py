@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..operators import profile
-from ..sources import readers, shared, sinks
+from ..sources import layers, readers, shared, sinks
 from .fixtures import FRAMES, frame
 from .registry import QUERIES, SQL, add
 
@@ -101,9 +102,30 @@ def _shapes(spark, sf_dir):
     points, base = _nations(spark, sf_dir).withColumn("x", F.col("n_nationkey") + 0.5).withColumn(
         "y", F.col("n_regionkey") - 2.25
     ), _place(spark)
-    for suffix, data in sinks.point_files(points.withColumnRenamed("n_name", "标准化地址"), "x", "y").items():
-        shared.write_bytes(spark, base + suffix, data)
-    return readers.auto(spark, base + ".shp")
+    layers.write_points(points.withColumnRenamed("n_name", "标准化地址"), base, "x", "y")
+    return readers.read_shapefile(spark, base)
+
+
+#: Points, lines and polygons (with a hole) around whole numbers, as a layer's texts have them.
+_KINDS = {
+    "point": "concat('POINT (', x, ' ', y, ')')",
+    "line": "concat('MULTILINESTRING ((', x, ' ', y, ', ', x + 1, ' ', y, '), (', x, ' ', y + 2, ', ', x + 3, ' ', y + 2, ', ', x + 3, ' ', y + 5, '))')",
+    "polygon": "concat('POLYGON ((', x, ' ', y, ', ', x, ' ', y + 9, ', ', x + 9, ' ', y + 9, ', ', x + 9, ' ', y, ', ', x, ' ', y, '), (', x + 1, ' ', y + 1, ', ', x + 2, ' ', y + 1, ', ', x + 2, ' ', y + 2, ', ', x + 1, ' ', y + 1, '))')",
+}
+
+
+def _drawn(kind: str) -> str:
+    return f"SELECT id, name, {_KINDS[kind]} AS geometry FROM (SELECT c_custkey AS id, c_name AS name, CAST(c_custkey % 360 - 180 AS INT) AS x, CAST(c_nationkey AS INT) AS y FROM customer)"
+
+
+def _written_layers(spark, sf_dir):
+    """Layers of each kind of shape, written by many tasks in parts and read by ranges of records."""
+    out = []
+    for kind in _KINDS:
+        folder = _place(spark)
+        layers.write(frame(spark, sf_dir, _drawn(kind)).repartition(4), folder, projection='PROJCS["flat"]', records=1000)
+        out.append(readers.read_shapefile(spark, folder, 400).withColumn("kind", F.lit(kind)))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 def _national(spark, sf_dir, encoding, lines):
@@ -153,7 +175,7 @@ def _resolved(spark, sf_dir):
 
 
 QUERIES |= {
-    "scan_csv": _csv, "scan_geojson": _geojson, "scan_excel": lambda spark, sf_dir: readers.auto(
+    "csv_to_layer": _written_layers, "scan_csv": _csv, "scan_geojson": _geojson, "scan_excel": lambda spark, sf_dir: readers.auto(
         spark, _book(spark, sf_dir)
     ), "scan_shp": _shapes, "scan_auto": _auto, "scan_pandas_multi": _multi,
     "convert_to_csv": _converted, "resolve_path": _resolved, "file_columns": lambda spark, sf_dir: profile.names_frame(
@@ -161,6 +183,9 @@ QUERIES |= {
     ),
 }
 SQL |= {
+    "csv_to_layer": " UNION ALL ".join(
+        f"SELECT CAST(id AS VARCHAR) AS id, name, geometry, 'flat' AS crs, '{k}' AS kind FROM ({_drawn(k)})" for k in _KINDS
+    ),
     "scan_csv": NATIONS_SQL, "scan_excel": NATIONS_SQL, "convert_to_csv": NATIONS_SQL, "file_columns": "SELECT unnest(['n_name', 'n_nationkey', 'n_regionkey']) AS name",
     "scan_geojson": """SELECT n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, '{"coordinates":[' || CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) || ',0.5],"type":"Point"}' AS geometry FROM nation""",
     "scan_shp": """SELECT n_name AS "标准化", CAST(n_nationkey AS VARCHAR) AS n_nationke, CAST(n_regionkey AS VARCHAR) AS n_regionke,

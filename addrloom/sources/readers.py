@@ -14,6 +14,9 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import layers
+from .layers import dbf_fields
+
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
 CHARSETS = {"gbk": "GBK", "gb2312": "GB2312", "gb18030": "GB18030", "latin-1": "ISO-8859-1"}
 
@@ -115,7 +118,14 @@ def _batch(names: list[str], rows: list) -> pa.RecordBatch:
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """A workbook, or a folder of workbooks with the same header; columns without a name are left out. A task reads a file."""
     files = _files(spark, path).where(F.lower("path").rlike(r"\.xlsx?$"))
-    header = workbook_rows(bytes(files.orderBy("path").first().content), sheet)[0]
+
+    def top(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([workbook_rows(data, sheet)[0]], pa.list_(pa.string()))], ["header"])
+
+    first = files.agg(F.min("path")).first()[0]
+    header = files.where(F.col("path") == first).select("content").mapInArrow(top, "header array<string>").first().header
     named = [i for i, h in enumerate(header) if h]
     names = [header[i] for i in named]
 
@@ -128,80 +138,70 @@ def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> D
     return files.select("content").mapInArrow(run, _strings(names))
 
 
-def shape_wkt(record: bytes) -> str | None:
-    """Well-known text of a point, multipoint, polyline or polygon record (rings are kept in one polygon)."""
-    kind = struct.unpack("<i", record[:4])[0] % 10
-    if kind == 1:
-        return "POINT ({} {})".format(*(f"{v:.10g}" for v in struct.unpack("<2d", record[4:20])))
-    number = lambda at: struct.unpack("<i", record[at : at + 4])[0]
-    if kind == 8:
-        n = number(36)
-        points = struct.unpack(f"<{2 * n}d", record[40 : 40 + 16 * n])
-        return "MULTIPOINT (" + ", ".join(f"{points[2 * i]:.10g} {points[2 * i + 1]:.10g}" for i in range(n)) + ")"
-    if kind in (3, 5):
-        parts, n = number(36), number(40)
-        starts = [*struct.unpack(f"<{parts}i", record[44 : 44 + 4 * parts]), n]
-        points = struct.unpack(f"<{2 * n}d", record[44 + 4 * parts : 44 + 4 * parts + 16 * n])
-        rings = [
-            "(" + ", ".join(f"{points[2 * i]:.10g} {points[2 * i + 1]:.10g}" for i in range(a, b)) + ")" for a,
-            b in zip(starts, starts[1:])
-        ]
-        if kind == 5:
-            return f"POLYGON ({', '.join(rings)})"
-        return f"LINESTRING {rings[0]}" if parts == 1 else f"MULTILINESTRING ({', '.join(rings)})"
-    return None
-
-
-def dbf_fields(head: bytes) -> list[tuple[str, str, int]]:
-    size = struct.unpack("<H", head[8:10])[0]
-    out = []
-    for at in range(32, size - 1, 32):
-        if head[at] == 0x0D:
-            break
-        out.append((head[at : at + 11].split(b"\0")[0].decode("utf-8", "replace"), chr(head[at + 11]), head[at + 16]))
-    return out
-
-
 def shape_rows(shapes: bytes, table: bytes, projection: str | None) -> list[list[str | None]]:
-    """Attributes as strings, geometry, crs."""
-    crs = None
-    if projection is not None:
-        name = re.search(r'AUTHORITY\["EPSG","(\d+)"\]\]\s*$', projection)
-        crs = f"EPSG:{name[1]}" if name else re.search(r'\["([^"]+)"', projection)[1] if '"' in projection else None
-    fields, (count, start, width) = dbf_fields(table), struct.unpack("<IHH", table[4:12])
+    """Attributes as strings, geometry, crs of a layer whose files are at hand."""
+    count, start, width = struct.unpack("<IHH", table[4:12])
+    layer = layers.Layer("", dbf_fields(table), start, width, count, layers.crs_of(projection), False)
     at, geometries, out = 100, [], []
     while at < len(shapes):
         size = struct.unpack(">i", shapes[at + 4 : at + 8])[0] * 2
-        geometries.append(shape_wkt(shapes[at + 8 : at + 8 + size]))
+        geometries.append(layers.shape_wkt(shapes[at + 8 : at + 8 + size]))
         at += 8 + size
     for i in range(count):
-        row, pos, values = table[start + i * width : start + (i + 1) * width], 1, []
-        for _, _, size in fields:
-            values.append(row[pos : pos + size].decode("utf-8", "replace").strip() or None)
-            pos += size
-        out.append([*values, geometries[i] if i < len(geometries) else None, crs])
+        row = layer.values(table[start + i * width : start + (i + 1) * width])
+        out.append([*row, geometries[i] if i < len(geometries) else None, layer.crs])
     return out
 
 
-def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """A .shp file with its .dbf (and .prj), or a folder of such files with the same attributes. A task reads a layer."""
-    files = _files(
-        spark, f"{path[:-4]}.*" if path.lower().endswith(".shp") else path
-    ).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Layers at a .shp path or in a folder, without suffix, by name; from any store that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(s.getPath()) for s in files.listStatus(where) if s.isFile()]
+    return sorted(f[:-4] for f in found if f.lower().endswith(".shp"))
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The head of an attribute table, of which no more is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, read = where.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+    stream = files.open(where)
+    try:
+        first = bytes(read(stream, 32))
+        return first + bytes(read(stream, struct.unpack("<H", first[8:10])[0] - 32))
+    finally:
+        stream.close()
+
+
+def read_shapefile(spark: SparkSession, path: str, records: int = layers.RECORDS) -> DataFrame:
+    """A .shp file with its .dbf (and .shx, .prj), or a folder of such files with the same attributes. Tasks read ranges of
+    records; from a store that only Spark can open, a task reads a layer."""
+    bases = _listed(spark, path)
+    if not bases:
+        raise FileNotFoundError(f"no layer at {path}")
+    try:
+        layers.store(bases[0])
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return _whole_layers(spark, bases)
+    return layers.read(spark, bases, records)
+
+
+def _whole_layers(spark: SparkSession, bases: list[str]) -> DataFrame:
+    files = _files(spark, [f"{b}.*" for b in bases]).withColumn("kind", F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)))
     content = lambda kind: F.first(
         F.when(F.col("kind") == kind, F.col("content")), ignorenulls=True
     ).alias(kind)
-    layers = files.where(F.col("kind").isin("shp", "dbf", "prj")).groupBy(
+    found = files.where(F.col("kind").isin("shp", "dbf", "prj")).groupBy(
         F.regexp_replace("path", r"\.[^.]+$", "").alias("base")
     ).agg(*map(content, ("shp", "dbf", "prj"))).where("shp is not null")
-    names = [*(n for n, _, _ in dbf_fields(bytes(layers.orderBy("base").select("dbf").first().dbf))), "geometry", "crs"]
+    names = [*(n for n, _, _ in dbf_fields(_head(spark, bases[0] + ".dbf"))), "geometry", "crs"]
 
     def run(batches):
         for batch in batches:
             for shapes, table, projection in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 yield _batch(names, shape_rows(shapes, table, projection and projection.decode("utf-8", "replace")))
 
-    return layers.select("shp", "dbf", "prj").mapInArrow(run, _strings(names))
+    return found.select("shp", "dbf", "prj").mapInArrow(run, _strings(names))
 
 
 def auto(spark: SparkSession, path: str) -> DataFrame:

@@ -168,46 +168,6 @@ def export(df: DataFrame, path: str, columns: list[str] | None = None, source_fi
     return path + ".xlsx"
 
 
-def point_files(df: DataFrame, x: str, y: str) -> dict[str, bytes]:
-    """The .shp, .shx and .dbf bytes of a point layer. The other columns are attributes: whole numbers, numbers or text by what
-    the first hundred rows hold; of a text's bytes 254 are kept, cut between letters. Built by the driver like a workbook, with
-    the same bound."""
-    names = [c for c in df.columns if c not in (x, y)]
-    rows = df.select(
-        F.col(x).cast("double"), F.col(y).cast("double"),
-        *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names)
-    ).limit(PLAIN_ROWS + 1).collect()
-    if len(rows) > PLAIN_ROWS:
-        raise ValueError("too many rows for a point layer")
-    kinds = [dbf_type([row[i + 2] for row in rows[:100]]) for i in range(len(names))]
-    values = [[clipped(v, 254) for v in row[2:]] for row in rows]
-    sizes = [max([1, *(len(v[i]) for v in values)]) for i in range(len(names))]
-    decimals = [
-        max([0, *(len(v[i].partition(b".")[2]) for v in values)]) if k == "F" else 0 for i, k in enumerate(kinds)
-    ]
-    box = [f([row[i] for row in rows] or [0.0]) for f in (min, max) for i in (0, 1)]
-    head = lambda size: struct.pack(
-        ">7i", 9994, 0, 0, 0, 0, 0, size // 2
-    ) + struct.pack("<2i8d", 1000, 1, *box, 0, 0, 0, 0)
-    shapes = b"".join(
-        struct.pack(">2i", n, 10) + struct.pack("<i2d", 1, row[0], row[1]) for n, row in enumerate(rows, 1)
-    )
-    index = b"".join(struct.pack(">2i", 50 + 14 * n, 10) for n in range(len(rows)))
-    heads = zip(dbf_names(names), kinds, sizes, decimals)
-    fields = b"".join(
-        name.encode().ljust(11, b"\0") + kind.encode() + bytes(4) + bytes([size, min(d, 15)]) + bytes(14) for name,
-        kind, size, d in heads
-    )
-    table = bytes([3, 100, 1, 1]) + struct.pack(
-        "<IHH", len(rows), 33 + 32 * len(names), 1 + sum(sizes)
-    ) + bytes(20) + fields + b"\r"
-    table += b"".join(
-        b" " + b"".join(v.ljust(size) if k == "C" else v.rjust(size) for v, size, k in zip(row, sizes, kinds))
-        for row in values
-    ) + b"\x1a"
-    return {".shp": head(100 + len(shapes)) + shapes, ".shx": head(100 + len(index)) + index, ".dbf": table}
-
-
 def chosen(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """The named columns that exist; all, if none are named."""
     return df.select(*(f"`{c}`" for c in columns if c in df.columns)) if columns else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from addrloom.functions import geo, similarity, text as T
 from addrloom.operators import clean, enrich, join, match, nearest, profile, region
-from addrloom.sources import readers, sinks
+from addrloom.sources import layers, readers, sinks
 
 
 def one(spark, column):
@@ -167,11 +167,10 @@ def test_workbook_blank_header(spark, tmp_path):
 
 def test_point_files_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("甲", 1.5, -2.0), (None, 3.0, 4.25)], "name string, x double, y double")
-    for suffix, data in sinks.point_files(df, "x", "y").items():
-        (tmp_path / f"p{suffix}").write_bytes(data)
-    assert [
-        tuple(r) for r in readers.auto(spark, str(tmp_path / "p.shp")).collect()
-    ] == [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)]
+    layers.write_points(df, str(tmp_path / "p"), "x", "y")
+    assert sorted((tuple(r) for r in readers.read_shapefile(spark, str(tmp_path / "p")).collect()), key=str) == sorted(
+        [("甲", "POINT (1.5 -2)", None), (None, "POINT (3 4.25)", None)], key=str
+    )
 
 
 def test_right_sides_of_any_size(spark):
@@ -361,14 +360,13 @@ def test_point_files_of_long_names(spark, tmp_path):
         [("园" * 100, "7", "1.5", 1.0, 2.0), (None, "12", "", 3.0, 4.0)],
         "`标准化地址` string, `标准化地区` string, n string, x double, y double"
     )
-    for suffix, data in sinks.point_files(df, "x", "y").items():
-        (tmp_path / f"p{suffix}").write_bytes(data)
-    got = readers.auto(spark, str(tmp_path / "p.shp"))
+    layers.write_points(df, str(tmp_path / "p"), "x", "y")
+    got = readers.read_shapefile(spark, str(tmp_path / "p"))
     assert got.columns == ["标准化", "标准化1", "n", "geometry", "crs"]
     assert sorted(
         map(tuple, got.select("标准化", "标准化1", "n").collect()), key=str
     ) == sorted([("园" * 84, "7", "1.5"), (None, "12", None)], key=str)
-    assert readers.dbf_fields((tmp_path / "p.dbf").read_bytes())[1][1] == "N"
+    assert layers.dbf_fields(next((tmp_path / "p").glob("*.dbf")).read_bytes())[1][1] == "N"
     assert [sinks.dbf_type(v) for v in (["1", ""], ["1.5", "2"], ["x"], [], [""])] == ["N", "F", "C", "C", "N"]
 
 
