@@ -1,16 +1,19 @@
-"""Distances and coordinate changes in closed form."""
+"""Distances on the ellipsoid and in the plane, and coordinate changes in closed form."""
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
+
+from . import geodesic
 
-RADIUS = 6371008.8
 MERCATOR = 6378137.0
 
 
-def haversine(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    a = F.pow(
-        F.sin(F.radians(y2 - y1) / 2), 2
-    ) + F.cos(F.radians(y1)) * F.cos(F.radians(y2)) * F.pow(F.sin(F.radians(x2 - x1) / 2), 2)
-    return 2 * RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+@F.pandas_udf(DoubleType())
+def ellipsoidal(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
+    """Metres along the WGS 84 ellipsoid; null where a coordinate is missing."""
+    found = pd.Series(geodesic.lengths(x1, y1, x2, y2))
+    return found.astype(object).where(found.notna(), None)
 
 
 def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -18,9 +21,9 @@ def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 
 def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Metres: on the sphere where both points are in the range of degrees, or else in the plane."""
+    """Metres: on the ellipsoid where both points are in the range of degrees, or else in the plane."""
     geographic = (F.abs(x1) < 180) & (F.abs(y1) < 90) & (F.abs(x2) < 180) & (F.abs(y2) < 90)
-    return F.when(geographic, haversine(x1, y1, x2, y2)).otherwise(planar(x1, y1, x2, y2))
+    return F.when(geographic, ellipsoidal(*(F.when(geographic, c) for c in (x1, y1, x2, y2)))).otherwise(planar(x1, y1, x2, y2))
 
 
 def to_mercator(x: Column, y: Column) -> tuple[Column, Column]:

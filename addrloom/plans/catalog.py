@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import geo, rules as R, similarity, text as T
+from ..functions import geo, geodesic, rules as R, similarity, text as T
 from ..operators import clean, join, match, profile, region, validate
 from ..sources import readers, shared, sinks
 from .fixtures import FRAMES, frame
@@ -629,11 +629,36 @@ SELECT source_a, name_a, source_b, name_b, round(CAST(score AS DOUBLE), 6) AS sc
 _V = ["v1", "v2"]
 _NORM = "lower(" + strip_sql("coalesce(CAST({} AS VARCHAR), '')") + ")"
 _GID = "coalesce(CAST(CAST(trunc(TRY_CAST(r.gid AS DOUBLE)) AS BIGINT) AS VARCHAR), " + _NORM.format("r.gid") + ")"
+
+
+def geodesic_sql(rows: str, rounds: int = 9) -> str:
+    """g_ (rid, metres) of rows (rid, sx, sy, x, y) in degrees: the iteration on the auxiliary sphere, unrolled."""
+    f, minor, k2 = geodesic.FLAT, geodesic.MINOR, (geodesic.AXIS**2 - geodesic.MINOR**2) / geodesic.MINOR**2
+    start = f"SELECT rid, atan({1 - f}::DOUBLE * tan(radians(sy))) AS u1, atan({1 - f}::DOUBLE * tan(radians(y))) AS u2, radians(abs(x - sx)) AS lon, radians(abs(x - sx)) AS l FROM {rows} WHERE degrees"
+    parts = [f"i0 AS ({start})"]
+    for n in range(1, rounds + 1):
+        parts += [
+            f"a{n} AS (SELECT rid, u1, u2, lon, l, sqrt(pow(cos(u2) * sin(l), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(l), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(l) AS cs FROM i{n - 1})",
+            f"b{n} AS (SELECT *, atan2(ss, cs) AS sigma, CASE WHEN ss > 0 THEN cos(u1) * cos(u2) * sin(l) / ss ELSE 0 END AS sa FROM a{n})",
+            f"c{n} AS (SELECT *, 1 - sa * sa AS c2, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) ELSE 0 END AS mid FROM b{n})",
+            f"k{n} AS (SELECT *, {f / 16}::DOUBLE * c2 * (4 + {f}::DOUBLE * (4 - 3 * c2)) AS k FROM c{n})",
+            f"i{n} AS (SELECT * REPLACE (lon + (1 - k) * {f}::DOUBLE * sa * (sigma + k * ss * (mid + k * cs * (2 * mid * mid - 1))) AS l) FROM k{n})"
+        ]
+    v = f"(c2 * {k2}::DOUBLE)"
+    parts += [
+        f"ab_ AS (SELECT *, 1 + {v} / 16384 * (4096 + {v} * (-768 + {v} * (320 - 175 * {v}))) AS a, {v} / 1024 * (256 + {v} * (-128 + {v} * (74 - 47 * {v}))) AS b FROM i{rounds})",
+        f"g_ AS (SELECT rid, {minor}::DOUBLE * a * (sigma - b * ss * (mid + b / 4 * (cs * (2 * mid * mid - 1) - b / 6 * mid * (4 * ss * ss - 3) * (4 * mid * mid - 3)))) AS metres FROM ab_)"
+    ]
+    return ",\n".join(parts)
+
+
 RESOLVE_SQL = f"""dc AS (SELECT k, min(ROW(code, name, x, y)) AS r, count(*) AS n FROM (SELECT *, {_NORM.format('code')} AS k FROM db_) WHERE k <> '' GROUP BY k), dn AS (SELECT k, min(ROW(code, name, x, y)) AS r, count(*) AS n FROM (SELECT *, {_NORM.format('name')} AS k FROM db_) WHERE k <> '' GROUP BY k),
 sg AS (SELECT CAST(CAST(trunc(TRY_CAST(gid AS DOUBLE)) AS BIGINT) AS VARCHAR) AS g, arg_max(x, seq) AS sx, arg_max(y, seq) AS sy FROM shp_ GROUP BY 1),
 r0 AS (SELECT r.rid, r.gid, r.v1, r.v2, coalesce(c.r, a.r, b.r) AS d, CASE WHEN c.r IS NOT NULL THEN 'gid' WHEN a.r IS NOT NULL THEN 'v1' WHEN b.r IS NOT NULL THEN 'v2' END AS db_by, coalesce(c.n, a.n, b.n, 0) AS db_n, sx, sy FROM rows_ r LEFT JOIN dc c ON {_GID} = c.k LEFT JOIN dn a ON {_NORM.format('r.v1')} = a.k LEFT JOIN dn b ON {_NORM.format('r.v2')} = b.k LEFT JOIN sg ON sg.g = CAST(CAST(trunc(TRY_CAST(r.gid AS DOUBLE)) AS BIGINT) AS VARCHAR)),
 r1 AS (SELECT *, d[1] AS code, d[2] AS name, d[3] AS x, d[4] AS y FROM r0),
-res AS (SELECT *, round(CASE WHEN abs(sx) < 180 AND abs(sy) < 90 AND abs(x) < 180 AND abs(y) < 90 THEN 2 * {geo.RADIUS} * asin(sqrt(least(1.0, pow(sin(radians(y - sy) / 2), 2) + cos(radians(sy)) * cos(radians(y)) * pow(sin(radians(x - sx) / 2), 2)))) ELSE sqrt(pow(x - sx, 2) + pow(y - sy, 2)) END, 2) AS distance FROM r1)"""
+r2 AS (SELECT *, abs(sx) < 180 AND abs(sy) < 90 AND abs(x) < 180 AND abs(y) < 90 AS degrees FROM r1),
+{geodesic_sql('r2')},
+res AS (SELECT r2.*, round(CASE WHEN degrees THEN metres ELSE sqrt(pow(x - sx, 2) + pow(y - sy, 2)) END, 2) AS distance FROM r2 LEFT JOIN g_ USING (rid))"""
 
 
 def checked(name, make, sql):

@@ -107,7 +107,9 @@ def test_region_extract(spark):
 
 def test_distance(spark):
     v = one(spark, geo.distance(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    assert abs(v - 111195.08) < 1
+    assert abs(v - 110574.3886) < 0.001
+    assert one(spark, geo.distance(F.lit(1000.0), F.lit(0.0), F.lit(1003.0), F.lit(4.0))) == 5
+    assert one(spark, geo.distance(F.lit(None).cast("double"), F.lit(0.0), F.lit(1.0), F.lit(1.0))) is None
     x, y = geo.to_mercator(F.lit(10.0), F.lit(50.0))
     back = geo.from_mercator(x, y)
     assert abs(one(spark, back[0]) - 10) < 1e-9 and abs(one(spark, back[1]) - 50) < 1e-9
