@@ -48,15 +48,26 @@ def difflib_score(a: str, b: str) -> float:
 
 
 def without_repeats(text: str) -> str:
-    """Later copies of phrases of 15 to 4 letters go, the longest first."""
+    """Later copies of phrases of 15 to 4 letters go, the longest first.
+
+    A look at all phrases of a length tells where each begins last, so only those that do begin again are looked for. What a
+    cut joins can make phrases that were not there before: these are looked for as well."""
+    if len({text[i : i + 4] for i in range(len(text) - 3)}) == len(text) - 3:
+        return text
     for size in range(15, 3, -1):
+        last = {text[i : i + size]: i for i in range(len(text) - size + 1)}
+        if len(last) == len(text) - size + 1:
+            continue
         i = 0
         while i + size <= len(text):
-            again = text.find(text[i : i + size], i + size)
+            phrase = text[i : i + size]
+            again = text.find(phrase, i + size) if last[phrase] >= i + size else -1
             if again < 0:
                 i += 1
-            else:
-                text = text[:again] + text[again + size :]
+                continue
+            text = text[:again] + text[again + size :]
+            for j in range(max(0, again - size + 1), min(again, len(text) - size + 1)):
+                last[text[j : j + size]] = max(j, last.get(text[j : j + size], 0))
     return text
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geo, geodesic, rules as R, similarity, text as T
-from ..operators import clean, join, match, profile, region, validate
+from ..operators import clean, communities, join, lineage, match, profile, region, validate
 from ..sources import readers, shared, sinks
 from .fixtures import FRAMES, frame
 from .registry import FIELDS, QUERIES, SQL, add, blank_sql, sanitize_sql, strip_sql
@@ -48,13 +48,18 @@ scalar(
     ),
     "concat(coalesce(city, ''), coalesce(street, ''))"
 )
-scalar(
-    "dedupe_phrases", "addr",
-    lambda: similarity.dedupe_phrases(
+_PHRASES = "concat(coalesce(street, ''), coalesce(poi, ''), coalesce(street, ''))"
+add(
+    "dedupe_phrases", "addr", lambda df: df.select("rid", similarity.dedupe_phrases(
         F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))
-    ),
-    None
-)
+    ).alias("value")),
+    f"""cut(rid, t, size, i) AS (SELECT rid, {_PHRASES}, 15, 0 FROM addr UNION ALL
+  SELECT rid, CASE WHEN i + size <= length(t) AND p > 0 THEN substr(t, 1, i + size + p - 1) || substr(t, i + size + p + size) ELSE t END,
+    CASE WHEN i + size > length(t) THEN size - 1 ELSE size END, CASE WHEN i + size > length(t) THEN 0 WHEN p > 0 THEN i ELSE i + 1 END
+  FROM (SELECT *, instr(substr(t, i + size + 1), substr(t, i + 1, size)) AS p FROM cut WHERE size >= 4))
+SELECT rid, t AS value FROM cut WHERE size = 3"""
+)
+SQL["dedupe_phrases"] = SQL["dedupe_phrases"].replace("WITH ", "WITH RECURSIVE ", 1)
 scalar(
     "pure_admin_region", "addr", lambda: T.is_pure_admin(F.concat_ws("", "province", "city")),
     pure_sql("concat_ws('', province, city)")
@@ -527,6 +532,45 @@ relation(
     "insights", lambda v: profile.insight_communities(_communities(v)),
     COMPONENT_SQL + " SELECT community, count(*) AS n_fields, count(DISTINCT split_part(node, '.', 1)) AS n_files FROM com GROUP BY 1 HAVING n_files >= 2 ORDER BY n_fields DESC, community LIMIT 5"
 )
+
+
+def _louvain(v):
+    """Fields by Louvain's communities over jaccard in millionths; fields without relations are alone."""
+    nodes = profile.profile(v).select(F.concat_ws(".", "file", "field").alias("node"))
+    name = lambda s: F.concat_ws(".", f"file_{s}", f"field_{s}").alias(s)
+    edges = profile.pairs(v).select(name("a"), name("b"), F.round(F.col("jaccard") * 1_000_000).cast("long").alias("w"))
+    found = communities.louvain(edges)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
+
+
+relation("communities_louvain", _louvain, None)
+relation("insights_louvain", lambda v: profile.insight_communities(_louvain(v)), None)
+
+#: Files that a project makes of one another: each customer's file is cleaned and parsed, parsed ones are matched together, and
+#: the matches merged; some are imported again from their parsed form.
+FILE_SQL = """SELECT concat('raw_', c_custkey) AS parent, concat('clean_', c_custkey) AS child, 'step2_cleaned' AS step FROM customer
+  UNION ALL SELECT concat('clean_', c_custkey), concat('parsed_', c_custkey), 'step3_parsed' FROM customer
+  UNION ALL SELECT concat('parsed_', c_custkey), concat('match_', CAST(floor(c_custkey / 4) AS INT)), 'step4_matched' FROM customer
+  UNION ALL SELECT concat('match_', CAST(floor(c_custkey / 4) AS INT)), concat('merged_', CAST(floor(c_custkey / 16) AS INT)), 'step5_merged' FROM customer
+  UNION ALL SELECT concat('parsed_', c_custkey), concat('raw_', c_custkey), 'step1' FROM customer WHERE c_custkey % 50 = 0
+  UNION ALL SELECT concat('raw_', c_custkey), concat('raw_', c_custkey), 'step1' FROM customer WHERE c_custkey % 9 = 0"""
+
+
+def _chain(spark, sf_dir):
+    folder = f"{shared.home(spark)}/{uuid.uuid4().hex}"
+    edges = frame(spark, sf_dir, FILE_SQL)
+    lineage.record(edges.where("step < 'step4'"), folder)
+    lineage.record(edges, folder)
+    return lineage.closure(lineage.load(spark, folder))
+
+
+QUERIES["file_chain"] = _chain
+QUERIES["file_originals"] = lambda spark, sf_dir: lineage.originals(_chain(spark, sf_dir))
+_CHAIN_SQL = f"""WITH RECURSIVE e AS (SELECT DISTINCT parent, child FROM ({FILE_SQL}) WHERE parent <> child),
+c(ancestor, descendant, depth) AS (SELECT parent, child, 1 FROM e UNION SELECT c.ancestor, e.child, depth + 1 FROM c JOIN e ON c.descendant = e.parent WHERE depth < 10),
+m AS (SELECT ancestor, descendant, min(depth) AS depth FROM c GROUP BY ALL)"""
+SQL["file_chain"] = _CHAIN_SQL + " SELECT * FROM m"
+SQL["file_originals"] = _CHAIN_SQL + " SELECT * FROM m WHERE ancestor NOT IN (SELECT descendant FROM m)"
 relation(
     "relation_usage", lambda v: profile.usage(profile.pairs(v)),
     EDGES + " SELECT file_a, field_a, file_b, field_b, CASE WHEN regexp_matches(lower(field_a), '省|市|县|区|province|city|district') THEN 'constraint' WHEN regexp_matches(lower(field_a), 'id|gid|编号|code') THEN 'filter' ELSE 'match' END AS use_for FROM edges"
