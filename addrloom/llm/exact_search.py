@@ -9,8 +9,9 @@ median of the widest dimension down to small leaves with tight bounding boxes, a
 reach the k-th score. Ties go to the smaller id, so a box that reaches the k-th score exactly is opened.
 
 Components become floor(256 * x) with x as double. Vectors that are null or empty or hold a null or a non-finite component
-take no part, nor do rows without an id, nor vectors with a squared length of 2 ** 62 or more after scaling, whose scores a long
-may not hold; all other scores are exact. Vectors only meet vectors of their own length. A query finds every row but its own
+take no part (nor those that scaling makes so), nor do rows without an id. Trees hold vectors with a squared length under 2 ** 62
+after scaling; pairs with a longer one are met in blocks of whole numbers of any size (exact_products). Ranks are by exact scores;
+one that a long cannot hold is given as the nearest long. Vectors only meet vectors of their own length. A query finds every row but its own
 (rows that share its id are not found); repeated rows are ranked one after the other. Extra columns are ignored, whatever their
 names. An empty table gives no row.
 """
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import exact_products
 from .common import finished, staged, table
 
 LEAF, BLOCK_QUERIES, SAMPLE_VALUES, FEWEST = 128, 65_536, 2_000_000, 16
@@ -281,25 +283,39 @@ def shards_for(rows: int, width: int, cores: int) -> int:
     return max(-(-rows // most), min(2 * cores, -(-rows // min(most, SHARD_LEAST))))
 
 
+def scaled(vectors: DataFrame) -> DataFrame:
+    """id, v (floor(256 * x) as doubles) of the rows that take part, and whether the vector is too long for a tree."""
+    whole = "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(256D * cast(v as double)) < double('infinity'))"
+    # From 2 ** 53 on a double is a whole number as it is, and floor() would cut it to a long.
+    x = F.expr("transform(embedding, x -> if(abs(256D * cast(x as double)) < 9007199254740992D, cast(floor(256D * cast(x as double)) as double), 256D * cast(x as double)))")
+    return vectors.where(F.col("vec_id").isNotNull() & F.expr(whole)).select(
+        F.col("vec_id").cast("long").alias("id"), x.alias("v")
+    ).withColumn("long", F.expr("aggregate(v, 0D, (s, x) -> s + x * x) >= 4611686018427387904D"))
+
+
 def top_k(
     vectors: DataFrame, k: int = 5, every: int = 50, shard_rows: int | None = None, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
-    """query_id, rank, vec_id, score for vectors (vec_id, embedding); queries are the ids divisible by `every`.
+    """query_id, rank, vec_id, score for vectors (vec_id, embedding); queries are the ids divisible by `every`."""
+    rows = scaled(vectors)
+    found = _by_trees(rows.where("not long").select("id", F.expr("transform(v, x -> cast(x as int))").alias("v")), k, every, shard_rows, block_queries)
+    if not rows.where("long").limit(1).count():
+        return found
+    rows = staged(rows)
+    asked, far = rows.where(F.col("id") % every == 0), rows.where("long")
+    pairs = exact_products.keyed(found)
+    for queries, candidates in ((asked.where("long"), rows), (asked.where("not long"), far)):
+        pairs = pairs.unionByName(exact_products.best(queries.select("id", "v"), candidates.select("id", "v"), k))
+    order = Window.partitionBy("query_id").orderBy(F.col("key").desc(), F.col("vec_id"))
+    return exact_products.scored(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
+def _by_trees(rows: DataFrame, k: int, every: int, shard_rows: int | None, block_queries: int) -> DataFrame:
+    """The same for rows (id, v) of vectors whose scores are exact in 64 bits.
 
     Beyond the sample, the driver gets a row for each length of vectors, and for each cell (at most a row of the sample in
     FEWEST, and one for each length)."""
-    spark = vectors.sparkSession
-    x = F.transform("embedding", lambda v: F.floor(F.lit(256.0) * v.cast("double")).cast("double"))
-    good = F.expr(
-        "embedding is not null and size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(cast(v as double)) < double('infinity'))"
-    )
-    rows = vectors.where(F.col("vec_id").isNotNull() & good).select(
-        F.col("vec_id").cast("long").alias("id"), x.alias("v")
-    )
-    # A component of a vector this short fits in an int.
-    rows = rows.where(
-        F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v) < 2.0**62
-    ).select("id", F.expr("transform(v, x -> cast(x as int))").alias("v"))
+    spark = rows.sparkSession
     counts = {r.width: r.n for r in rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
