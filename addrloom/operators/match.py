@@ -1,18 +1,19 @@
 """Tiered linkage of a source table with an ordered list of targets.
 
 Tables have rid, core, poi, pois (';'-separated) and district, and, where semantic scores are wanted, an embedding v of poi on
-both sides. Each tier sees the rows that earlier ones left; as a tier's outcome for a row depends on no other row, tiers are
-computed on their own and the first one counts. Similarities are only computed for rows that no exact tier of this target or an
-earlier one has settled.
+both sides. Each tier sees the rows that earlier ones left. As an exact tier's outcome for a row depends on no other row, these
+are computed on their own and the first one counts; similarities are computed for the rows that they leave open.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules as R, similarity, text as T
+from ..sources.shared import drop, home, kept
 from . import nearest
 
 LEVELS = {0: "EXACT", 1: "EXACT", 2: "EXACT", 3: "HIGH_CONFIDENCE", 4: "NEED_REVIEW"}
@@ -160,43 +161,51 @@ def need_review(found: DataFrame) -> DataFrame:
     return found.where(_maybe())
 
 
-def tiers(source: DataFrame, target: DataFrame, settled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rid, target_rid, score, tier, match_type) of all tiers, before the first is chosen, and the rids that exact tiers have
-    settled, together with those already settled."""
+def tiers(source: DataFrame, target: DataFrame, keep=kept) -> DataFrame:
+    """(rid, target_rid, score, tier, match_type): the first tier of each row that any tier matches.
+
+    What the exact tiers find is written once; similarities are computed for the rows that it leaves open."""
     exact = [exact_by(source, target, "core"), exact_by(source, target, "poi"), contained(source, target)]
     parts = [
         p.select("rid", "target_rid", "score", F.lit(i).alias("tier"), F.lit(EXACT_TYPES[i]).alias("match_type")) for i,
         p in enumerate(exact)
     ]
-    done = reduce(DataFrame.unionByName, (p.select("rid") for p in parts))
-    done = done.unionByName(settled) if settled is not None else done
+    first = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(
+        F.min_by(F.struct("target_rid", "score", "tier", "match_type"), "tier").alias("x")
+    )
+    done = keep(first.select("rid", "x.*"))
     found = scored(source.join(done, "rid", "left_anti"), target, R.THRESHOLDS["review_low"])
     near = found.select(
         "rid", "target_rid", "score", F.when(_surely(), 3).when(_maybe(), 4).alias("tier"),
         _typed(_surely()).alias("match_type")
     ).where("tier is not null")
-    return reduce(DataFrame.unionByName, [*parts, near]), done
+    return done.unionByName(near)
 
 
 def waterfall(source: DataFrame, targets: list[DataFrame]) -> DataFrame:
     """rid, target (its place in the list), target_rid, score, level, match_type for every source row; unmatched rows have no
-    target, a score of 0 and the type unmatched."""
-    parts, settled = [], None
+    target, a score of 0 and the type unmatched.
+
+    Each target meets the rows that the ones before have left. Its outcome is written once, and so is the result, so that
+    reports and layers over it do not match again."""
+    work = f"{home(source.sparkSession)}/{uuid.uuid4().hex}"
+    keep, parts, left = partial(kept, folder=work), [], source
     for i, target in enumerate(targets):
-        found, settled = tiers(source, target, settled)
-        parts.append(found.withColumn("target", F.lit(i)))
-    columns = F.struct("target", "target_rid", "score", "tier", "match_type")
-    first = reduce(DataFrame.unionByName, parts).groupBy("rid").agg(
-        F.min_by(columns, F.struct("target", "tier")).alias("x")
-    )
+        parts.append(keep(tiers(left, target, keep).withColumn("target", F.lit(i))))
+        if i + 1 < len(targets):
+            left = keep(left.join(parts[-1].select("rid"), "rid", "left_anti"))
+    columns = ["target", "target_rid", "score", "tier", "match_type"]
+    first = reduce(DataFrame.unionByName, parts).select("rid", F.struct(*columns).alias("x"))
     names = reduce(
         lambda c, k: c.when(F.col("x.tier") == k, LEVELS[k]), list(LEVELS)[1:], F.when(F.col("x.tier") == 0, LEVELS[0])
     ).otherwise("UNMATCHED")
     kind = F.coalesce("x.match_type", F.lit("unmatched"))
-    return source.select("rid").join(first, "rid", "left").select(
+    result = kept(source.select("rid").join(first, "rid", "left").select(
         "rid", "x.target", "x.target_rid", F.coalesce("x.score", F.lit(0.0)).alias("score"), names.alias("level"),
         kind.alias("match_type")
-    )
+    ))
+    drop(source.sparkSession, work)
+    return result
 
 
 def cascade(source: DataFrame, target: DataFrame) -> DataFrame:
