@@ -29,13 +29,26 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial(a: str, b: str) -> float:
-    """The best ratio of the shorter string with a window of the longer one; windows may hang over its ends."""
+    """The best ratio of the shorter string with a window of the longer one; windows may hang over its ends.
+
+    As a window moves, the letters that it has in common with the shorter string are counted; it is only compared where these
+    would allow more than the best ratio so far."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if not short:
         return 100.0 if not long else 0.0
-    n, best = len(short), 0.0
+    n, best, common, open_ = len(short), 0.0, 0, {}
+    for c in short:
+        open_[c] = open_.get(c, 0) + 1
     for i in range(1 - n, len(long)):
-        best = max(best, ratio(short, long[max(0, i) : i + n]))
+        if i + n <= len(long) and (c := long[i + n - 1]) in open_:
+            open_[c] -= 1
+            common += open_[c] >= 0
+        if i > 0 and (c := long[i - 1]) in open_:
+            common -= open_[c] >= 0
+            open_[c] += 1
+        window = long[max(0, i) : i + n]
+        if 200.0 * common / (n + len(window)) > best:
+            best = max(best, ratio(short, window))
     return best
 
 

@@ -117,7 +117,8 @@ def head(df: DataFrame, n: int, rid: str = "rid") -> DataFrame:
 
 
 def sample(df: DataFrame, n: int = 1000, seed: int = 42, rid: str = "rid") -> DataFrame:
-    return df.orderBy(F.xxhash64(rid, F.lit(seed)), rid).limit(n)
+    """A sample that any engine draws alike: the first by a digest of seed and id."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(rid).cast("string"))), rid).limit(n)
 
 
 def page(df: DataFrame, number: int, size: int = 100, rid: str = "rid") -> DataFrame:

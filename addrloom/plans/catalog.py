@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, geodesic, rules as R, similarity, text as T
 from ..operators import clean, communities, join, lineage, match, profile, region, validate
-from ..sources import readers, shared, sinks
+from ..sources import discovery, layers, readers, shared, sinks
 from .fixtures import FRAMES, frame
 from .registry import FIELDS, QUERIES, SQL, add, blank_sql, sanitize_sql, strip_sql
 
@@ -287,7 +287,10 @@ add(
 add(
     "head_n", "src", lambda s: join.head(s, 10).select("rid", "core"), "SELECT rid, core FROM src ORDER BY rid LIMIT 10"
 )
-add("sample_n", "src", lambda s: join.sample(s, 1000).select("rid", "core"))
+add(
+    "sample_n", "src", lambda s: join.sample(s, 1000).select("rid", "core"),
+    "SELECT rid, core FROM src ORDER BY md5(concat('42:', CAST(rid AS VARCHAR))), rid LIMIT 1000"
+)
 add(
     "paginate", "src", lambda s: join.page(s, 3).select("rid", "poi"),
     "SELECT rid, poi FROM src ORDER BY rid LIMIT 100 OFFSET 200"
@@ -320,14 +323,14 @@ add("detect_poi_column", "tgt", lambda df: _column_lists(df, _LISTS).select(
 def _region_dim(spark, sf_dir):
     """The dimension as a JSON file in the shared folder."""
     folder = f"{shared.home(spark)}/{uuid.uuid4().hex}"
-    frame(spark, sf_dir, "cities").agg(
+    frame(spark, sf_dir, "towns").agg(
         F.to_json(F.collect_list(F.struct("*"))).alias("value")
     ).coalesce(1).write.text(f"{folder}/cities.json")
     return region.first_by_name(region.read(spark, folder, "cities")).select("key", "d.*")
 
 
 QUERIES["read_region_dim"] = _region_dim
-SQL["read_region_dim"] = f"""WITH cities AS ({FRAMES['cities']}), n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM cities)
+SQL["read_region_dim"] = f"""WITH towns AS ({FRAMES['towns']}), n AS (SELECT *, unnest(list_distinct([name, regexp_replace(name, '(省|市|区|县|自治区|街道|镇|乡)$', '')])) AS key FROM towns)
 SELECT key, code, name, provinceCode FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY code) AS r FROM n) WHERE r = 1"""
 _LOOK = "(SELECT {what} FROM {dim} d WHERE d.name = {v} OR regexp_replace(d.name, '(省|市|区|县|自治区|街道|镇|乡)$', '') = {v} ORDER BY d.code LIMIT 1)"
 DEDUCE_SQL = f"""r1 AS (SELECT *, (SELECT name FROM cities c WHERE c.code = {_LOOK.format(what='d.cityCode', dim='areas', v='places.area')}) AS up FROM places),
@@ -416,8 +419,8 @@ add(
     f"SELECT rid, EXISTS (SELECT 1 FROM areas a JOIN cities c ON a.cityCode = c.code JOIN provinces p ON c.provinceCode = p.code WHERE {_SHORT.format('a.name')} = {_SHORT.format('places.area')} AND {_SHORT.format('c.name')} = {_SHORT.format('places.city')} AND {_SHORT.format('p.name')} = {_SHORT.format('places.province')}) AS valid FROM places"
 )
 add(
-    "areas_in_city", "cities areas", lambda c, a: region.areas_in("杭州市", c, a),
-    "SELECT code, name FROM areas WHERE cityCode = '3301'"
+    "areas_in_city", "seats quarters", lambda c, a: region.areas_in("N1市", c, a),
+    "SELECT code, name FROM quarters WHERE cityCode IN (SELECT code FROM seats WHERE name = 'N1市')"
 )
 add(
     "region_extract", "spots areas streets",
@@ -619,12 +622,6 @@ named("relation_sampled", profile.sampled_relations, _named_edges(
     500
 )
     + " SELECT file_a, field_a, file_b, field_b, overlap, round(jaccard, 3) AS jaccard FROM edges WHERE overlap >= 3 AND jaccard >= 0.1")
-_FIELD_NAMES = [
-    "省份", "city_name", "District", "街道", "addr", "detail address", "楼号", "小区", "uid", "width", "姓名", "telephone",
-    "e-mail", "remark"
-]
-
-
 def _types_sql(source: str) -> str:
     n = "lower(replace(name, ' ', ''))"
     hits = [
@@ -636,9 +633,7 @@ def _types_sql(source: str) -> str:
     return f"SELECT *, {case(lambda h: repr(h[1]), repr('text'))} AS inferred_type, {case(lambda h: repr(h[0]), repr(''))} AS category, CAST({case(lambda h: h[3], 0.5)} AS DOUBLE) AS confidence FROM {source}"
 
 
-_NAMES_SQL = f"(SELECT unnest([{', '.join(repr(n) for n in _FIELD_NAMES)}]) AS name)"
-QUERIES["detect_field_type"] = lambda spark, sf_dir: profile.field_types(profile.names_frame(spark, _FIELD_NAMES))
-SQL["detect_field_type"] = _types_sql(_NAMES_SQL)
+add("detect_field_type", "fields_", profile.field_types, _types_sql("fields_"))
 
 
 def _refined(spark, sf_dir):
@@ -652,22 +647,23 @@ def _refined(spark, sf_dir):
 
 
 QUERIES["refine_by_samples"] = _refined
-SQL[
-    "refine_by_samples"
-] = "SELECT * FROM (VALUES ('shipped', 'date', '', 0.8::DOUBLE), ('amount', 'numeric', '', 0.6::DOUBLE), ('remark', 'text', '', 0.5::DOUBLE)) t(name, inferred_type, category, confidence)"
+SQL["refine_by_samples"] = rf"""WITH f AS (SELECT CAST(o_orderdate AS VARCHAR) AS shipped, CAST(o_totalprice AS VARCHAR) AS amount, CAST(o_orderstatus AS VARCHAR) AS remark FROM orders ORDER BY o_orderkey LIMIT 10),
+u AS (SELECT name, value FROM f UNPIVOT (value FOR name IN (shipped, amount, remark))),
+h AS (SELECT name, avg(CAST(regexp_matches(trim(value), {_NUMBER}) AS INT)) AS numeric, avg(CAST(regexp_matches(value, '^[0-9]{{4}}[-/][0-9]{{1,2}}[-/][0-9]{{1,2}}') AS INT)) AS dated FROM u GROUP BY 1)
+SELECT name, CASE WHEN dated > 0.7 THEN 'date' WHEN numeric > 0.8 THEN 'numeric' ELSE 'text' END AS inferred_type, '' AS category,
+  CASE WHEN dated > 0.7 THEN 0.8::DOUBLE WHEN numeric > 0.8 THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM h"""
 
 
-def _related(spark, sf_dir):
-    names = profile.names_frame(spark, _FIELD_NAMES)
-    types = profile.field_types(names).withColumn("source", F.when(F.length("name") % 2 == 0, "a").otherwise("b"))
-    return profile.related_fields(types)
+def _related(names):
+    return profile.related_fields(
+        profile.field_types(names).withColumn("source", F.when(F.length("name") % 2 == 0, "a").otherwise("b"))
+    )
 
 
-QUERIES["infer_relationships"] = _related
 _X, _Y = "lower(x.name)", "lower(y.name)"
-SQL["infer_relationships"] = f"""WITH ty AS (SELECT *, CASE WHEN length(name) % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM ({_types_sql(_NAMES_SQL)})),
+add("infer_relationships", "fields_", _related, f"""ty AS (SELECT *, CASE WHEN length(name) % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM ({_types_sql('fields_')})),
 p AS (SELECT x.source AS source_a, x.name AS name_a, y.source AS source_b, y.name AS name_b, least(1.0, CASE WHEN x.category <> '' AND x.category = y.category THEN 0.8 WHEN x.inferred_type = y.inferred_type THEN 0.4 ELSE 0.0 END + 0.3 * CASE WHEN {_X} = {_Y} THEN 1.0 WHEN contains({_X}, {_Y}) OR contains({_Y}, {_X}) THEN 0.7 ELSE len(list_filter(string_split({_X}, ''), lambda c: contains({_Y}, c))) / greatest(length({_X}), length({_Y})) END) AS score FROM ty x JOIN ty y ON x.source < y.source)
-SELECT source_a, name_a, source_b, name_b, round(CAST(score AS DOUBLE), 6) AS score FROM p WHERE score > 0.5"""
+SELECT source_a, name_a, source_b, name_b, round(CAST(score AS DOUBLE), 6) AS score FROM p WHERE score > 0.5""")
 
 # Validation -----------------------------------------------------------------------------------------------------------
 _V = ["v1", "v2"]
@@ -828,9 +824,13 @@ add("gid_field", "tgt", lambda df: _column_lists(df, _LAYERS).select(
 
 
 def _point_layer(spark, sf_dir):
-    """Records of the layer that is found among others."""
-    layers = {n: frame(spark, sf_dir, n) for n in ("shp_", "db_", "src")}
-    return layers[validate.point_layer(layers)].select("code", "name")
+    """Records of the layer that is found among others in two folders."""
+    base = f"{shared.home(spark)}/{uuid.uuid4().hex}"
+    sinks.write_csv(frame(spark, sf_dir, "shp_"), f"{base}/a/1.csv")
+    frame(spark, sf_dir, "src").write.parquet(f"{base}/a/2")
+    layers.write_points(frame(spark, sf_dir, "db_"), f"{base}/b/points", "x", "y")
+    found = discovery.point_layer(spark, [f"{base}/none", f"{base}/a", f"{base}/b"], [("jdbc:none:nowhere", ["t"])])
+    return found.open().select("code", "name")
 
 
 QUERIES["point_layer"] = _point_layer

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile
 from ..sources import layers, readers, shared, sinks
-from .fixtures import FRAMES, frame
+from .fixtures import FRAMES, frame, pick
 from .registry import QUERIES, SQL, add
 
 
@@ -47,14 +47,15 @@ def _written(spark, sf_dir):
 
 QUERIES["sink_csv"] = _written
 SQL["sink_csv"] = f"WITH addr AS ({FRAMES['addr']}) SELECT coalesce(poi, '') AS poi, coalesce(province, '') AS province, CAST(rid AS VARCHAR) AS rid FROM addr"
-_NAMES = ["客户_清洗.csv", "客户_标准化.csv", "甲_精确匹配_3条", "甲_高置信度_2条.csv", "甲_未匹配_9条", "字段关联.csv", "其他.csv", "甲_需人工确认_1条"]
+_ENDINGS = "_清洗.csv,_标准化.csv,_精确匹配_3条,_高置信度_2条.csv,_未匹配_9条,字段关联.csv,其他.csv,_需人工确认_1条"
+RESULTS_SQL = f"SELECT concat(n_name, {pick(_ENDINGS, 'n_nationkey')}) AS name FROM nation"
 
 
 def _categories(spark, sf_dir):
     """Folders and files of results, copied by category."""
     folder, out = _place(spark), _place(spark)
-    for name in _NAMES:
-        shared.write_bytes(spark, f"{folder}/{name}", "a\n1\n".encode())
+    for r in frame(spark, sf_dir, RESULTS_SQL).collect():  # a fixed table of 25 rows
+        shared.write_bytes(spark, f"{folder}/{r.name}", "a\n1\n".encode())
     found = sinks.export_categories(spark, [folder, f"{folder}/none"], ["清洗结果", "匹配结果", "未匹配数据", "关联分析结果"], out)
     there = spark.read.format("binaryFile").load(out).select(
         F.element_at(F.split(F.url_decode("path"), "/"), -1).alias("name"), "length"
@@ -64,7 +65,7 @@ def _categories(spark, sf_dir):
 
 QUERIES["export_categories"] = _categories
 SQL["export_categories"] = f"""SELECT name, category, 4::BIGINT AS length FROM (SELECT name, CASE WHEN regexp_matches(name, '_清洗(.csv)?$') THEN '清洗结果' WHEN regexp_matches(name, '_标准化(.csv)?$') THEN '标准化结果' WHEN regexp_matches(name, '精确匹配|高置信度|需人工确认') THEN '匹配结果'
-  WHEN contains(name, '未匹配') THEN '未匹配数据' WHEN contains(name, '关联') THEN '关联分析结果' END AS category FROM (SELECT unnest([{', '.join(f"'{n}'" for n in _NAMES)}]) AS name)) WHERE category <> '标准化结果'"""
+  WHEN contains(name, '未匹配') THEN '未匹配数据' WHEN contains(name, '关联') THEN '关联分析结果' END AS category FROM ({RESULTS_SQL})) WHERE category <> '标准化结果'"""
 
 # Sources ----------------------------------------------------------------------------------------------------------------
 
@@ -163,14 +164,13 @@ def _converted(spark, sf_dir):
 
 
 def _resolved(spark, sf_dir):
-    """The first of the folders that has each of the files."""
-    folder = _place(spark)
-    for place in ("a/one.csv", "b/one.csv", "b/two.csv", "c/three.csv"):
-        shared.write_bytes(spark, f"{folder}/{place}", b"a\n")
-    found = [
-        (n, readers.resolve(spark, n, [f"{folder}/{d}" for d in ("none", "a", "b", "c")]).removeprefix(folder))
-        for n in ("one.csv", "two.csv", "three.csv")
-    ]
+    """The first of the folders that has each of the files: every region's is in the second one, every other's in the first too."""
+    folder, found = _place(spark), []
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect():  # a fixed table of five rows
+        for place in ["a", "b", "c"][r.r_regionkey % 2 :]:
+            shared.write_bytes(spark, f"{folder}/{place}/{r.r_name}.csv", b"a\n")
+        at = readers.resolve(spark, f"{r.r_name}.csv", [f"{folder}/{d}" for d in ("none", "a", "b", "c")])
+        found.append((f"{r.r_name}.csv", at.removeprefix(folder)))
     return spark.createDataFrame(found, "name string, path string")
 
 
@@ -192,5 +192,5 @@ SQL |= {
     'POINT (' || (n_nationkey + 0.5::DOUBLE) || ' ' || (n_regionkey - 2.25::DOUBLE) || ')' AS geometry, CAST(NULL AS VARCHAR) AS crs FROM nation""",
     "scan_auto": """SELECT n_name || '省' AS "名称", CAST(n_nationkey AS VARCHAR) AS "编号" FROM nation UNION ALL SELECT '名称', '编号'""",
     "scan_pandas_multi": """SELECT n_name || '㐀' || chr(CAST(131072 + n_nationkey AS INT)) AS "名称", CAST(n_nationkey AS VARCHAR) AS "编号" FROM nation""",
-    "resolve_path": "SELECT * FROM (VALUES ('one.csv', '/a/one.csv'), ('two.csv', '/b/two.csv'), ('three.csv', '/c/three.csv')) t(name, path)",
+    "resolve_path": "SELECT concat(r_name, '.csv') AS name, concat(CASE WHEN r_regionkey % 2 = 0 THEN '/a/' ELSE '/b/' END, r_name, '.csv') AS path FROM region",
 }

@@ -70,6 +70,14 @@ FRAMES |= {
       CASE WHEN c_custkey % 29 = 0 THEN NULL ELSE concat({pick('浙江省杭州市,苏州市,广州,江苏省', 'c_custkey')}, {pick('西湖区,姑苏区域,天河区,,', 'c_custkey')}, {_stem('(c_custkey * 7)')}, {pick('街道,镇村,乡,路,办事处,镇,街道办事处', 'c_custkey')}, CAST(c_custkey % 90 AS VARCHAR(10)), '号', CASE WHEN c_custkey % 6 = 0 THEN concat({_stem('(c_custkey * 3)')}, '街道') ELSE '' END) END AS address FROM customer""",
 }
 
+#: Cities of nations, quarters of them, and names of fields.
+FRAMES |= {
+    "towns": f"SELECT CAST(s_suppkey AS VARCHAR(10)) AS code, concat({_stem('s_suppkey')}, {pick('市,地区,镇', 's_suppkey')}) AS name, CAST(s_nationkey AS VARCHAR(10)) AS provinceCode FROM supplier",
+    "seats": "SELECT CAST(n_nationkey AS VARCHAR(10)) AS code, concat('N', CAST(n_regionkey AS VARCHAR(10)), '市') AS name FROM nation",
+    "quarters": f"SELECT CAST(c_custkey AS VARCHAR(10)) AS code, concat({_stem('c_custkey')}, '区') AS name, CAST(c_nationkey AS VARCHAR(10)) AS cityCode FROM customer",
+    "fields_": f"SELECT DISTINCT concat({pick('省份,city_name,District,街道,addr,detail address,楼号,小区,uid,width,姓名,telephone,e-mail,remark', 'c_custkey')}, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('_', CAST(c_custkey % 20 AS VARCHAR(10))) END) AS name FROM customer",
+}
+
 #: With an embedding of the POI, for semantic scores.
 FRAMES |= {
     "src_v": f"SELECT s.*, e.embedding AS v FROM ({FRAMES['src']}) s LEFT JOIN embeddings e ON e.vec_id = s.rid % 61",
