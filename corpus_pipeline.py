@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGED = "staged"
 
 
+def _reads(docs: DataFrame, folder: str) -> bool:
+    """Whether files of a folder are among those that the rows come from."""
+    own = folder.partition(":")[2].lstrip("/") or folder
+    return any(own in unquote(file) for file in docs.inputFiles())
+
+
 def stage(work: Stage) -> Stage:
     """Names, in the metadata of the text column, the folder that a stage's rows are computed from. Parquet keeps metadata, so
-    the next stage reads which folder its input came from; as the rows are written by then, it deletes just that folder."""
+    the next stage reads which folder its input came from, and deletes just that folder, once the rows are written: not if it
+    is given rows that are still to be computed from there, nor if a table has the name of another application's folder."""
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if (done := docs.schema["text"].metadata.get(STAGED)) and done.startswith(home(spark) + "/"):
+        done = docs.schema["text"].metadata.get(STAGED) if "text" in docs.columns else None
+        if done and done.startswith(home(spark) + "/") and not _reads(docs, done):
             drop(spark, done)
         with staging(spark) as folder:
             found = work(spark, docs, sf_dir)

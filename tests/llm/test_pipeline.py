@@ -89,3 +89,24 @@ def test_no_documents(spark, tmp_path):
         [], "doc_id long, text string, lang string, source string, n_chars long"
     ).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_without_a_table_between(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(
+        [(i, f"one line of words number {i}\nthe same line in all of them\n", "en", "s", 9) for i in range(6)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    cut = corpus_pipeline.line_dedup(spark, docs, "")
+    assert cut.schema["text"].metadata[corpus_pipeline.STAGED]
+
+    def packed(rows):
+        ids = collections.defaultdict(list)
+        for x in corpus_pipeline.packing(spark, rows, "").collect():
+            ids[x.doc_id].append((x.start, bytes(x.ids)))
+        return {i: b"".join(part for _, part in sorted(parts)) for i, parts in ids.items()}
+
+    lazily = packed(cut)
+    cut.write.parquet(path := f"{tmp_path}/cut")
+    assert len(lazily) == 6 and packed(spark.read.parquet(path)) == lazily
