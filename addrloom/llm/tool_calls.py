@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import finished, slices, staged, table
 
-DEPTH = 200
+#: GRAPH_EDGES: a conversation's calls are ordered by one worker up to so many dependencies.
+DEPTH, GRAPH_EDGES = 200, 100_000
 _KINDS = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict,
     "null": type(None)
@@ -176,9 +177,60 @@ def parsed(conversations: DataFrame, schemas: dict) -> DataFrame:
     return staged(made.withColumn("row", F.monotonically_increasing_id()))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(node, level) of the nodes (strings) with edges (node, need) to distinct nodes that they depend on: one more than the
-    deepest need; a need without edges is of level 0. Nodes on a cycle, or with a need that is or is behind one, are absent."""
+def _ordered(batches):
+    """Edges (graph, node, need), sorted by graph, to the levels of each graph's nodes: those without open needs go first."""
+    now, edges, out = None, [], []
+
+    def settled():
+        needs, wait, level = {}, {}, {}
+        for node, need in edges:
+            needs.setdefault(need, []).append(node)
+            wait[node] = wait.get(node, 0) + 1
+        ready = [n for n in needs if n not in wait]
+        level.update((n, 0) for n in ready)
+        while ready:
+            need = ready.pop()
+            for node in needs.get(need, ()):
+                level[node] = max(level.get(node, 0), level[need] + 1)
+                wait[node] -= 1
+                if not wait[node]:
+                    ready.append(node)
+        edges.clear()
+        return [(n, x) for n, x in level.items() if not wait.get(n)]
+
+    for batch in batches:
+        out = []
+        for graph, node, need in zip(*(batch.column(c).to_pylist() for c in ("graph", "node", "need"))):
+            if graph != now:
+                out += settled()
+                now = graph
+            edges.append((node, need))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["node", "level"]
+        )
+    out = settled()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["node", "level"]
+    )
+
+
+def levels(edges: DataFrame, most: int = GRAPH_EDGES) -> DataFrame:
+    """(node, level) of the nodes (strings) with edges (graph, node, need) to distinct nodes that they depend on, within a graph:
+    one more than the deepest need; a need without edges is of level 0. Nodes on a cycle, or with a need that is or is behind
+    one, are absent. A graph of at most so many edges is ordered by one worker, a larger one by all of them, in rounds."""
+    edges = staged(edges)
+    sizes = edges.groupBy("graph").agg(F.count("*").alias("n"))
+    large = staged(sizes.where(F.col("n") > most).select(F.col("graph").cast("string").alias("large")))
+    on = F.col("graph").cast("string") == F.col("large")
+    small = edges.join(large, on, "left_anti").repartition("graph").sortWithinPartitions("graph").select("graph", "node", "need")
+    found = small.mapInArrow(_ordered, "node string, level long")
+    if large.isEmpty():
+        return staged(found)
+    return staged(found.unionByName(_levels_in_rounds(edges.join(large, on, "left_semi"))))
+
+
+def _levels_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for edges (node, need): chains of single needs are followed by doubling, the rest goes level by level."""
     text = lambda c: F.col(c).cast("string")
     left = staged(edges.select("node", F.col("need").alias("to"), F.lit(1).cast("long").alias("w")))
     ground = left.select(F.col("to").alias("node")).distinct().join(left.select("node").distinct(), "node", "left_anti")
@@ -250,8 +302,8 @@ def linked(messages: DataFrame) -> DataFrame:
         first.select(F.col("first").alias("f")), F.col("node") == F.col("f"), "left_semi"
     )
     edges = needs.select(
-        "node", key("conv_id", "need").alias("k0")
-    ).join(own, F.col("k0") == F.col("k")).select("node", F.col("first").alias("need")).distinct()
+        F.col("conv_id").cast("string").alias("graph"), "node", key("conv_id", "need").alias("k0")
+    ).join(own, F.col("k0") == F.col("k")).select("graph", "node", F.col("first").alias("need")).distinct()
     order = levels(edges)
     results = messages.where("answers is not null and conv_id is not null").select(
         key("conv_id", "answers").alias("k0"), F.col("turn").alias("result_turn"), F.col("content").alias("result")

@@ -78,10 +78,11 @@ def test_levels(spark):
         e for i in range(4)
         for e in ((f"b{i}", f"d{i}"), (f"e{i}", f"d{i}"), (f"d{i + 1}", f"b{i}"), (f"d{i + 1}", f"e{i}"))
     ]
-    got = {
-        x.node: x.level
-        for x in tool_calls.levels(spark.createDataFrame(edges, "node string, need string").repartition(3)).collect()
-    }
+    rows = [("g" if n[0] in "czts" or n == "late" else "h", n, m) for n, m in edges]
+    df = spark.createDataFrame(rows, "graph string, node string, need string").repartition(3)
+    at_once, mixed = ([tuple(x) for x in tool_calls.levels(df, most).collect()] for most in (10**6, 500))
+    assert sorted(at_once) == sorted(mixed) and len(dict(at_once)) == len(at_once)
+    got = dict(at_once)
     want = {f"c{i}": i for i in range(1001)} | {
         f"l{i}": max(0, i - 1) for i in range(7)
     } | {f"d{i}": 2 * i for i in range(5)} | {
@@ -90,6 +91,12 @@ def test_levels(spark):
     assert got == want
 
 
+def test_a_ladder_of_a_thousand_levels(spark):
+    edges = [("g", f"l{i + 2}", f"l{i + d}") for i in range(1000) for d in (0, 1)]
+    df = spark.createDataFrame(edges, "graph string, node string, need string")
+    assert {x.node: x.level for x in tool_calls.levels(df).collect()} == {f"l{i}": max(0, i - 1) for i in range(1002)}
+
+
 def test_traffic_links(spark):
     rows = [
         (c, t, ["user", "assistant"][t % 2], f"text {c} {'x' * (t * c % 7)}") for c in range(3) for t in range(9)
