@@ -48,16 +48,16 @@ scalar(
     ),
     "concat(coalesce(city, ''), coalesce(street, ''))"
 )
+#: A step of the search for later copies of phrases, from cut (rid, t, size, i), which ends with a size of 3.
+CUT_SQL = """SELECT rid, CASE WHEN i + size <= length(t) AND p > 0 THEN substr(t, 1, i + size + p - 1) || substr(t, i + size + p + size) ELSE t END,
+    CASE WHEN i + size > length(t) THEN size - 1 ELSE size END, CASE WHEN i + size > length(t) THEN 0 WHEN p > 0 THEN i ELSE i + 1 END
+  FROM (SELECT *, instr(substr(t, i + size + 1), substr(t, i + 1, size)) AS p FROM cut WHERE size >= 4)"""
 _PHRASES = "concat(coalesce(street, ''), coalesce(poi, ''), coalesce(street, ''))"
 add(
     "dedupe_phrases", "addr", lambda df: df.select("rid", similarity.dedupe_phrases(
         F.concat(F.coalesce("street", F.lit("")), F.coalesce("poi", F.lit("")), F.coalesce("street", F.lit("")))
     ).alias("value")),
-    f"""cut(rid, t, size, i) AS (SELECT rid, {_PHRASES}, 15, 0 FROM addr UNION ALL
-  SELECT rid, CASE WHEN i + size <= length(t) AND p > 0 THEN substr(t, 1, i + size + p - 1) || substr(t, i + size + p + size) ELSE t END,
-    CASE WHEN i + size > length(t) THEN size - 1 ELSE size END, CASE WHEN i + size > length(t) THEN 0 WHEN p > 0 THEN i ELSE i + 1 END
-  FROM (SELECT *, instr(substr(t, i + size + 1), substr(t, i + 1, size)) AS p FROM cut WHERE size >= 4))
-SELECT rid, t AS value FROM cut WHERE size = 3"""
+    f"cut(rid, t, size, i) AS (SELECT rid, {_PHRASES}, 15, 0 FROM addr UNION ALL {CUT_SQL}) SELECT rid, t AS value FROM cut WHERE size = 3"
 )
 SQL["dedupe_phrases"] = SQL["dedupe_phrases"].replace("WITH ", "WITH RECURSIVE ", 1)
 scalar(
@@ -209,7 +209,13 @@ add(
     "clean_counts", "addr", lambda df: clean.counts(_judged(df)),
     JUDGED_SQL + " SELECT coalesce(reason, '有效') AS reason, count(*) AS n FROM k GROUP BY 1"
 )
-add("clean_file", "addr", lambda df: clean.judged(df, FIELDS, "custs").select("rid", "custs_adr_clean", "reason"))
+_J, _K = JUDGED_SQL.split(", k AS ", 1)
+add(
+    "clean_file", "addr", lambda df: clean.judged(df, FIELDS, "custs").select("rid", "custs_adr_clean", "reason"),
+    _J.replace("j AS (", "j0 AS (", 1) + f""", cut(rid, t, size, i) AS (SELECT rid, clean, CASE WHEN length(clean) >= 8 THEN 15 ELSE 3 END, 0 FROM j0 UNION ALL {CUT_SQL}),
+j AS (SELECT rid, t AS clean, e, b FROM cut JOIN j0 USING (rid) WHERE size = 3), k AS {_K} SELECT rid, clean AS custs_adr_clean, reason FROM k"""
+)
+SQL["clean_file"] = SQL["clean_file"].replace("WITH ", "WITH RECURSIVE ", 1)
 add(
     "check_field_config", "addr", lambda df: clean.field_warnings(df, ["province", "location"]),
     " UNION ALL ".join(

@@ -58,16 +58,29 @@ add(
         _poi_of("src", "a"), _poi_of("tgt", "b")
     ) + " SELECT pa AS a, pb AS b, round(score, 6) AS score FROM pr WHERE score >= 75"
 )
+#: dl (x, y, score) of dp (x, y): difflib's score, by the longest common block, the first in x and then in y, and what lies left
+#: and right of it.
+DIFFLIB_SQL = """dw(x, y, a, b) AS (SELECT x, y, x, y FROM dp UNION ALL SELECT x, y, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)])
+  FROM (SELECT *, instr(b, substr(a, i, k)) AS j FROM (SELECT *, m[1] AS k, -m[2] AS i FROM (SELECT *, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN [k, -i] ELSE [0, 0] END)))) AS m
+  FROM dw WHERE a <> '' AND b <> '') WHERE m[1] > 0))),
+dk AS (SELECT x, y, sum(m) AS matched FROM (SELECT x, y, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(a) - i + 2), lambda k: CASE WHEN contains(b, substr(a, i, k)) THEN k ELSE 0 END)))) AS m FROM dw WHERE a <> '' AND b <> '') GROUP BY ALL),
+dl AS (SELECT x, y, CASE WHEN x = y THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 2.0::DOUBLE * matched / (length(x) + length(y)) - 0.2::DOUBLE * abs(length(x) - length(y)) / greatest(length(x), length(y))) END AS score FROM dk)"""
 add(
     "difflib_score", "tgt tgt2",
-    lambda s, t: _scores(similarity.difflib_candidates(_stripped(s, "a"), _stripped(t, "b"), 0.7))
+    lambda s, t: _scores(similarity.difflib_candidates(_stripped(s, "a"), _stripped(t, "b"), 0.7)),
+    f"dp AS (SELECT a AS x, b AS y FROM ({_poi_of('tgt', 'a')}), ({_poi_of('tgt2', 'b')})), {DIFFLIB_SQL} SELECT x AS a, y AS b, round(score, 6) AS score FROM dl WHERE score >= 0.7"
 )
 add(
     "me_fuzzy", "src tgt",
     lambda s, t: join.fuzzy(s.withColumnRenamed("rid", "lid"), t, "poi", "poi").select(
         "lid", "rid", F.round("confidence", 6).alias("confidence")
-    )
+    ),
+    f"""dp AS (SELECT a AS x, b AS y FROM ({_poi_of('src', 'a')}), ({_poi_of('tgt', 'b')})), {DIFFLIB_SQL},
+dr AS (SELECT x, min(t.rid) AS rid, score FROM dl JOIN tgt t ON {strip_sql('t.poi')} = y WHERE score >= 0.7 GROUP BY x, score QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC) = 1)
+SELECT s.rid AS lid, dr.rid, round(dr.score, 6) AS confidence FROM src s JOIN dr ON {strip_sql('s.poi')} = x"""
 )
+for _name in ("difflib_score", "me_fuzzy"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def _vectors(spark, sf_dir, rest):
