@@ -543,6 +543,17 @@ relation(
 )
 
 
+def _relation_state(v):
+    """Relations saved twice as a project's state and read back: the last version counts."""
+    folder, edges = f"{shared.home(v.sparkSession)}/{uuid.uuid4().hex}", profile.pairs(v)
+    for rows in (edges.limit(1), edges):
+        sinks.save_rows(rows, folder, "field_relations")
+    return readers.read_rows(v.sparkSession, folder, "field_relations", edges.schema.simpleString()[7:-1].replace(":", " "))
+
+
+relation("relation_state", _relation_state, EDGES + " SELECT * FROM edges")
+
+
 def _louvain(v):
     """Fields by Louvain's communities over jaccard in millionths; fields without relations are alone."""
     nodes = profile.profile(v).select(F.concat_ws(".", "file", "field").alias("node"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import layers
+from .shared import children
 from .layers import dbf_fields
 
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
@@ -239,3 +240,13 @@ def resolve(spark: SparkSession, name: str, folders: list[str]) -> str:
 def read_state(spark: SparkSession, path: str) -> dict:
     """What sinks.save_state has written: tasks, relations, lineage of files; a small file."""
     return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
+def read_rows(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
+    """The last version of a state that sinks.save_rows has written to its end; no rows if there is none."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    for name in sorted(children(spark, f"{folder}/{kind}"), key=lambda n: -int(n.rpartition("=")[2])):
+        done = path(f"{folder}/{kind}/{name}/_SUCCESS")
+        if done.getFileSystem(conf).exists(done):
+            return spark.read.schema(schema).json(f"{folder}/{kind}/{name}")
+    return spark.createDataFrame([], schema)

@@ -52,6 +52,14 @@ def kept(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none if that is absent."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listStatus(where) if files.exists(where) else []
+    return sorted(s.getPath().getName() for s in found if s.isDirectory())
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file of any file system that Spark writes to."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.text import level_label, strip
-from .shared import write_bytes
+from .shared import children, write_bytes
 
 PLAIN_ROWS, CSV_ROWS = 50_000, 100_000
 
@@ -376,3 +376,10 @@ def save_state(spark, path: str, state: dict) -> None:
     files.delete(place(path), False)
     if not files.rename(place(path + ".part"), place(path)):
         raise OSError(path)
+
+
+def save_rows(df: DataFrame, folder: str, kind: str) -> None:
+    """A state that is a table (relations, join exports): a version of its own, so readers of an earlier one are not disturbed."""
+    spark = df.sparkSession
+    versions = [int(n.rpartition("=")[2]) for n in children(spark, f"{folder}/{kind}")]
+    df.write.json(f"{folder}/{kind}/version={max(versions, default=0) + 1}")
