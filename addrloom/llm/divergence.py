@@ -106,7 +106,7 @@ def counted(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _database() -> duckdb.DuckDBPyConnection:
-    """In memory, one thread, with a bound beyond which it spills to the task's own temporary folder."""
+    """In memory, one thread, with a bound beyond which it spills to the worker's own folder."""
     return duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": False})
 
 
