@@ -819,7 +819,7 @@ add("map_fields", "tgt", lambda df: _column_lists(df, _MAPS).select(
 
 
 def _mercator(df):
-    x, y = (F.col("rid") % 340 - 170).cast("double"), (F.col("rid") % 160 - 80).cast("double")
+    x, y = F.col("x"), F.col("y")
     east, north = geo.to_mercator(x, y)
     back = geo.from_mercator(F.col("east"), F.col("north"))
     rows = df.select("rid", east.alias("east"), north.alias("north"))
@@ -829,10 +829,34 @@ def _mercator(df):
     )
 
 
-add("mercator", "src", _mercator, f"""SELECT rid, round(radians(x) * {geo.MERCATOR}, 3) + 0.0 AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * {geo.MERCATOR}, 3) + 0.0 AS north, round(x, 6) AS x, round(y, 6) AS y
-  FROM (SELECT rid, CAST(rid % 340 - 170 AS DOUBLE) AS x, CAST(rid % 160 - 80 AS DOUBLE) AS y FROM src)""")
+add("mercator", "shp_", lambda df: _mercator(df.withColumn("rid", F.col("seq"))), f"""SELECT rid, round(radians(x) * {geo.MERCATOR}, 3) + 0.0 AS east, round(ln(tan(radians(y) / 2 + pi() / 4)) * {geo.MERCATOR}, 3) + 0.0 AS north, round(x, 6) AS x, round(y, 6) AS y
+  FROM (SELECT seq AS rid, x, y FROM shp_)""")
 
 
+def _transformed(df):
+    """Degrees around a central meridian, in a three-degree zone, a UTM zone, and back."""
+    zone, utm = (geo.transformed(112 + F.col("x") / 25, F.col("y"), 4326, code) for code in (4547, 32649))
+    rows = df.select("seq", *(c.alias(n) for n, c in zip(("east", "north", "utm_east", "utm_north"), (*zone, *utm))))
+    back = geo.transformed(F.col("east"), F.col("north"), 4547, 4326)
+    return rows.select(
+        F.col("seq").alias("rid"), *(F.round(c, 3).alias(c) for c in ("east", "north", "utm_east", "utm_north")),
+        F.round(back[0], 8).alias("x"), F.round(back[1], 8).alias("y")
+    )
+
+
+def _transverse_sql(t, east: str, north: str) -> str:
+    lon, e = f"radians(lon - {t.central})", f"{t.e}::DOUBLE"
+    tau = f"sinh(atanh(sin(radians(y))) - {e} * atanh({e} * sin(radians(y))))"
+    more = lambda f, g: " + ".join(f"{a}::DOUBLE * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(t.alpha, 1))
+    return f"""SELECT rid, round({t.east} + {t.radius}::DOUBLE * (eta + {more('cos', 'sinh')}), 3) AS {east}, round({t.north} + {t.radius}::DOUBLE * (xi + {more('sin', 'cosh')}), 3) AS {north}, lon, y
+  FROM (SELECT *, atan2(t, cos({lon})) AS xi, atanh(sin({lon}) / sqrt(1 + t * t)) AS eta FROM (SELECT seq AS rid, 112 + x / 25 AS lon, y, {tau.replace('lon', '112 + x / 25')} AS t FROM shp_))"""
+
+
+add(
+    "transform_crs", "shp_", _transformed,
+    f"SELECT z.rid, east, north, utm_east, utm_north, round(z.lon, 8) AS x, round(z.y, 8) AS y FROM ({_transverse_sql(geo.projection(4547), 'east', 'north')}) z JOIN ({_transverse_sql(geo.projection(32649), 'utm_east', 'utm_north')}) u USING (rid)"
+)
+
 _LAYERS = ["x|ID|gid", "name|Id", "code|name", "GID|id"]
 add("gid_field", "tgt", lambda df: _column_lists(df, _LAYERS).select(
     "rid", validate.gid_field(F.col("names")).alias("found")

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from addrloom.functions import geodesic
+from addrloom.functions import geo, geodesic
 
 
 def _degrees(d, m, s):
@@ -38,3 +39,25 @@ def test_both_ways_agree():
 def test_missing_points():
     assert np.isnan(geodesic.lengths([np.nan, 1.0], [0.0, 0.0], [1.0, np.inf], [1.0, 1.0])).all()
     assert len(geodesic.lengths([], [], [], [])) == 0
+
+
+def _moved(spark, points, source, target):
+    df = spark.createDataFrame(points, "x double, y double").coalesce(1)
+    x, y = geo.transformed(F.col("x"), F.col("y"), source, target)
+    return [(r.a, r.b) for r in df.select(x.alias("a"), y.alias("b")).collect()]
+
+
+def test_reference_systems(spark):
+    (east, north), = _moved(spark, [(-79.387139, 43.642567)], 4326, 32617)  # a published landmark
+    assert abs(east - 630084) < 1 and abs(north - 4833438) < 1
+    assert _moved(spark, [(117.0, 0.0)], 4490, 4548) == [(500000.0, 0.0)]
+    assert _moved(spark, [(117.0, 0.0)], 4490, 4527) == [(39500000.0, 0.0)]
+    (_, north), = _moved(spark, [(9.0, -33.0)], 4326, 32732)
+    assert abs(10_000_000 - north - 0.9996 * geodesic.lengths([0.0], [0.0], [0.0], [33.0])[0]) < 0.001
+    points = [(111.0 + i / 7, -40.0 + 3.1 * i) for i in range(25)]
+    for code in (32649, 32750, 4547, 4507, 4518, 3857):
+        there = _moved(spark, points, 4326, code)
+        assert max(abs(a - b) for p, q in zip(points, _moved(spark, there, code, 4326)) for a, b in zip(p, q)) < 1e-8
+    assert _moved(spark, [(1.0, 2.0)], 4326, 4326) == [(1.0, 2.0)]
+    with pytest.raises(ValueError):
+        geo.projection(2056)
