@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.shared import drop, home, kept
+from ..sources.shared import drop, home, kept, looked_up
 
 #: Vectors that centres are fitted to, most centres of a width, and their rounds of fitting.
 SAMPLE, CELLS, FITS = 20_000, 1024, 8
@@ -27,13 +27,18 @@ SAMPLE, CELLS, FITS = 20_000, 1024, 8
 MARGIN = 1.5e-6
 
 
-def _unit(df: DataFrame) -> DataFrame:
-    """rid, v (of unit length), k0 and k1 (two hashes that name the vector); rows with a null in the vector are left out."""
+def _hashed(df: DataFrame) -> DataFrame:
+    """rid, v, h0 and h1: two hashes that name the vector as it is given."""
+    return df.select("rid", "v", F.xxhash64("v").alias("h0"), F.xxhash64(F.lit("again"), "v").alias("h1"))
+
+
+def _unit(df: DataFrame, *more: str) -> DataFrame:
+    """v (of unit length), k0 and k1 (two hashes that name the vector), and more; rows with a null in the vector are left out."""
     v = F.transform("v", lambda x: x.cast("double"))
-    rows = df.select("rid", v.alias("v")).where(F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null)"))
+    rows = df.select(*more, v.alias("v")).where(F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null)"))
     rows = rows.withColumn("n", F.expr("sqrt(aggregate(v, 0D, (s, y) -> s + y * y))")).where("n > 0")
     return rows.select(
-        "rid", F.expr("transform(v, x -> x / n)").alias("v"), F.xxhash64("v").alias("k0"),
+        *more, F.expr("transform(v, x -> x / n)").alias("v"), F.xxhash64("v").alias("k0"),
         F.xxhash64(F.lit("again"), "v").alias("k1")
     )
 
@@ -205,11 +210,14 @@ def search(left: DataFrame, right: DataFrame, cell_rows: int = 4096, left_rows:
     keep = lambda df: kept(df, work)
     if (kinds := {df.schema["rid"].dataType.simpleString() for df in (left, right)}) and len(kinds) > 1:
         raise TypeError(f"rid is {' and '.join(sorted(kinds))}")
-    named = keep(_unit(left))
+    asking = _hashed(left)
+    same = lambda df: df.where("v is not null").groupBy("h0", "h1")
+    named = keep(_unit(same(asking).agg(F.first("v").alias("v")), "h0", "h1"))  # a vector's length is taken once
     queries = keep(named.groupBy("k0", "k1").agg(F.first("v").alias("v")).withColumns(
         {"target_rid": F.lit(None).cast(kinds.pop()), "similarity": F.lit(None).cast("double"), "cells": F.lit(0).cast("long")}
     ))
-    members = keep(_unit(right).groupBy("k0", "k1").agg(F.min("rid").alias("rid"), F.first("v").alias("v")))
+    held = same(_hashed(right)).agg(F.min("rid").alias("rid"), F.first("v").alias("v"))
+    members = keep(_unit(held, "rid").groupBy("k0", "k1").agg(F.min("rid").alias("rid"), F.first("v").alias("v")))
     widths = {r.width: r.n for r in members.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).collect()}
     fitted = {}
     for width, n in widths.items():
@@ -247,10 +255,11 @@ def search(left: DataFrame, right: DataFrame, cell_rows: int = 4096, left_rows:
         ))
         first, many = first + many, 2 * many
     answers = queries.where("target_rid is not null").select("k0", "k1", "target_rid", "similarity", "cells")
-    found = named.select("rid", "k0", "k1").join(answers, ["k0", "k1"]).select("rid", "target_rid", "similarity", "cells")
-    none = left.select("rid").join(found, "rid", "left_anti").join(
-        F.broadcast(right.agg(F.min("rid").alias("target_rid"), F.count("*").alias("n")).where("n > 0").drop("n"))
-    ).withColumns({"similarity": F.lit(None).cast("double"), "cells": F.lit(0).cast("long")})
-    result = kept(found.unionByName(none))
+    answers = named.select("h0", "h1", "k0", "k1").join(answers, ["k0", "k1"]).drop("k0", "k1")
+    first_row = right.agg(F.min("rid").alias("_first"), F.count("*").alias("_n")).where("_n > 0")
+    found = looked_up(asking.drop("v"), answers, ["h0", "h1"], "left").join(F.broadcast(first_row))
+    result = kept(found.select(
+        "rid", F.coalesce("target_rid", "_first").alias("target_rid"), "similarity", F.coalesce("cells", F.lit(0)).alias("cells")
+    ))
     drop(spark, work)
     return result
