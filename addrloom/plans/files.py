@@ -124,7 +124,7 @@ def _written_layers(spark, sf_dir):
     out = []
     for kind in _KINDS:
         folder = _place(spark)
-        layers.write(frame(spark, sf_dir, _drawn(kind)).repartition(4), folder, projection='PROJCS["flat"]', records=1000)
+        layers.write(frame(spark, sf_dir, _drawn(kind)), folder, projection='PROJCS["flat"]', records=1000)
         out.append(readers.read_shapefile(spark, folder, 400).withColumn("kind", F.lit(kind)))
     return reduce(lambda a, b: a.unionByName(b), out)
 

@@ -16,6 +16,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from .sinks import clipped, dbf_names, dbf_type
 
 #: Records a task reads, and a part has at most; bytes that are read at a time.
 RECORDS, CHUNK = 50_000, 8 << 20
+#: Tasks that read, beyond which a task gets several ranges of up to RECORDS together. Files that the driver opens at a time.
+READERS, AT_ONCE = 128, 16
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -234,9 +237,7 @@ class Layer:
 # The source -------------------------------------------------------------------------------------------------------------
 @dataclass
 class Records(InputPartition):
-    layer: Layer
-    first: int
-    last: int
+    ranges: list[tuple[Layer, int, int]]
 
 
 class LayerReader(DataSourceReader):
@@ -244,14 +245,17 @@ class LayerReader(DataSourceReader):
         self.bases, self.records = bases, records
 
     def partitions(self) -> list[Records]:
-        out = []
-        for layer in map(Layer.of, self.bases):
-            step = self.records if layer.indexed else max(1, layer.rows)
-            out += [Records(layer, i, min(i + step, layer.rows)) for i in range(0, max(1, layer.rows), step)]
-        return out
+        ranges = []
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for layer in pool.map(Layer.of, self.bases):
+                step = self.records if layer.indexed else max(1, layer.rows)
+                ranges += [(layer, i, min(i + step, layer.rows)) for i in range(0, max(1, layer.rows), step)]
+        n = min(len(ranges), max(READERS, -(-sum(last - first for _, first, last in ranges) // RECORDS)))
+        return [Records(ranges[i * len(ranges) // n : (i + 1) * len(ranges) // n]) for i in range(n)]
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
-        yield from partition.layer.records(partition.first, partition.last)
+        for layer, first, last in partition.ranges:
+            yield from layer.records(first, last)
 
 
 @dataclass
@@ -297,9 +301,12 @@ class LayerWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Parts]) -> None:
         files, folder = store(self.folder)
-        for temporary, final in (p for m in messages if m for p in m.written):
+        def named(part: tuple[str, str]) -> None:
             for suffix in self._suffixes():
-                files.move(temporary + suffix, final + suffix)
+                files.move(part[0] + suffix, part[1] + suffix)
+
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(named, (p for m in messages if m for p in m.written)))
         self._cleared(files, folder)
 
     def abort(self, messages: list[Parts]) -> None:
