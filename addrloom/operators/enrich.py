@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..sources.shared import spread
 from . import region
 
 Provider = Callable[[DataFrame], DataFrame]
@@ -64,7 +65,8 @@ def standardise(
     text = T.strip(F.coalesce(F.col(f"`{address}`").cast("string"), F.lit("")))
     # The row goes along as one column, whatever its own columns are called.
     named = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), text.alias("text"))
-    asked = named.select("text").where("text <> ''").distinct()
+    # Different texts are few bytes, but much work: they are dealt to all tasks again.
+    asked = spread(named.select("text").where("text <> ''").distinct())
     found, new_structures = _answers(asked, _known(structures, "text", "structure"), "text", "structure", structure_of)
     part = lambda keys: F.coalesce(*(F.nullif(F.col("structure")[k], F.lit("")) for k in keys), F.lit(""))
     parsed = asked.join(found.withColumnRenamed("cached", "structure_cached"), "text", "left").select(
@@ -76,7 +78,7 @@ def standardise(
         "poi": "POI_结构化", "houseno": "楼号", "cellno": "单元号"
     }
     parsed = parsed.withColumn("std", T.std_address({k: F.col(c) for k, c in keys.items()}))
-    wanted = parsed.select("std").where("std <> ''").distinct()
+    wanted = spread(parsed.select("std").where("std <> ''").distinct())
     answers, new_pois = _answers(wanted, _known(pois, "std", "poi"), "std", "poi", poi_of)
     parsed = parsed.join(
         answers.select("std", F.col("poi").alias("predicted"), F.col("cached").alias("poi_cached")), "std", "left"

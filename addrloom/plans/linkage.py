@@ -403,17 +403,20 @@ def _predicted(addresses):
 def _enriched(rows, provinces, cities, areas):
     """With tables of answers that are stored and read back, in two batches of which the later one counts."""
     spark, folder = rows.sparkSession, f"{shared.home(rows.sparkSession)}/{uuid.uuid4().hex}"
-    text = rows.select(
+    text = shared.spread(rows.select(
         T.strip(F.col("structure")).alias("text"), "rid"
-    ).where("text <> '' and rid % 3 = 0").select("text").distinct()
+    ).where("text <> '' and rid % 3 = 0").select("text").distinct())
     enrich.keep(
         text.select("text", F.create_map(F.lit("city"), F.lit("旧市")).alias("structure")), f"{folder}/structures", 1
     )
     enrich.keep(text.select("text", T.parse_kv(F.col("text")).alias("structure")), f"{folder}/structures", 2)
-    std = rows.where("rid % 5 = 0 and structure <> ''").select(
+    parsed = shared.spread(rows.where("rid % 5 = 0 and structure <> ''").select("structure").distinct()).select(
+        T.parse_kv(F.col("structure")).alias("parts")
+    )
+    std = parsed.select(
         T.std_address(
             {
-                k: T.parse_kv(F.col("structure"))[k]
+                k: F.col("parts")[k]
                 for k in ("prov", "city", "district", "town", "village", "road", "roadNo", "poi", "houseno", "cellno")
             }
         ).alias("std")
