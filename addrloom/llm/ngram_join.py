@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, components, finished, int64_lists, mix, rows_held, shingle_hashes, signed, slices, staged, table, without_held
+from .common import bloom_of, components, finished, int64_lists, keep_only, mix, rows_held, shingle_hashes, signed, slices, staged, table, without_held
 
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 18
 #: The most shingles that a light set's partner may lack: beyond it a set has thousands of subsets.
@@ -146,6 +146,7 @@ def _signatures(k: int, percent: int):
     light = light_most(percent)
 
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches):
             sets = [shingle_hashes(t, k) for t in batch.column(1).to_pylist()]
             n, sid = [len(s) for s in sets], [set_id(s) if len(s) else None for s in sets]
@@ -182,6 +183,7 @@ def boundary(small: DataFrame, percent: int) -> int:
 
 def _subsets(percent: int):
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches, 2000):
             lists = batch.column(2)
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -215,6 +217,7 @@ def _light_links(small: DataFrame, percent: int) -> DataFrame:
 def _sets(k: int, wanted):
     """The sets of the documents whose text hash the filter holds."""
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches):
             batch = batch.take(pa.array(np.flatnonzero(wanted.value.holds(batch.column(2).to_numpy()))))
             sets = [shingle_hashes(t, k) for t in batch.column(1).to_pylist()]
@@ -244,6 +247,7 @@ def _with_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
 def _promising(found, least, keys: str):
     """The rows of which so many of the keys (a list column) are in the filter as a linked set must have there at least."""
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches, 2000):
             lists = batch.column(keys)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -286,6 +290,7 @@ def _likely_sets(docs: DataFrame, made: DataFrame, k: int, percent: int) -> Data
 
 def _part_keys(percent: int, light: int):
     def run(batches):
+        keep_only("hashes")
         edges = bands(percent, light, 1 << 16)
         for batch in slices(batches):
             lists = batch.column("shingles")

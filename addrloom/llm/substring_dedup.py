@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bloom_of, carrying, column, finished, free_names, hash_words, int64_lists, mix, signed, rows_held, slices, staged, table, without_held, words_of
+from .common import bloom_of, carrying, column, finished, free_names, hash_words, int64_lists, keep_only, mix, signed, rows_held, slices, staged, table, without_held, words_of
 
 ANCHOR = 16
 _BASE = 0x9E3779B97F4A7C15
@@ -64,6 +64,7 @@ def runs(ranges: Ranges, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _anchors(least: int):
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches):
             out = []
             for text in batch.column(0).to_pylist():
@@ -76,6 +77,7 @@ def _anchors(least: int):
 
 def _runs(least: int, wanted):
     def run(batches):
+        keep_only("hashes")
         for batch in slices(batches):
             at, ctx, ws, size, windows = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
@@ -144,9 +146,11 @@ def repeated_spans(docs: DataFrame, least: int = 35) -> DataFrame:
     return whole.unionByName(parts)
 
 
-def _cut(least: int, whole=None):
-    """Cuts the spans (firsts, sizes) out of texts; with a filter, of the rows that it does not hold, which have none."""
+def _cut(least: int, whole=None, joined: bool = True):
+    """Cuts the spans (firsts, sizes) out of texts; with a filter, of the rows that it does not hold, which have none. What is
+    kept is joined by spaces; if not `joined`, a text that loses nothing stays as it is."""
     def run(batches):
+        keep_only("hashes")
         for batch in slices(without_held(batches, whole) if whole else batches):
             texts, n_words, n_removed, spans = [], [], [], []
             none = [None] * len(batch)
@@ -162,8 +166,11 @@ def _cut(least: int, whole=None):
                     found = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])]
                 n_words.append(len(words))
                 n_removed.append(int(cover.sum()) if firsts else 0)
-                kept = words if cover is None else [w for w, c in zip(words, cover.tolist()) if not c]
-                texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
+                if cover is None and not joined:
+                    texts.append(text)
+                else:
+                    kept = words if cover is None else [w for w, c in zip(words, cover.tolist()) if not c]
+                    texts.append(b" ".join(kept).decode("utf-8", "surrogatepass"))
                 spans.append(found)
             spans = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays(
@@ -181,11 +188,10 @@ ADDED = ["kept_text", "n_words", "n_removed", "spans"]
 _KINDS = "kept_text string, n_words long, n_removed long, spans array<struct<start:int,end:int>>"
 
 
-def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
-    """row (the carried columns in one) and what is added."""
-    keyed = docs.select(
-        F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*(column(c) for c in carried)).alias("row")
-    )
+def _removed(docs: DataFrame, least: int, joined: bool = True) -> DataFrame:
+    """row (all columns but the text in one, so that a text is carried once) and what is added."""
+    carried = [column(c) for c in docs.columns if c != "text"]
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "doc_id", "text", F.struct(*carried).alias("row"))
     # Equal rows have the same spans: each span is gathered once, however often its row occurs.
     found = repeated_spans(keyed.select("rk", "doc_id", "text"), least)
     per = found.groupBy("rk", "doc_id").agg(F.collect_set(F.struct("first", "size")).alias("x")).select(
@@ -194,12 +200,12 @@ def _removed(docs: DataFrame, least: int, carried: list[str]) -> DataFrame:
     )
     per = staged(per, heavy=True)
     touched = bloom_of(per.select("k"))
-    joined = rows_held(keyed, touched).join(
+    met = rows_held(keyed, touched).join(
         per, (F.col("rk") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left"
     ).select("row", "text", "firsts", "sizes")
     made = carrying(keyed.schema["row"].dataType, _KINDS)
-    return joined.mapInArrow(_cut(least), made).unionByName(
-        keyed.select("rk", "text", "row").mapInArrow(_cut(least, touched), made)
+    return met.mapInArrow(_cut(least, joined=joined), made).unionByName(
+        keyed.select("rk", "text", "row").mapInArrow(_cut(least, touched, joined), made)
     )
 
 
@@ -207,15 +213,18 @@ def dedup(docs: DataFrame, least: int = 35) -> DataFrame:
     """The other columns of docs with kept_text (kept words joined by a space), n_words, n_removed and spans (removed ranges)."""
     columns = [c for c in docs.columns if c != "text"]
     own = [F.col(a).alias(free) for a, free in zip(ADDED, free_names(ADDED, columns))]
-    return _removed(docs, least, columns).select(*(F.col("row").getField(c).alias(c) for c in columns), *own)
+    return _removed(docs, least).select(*(F.col("row").getField(c).alias(c) for c in columns), *own)
 
 
 def deduped_documents(docs: DataFrame, least: int = 35) -> DataFrame:
     """The same columns as docs; a text that loses nothing stays as it is (n_chars follows the texts)."""
-    cut, own = F.col("n_removed") > 0, lambda c: F.col("row").getField(c)
-    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return _removed(docs, least, docs.columns).select(
-        *(F.when(cut, changed[c]).otherwise(own(c)).alias(c) if c in changed else own(c).alias(c) for c in docs.columns)
+    own = lambda c: F.col("row").getField(c)
+    cut = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long"))
+    return _removed(docs, least, joined=False).select(
+        *(
+            F.col("kept_text").alias(c) if c == "text" else cut.otherwise(own(c)).alias(c) if c == "n_chars"
+            else own(c).alias(c) for c in docs.columns
+        )
     )
 
 
