@@ -7,7 +7,9 @@ keeps the half in which the cut lies, so the passes are as many as the widest ra
 go. The rest, with equal lines counted as one, is dealt by ranges of (group, pair, ties): a group with very many lines at
 its cut lies in many ranges, each of which keeps its first lines only, and those few are ranked.
 
-Nothing that grows with the input is broadcast or reaches the driver; that gets four bounds of the pairs, and after each pass
+A group is one long, where its columns are whole numbers of which all combinations fit into one, and else their JSON.
+
+Nothing that grows with the input is broadcast or reaches the driver; that gets two bounds of each column, and after each pass
 whether a group is still searching. Groups of more than one in HOT rows, so fewer than HOT, have their cuts broadcast, and
 their rows are not dealt by key. Joins deal by a key that no later step groups by, so that Spark can split hot ones.
 
@@ -18,10 +20,11 @@ column may have any name but those of the result (pos, place, tied).
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 
 from .common import column, finished, free_names, staged, table
 
@@ -29,13 +32,46 @@ from .common import column, finished, free_names, staged, table
 MOST, HOT = 2, 1000
 
 
+def bounds(lines: DataFrame, names: list[str]) -> list[tuple[int, int]]:
+    """The least and the largest value of each column, by one pass; 0 where there is none."""
+    found = [x or 0 for x in lines.agg(*[f(column(c)) for c in names for f in (F.min, F.max)]).first()]
+    return list(zip(found[::2], found[1::2]))
+
+
+class Group:
+    """The group's columns as one value called g. sides: the bounds of columns that all are whole numbers, or nothing."""
+
+    def __init__(self, lines: DataFrame, groups: list[str], sides: list[tuple[int, int]]):
+        self.columns = [column(c) for c in groups]
+        self.key = StructType([StructField(str(i), lines.schema[c].dataType) for i, c in enumerate(groups)])
+        self.least, self.wide = [a for a, _ in sides], [b - a + 2 for a, b in sides]
+        self.number = bool(sides) and math.prod(self.wide) < 1 << 62
+
+    def encoded(self) -> Column:
+        """Null is 0 in a number."""
+        if not self.number:
+            return F.to_json(F.struct(*[c.alias(str(i)) for i, c in enumerate(self.columns)]))
+        part = lambda c, a: F.coalesce(c.cast("long") - F.lit(a) + F.lit(1), F.lit(0))
+        return reduce(
+            lambda x, y: x * F.lit(y[0]) + y[1], zip(self.wide, map(part, self.columns, self.least)), F.lit(0).cast("long")
+        ).cast("long")
+
+    def decoded(self) -> list[Column]:
+        if not self.number:
+            return [F.from_json("g", self.key).getField(f.name) for f in self.key]
+        below = [math.prod(self.wide[i + 1 :]) for i in range(len(self.wide))]
+        parts = [F.expr(f"(g div {b}L) % {w}L") for b, w in zip(below, self.wide)]
+        return [
+            F.when(p > 0, p - F.lit(1) + F.lit(a)).cast(f.dataType) for p, a, f in zip(parts, self.least, self.key)
+        ]
+
+
 class Pair:
     """The pair as one number that rises with the order: null is 0, so it comes first. high is a 32-bit number, low a long."""
 
-    def __init__(self, lines: DataFrame, high: str, low: str):
+    def __init__(self, lines: DataFrame, high: str, low: str, sides: list[tuple[int, int]] | None = None):
         self.high, self.low = column(high), column(low)
-        found = lines.agg(F.max(self.high), F.min(self.high), F.max(self.low), F.min(self.low)).first()
-        self.most, least, top, self.bottom = (x or 0 for x in found)
+        (least, self.most), (self.bottom, top) = sides or bounds(lines, [high, low])
         self.wide = top - self.bottom + 2
         self.kind = "long" if (self.most - least + 2) * self.wide < 1 << 62 and self.wide < 1 << 62 else "decimal(38,0)"
 
@@ -112,11 +148,11 @@ def leading(lines: DataFrame, groups: list[str], high: str, low: str, ties: list
 
     def make() -> DataFrame:
         pos, place, tied = free_names(["pos", "place", "tied"], [*groups, high, low, *ties])
-        pair, kept = Pair(lines, high, low), [f"c{i}" for i in range(len(ties))]
-        key = StructType([StructField(str(i), lines.schema[c].dataType) for i, c in enumerate(groups)])
+        whole = groups if all(isinstance(lines.schema[c].dataType, IntegralType) for c in groups) else []
+        sides, kept = bounds(lines, [high, low, *whole]), [f"c{i}" for i in range(len(ties))]
+        pair, group = Pair(lines, high, low, sides[:2]), Group(lines, groups, sides[2:])
         rows = lines.select(
-            F.to_json(F.struct(*[column(c).alias(str(i)) for i, c in enumerate(groups)])).alias("g"),
-            pair.encoded().alias("code"), *[column(c).alias(k) for c, k in zip(ties, kept)]
+            group.encoded().alias("g"), pair.encoded().alias("code"), *[column(c).alias(k) for c, k in zip(ties, kept)]
         )
         counts = staged(rows.groupBy("g", "code").agg(F.count("*").alias("n")))
         near = staged(_near(rows, counts, cuts(counts, most)).groupBy("g", "code", *kept).agg(F.count("*").alias("times")))
@@ -130,10 +166,10 @@ def leading(lines: DataFrame, groups: list[str], high: str, low: str, ties: list
             "pos", F.explode(F.expr(f"sequence(before + 1, least(before + times, {most}L))"))
         )
         deal = lambda df: df.withColumn("deal", F.xxhash64("g", "code"))
-        found = deal(ranked).join(deal(counts).hint("merge"), ["deal", "g", "code"]).withColumn("key", F.from_json("g", key))
+        found = deal(ranked).join(deal(counts).hint("merge"), ["deal", "g", "code"])
         large, small = pair.decoded()
         return found.select(
-            *[F.col(f"key.{i}").alias(c) for i, c in enumerate(groups)], large.alias(high), small.alias(low),
+            *[x.alias(c) for x, c in zip(group.decoded(), groups)], large.alias(high), small.alias(low),
             *[F.col(k).alias(c) for k, c in zip(kept, ties)], F.col("pos").cast("long").alias(pos),
             F.col("pos").cast("long").alias(place), F.col("n").cast("long").alias(tied)
         )

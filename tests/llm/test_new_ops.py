@@ -116,6 +116,20 @@ def test_places(spark, wide, monkeypatch):
     assert group_ranks.leading(df.limit(0), ["who"], "high", "low", ["n"]).collect() == []
 
 
+@pytest.mark.parametrize("far", [3, 2**62])
+def test_places_of_groups_in_numbers(spark, far):
+    r = random.Random(3)
+    rows = [
+        (r.choice([None, -7, 0, 2]), r.choice([None, far, -far, 1]), r.choice([None, 0, 4]), r.choice([None, 0, 1, 2]), r.randint(1, 9), "x")
+        for _ in range(300)
+    ]
+    df = spark.createDataFrame(rows, LINE.replace("word string", "word long")).repartition(3)
+    group = group_ranks.Group(df, ["who", "word"], group_ranks.bounds(df, ["who", "word"]))
+    assert df.select(group.encoded().alias("g")).dtypes == [("g", "bigint" if far == 3 else "string")]
+    got = group_ranks.leading(df, ["who", "word"], "high", "low", ["n"])
+    assert got.dtypes[:2] == df.dtypes[:2] and sorted((tuple(x) for x in got.collect()), key=repr) == _brute_places(rows, 2)
+
+
 def test_checksum_in_sql():
     con = duckdb.connect()
     for text in ("0", "7", "1234567", "-3"):
