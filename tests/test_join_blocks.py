@@ -14,3 +14,14 @@ def test_join_meets_large_keys_in_blocks(spark):
     assert got.columns == ["[A]x", "【关联A】k", "[B]y"] and got.rdd.getNumPartitions() > 4
     other = join.inner(a, b.withColumnRenamed("k", "l"), "k", "l", most=50)
     assert other.columns == ["[A]x", "【关联A】k", "[B]y", "【关联B】l"] and other.count() == sum(want.values())
+
+
+def test_join_copies_rows_in_proportion_to_them(spark):
+    a = spark.createDataFrame([(i, None) for i in range(600)], "x long, k int")
+    b = spark.createDataFrame([(i, None) for i in range(60)] + [(60, 1)], "y long, k int")
+    got = join.inner(a, b, "k", "k", most=10)  # blocks of ten pairs would be 3,600, with 60 rows copied to each
+    assert got.rdd.getNumPartitions() < 250
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 36_000 and set(rows) == {(x, None, y) for x in range(600) for y in range(60)}
+    other = join.inner(b, a, "k", "k", most=10)
+    assert other.rdd.getNumPartitions() < 250 and {tuple(r) for r in other.collect()} == {(y, k, x) for x, k, y in rows}
